@@ -1,6 +1,7 @@
 """The corpus queries by name, and their SQL where there is one."""
 
+from regolith.llm.bpe import op3_bpe
 from regolith.llm.simhash import op5_simhash
 
-QUERIES = {"op5_simhash": op5_simhash}
+QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash}
 ORACLE: dict[str, str] = {}
