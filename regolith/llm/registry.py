@@ -2,6 +2,7 @@
 
 from regolith.llm.bpe import op3_bpe
 from regolith.llm.simhash import op5_simhash
+from regolith.llm.wavelet import op10_wavelet
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash}
+QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash, "op10_wavelet": op10_wavelet}
 ORACLE: dict[str, str] = {}
