@@ -1,8 +1,9 @@
 """The corpus queries by name, and their SQL where there is one."""
 
 from regolith.llm.bpe import op3_bpe
+from regolith.llm.media import op6_media
 from regolith.llm.simhash import op5_simhash
 from regolith.llm.wavelet import op10_wavelet
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash, "op10_wavelet": op10_wavelet}
+QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash, "op6_media": op6_media, "op10_wavelet": op10_wavelet}
 ORACLE: dict[str, str] = {}
