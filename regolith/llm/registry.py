@@ -3,7 +3,8 @@
 from regolith.llm.bpe import op3_bpe
 from regolith.llm.media import op6_media
 from regolith.llm.simhash import op5_simhash
+from regolith.llm.toxicity import op8_toxicity
 from regolith.llm.wavelet import op10_wavelet
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash, "op6_media": op6_media, "op10_wavelet": op10_wavelet}
+QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash, "op6_media": op6_media, "op8_toxicity": op8_toxicity, "op10_wavelet": op10_wavelet}
 ORACLE: dict[str, str] = {}
