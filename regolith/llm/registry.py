@@ -1,11 +1,12 @@
 """The corpus queries by name, and their SQL where there is one."""
 
 from regolith.llm.bpe import op3_bpe
+from regolith.llm.embedding import op2_embedding
 from regolith.llm.language import op7_language
 from regolith.llm.media import op6_media
 from regolith.llm.simhash import op5_simhash
 from regolith.llm.toxicity import op8_toxicity
 from regolith.llm.wavelet import op10_wavelet
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op10_wavelet": op10_wavelet}
+QUERIES = {"op2_embedding": op2_embedding, "op3_bpe": op3_bpe, "op5_simhash": op5_simhash, "op6_media": op6_media, "op7_language": op7_language, "op8_toxicity": op8_toxicity, "op10_wavelet": op10_wavelet}
 ORACLE: dict[str, str] = {}
