@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -25,45 +25,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.llm.common import read
+from regolith.llm.pieces import Pieces, portions
 
-#: Characters of text, and tokens, that one round of queries takes together.
-BATCH_CHARS, BATCH_TOKENS = 4_000_000, 1_000_000
+#: Bytes of text, and tokens, that one round of queries takes together.
+BATCH_BYTES, BATCH_TOKENS = 6_000_000, 1_000_000
 #: Words in one recursive query; words, and pieces between single spaces, that a task remembers.
-QUERY_WORDS, HELD_WORDS, HELD_PIECES = 40_000, 200_000, 250_000
+QUERY_WORDS, HELD_WORDS, HELD_PIECES = 40_000, 400_000, 300_000
 LONG_WORD = 256
 
+#: A token's place is word * 256 + position, so that a place, a pair and a pair's rank with its position are one integer each.
 _CONTRACT = """
 create or replace temp table contracted as
 with recursive step as (
-  select 0 as round, s.word, s.pos, s.tok, s.nxt, m.merged
-  from (select word, pos, tok, lead(tok) over (partition by word order by pos) as nxt from start) s
-  left join merges m on m.pair = s.tok::bigint * 65536 + s.nxt
+  select 0::smallint as round, s.place, s.tok, s.nxt, m.merged
+  from (select place, tok, lead(tok) over (partition by place // 256 order by place) as nxt from start) s
+  left join merges m on m.pair = (s.tok::bigint * 65536 + s.nxt)::uinteger
   union all
-  select n.round, n.word, n.pos, n.tok, n.nxt, m.merged
+  select n.round, n.place, n.tok, n.nxt, m.merged
   from (
-    select s.round + 1 as round, s.word,
-           case when s.pos > b.spot then s.pos - 1 else s.pos end as pos,
-           case when s.pos = b.spot then b.best else s.tok end as tok,
-           case when s.pos = b.spot then b.after when s.pos + 1 = b.spot then b.best else s.nxt end as nxt
+    select (s.round + 1)::smallint as round, s.place - (s.place > b.spot)::int as place,
+           case when s.place = b.spot then b.best else s.tok end as tok,
+           case when s.place = b.spot then b.after when s.place + 1 = b.spot then b.best else s.nxt end as nxt
     from step s
     join (
-      select c.word, c.spot, c.best, r.nxt as after
+      select c.word, c.word * 256 + c.low % 256 as spot, c.low // 256 as best, r.nxt as after
       from (
-        select word, (low % 1048576)::int as spot, (low // 1048576)::int as best
-        from (select word, min(merged::bigint * 1048576 + pos) as low from step where merged is not null group by word)
+        select place // 256 as word, min(merged * 256 + place % 256) as low from step where merged is not null group by 1
       ) c
-      join step r on r.word = c.word and r.pos = c.spot + 1
-    ) b on b.word = s.word
-    where s.pos <> b.spot + 1
+      join step r on r.place = c.word * 256 + c.low % 256 + 1
+    ) b on b.word = s.place // 256
+    where s.place <> b.spot + 1
   ) n
-  left join merges m on m.pair = n.tok::bigint * 65536 + n.nxt
+  left join merges m on m.pair = (n.tok::bigint * 65536 + n.nxt)::uinteger
 )
-select s.word, s.pos, s.tok
-from step s join (select word, max(round) as round from step group by word) l on l.word = s.word and l.round = s.round
+select s.place // 256 as doc, s.place % 256 as pos, s.tok
+from step s
+join (select place // 256 as word, max(round) as round from step group by 1) l on l.word = s.place // 256 and l.round = s.round
 """
 _DECODE = """
 select t.doc, array_to_string(list(v.bytes order by t.pos), '') as decoded
-from tokens t join vocabulary v on v.tok = t.tok group by t.doc
+from {tokens} t join vocabulary v on v.tok = t.tok group by t.doc
 """
 
 
@@ -83,10 +84,9 @@ class Codec:
             if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
         ]
         pair, merged = zip(*rows, strict=True)
-        self._table("merges", pair=pa.array(pair, pa.int64()), merged=pa.array(merged, pa.int32()))
+        self._table("merges", pair=pa.array(pair, pa.uint32()), merged=pa.array(merged, pa.int32()))
         self._table("vocabulary", tok=pa.array(self.ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in self.ranks]))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.split, self._contract, _concat, HELD_WORDS, HELD_PIECES)
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.con.register("_rows", pa.table(columns))
@@ -119,59 +119,42 @@ class Codec:
                 pair(prev[i])
         return [self.ranks[word[i : ends[i]]] for i in range(len(word)) if alive[i]]
 
-    def _contract(self, words: list[str]) -> None:
-        """Adds the ids of ``words`` (as bytes of 32-bit integers) to those held."""
+    def _contract(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of each word, as bytes of 32-bit integers, and the bytes that these ids decode to."""
+        found: dict[str, tuple[bytes, bytes]] = {}
         rest: list[tuple[str, bytes]] = []
         for word in words:
             raw = word.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.words[word] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG_WORD:
-                self.words[word] = np.array(self._queued(raw), "<u4").tobytes()
+            if (whole := self.ranks.get(raw)) is not None or len(raw) > LONG_WORD:
+                ids = np.array([whole] if whole is not None else self._queued(raw), "<u4").tobytes()
+                found[word] = ids, (raw if whole is not None else self.decode([ids])[0])
             else:
                 rest.append((word, raw))
         for k in range(0, len(rest), QUERY_WORDS):
             some = rest[k : k + QUERY_WORDS]
             lengths = np.fromiter((len(raw) for _, raw in some), np.int64, len(some))
             first = np.cumsum(lengths) - lengths
-            total = int(lengths.sum())
-            self._table(
-                "start",
-                word=pa.array(np.repeat(np.arange(len(some), dtype=np.int32), lengths)),
-                pos=pa.array((np.arange(total) - np.repeat(first, lengths)).astype(np.int32)),
-                tok=pa.array(self.byte_ids[np.frombuffer(b"".join(raw for _, raw in some), np.uint8)]),
-            )
+            place = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(some)) * 256 - first, lengths)
+            tok = self.byte_ids[np.frombuffer(b"".join(raw for _, raw in some), np.uint8)]
+            self._table("start", place=pa.array(place.astype(np.int32)), tok=pa.array(tok))
             self.con.execute(_CONTRACT)
-            got = self.con.execute("select word, tok from contracted order by word, pos").fetchnumpy()
+            got = self.con.execute("select doc, tok from contracted order by doc, pos").fetchnumpy()
+            plain = self._decoded("contracted", len(some))
             ids = got["tok"].astype("<u4").tobytes()
-            cuts = (np.searchsorted(got["word"], np.arange(len(some) + 1)) * 4).tolist()
-            for (word, _), a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.words[word] = ids[a:b]
-
-    def _ids(self, lists: list[list[str]]) -> Iterator[bytes]:
-        """Ids of each list of words."""
-        unknown = set().union(*lists) - self.words.keys() if lists else set()
-        if len(self.words) + len(unknown) > HELD_WORDS:
-            self.words = {}
-            unknown = set().union(*lists)
-        self._contract(list(unknown))
-        return (b"".join(map(self.words.__getitem__, words)) for words in lists)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. A single space between two other characters always begins a word, so texts whose spaces
-        are all of that kind are put together from remembered pieces; any other text is split as a whole."""
-        cut = [t.split(" ") for t in texts]
-        seen = set().union(*(c[1:] for c in cut)) if cut else set()
-        new = [p for p in seen - self.pieces.keys() if p and not p[0].isspace() and not p[-1].isspace()]
-        if len(self.pieces) + len(new) > HELD_PIECES:
-            self.pieces = {}
-            new = [p for p in seen if p and not p[0].isspace() and not p[-1].isspace()]
-        self.pieces.update(zip(new, self._ids([self.split(" " + p) for p in new]), strict=True))
-        piece = self.pieces.get
-        joined = [[piece(p) for p in c[1:]] if c[0] and not c[0][-1].isspace() else [None] for c in cut]
-        easy = [None not in j for j in joined]
-        heads = self._ids([self.split(c[0] if e else t) for t, c, e in zip(texts, cut, easy, strict=True)])
-        return [head + b"".join(j) if e else head for head, j, e in zip(heads, joined, easy, strict=True)]
+            cuts = (np.searchsorted(got["doc"], np.arange(len(some) + 1)) * 4).tolist()
+            found.update((word, (ids[a:b], p)) for (word, _), a, b, p in zip(some, cuts, cuts[1:], plain, strict=False))
+        return [found[word] for word in words]
+
+    def _decoded(self, tokens: str, rows: int) -> list[bytes]:
+        out = [b""] * rows
+        got = self.con.execute(_DECODE.format(tokens=tokens)).fetchnumpy()
+        for doc, text in zip(got["doc"].tolist(), got["decoded"], strict=True):
+            out[doc] = text.encode("latin-1")
+        return out
+
+    def round_trip(self, texts: pa.StringArray) -> list[tuple[bytes, bytes]]:
+        """Ids of each text, and the bytes that they decode to; a null text is empty."""
+        return [x for part in portions(texts, BATCH_BYTES) for x in self.pieces.code(part)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for. An id that the vocabulary lacks has none."""
@@ -187,10 +170,12 @@ class Codec:
             pos=pa.array((np.arange(int(lengths.sum())) - np.repeat(first, lengths)).astype(np.int32)),
             tok=pa.array(np.concatenate(tokens).astype(np.int32)),
         )
-        got = self.con.execute(_DECODE).fetchnumpy()
-        for doc, text in zip(got["doc"], got["decoded"], strict=True):
-            out[doc] = text.encode("latin-1")
-        return out
+        return self._decoded("tokens", len(ids))
+
+
+def _concat(parts: Iterable[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    ids, plain = zip(*parts, strict=True) if (parts := list(parts)) else ((), ())
+    return b"".join(ids), b"".join(plain)
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -215,23 +200,26 @@ def _portions(values: list, weight, most: int) -> Iterator[list]:
         yield part
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) for every row: the ids of the whole text as little-endian unsigned 32-bit integers.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded) for every row: the ids of the whole text as little-endian unsigned 32-bit integers, and the
+    bytes that they decode to. Each distinct word is encoded, and its ids decoded, by the queries; a text's ids and
+    bytes are those of its words in order.
 
     Null and empty texts have no ids (an empty binary). Repeated rows keep their rows; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [x for part in _portions(texts, len, BATCH_CHARS) for x in own.encode(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            both = own.round_trip(batch.column(1))
+            columns = [batch.column(0), *(pa.array([x[k] for x in both], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
+    return chosen.mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` (doc_id, ids) with a third column ``decoded``: the text's bytes. Null ids decode to no bytes."""
+    """Stored ids (doc_id, ids) with a third column ``decoded``: the text's bytes. Null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -246,7 +234,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids themselves."""
     pattern = public_tokenizers.PATTERN
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

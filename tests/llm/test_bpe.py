@@ -4,6 +4,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -44,9 +45,10 @@ def test_bounded_stores_change_nothing(library, monkeypatch):
     own = bpe.Codec(PATH, PATTERN)
     some = [t or "" for t in texts()]
     for k in range(0, len(some), 5):
-        ids = own.encode(some[k : k + 5])
+        ids, plain = zip(*own.round_trip(pa.array(some[k : k + 5])))
+        assert list(plain) == [t.encode() for t in some[k : k + 5]]
         assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in ids] == [library.encode_ordinary(t) for t in some[k : k + 5]]
-        assert own.decode(ids) == [t.encode() for t in some[k : k + 5]]
+        assert own.decode(list(ids)) == [t.encode() for t in some[k : k + 5]]
 
 
 def test_long_words_in_either_way(library):
@@ -59,3 +61,9 @@ def test_long_words_in_either_way(library):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_stored_ids_decode(spark, library):
+    rows = [(i, struct.pack(f"<{len(x)}I", *x)) for i, x in enumerate(library.encode_ordinary(t or "") for t in texts())] + [(-1, None)]
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids binary"), PATH, PATTERN).collect()}
+    assert got == {i: (t or "").encode() for i, t in enumerate(texts())} | {-1: b""}
