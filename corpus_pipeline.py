@@ -1,11 +1,77 @@
-"""Corpus pipeline: stages are added as their operators are ready."""
+"""Corpus pipeline: language, line and near-duplicate filters, a mix of sources, then tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's
+docs. All but the last return the columns of documents. Columns beyond those of documents pass through.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regolith.llm import bpe, language, lines, mixing, simhash
+from regolith.llm.common import BATCH_ROWS, cut, shared_dir
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go (no letter, or far from every language of the labelled rows); a missing
+    lang is filled with the prediction."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    found = language.identify(docs, language.train(docs.select("doc_id", "text", "lang")))
+    kept = found.where("not rejected").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return kept.select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of each source go from its texts; n_chars follows. No document goes."""
+    found = lines.dedup(docs, "source")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that with the smallest id. Of rows that repeat an id one
+    stays; rows without an id stay unless their group has one."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    found = cut(simhash.near_duplicates(docs))
+    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
+    repeated = kept.where("count > 1").limit(1).count() > 0
+    unnamed = docs.where("doc_id is null") if found.where("doc_id is null and component_id is null").limit(1).count() else None
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if repeated:
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(unnamed) if unnamed is not None else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the calibrated probabilities sample stay."""
+    return mixing.sample(docs).where("sampled").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of what they decode to."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
+]
+
+#: The first stage's model is not SQL; the stages are tested against brute-force versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each result is a table in the shared folder before the next stage reads it."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs.drop("ids")
