@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regolith.llm.common import read, shared_dir
+from regolith.llm.pieces import Pieces, portions
 
-END_ID = 0
+#: The id 0 ends every document.
+END = bytes(4)
 #: Aimed size of a shard. A document is never parted, so a shard may exceed it by one document.
 SHARD_TOKENS = 4_000_000
-#: Words and pieces between spaces that a worker remembers.
-HELD_WORDS, HELD_PIECES = 250_000, 350_000
+#: Words and pieces between spaces that a worker remembers; bytes of text that it looks at together.
+HELD_WORDS, HELD_PIECES, BATCH_BYTES = 600_000, 600_000, 8_000_000
 
 _MAGIC = b"WVM1"
 
@@ -164,52 +166,26 @@ class Encoder:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(regex.compile(public_tokenizers.PATTERN).findall, self._learn, b"".join, HELD_WORDS, HELD_PIECES)
 
-    @staticmethod
-    def _raw(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Words that begin with a space and have no other white space may stand side by side in one call."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Words that begin with a space and hold no other white space may stand side by side in one call."""
+        found: dict[str, bytes] = {}
         plain = [w for w in words if w[0] == " " and w[1:].strip() == w[1:] != ""]
-        for k in range(0, len(plain), 1000):
-            some = plain[k : k + 1000]
-            got = self.own.encode("".join(some), add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            if not len(of) or of[-1] != len(some) - 1:
-                continue  # parted in another way: one by one below
-            cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * 4).tolist()
-            raw = ids.tobytes()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-        rest = [w for w in words if w not in self.words]
-        self.words.update((w, self._raw(e.ids)) for w, e in zip(rest, self.own.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-
-    def _ids(self, lists: list[list[str]]) -> list[bytes]:
-        unknown = set().union(*lists) - self.words.keys() if lists else set()
-        if len(self.words) + len(unknown) > HELD_WORDS:
-            self.words = {}
-            unknown = set().union(*lists)
-        self._learn(list(unknown))
-        return [b"".join(map(self.words.__getitem__, words)) for words in lists]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers. A single space between two other characters always begins a word of
-        the tokenizer's pattern; texts with other spaces are split as a whole."""
-        cut = [t.split(" ") for t in texts]
-        seen = set().union(*(c[1:] for c in cut)) if cut else set()
-        fit = lambda p: p and not p[0].isspace() and not p[-1].isspace()
-        new = [p for p in seen - self.pieces.keys() if fit(p)]
-        if len(self.pieces) + len(new) > HELD_PIECES:
-            self.pieces = {}
-            new = [p for p in seen if fit(p)]
-        self.pieces.update(zip(new, self._ids([self.split(" " + p) for p in new]), strict=True))
-        joined = [list(map(self.pieces.get, c[1:])) if c[0] and not c[0][-1].isspace() else [None] for c in cut]
-        easy = [None not in j for j in joined]
-        heads = self._ids([self.split(c[0] if e else t) for t, c, e in zip(texts, cut, easy, strict=True)])
-        return [head + b"".join(j) if e else head for head, j, e in zip(heads, joined, easy, strict=True)]
+        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        for some, got in zip(groups, self.own.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            of = np.array(got.word_ids, np.int64)
+            if len(of) and of[-1] == len(some) - 1:  # else parted in another way: one by one below
+                cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * 4).tolist()
+                raw = np.array(got.ids, "<u4").tobytes()
+                found.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
+        rest = [w for w in words if w not in found]
+        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.own.encode_batch(rest, add_special_tokens=False), strict=True))
+        return [found[w] for w in words]
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; a null text is empty."""
+        return [ids for part in portions(texts, BATCH_BYTES) for ids in self.pieces.code(part)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -219,27 +195,15 @@ SHARDS = T.StructType(
 )
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of the whole text and the end id, as little-endian unsigned 32-bit integers; null is empty text."""
-    end = END_ID.to_bytes(4, "little")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        for batch in batches:
-            ids = [x + end for x in _ENCODERS[path].encode([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_shards(docs: DataFrame, path: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Range-partitions the texts by doc_id, encodes them and packs each partition's documents, in ascending order, into
+    """Range-partitions the rows of ``docs`` (doc_id, text) by doc_id, encodes the texts (null is empty) and packs each partition's documents, in ascending order, into
     shards. Only the shard in hand is in a task's memory. Rows without an id come first; a repeated id keeps all its
     rows. The texts are dealt before they are encoded, since range partitioning reads its input twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)  # one for each Python worker, kept over its tasks
 
         def shard() -> pa.RecordBatch:
             tokens = np.frombuffer(b"".join(parts), "<u4")
@@ -249,10 +213,10 @@ def write_shards(docs: DataFrame, path: str, folder: str, shard_tokens: int = SH
             )
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), _ENCODERS[path].encode(batch.column(1)), strict=True):
                 ids.append(NO_ID if doc_id is None else doc_id)
-                parts.append(raw)
-                held += len(raw) // 4
+                parts.append(raw + END)
+                held += len(raw) // 4 + 1
                 if held >= shard_tokens:
                     yield shard()
                     before, ids, parts, held = before + held, [], [], 0
@@ -261,7 +225,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, shard_tokens: int = SH
 
     pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(pieces, "doc_id").sortWithinPartitions("doc_id")
-    encode(ordered, path).mapInArrow(run, SHARDS).write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(folder)
+    ordered.mapInArrow(run, SHARDS).write.option("compression", "none").option("maxRecordsPerFile", 1).parquet(folder)
 
 
 #: Stands for a null id inside a shard.

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -45,7 +46,7 @@ def test_encoder_as_the_library(monkeypatch):
     monkeypatch.setattr(wavelet, "HELD_PIECES", 60)
     encoder, texts = wavelet.Encoder(PATH), [t or "" for t in corpus()]
     for k in range(0, len(texts), 20):
-        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts[k : k + 20])]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts[k : k + 20]))]
         assert got == [own.encode(t, add_special_tokens=False).ids for t in texts[k : k + 20]]
 
 
