@@ -1,4 +1,6 @@
 """Names of the terrain queries and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from regolith.plans import raster
+
+QUERIES: dict = {**raster.QUERIES}
+ORACLE: dict[str, str] = {**raster.ORACLE}
