@@ -1,6 +1,6 @@
 """Names of the terrain queries and the SQL that checks them."""
 
-from regolith.plans import raster
+from regolith.plans import raster, terrain
 
-QUERIES: dict = {**raster.QUERIES}
-ORACLE: dict[str, str] = {**raster.ORACLE}
+QUERIES: dict = {**raster.QUERIES, **terrain.QUERIES}
+ORACLE: dict[str, str] = {**raster.ORACLE, **terrain.ORACLE}
