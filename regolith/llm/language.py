@@ -52,14 +52,14 @@ def counts(text: str | None) -> tuple[np.ndarray, int]:
     letter = _is_letter()[points]
     letters = int(np.count_nonzero(letter))
     if not letters:
-        return np.zeros(SIZE), 0
+        return np.zeros(SIZE, np.float32), 0
     keep = letter | np.concatenate([[False], letter[:-1]])  # of each run between words only its first character
     points = np.concatenate([[32], np.where(letter, points, 32)[keep], [32]]).astype(np.uint64)
     one, two = points, points[:-1] << np.uint64(21) | points[1:]
     three = two[:-1] << np.uint64(21) | points[2:]
     grams = np.concatenate([one[1:-1], two, three])
     slots = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIZE.bit_length() + 1)
-    return np.bincount(slots.astype(np.int64), minlength=SIZE).astype(np.float64), letters
+    return np.bincount(slots.astype(np.int64), minlength=SIZE).astype(np.float32), letters
 
 
 def _length_class(letters: np.ndarray) -> np.ndarray:
@@ -96,16 +96,19 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     rows = [(c, lang, t) for t, lang in zip(texts, langs) if (c := counts(t))[1]]
     if not rows:
         return None
-    seen = (np.array([c[0] for c, _, _ in rows]) > 0).sum(axis=0)
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-    x, names = _vectors([c for c, _, _ in rows], idf), sorted({lang for _, lang, _ in rows})
+    seen = sum(c[0] > 0 for c, _, _ in rows)
+    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+    x, names = np.vstack([_vectors([c for c, _, _ in rows[k : k + 500]], idf) for k in range(0, len(rows), 500)]), sorted({lang for _, lang, _ in rows})
     of = np.array([names.index(lang) for _, lang, _ in rows])
     parts = [_cluster(x[of == k]) for k in range(len(names))]
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
     model = Model(tuple(names), np.vstack(parts).astype(np.float32), owner, idf, np.zeros(13))
-    found = [c for _, _, t in rows for f in _fragments(t) if (c := counts(f))[1]]
-    best = _best(model, found).max(axis=1)
-    classes = _length_class(np.array([n for _, n in found]))
+    best, letters = [], []
+    for k in range(0, len(rows), 100):
+        found = [c for _, _, t in rows[k : k + 100] for f in _fragments(t) if (c := counts(f))[1]]
+        best.append(_best(model, found).max(axis=1))
+        letters += [n for _, n in found]
+    best, classes = np.concatenate(best), _length_class(np.array(letters))
     floor = np.zeros(13)
     for k in range(13):
         if (classes == k).sum() >= 20:
