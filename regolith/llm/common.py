@@ -43,20 +43,22 @@ def sorted_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
     held: list[pd.DataFrame] = []
     for frame in frames:
         values = frame[key].to_numpy()
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1), len(values)]
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            if held and held[0][key].iloc[0] != values[a]:
+            if held and last != values[a]:
                 yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
                 held = []
-            held.append(frame.iloc[a:b].reset_index(drop=True))
+            last = values[a]
+            held.append(frame.iloc[a:b])
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
 def in_groups(df: DataFrame, key: str, each: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``each`` applied to every group of ``key``; groups are bounded by the caller. Cheaper for many small groups than one call per group."""
+    """``each`` applied to every group of ``key``; groups are bounded by the caller. Cheaper for many small groups than
+    one call per group. The partitions are as many as shuffles have, since the work of a group is more than its bytes tell."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, rows = [], 0
@@ -71,7 +73,8 @@ def in_groups(df: DataFrame, key: str, each: Callable[[pd.DataFrame], pd.DataFra
         if waiting:
             yield pd.concat(waiting, ignore_index=True)
 
-    return df.repartition(F.col(key)).sortWithinPartitions(key).mapInPandas(run, schema)
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(spread, F.col(key)).sortWithinPartitions(key).mapInPandas(run, schema)
 
 
 def in_blocks(df: DataFrame, key: str, size: str, member: str, block_rows: int) -> DataFrame:
