@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regolith.functions.graph import components
 from regolith.functions.lineage import cut
 
 BLOCK = 256
@@ -67,28 +68,10 @@ def labels(cells: DataFrame, on: str, diagonal: bool = True, block: int = BLOCK)
     rim = parts.where(f"y % {block} in (0, {block - 1}) or x % {block} in (0, {block - 1})")
     steps_df = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps if (dy, dx) > (0, 0))))
     near = rim.withColumn("s", steps_df).select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("part").alias("other"))
-    edges = near.join(rim, ["tile_id", "y", "x"]).where("part <> other").select("tile_id", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).distinct()
-    joined = smallest_reachable(edges)
-    return parts.join(joined, (parts.tile_id == joined.group) & (parts.part == joined.node), "left").select(
-        parts.tile_id, "y", "x", F.coalesce("component", "part").alias("label")
-    )
-
-
-def smallest_reachable(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(group, node, component) of edges(tile_id, a, b) with a < b: hang nodes on their smallest neighbour, then replace
-    each edge's ends by what they hang on, until every edge is a loop. Raises if ``rounds`` do not suffice."""
-    now = cut(edges.select(F.col("tile_id").alias("group"), "a", "b"))
-    every = now.select("group", F.col("a").alias("node")).union(now.select("group", F.col("b").alias("node"))).distinct()
-    to = every.withColumn("component", F.col("node"))
-    for _ in range(rounds):
-        if now.limit(1).count() == 0:
-            return to
-        both = now.union(now.select("group", F.col("b").alias("a"), F.col("a").alias("b")))
-        hang = cut(both.groupBy("group", "a").agg(F.least(F.min("b"), F.first("a")).alias("low")))
-        move = lambda df, c: df.join(hang.select("group", F.col("a").alias(c), F.col("low").alias(f"{c}_")), ["group", c], "left").withColumn(c, F.coalesce(f"{c}_", c)).drop(f"{c}_")
-        now = cut(move(move(now, "a"), "b").where("a <> b").select("group", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        to = cut(move(to, "component").select("group", "node", "component"))
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+    edges = near.join(rim, ["tile_id", "y", "x"]).where("part <> other")
+    joined = components(edges.select(F.struct("tile_id", "part").alias("a"), F.struct("tile_id", F.col("other").alias("part")).alias("b")))
+    moved = joined.select("node.tile_id", "node.part", F.col("component.part").alias("label"))
+    return parts.join(moved, ["tile_id", "part"], "left").select("tile_id", "y", "x", F.coalesce("label", "part").alias("label"))
 
 
 def edges_of(grid: DataFrame, meters_per_cell: float) -> DataFrame:
