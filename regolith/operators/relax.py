@@ -65,6 +65,9 @@ def labels(cells: DataFrame, on: str, diagonal: bool = True, block: int = BLOCK)
     marked = cells.where(on).select("tile_id", "y", "x").withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
     parts = marked.groupBy("tile_id", "by", "bx").applyInPandas(lambda pdf: each(pdf), "tile_id string, y int, x int, part long")
     parts = cut(parts)
+    last = parts.agg(F.max(F.greatest("y", "x"))).first()[0]
+    if last is None or last < block:  # every tile is one block
+        return parts.withColumnRenamed("part", "label")
     rim = parts.where(f"y % {block} in (0, {block - 1}) or x % {block} in (0, {block - 1})")
     steps_df = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps if (dy, dx) > (0, 0))))
     near = rim.withColumn("s", steps_df).select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("part").alias("other"))
