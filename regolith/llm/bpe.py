@@ -30,7 +30,7 @@ from regolith.llm.pieces import Pieces, portions
 #: Bytes of text, and tokens, that one round of queries takes together.
 BATCH_BYTES, BATCH_TOKENS = 6_000_000, 1_000_000
 #: Words in one recursive query; words, and pieces between single spaces, that a task remembers.
-QUERY_WORDS, HELD_WORDS, HELD_PIECES = 40_000, 400_000, 300_000
+QUERY_WORDS, HELD_WORDS, HELD_PIECES = 40_000, 300_000, 200_000
 LONG_WORD = 256
 
 #: A token's place is word * 256 + position, so that a place, a pair and a pair's rank with its position are one integer each.
@@ -156,6 +156,12 @@ class Codec:
         """Ids of each text, and the bytes that they decode to; a null text is empty."""
         return [x for part in portions(texts, BATCH_BYTES) for x in self.pieces.code(part)]
 
+    def forget(self) -> None:
+        """Leaves the worker, which other stages use too, with the rank tables only."""
+        self.pieces.forget()
+        for name in ("start", "contracted", "tokens"):
+            self.con.execute(f"drop table if exists {name}")
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each row of ids stands for. An id that the vocabulary lacks has none."""
         tokens = [np.frombuffer(x, "<u4") for x in ids]
@@ -213,6 +219,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             both = own.round_trip(batch.column(1))
             columns = [batch.column(0), *(pa.array([x[k] for x in both], pa.binary()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+        own.forget()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
     return chosen.mapInArrow(run, "doc_id long, ids binary, decoded binary")
@@ -227,6 +234,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [x or b"" for x in batch.column(1).to_pylist()]
             out = [x for part in _portions(ids, lambda x: len(x) // 4, BATCH_TOKENS) for x in own.decode(part)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+        own.forget()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 

@@ -9,6 +9,8 @@ Both stores are bounded and emptied when full.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from typing import Generic, TypeVar
 
@@ -27,6 +29,13 @@ class Pieces(Generic[V]):
         self.words: dict[str, V] = {}
         self.pieces: dict[str, V] = {}
 
+    def forget(self) -> None:
+        """Gives the stores' memory back, to the system too where its allocator can."""
+        self.words, self.pieces = {}, {}
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
     def _of_words(self, lists: list[list[str]]) -> list[V]:
         unknown = set().union(*lists) - self.words.keys() if lists else set()
         if len(self.words) + len(unknown) > self.most_words:
@@ -49,6 +58,13 @@ class Pieces(Generic[V]):
 
     def code(self, texts: pa.StringArray) -> list[V]:
         """The code of each text, which must not be null. Cutting and finding the distinct pieces is left to Arrow."""
+        gc.disable()  # millions of strings and lists, none of them in a cycle
+        try:
+            return self._code(texts)
+        finally:
+            gc.enable()
+
+    def _code(self, texts: pa.StringArray) -> list[V]:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         values = lists.flatten().dictionary_encode()
         at, starts = values.indices.to_numpy(), np.append(lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), len(values))

@@ -27,7 +27,7 @@ DISTANCE = 3
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Fingerprints of one bucket that are compared in one piece; larger buckets are dealt into pairs of blocks.
-BLOCK_ROWS = 1500
+BLOCK_ROWS = 600
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
