@@ -48,11 +48,11 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> bytes:
     now = tokens.astype(np.uint16 if planes <= 16 else np.uint32)
     squeeze = zstandard.ZstdCompressor(level=1)
     for shift in range(planes - 1, -1, -1):
-        ones = (now >> shift & 1).astype(bool)
+        ones = (now & now.dtype.type(1 << shift)) != 0
         bits = np.packbits(ones, bitorder="little").tobytes()
         data = squeeze.compress(bits + bytes(-len(bits) % 8))
         out += [struct.pack("<QQ", len(now) - int(np.count_nonzero(ones)), len(data)), data]
-        now = np.concatenate([now[~ones], now[ones]])
+        now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
     return b"".join(out)
 
 
@@ -95,8 +95,8 @@ class Shard:
         for plane in range(self.planes - 1, -1, -1):
             ones = self._bits(plane)
             back = np.empty_like(now)
-            back[~ones] = now[: self.zeros[plane]]
-            back[ones] = now[self.zeros[plane] :] | now.dtype.type(1 << (self.planes - 1 - plane))
+            back[np.flatnonzero(~ones)] = now[: self.zeros[plane]]
+            back[np.flatnonzero(ones)] = now[self.zeros[plane] :] | now.dtype.type(1 << (self.planes - 1 - plane))
             now = back
         return now
 
