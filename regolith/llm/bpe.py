@@ -2,8 +2,8 @@
 
 Encoding: a text is split by the tokenizer's pattern. The distinct words of a batch become token-position rows; a
 recursive query joins neighbouring tokens with the merge table and contracts, in every round, each word's leftmost pair
-of minimum rank, until no word has a pair left. Decoding joins a batch's token-position rows with the vocabulary and
-concatenates them by an ordered aggregation. Nothing is shuffled: each task works on its own rows, in batches of bounded
+of minimum rank, until no word has a pair left. Decoding joins the token-position rows of whole documents with the
+vocabulary and concatenates them by an ordered aggregation; it sees nothing but a document's own ids. Nothing is shuffled: each task works on its own rows, in batches of bounded
 bytes, and keeps a bounded store of words that it has met.
 
 The position rows of a word shrink by one in each round, so a word of n bytes costs up to n*n/2 rows. Words of more
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -64,7 +64,7 @@ join (select place // 256 as word, max(round) as round from step group by 1) l o
 """
 _DECODE = """
 select t.doc, array_to_string(list(v.bytes order by t.pos), '') as decoded
-from {tokens} t join vocabulary v on v.tok = t.tok group by t.doc
+from tokens t join vocabulary v on v.tok = t.tok group by t.doc
 """
 
 
@@ -86,7 +86,7 @@ class Codec:
         pair, merged = zip(*rows, strict=True)
         self._table("merges", pair=pa.array(pair, pa.uint32()), merged=pa.array(merged, pa.int32()))
         self._table("vocabulary", tok=pa.array(self.ranks.values(), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in self.ranks]))
-        self.pieces = Pieces(self.split, self._contract, _concat, HELD_WORDS, HELD_PIECES)
+        self.pieces = Pieces(self.split, self._contract, b"".join, HELD_WORDS, HELD_PIECES)
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.con.register("_rows", pa.table(columns))
@@ -119,15 +119,14 @@ class Codec:
                 pair(prev[i])
         return [self.ranks[word[i : ends[i]]] for i in range(len(word)) if alive[i]]
 
-    def _contract(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """The ids of each word, as bytes of 32-bit integers, and the bytes that these ids decode to."""
-        found: dict[str, tuple[bytes, bytes]] = {}
+    def _contract(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes of 32-bit integers."""
+        found: dict[str, bytes] = {}
         rest: list[tuple[str, bytes]] = []
         for word in words:
             raw = word.encode()
             if (whole := self.ranks.get(raw)) is not None or len(raw) > LONG_WORD:
-                ids = np.array([whole] if whole is not None else self._queued(raw), "<u4").tobytes()
-                found[word] = ids, (raw if whole is not None else self.decode([ids])[0])
+                found[word] = np.array([whole] if whole is not None else self._queued(raw), "<u4").tobytes()
             else:
                 rest.append((word, raw))
         for k in range(0, len(rest), QUERY_WORDS):
@@ -139,22 +138,20 @@ class Codec:
             self._table("start", place=pa.array(place.astype(np.int32)), tok=pa.array(tok))
             self.con.execute(_CONTRACT)
             got = self.con.execute("select doc, tok from contracted order by doc, pos").fetchnumpy()
-            plain = self._decoded("contracted", len(some))
             ids = got["tok"].astype("<u4").tobytes()
             cuts = (np.searchsorted(got["doc"], np.arange(len(some) + 1)) * 4).tolist()
-            found.update((word, (ids[a:b], p)) for (word, _), a, b, p in zip(some, cuts, cuts[1:], plain, strict=False))
+            found.update((word, ids[a:b]) for (word, _), a, b in zip(some, cuts, cuts[1:], strict=False))
         return [found[word] for word in words]
 
-    def _decoded(self, tokens: str, rows: int) -> list[bytes]:
-        out = [b""] * rows
-        got = self.con.execute(_DECODE.format(tokens=tokens)).fetchnumpy()
-        for doc, text in zip(got["doc"].tolist(), got["decoded"], strict=True):
-            out[doc] = text.encode("latin-1")
-        return out
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text; a null text is empty."""
+        return [x for part in portions(texts, BATCH_BYTES) for x in self.pieces.code(part)]
 
     def round_trip(self, texts: pa.StringArray) -> list[tuple[bytes, bytes]]:
-        """Ids of each text, and the bytes that they decode to; a null text is empty."""
-        return [x for part in portions(texts, BATCH_BYTES) for x in self.pieces.code(part)]
+        """Ids of each text, and the bytes that the document's ids, all of them in order, decode to."""
+        ids = self.encode(texts)
+        plain = [x for part in _portions(ids, lambda x: len(x) // 4, BATCH_TOKENS) for x in self.decode(part)]
+        return list(zip(ids, plain, strict=True))
 
     def forget(self) -> None:
         """Leaves the worker, which other stages use too, with the rank tables only."""
@@ -176,12 +173,10 @@ class Codec:
             pos=pa.array((np.arange(int(lengths.sum())) - np.repeat(first, lengths)).astype(np.int32)),
             tok=pa.array(np.concatenate(tokens).astype(np.int32)),
         )
-        return self._decoded("tokens", len(ids))
-
-
-def _concat(parts: Iterable[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
-    ids, plain = zip(*parts, strict=True) if (parts := list(parts)) else ((), ())
-    return b"".join(ids), b"".join(plain)
+        got = self.con.execute(_DECODE).fetchnumpy()
+        for doc, text in zip(got["doc"].tolist(), got["decoded"], strict=True):
+            out[doc] = text.encode("latin-1")
+        return out
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -208,8 +203,8 @@ def _portions(values: list, weight, most: int) -> Iterator[list]:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) for every row: the ids of the whole text as little-endian unsigned 32-bit integers, and the
-    bytes that they decode to. Each distinct word is encoded, and its ids decoded, by the queries; a text's ids and
-    bytes are those of its words in order.
+    bytes that they decode to. Each distinct word is encoded by the queries, and a text's ids are those of its words in
+    order; the decoding query takes all ids of each document, not its words.
 
     Null and empty texts have no ids (an empty binary). Repeated rows keep their rows; other columns are not read."""
 

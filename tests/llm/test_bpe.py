@@ -67,3 +67,16 @@ def test_stored_ids_decode(spark, library):
     rows = [(i, struct.pack(f"<{len(x)}I", *x)) for i, x in enumerate(library.encode_ordinary(t or "") for t in texts())] + [(-1, None)]
     got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids binary"), PATH, PATTERN).collect()}
     assert got == {i: (t or "").encode() for i, t in enumerate(texts())} | {-1: b""}
+
+
+def test_decoded_shows_wrong_ids(spark, library, monkeypatch):
+    """A word whose stored ids are wrong, lost or out of order must not decode to the input."""
+    rng, words = random.Random(5), ["the", " the", "ing", " ing"]
+    assert all(len(library.encode_ordinary(w)) == 1 for w in words)
+    text = "the" + "".join(rng.choice(words[1::2]) for _ in range(30))
+    learn = bpe.Codec._contract
+    for change in (lambda ids: struct.pack("<I", struct.unpack("<I", ids)[0] + 1), lambda ids: b"", lambda ids: ids + ids):
+        monkeypatch.setattr(bpe.Codec, "_contract", lambda self, some: [change(x) if isinstance(x, bytes) else (change(x[0]), x[1]) for x in learn(self, some)])
+        ids, plain = bpe.Codec(PATH, PATTERN).round_trip(pa.array([text]))[0]
+        assert plain != text.encode()
+        assert plain == library.decode_bytes(list(struct.unpack(f"<{len(ids) // 4}I", ids)))
