@@ -13,6 +13,7 @@ shared folder, one file each, so any store that Spark writes can hold them.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -158,14 +160,19 @@ class Shard:
 
 
 class Encoder:
-    """A tokenizers file applied to whole texts. Equal words have equal ids, so each is encoded once while remembered."""
+    """A tokenizers file applied to whole texts. Equal words have equal ids, so each is encoded once while remembered.
 
-    def __init__(self, path: str):
+    With ``added`` the result is the library's own: the strings of added tokens are these tokens. The pattern would part
+    them, so a text that contains one goes through the library as a whole. Without it they are ordinary text."""
+
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.own.encode_special_tokens = not added
+        tokens = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, tokens)) if added else ""
         self.pieces = Pieces(regex.compile(public_tokenizers.PATTERN).findall, self._learn, b"".join, HELD_WORDS, HELD_PIECES)
 
     def _learn(self, words: list[str]) -> list[bytes]:
@@ -185,25 +192,35 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; a null text is empty."""
-        return [ids for part in portions(texts, BATCH_BYTES) for ids in self.pieces.code(part)]
+        return [ids for part in portions(texts, BATCH_BYTES) for ids in self._encode(part)]
+
+    def _encode(self, texts: pa.StringArray) -> list[bytes]:
+        if not self.added:
+            return self.pieces.code(texts)
+        whole = pc.match_substring_regex(texts, self.added)
+        if not pc.any(whole).as_py():
+            return self.pieces.code(texts)
+        rest = iter(self.pieces.code(texts.filter(pc.invert(whole))))
+        return [np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else next(rest) for t, w in zip(texts.to_pylist(), whole.to_pylist(), strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 SHARDS = T.StructType(
     [T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("shard", T.BinaryType())]
 )
 
 
-def write_shards(docs: DataFrame, path: str, folder: str, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(docs: DataFrame, path: str, folder: str, shard_tokens: int = SHARD_TOKENS, added: bool = False) -> None:
     """Range-partitions the rows of ``docs`` (doc_id, text) by doc_id, encodes the texts (null is empty) and packs each partition's documents, in ascending order, into
     shards. Only the shard in hand is in a task's memory. Rows without an id come first; a repeated id keeps all its
-    rows. The texts are dealt before they are encoded, since range partitioning reads its input twice."""
+    rows. The texts are dealt before they are encoded, since range partitioning reads its input twice. ``added`` as for
+    Encoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)  # one for each Python worker, kept over its tasks
+        if (path, added) not in _ENCODERS:
+            _ENCODERS[path, added] = Encoder(path, added)  # one for each Python worker, kept over its tasks
 
         def shard() -> pa.RecordBatch:
             tokens = np.frombuffer(b"".join(parts), "<u4")
@@ -213,7 +230,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, shard_tokens: int = SH
             )
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), _ENCODERS[path].encode(batch.column(1)), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), _ENCODERS[path, added].encode(batch.column(1)), strict=True):
                 ids.append(NO_ID if doc_id is None else doc_id)
                 parts.append(raw + END)
                 held += len(raw) // 4 + 1
@@ -258,7 +275,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_wavelet(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
-    """Encodes, writes the shards below the shared folder and reads the files back."""
+    """Encodes as the library does, added tokens included, writes the shards below the shared folder and reads the files
+    back."""
     folder = f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    write_shards(read(spark, sf_dir, "documents", "doc_id", "text"), path, folder)
+    write_shards(read(spark, sf_dir, "documents", "doc_id", "text"), path, folder, added=True)
     return read_shards(spark, folder)

@@ -75,3 +75,17 @@ def test_files_round_trip(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     wavelet.write_shards(spark.createDataFrame([], "doc_id long, text string"), PATH, str(tmp_path / "s"))
     assert wavelet.read_shards(spark, str(tmp_path / "s")).count() == 0
+
+
+def test_query_as_the_unmodified_library(spark, tmp_path):
+    own, literal = Tokenizer.from_file(PATH), "<|endoftext|>"
+    assert own.encode(literal, add_special_tokens=False).ids == [own.token_to_id(literal)]
+    texts = [*corpus(), literal, f"a {literal} b", f"a{literal}{literal}\n", f"<|endoftext{literal}", "<|endoftext|", f" {literal}  x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got, start = {r.doc_id: r for r in wavelet.op10_wavelet(spark, str(tmp_path)).collect()}, 0
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(raw) // 4, zlib.crc32(raw)), t
+        start += len(raw) // 4
