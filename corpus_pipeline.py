@@ -26,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source go from its texts; n_chars follows. No document goes."""
-    found = lines.dedup(docs, "source")
+    """Boilerplate lines of each source go from its texts; n_chars follows. No document goes. Copies of a text are one page
+    of their source, so that a large group of them does not empty itself before one of it is chosen."""
+    found = lines.dedup(docs, "source", distinct=True)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

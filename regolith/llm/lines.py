@@ -34,16 +34,26 @@ def _lines(text: str) -> F.Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
     """(host, lines): of each host the md5 of the lines that go, from ``pages`` (host, text). Blank lines never go.
+    With ``distinct`` a host's copies of one whole text are one page, in its total too.
 
     A page gives its own lines once, so the counts' partial sums leave one row for each host, line and task. A host keeps
     at most (mean lines of a page / ratio) lines above the ratio, whatever the number of its pages."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    if distinct:  # a page is its text's hash; texts are not shuffled, and no task gathers the pages of a host
+        pages = pages.withColumn("page", F.xxhash64("text"))
+        each = pages.select("host", "page").distinct()
+    else:
+        each = pages = pages.withColumn("page", F.lit(0))
+    totals = each.groupBy("host").agg(F.count("*").alias("pages"))
     lines = (
-        pages.select("host", F.explode(F.array_distinct(_lines("text"))).alias("line"))
+        pages.select("host", "page", F.explode(F.array_distinct(_lines("text"))).alias("line"))
         .where(F.trim("line") != "")
-        .groupBy("host", F.md5("line").alias("mark"))
+        .select("host", F.md5("line").alias("mark"), "page")
+    )
+    lines = (
+        (lines.distinct() if distinct else lines)
+        .groupBy("host", "mark")
         .agg(F.count("*").alias("having"))
         .where(F.col("having") >= least_pages)
     )
@@ -51,14 +61,15 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     return often.groupBy(lines.host).agg(F.collect_list("mark").alias("lines"))
 
 
-def dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
     """``docs`` with its text stripped of its host's boilerplate lines, and n_lines, n_dropped (columns of these names are
     replaced). Rows of a null host are one site. A null text stays null and has one line, an empty one, that is kept; a
-    text whose lines all go becomes empty. Repeated rows count as pages of their own. Texts are not shuffled while the
+    text whose lines all go becomes empty. Repeated rows count as pages of their own, unless ``distinct`` makes a
+    host's copies of one text one page. Texts are not shuffled while the
     boilerplate lines are few enough to broadcast."""
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    found = cut(boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages))
+    found = cut(boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages, distinct))
     many = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
     if many <= BROADCAST_LINES:

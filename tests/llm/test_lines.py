@@ -40,3 +40,18 @@ def test_pages_have_hosts_and_lines(spark):
     df = spark.createDataFrame([("HTTP://u:p@Www.Ex.org:80/a?b#c", html), ("nonsense", None)], "url string, html string")
     got = df.select(lines.host_of("url").alias("h"), lines.page_text("html").alias("t")).collect()
     assert [(r.h, r.t) for r in got] == [("www.ex.org", "T\nHome\nOne two\nthree"), ("", None)]
+
+
+def test_copies_are_one_page_where_asked(spark):
+    rng = random.Random(4)
+    texts = ["\n".join([f"own {k}", *(f"menu {m}" for m in range(6) if rng.random() < 0.08 * m)]) for k in range(60)] + ["", None]
+    rows = [(i, rng.choice(["a", "b", None]), t) for i, t in enumerate(texts * 2 + texts[:1] * 40)]
+    kept = {(h, t) for _, h, t in rows}
+    gone = {(i, h, t) for i, (h, t) in enumerate(kept)}
+    want = {(h, t): out for (_, h, t), (_, out, _, _) in zip(sorted(gone, key=lambda r: str(r[0])), brute(gone, 0.15, 3))}
+    df = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    got = lines.dedup(df, "host", ratio=0.15, least_pages=3, distinct=True).collect()
+    assert len(got) == len(rows)
+    by_id = {i: (h, t) for i, h, t in rows}
+    assert all(r.text == want[by_id[r.doc_id]] for r in got)
+    assert any(r.n_dropped for r in got)

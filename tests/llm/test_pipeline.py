@@ -64,3 +64,21 @@ def test_clashing_columns_and_empty_table(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() > 0
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_large_groups_of_copies_keep_one(spark):
+    """Two groups of copies, each far over the ratio of its source, leave one whole text each."""
+    rng = random.Random(21)
+
+    def prose():
+        return "\n".join(" ".join("".join(rng.choice(PARTS["en"]) for _ in range(4)) for _ in range(12)) for _ in range(6))
+
+    copies = {"a": prose(), "b": prose()}
+    rows = [(1000 * (s == "b") + k, copies[s], "en", s, len(copies[s])) for s in copies for k in range(30)]
+    rows += [(5000 + k, prose() + "\nmenu of the site", "en", "ab"[k % 2], 0) for k in range(60)]
+    deduped = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").cache()
+    got = {r.doc_id: r.text for r in deduped.collect()}
+    assert all(got[i] == t for i, t, *_ in rows if i < 5000)
+    assert not any("menu" in t for t in got.values()) and all(got.values())
+    alone = corpus_pipeline.simhash_dedup(spark, deduped, "").collect()
+    assert [sum(r.text == t for r in alone) for t in copies.values()] == [1, 1]
