@@ -34,9 +34,10 @@ def _lines(text: str) -> F.Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False, small: bool = False) -> DataFrame:
     """(host, lines): of each host the md5 of the lines that go, from ``pages`` (host, text). Blank lines never go.
-    With ``distinct`` a host's copies of one whole text are one page, in its total too.
+    With ``distinct`` a host's copies of one whole text are one page, in its total too. With ``small`` a line of a host of
+    fewer than ``least_pages`` pages goes if all of them, two at least, have it.
 
     A page gives its own lines once, so the counts' partial sums leave one row for each host, line and task. A host keeps
     at most (mean lines of a page / ratio) lines above the ratio, whatever the number of its pages."""
@@ -55,21 +56,23 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
         (lines.distinct() if distinct else lines)
         .groupBy("host", "mark")
         .agg(F.count("*").alias("having"))
-        .where(F.col("having") >= least_pages)
+        .where(F.col("having") >= (min(2, least_pages) if small else least_pages))
     )
     often = lines.join(totals, lines.host.eqNullSafe(totals.host)).where(F.col("having") > F.lit(ratio) * F.col("pages"))
+    if small:
+        often = often.where(F.col("having") >= F.least(F.lit(least_pages), "pages"))
     return often.groupBy(lines.host).agg(F.collect_list("mark").alias("lines"))
 
 
-def dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False, small: bool = False) -> DataFrame:
     """``docs`` with its text stripped of its host's boilerplate lines, and n_lines, n_dropped (columns of these names are
     replaced). Rows of a null host are one site. A null text stays null and has one line, an empty one, that is kept; a
     text whose lines all go becomes empty. Repeated rows count as pages of their own, unless ``distinct`` makes a
-    host's copies of one text one page. Texts are not shuffled while the
+    host's copies of one text one page; ``small`` as for boilerplate. Texts are not shuffled while the
     boilerplate lines are few enough to broadcast."""
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    found = cut(boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages, distinct))
+    found = cut(boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages, distinct, small))
     many = found.agg(F.sum(F.size("lines"))).first()[0] or 0
     found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
     if many <= BROADCAST_LINES:
@@ -92,6 +95,14 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages, whose host is that of their url; urls without one are one site. Copies of a text are one page, and hosts
+    of few pages lose the lines that all of their pages have."""
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    found = dedup(pages.select("page_id", host_of("url").alias("host"), page_text("html").alias("text")), "host", distinct=True, small=True)
+    return found.select("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
+
+
 OP9_SQL = f"""
 with cut as (select doc_id, source, text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
 counted as (

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -55,3 +56,27 @@ def test_copies_are_one_page_where_asked(spark):
     by_id = {i: (h, t) for i, h, t in rows}
     assert all(r.text == want[by_id[r.doc_id]] for r in got)
     assert any(r.n_dropped for r in got)
+
+
+def test_query_over_pages(spark, tmp_path):
+    """The registered query drops lines by host; hosts of two to four pages lose what all of them have."""
+    from regolith.llm.registry import QUERIES
+
+    def html(k, *more):
+        return f"<html><head><title>own {k}</title></head><body><nav><li>Home</li></nav><p>prose {k}</p>" + "".join(f"<p>{m}</p>" for m in more) + "</body></html>"
+
+    urls = [f"http://Big.org/{k}" for k in range(40)] + [f"https://small.org:8/{k}" for k in range(3)] + ["http://one.org/", "http://twin.org/a", "http://twin.org/b", None]
+    pages = [html(k, *["offer"] * (k % 8 == 0 or k in (40, 41)), *["rare"] * (k < 2)) for k in range(len(urls))]
+    pages[45] = pages[44]  # twin.org has one text
+    spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(zip(urls, pages))], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in QUERIES["op9_pages"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        host = None if u is None else u.split("/")[2].split(":")[0].lower()
+        parts = [f"own {44 if k == 45 else k}", "Home", f"prose {44 if k == 45 else k}", *["offer"] * (k % 8 == 0 or k in (40, 41)), *["rare"] * (k < 2)]
+        if k == 45:
+            parts = parts[:3] + ["offer"] * (44 % 8 == 0)
+        gone = {"big.org": {"Home", "offer"}, "small.org": {"Home"}}.get(host, set())
+        text = "\n".join(x for x in parts if x not in gone)
+        assert (got[k].host, got[k].n_lines, got[k].n_dropped, got[k].n_chars) == (host, len(parts), len(parts) - len([x for x in parts if x not in gone]), len(text))
+        assert got[k].text_md5 == hashlib.md5(text.encode()).hexdigest()
