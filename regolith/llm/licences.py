@@ -5,10 +5,15 @@ A paragraph is a line of text. A multinomial logistic regression over its word n
 no template. Its probabilities are calibrated on perturbed paragraphs kept out of training: a temperature is fitted, and
 a prediction below the confidence that keeps unknown paragraphs out is ``unknown``. A predicted family counts only if a
 template of it is contained in the paragraph: at least 0.8 of the template's five-word shingles are found there.
+
+Notices inside long lines, or wrapped over lines, are found by overlapping windows of 40, 16 and 8 words (``WINDOWS``) over each run of
+lines between blank lines. A window's families are confirmed like a line's, and belong to the line in which the notice
+begins; what is found twice at a place counts once.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections import Counter
@@ -57,6 +62,9 @@ UNKNOWN = "unknown"
 
 NGRAM = 2
 SHINGLE, CONTAINED = 5, 0.8
+#: Words of a window, and between the starts of two. Any template (29 words at most) is whole in some wide window, those
+#: of up to 11 and of up to 6 words in some narrower one too, where they weigh more.
+WINDOWS = ((40, 10), (16, 6), (8, 3))
 #: Paragraphs of the corpus in training at most, those with the smallest hashes: a documented bound.
 SAMPLE_ROWS = 2500
 VARIANTS, FEATURES = 40, 3000
@@ -94,6 +102,12 @@ class Model:
     temperature: float
     confidence: float
 
+    @functools.cached_property
+    def gains(self) -> np.ndarray:
+        """What each feature can add to each family over unknown, none below 0; the last row is of words without a feature."""
+        more = np.maximum(0, self.weights[:-1, :-1] - self.weights[:-1, -1:])
+        return np.concatenate([more, np.zeros((1, more.shape[1]))])
+
     def features(self, found: list[str]) -> list[int]:
         """Numbers of the paragraph's n-grams that the model knows, each once. Others have no weight."""
         get, seen = self.vocabulary.get, set()
@@ -200,21 +214,96 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 _SCHEMA = "doc_id long, n_paragraphs long, n_licences long, families string, top_score double, n_unconfirmed long"
 
 
+def _places(family: str, found: list[str]) -> list[int]:
+    """Places of the words that belong to the family's best contained template, ascending."""
+    template = max(_SOUGHT[family], key=lambda t: contained(t, found))
+    size = min(SHINGLE, len(template))
+    sought = {tuple(template[i : i + size]) for i in range(len(template) - size + 1)}
+    return sorted({i + k for i in range(len(found) - size + 1) if tuple(found[i : i + size]) in sought for k in range(size)})
+
+
+def _families(model: Model, found: list[str]) -> list[tuple[str, float]]:
+    """The predicted family, and any other that would be predicted were it the only family beside unknown: two notices
+    in one window do not hide each other. Scores are calibrated probabilities against unknown."""
+    p = model.probabilities(found)
+    alone = p[:-1] / (p[:-1] + p[-1])
+    return [(model.families[k], float(alone[k])) for k in np.argsort(-p[:-1]) if alone[k] >= model.confidence]
+
+
+def _windows(model: Model, block: list[str]) -> list[tuple[int, int]]:
+    """The windows of a block that can have a family at all. The bound leaves out what speaks for unknown and counts
+    repeated n-grams each time, so a window below it has none."""
+    get, singles = model.vocabulary.get, model.singles
+    known = [w if w in singles else None for w in block]
+    pairs = [get(f"{a} {b}", -1) if a is not None and b is not None else -1 for a, b in zip(known, known[1:])]
+    gain = model.gains[[get(w, -1) for w in block]]
+    gain[1:] += model.gains[pairs]
+    total = np.concatenate([np.zeros((1, gain.shape[1])), np.cumsum(gain, axis=0)])
+    need = model.temperature * np.log(model.confidence / (1 - model.confidence)) - (model.weights[-1, :-1] - model.weights[-1, -1])
+    out = []
+    for width, stride in WINDOWS:
+        last = max(0, len(block) - width)
+        a = np.array([*range(0, last, stride), last])
+        b = np.minimum(a + width, len(block))
+        scale = SPREAD / np.sqrt(np.maximum(1, NGRAM * (b - a) - 1))
+        may = ((total[b] - total[a]) * scale[:, None] >= need - 1e-6).any(axis=1)
+        out += zip(a[may].tolist(), b[may].tolist())
+    return out
+
+
 def scan_text(model: Model, text: str | None) -> tuple[int, list[tuple[int, str, float, float]]]:
-    """Paragraphs of a text, and (place, family, score, containment) of those that are predicted to be licences."""
-    paragraphs = [p for p in (text or "").split("\n") if p.strip()]
-    hits = []
-    for place, paragraph in enumerate(paragraphs):
-        found = words(paragraph)
+    """Paragraphs of a text, and (place, family, score, containment) of those that are predicted to be licences; a family
+    counts once for each paragraph."""
+    hits: dict[tuple[int, str], tuple[float, float]] = {}
+    place, block, lines = 0, [], []  # words of the lines since the last blank one, and the line of each
+
+    def windows() -> None:
+        if not block or model.singles.isdisjoint(block):
+            return
+        taken: set[int] = set()  # words of confirmed notices
+        doubtful = []
+        for a, b in _windows(model, block):
+            found, at = block[a:b], list(range(a, b))
+            while found and not model.singles.isdisjoint(found):
+                families = _families(model, found)
+                sure = next(((f, score, share) for f, score in families if (share := confirm(f, found)) >= CONTAINED), None)
+                if sure is None:
+                    if families:
+                        doubtful.append((at, *families[0], confirm(families[0][0], found)))
+                    break
+                family, score, share = sure
+                gone = set(_places(family, found))
+                own = sorted({lines[at[i]] for i in gone})
+                taken.update(at[i] for i in gone)
+                if not any(hits.get((n, family), (0, 0))[1] >= CONTAINED for n in own):
+                    for n in own:
+                        hits.pop((n, family), None)  # parts of it that no template confirmed alone
+                    hits[own[0], family] = score, share
+                # then what else the window has
+                found, at = [w for i, w in enumerate(found) if i not in gone], [n for i, n in enumerate(at) if i not in gone]
+        for at, family, score, share in doubtful:  # not where a window cut a confirmed notice
+            if taken.isdisjoint(range(at[0], at[-1] + 1)) and not any((lines[n], family) in hits for n in at):
+                hits[lines[at[len(at) // 2]], family] = score, share
+
+    for line in (text or "").split("\n"):
+        if not line.strip():
+            windows()
+            block, lines = [], []
+            continue
+        found = words(line)
         if found and not model.singles.isdisjoint(found):  # else only the bias speaks, for unknown
             family, score = model.predict(found)
             if family != UNKNOWN:
-                hits.append((place, family, score, confirm(family, found)))
-    return len(paragraphs), hits
+                hits[place, family] = score, confirm(family, found)
+        block += found
+        lines += [place] * len(found)
+        place += 1
+    windows()
+    return place, [(n, family, *x) for (n, family), x in sorted(hits.items())]
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: paragraphs, confirmed licence paragraphs, their families (sorted, comma between), the
+    """One row per row of ``docs``: paragraphs, confirmed notices (a family once for each paragraph), their families (sorted, comma between), the
     largest calibrated score of those, and the predictions that no template confirmed.
 
     Null and empty texts have no paragraphs, an empty ``families`` and score 0. Repeated rows keep their rows; other

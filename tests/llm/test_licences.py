@@ -47,3 +47,25 @@ def test_rows(spark, model):
     got = sorted(((r.doc_id, r.n_paragraphs, r.n_licences, r.families) for r in licences.scan(df, model).collect()), key=str)
     assert got == sorted([(0, 3, 1, "mit"), (0, 3, 1, "mit"), (None, 3, 1, "mit"), (1, 0, 0, ""), (2, 0, 0, ""), (3, 2, 2, "cc-by-nc,proprietary"), (4, 1, 0, "")], key=str)
     assert licences.scan(df.limit(0), licences.train(df.limit(0).select("text"))).count() == 0
+
+
+def test_notices_in_long_and_wrapped_paragraphs(model):
+    prose = plain(400, 7)
+    for family, texts in licences.TEMPLATES.items():
+        for text in texts:
+            long = " ".join(prose[:20]) + " " + text + " " + " ".join(prose[20:40])
+            assert len(long.split()) > 500
+            assert (family, True) in hits(model, long), text
+            if len(text.split()) >= 6:
+                parts = text.split()
+                half = len(parts) // 2
+                wrapped = prose[0] + "\n" + " ".join(parts[:half]) + "\n" + " ".join(parts[half:]) + "\n" + prose[1]
+                assert [(n, f) for n, f, _, s in licences.scan_text(model, wrapped)[1] if s >= 0.8] == [(1, family)], text
+
+
+def test_two_notices_in_one_line(model):
+    prose = plain(400, 8)
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    for line in (f"{mit} {apache}", " ".join([*prose[:9], mit, apache, *prose[9:18]]), " ".join([*prose[:9], mit, *prose[9:18], apache])):
+        assert [f for f, sure in hits(model, line) if sure] == ["apache", "mit"], line
+    assert not [h for h in hits(model, " ".join(prose[40:])) if h[1]]
