@@ -99,7 +99,8 @@ def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages, whose host is that of their url; urls without one are one site. Copies of a text are one page, and hosts
     of few pages lose the lines that all of their pages have."""
     pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
-    found = dedup(pages.select("page_id", host_of("url").alias("host"), page_text("html").alias("text")), "host", distinct=True, small=True)
+    pages = cut(pages.select("page_id", host_of("url").alias("host"), page_text("html").alias("text")))  # markup is read once
+    found = dedup(pages, "host", distinct=True, small=True)
     return found.select("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
