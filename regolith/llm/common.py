@@ -10,13 +10,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python. Long documents then stay far from a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch handed to Python at most: long documents then stay far from a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of one table. Batches that go to Python are kept small for this session."""
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python. Spark has this by session only, and reads it when a result is asked for, so
+    the session keeps it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of one table, for batches of bounded size."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 

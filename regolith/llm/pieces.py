@@ -1,10 +1,10 @@
-"""Texts put together from pieces whose codes are remembered.
+"""Texts put together from pieces whose ids are remembered.
 
 Byte-level tokenizers split a text into words by a pattern and code each word by itself. Words repeat, so each is coded
 once while it is remembered. Between two other characters a single space always begins a word of the pattern, and a
-single line break is a word of its own; a text in which all spaces and line breaks are of that kind is cut there, which
-is much cheaper than the pattern, and its pieces are remembered too. Any other text is split by the pattern as a whole.
-Both stores are bounded and emptied when full.
+single line break is a word of its own; a text in which all spaces and line breaks are of that kind is cut there by
+Arrow, which also finds the distinct pieces of a batch, and the batch's ids are gathered from theirs in one step. Any
+other text is coded as a whole.
 """
 
 from __future__ import annotations
@@ -12,91 +12,190 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
-from typing import Generic, TypeVar
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-V = TypeVar("V")
+#: Ids of several strings in a row, and the number of ids of each.
+Coded = tuple[np.ndarray, np.ndarray]
 
+#: Marks that make one word of the pattern when they stand together.
+_MARKS = "!#$%&()*+,./:;<=>?@[]^_`{|}~\"-"
+_SPACES = "".join(c for c in map(chr, range(0x3100)) if c.isspace())
 
-class Pieces(Generic[V]):
-    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], Iterable[V]], join: Callable[[Iterable[V]], V], words: int, pieces: int):
-        """``split`` applies the pattern, ``learn`` gives the codes of words, ``join`` puts codes together."""
-        self.split, self.learn, self.join = split, learn, join
-        self.most_words, self.most_pieces = words, pieces
-        self.words: dict[str, V] = {}
-        self.pieces: dict[str, V] = {}
+
+def gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.ndarray) -> Coded:
+    """The ids of the strings numbered ``rows``, in that order."""
+    sizes = size[rows]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(ids)) < 2**31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((start[rows] - (ends - sizes)).astype(kind), sizes)
+    return ids[at], sizes
+
+
+class Store:
+    """Ids by string. At most ``most`` strings are remembered, those that came first; the others are learnt for the batch
+    in hand. A store of which a batch knows less than half is begun anew, so that it follows a change of language."""
+
+    def __init__(self, learn: Callable[[list[str]], Coded], most: int):
+        self.learn, self.most = learn, most
+        self.forget()
 
     def forget(self) -> None:
-        """Gives the stores' memory back, to the system too where its allocator can."""
-        self.words, self.pieces = {}, {}
+        self.rows: dict[str, int] = {}
+        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def of(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The row of each name, which are distinct, in (ids, start, size)."""
+        rows = np.fromiter(map(self.rows.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(rows < 0)
+        if len(self.rows) >= self.most and len(new) * 2 > len(names):
+            self.forget()
+            rows[:], new = -1, np.arange(len(names))
+        ids, size = self.ids, self.size
+        if len(new):
+            unknown = [names[i] for i in new.tolist()]
+            more, sizes = self.learn(unknown)
+            rows[new] = np.arange(len(size), len(size) + len(new))
+            kept = max(0, min(len(new), self.most - len(self.rows)))
+            self.rows.update(zip(unknown[:kept], range(len(size), len(size) + kept)))
+            ids, size = np.concatenate([ids, more]), np.concatenate([size, sizes])
+            if kept:
+                self.size = size[: len(self.size) + kept].copy()
+                self.ids = ids[: int(self.size.sum())].copy()
+        return rows, ids, np.cumsum(size) - size, size
+
+    def code(self, lists: list[list[str]]) -> Coded:
+        """The ids of lists of names, each list's joined."""
+        every = list(chain.from_iterable(lists))
+        distinct = list(dict.fromkeys(every))
+        rows, *held = self.of(distinct)
+        place = dict(zip(distinct, rows.tolist(), strict=True))
+        every = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
+        ids, sizes = gather(*held, every)
+        return ids, _sums(sizes, np.fromiter(map(len, lists), np.int64, len(lists)))
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``counts`` values."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return upto[ends] - upto[ends - counts]
+
+
+class Words:
+    """Pieces and texts by the words of a pattern: each distinct word is coded once while it is remembered."""
+
+    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], Coded], most: int):
+        self.split, self.store = split, Store(learn, most)
+
+    def of_texts(self, texts: list[str]) -> Coded:
+        return self.store.code(list(map(self.split, texts)))
+
+    def of_pieces(self, pieces: list[str]) -> Coded:
+        """Letters after a space, with or without marks behind them, are one or two words; other pieces are split by the
+        pattern. A piece begins with its space or line break unless a text begins with it."""
+        body = pc.utf8_slice_codeunits(pa.array(pieces, pa.string()), 1)
+        stem = pc.utf8_rtrim(body, _MARKS)
+        spaced = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
+        plain = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False) & spaced
+        size = pc.utf8_length(stem).to_numpy() + 1
+        marked = plain & (pc.utf8_length(body).to_numpy() >= size)
+        lists = [[p] for p in pieces]
+        for i in np.flatnonzero(marked).tolist():
+            p, n = pieces[i], size[i]
+            lists[i] = [p[:n], p[n:]]
+        for i in np.flatnonzero(~plain).tolist():
+            lists[i] = self.split(pieces[i])
+        return self.store.code(lists)
+
+
+class Pieces:
+    def __init__(self, learn: Callable[[list[str]], Coded], whole: Callable[[list[str]], Coded], most: int):
+        """``learn`` codes distinct pieces, each with its space or line break in front (the first of a text has neither) and
+        no white space at its ends otherwise; ``whole`` codes texts that cannot be cut."""
+        self.pieces, self.whole = Store(learn, most), whole
+
+    def forget(self) -> None:
+        """Gives the store's memory back, to the system too where its allocator can."""
+        self.pieces.forget()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
             trim(0)
 
-    def _of_words(self, lists: list[list[str]]) -> list[V]:
-        unknown = set().union(*lists) - self.words.keys() if lists else set()
-        if len(self.words) + len(unknown) > self.most_words:
-            self.words = {}
-            unknown = set().union(*lists)
-        new = list(unknown)
-        self.words.update(zip(new, self.learn(new), strict=True))
-        get = self.words.__getitem__
-        return [get(x[0]) if len(x) == 1 else self.join(map(get, x)) for x in lists]
-
-    def _words_of(self, piece: str) -> list[str]:
-        """The words of a piece; a piece that does not begin with a line break follows a space."""
-        if piece.isalpha():
-            return [" " + piece]
-        if piece[0] == "\n":
-            return ["\n", piece[1:]] if piece[1:].isalpha() else self.split(piece)
-        if piece[-1] in ".," and piece[:-1].isalpha():
-            return [" " + piece[:-1], piece[-1]]
-        return self.split(" " + piece)
-
-    def code(self, texts: pa.StringArray) -> list[V]:
-        """The code of each text, which must not be null. Cutting and finding the distinct pieces is left to Arrow."""
+    def code(self, texts: pa.StringArray) -> Coded:
+        """The ids of all texts, which must not be null, and how many each has."""
         gc.disable()  # millions of strings and lists, none of them in a cycle
         try:
             return self._code(texts)
         finally:
             gc.enable()
 
-    def _code(self, texts: pa.StringArray) -> list[V]:
+    def _code(self, texts: pa.StringArray) -> Coded:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        values = lists.flatten().dictionary_encode()
-        at, starts = values.indices.to_numpy(), np.append(lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), len(values))
-        seen = values.dictionary.to_pylist()
-        fit = list(map(_fits, seen))
-        new = [p for p, f in zip(seen, fit, strict=True) if f and p not in self.pieces]
-        if len(self.pieces) + len(new) > self.most_pieces:
-            self.pieces = {}
-            new = [p for p, f in zip(seen, fit, strict=True) if f]
-        self.pieces.update(zip(new, self._of_words([self._words_of(p) for p in new]), strict=True))
-        codes = list(map(self.pieces.get, seen))
-        unfit = np.concatenate([[0], np.cumsum(~np.array(fit, bool)[at])])
-        heads, easy = [], []
-        for text, a, b in zip(texts.to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            first = seen[at[a]] if b > a else ""
-            easy.append(first != "" and not first[-1].isspace() and unfit[b] == unfit[a + 1] and text[0] != "\n")
-            heads.append(self.split(first if easy[-1] else text))
-        found = []
-        for head, e, a, b in zip(self._of_words(heads), easy, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            found.append(self.join([head, *map(codes.__getitem__, at[a + 1 : b].tolist())]) if e else head)
-        return found
-
-
-def _fits(piece: str) -> bool:
-    """No white space at either end, but for one line break at the front."""
-    inner = piece[1:] if piece[:1] == "\n" else piece
-    return inner != "" and inner == inner.strip()
+        coded = lists.flatten().dictionary_encode()
+        at, seen = coded.indices.to_numpy(), coded.dictionary
+        cuts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        broken = pc.starts_with(seen, "\n")
+        inner = pc.if_else(broken, pc.utf8_slice_codeunits(seen, 1), seen)
+        fits = pc.and_(pc.not_equal(inner, ""), pc.equal(pc.utf8_trim(inner, _SPACES), inner)).to_numpy(zero_copy_only=False)
+        names = pc.if_else(broken, seen, pc.binary_join_element_wise(" ", seen, ""))
+        heads, sound = at[cuts[:-1]], np.concatenate([[0], np.cumsum(fits[at])])
+        easy = (sound[cuts[1:]] - sound[cuts[:-1]] == np.diff(cuts)) & ~broken.to_numpy(zero_copy_only=False)[heads]
+        # pieces of easy texts, the first of each by itself: no space is before it
+        first = np.zeros(len(at), bool)
+        first[cuts[:-1][easy]] = True
+        every = at if easy.all() else at[np.repeat(easy, np.diff(cuts))]
+        first = first if easy.all() else first[np.repeat(easy, np.diff(cuts))]
+        there = np.zeros(len(seen), bool)
+        there[every[~first]] = True
+        inside, begin = np.flatnonzero(there), np.unique(heads[easy])
+        place = np.full(len(seen), -1, np.int32)
+        place[inside] = np.arange(len(inside))
+        rows, *held = self.pieces.of([*names.take(inside).to_pylist(), *seen.take(begin).to_pylist()])
+        every = place[every]
+        every[first] = len(inside) + np.searchsorted(begin, heads[easy])
+        ids, sizes = gather(*held, rows[every])
+        counts = np.zeros(len(texts), np.int64)
+        counts[easy] = _sums(sizes, np.diff(cuts)[easy])
+        if easy.all():
+            return ids, counts
+        others, more = self.whole(texts.filter(pa.array(~easy)).to_pylist())
+        counts[~easy] = more
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]), np.uint32)
+        mine = np.repeat(easy, counts)
+        out[mine], out[~mine] = ids, others
+        return out, counts
+
+
+def binaries(coded: Coded) -> pa.BinaryArray:
+    """One value for each string: its ids as little-endian unsigned 32-bit integers."""
+    ids, counts = coded
+    offsets = np.concatenate([[0], np.cumsum(counts * 4)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
 
 
 def portions(texts: pa.StringArray, most: int) -> Iterator[pa.StringArray]:
     """Consecutive texts of about ``most`` bytes together, nulls as empty texts."""
     texts = pc.fill_null(texts, "")
-    group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // most
+    group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // most
     cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
     return (texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until the texts in ``column`` reach ``most`` bytes, so that distinct words are sought among many."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)

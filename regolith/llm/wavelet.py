@@ -4,9 +4,11 @@ A shard holds the token ids of consecutive documents (ascending doc_id) as bit-p
 bit, the sequence is split stably into zeros and ones. With rank and select over the planes one shard answers which
 token stands at a place, how often a token occurs before a place, and where its occurrences are, without being unpacked.
 
-Layout of a shard, little-endian: magic ``WVM1``; u64 tokens, u32 planes, u64 documents; the documents' ids (i64) and
+Layout of a shard, little-endian: magic ``WVM2``; u64 tokens, u32 planes, u64 documents; the documents' ids (i64) and
 token counts (u32); for every plane its number of zeros (u64) and the length (u64) and bytes of its bits (lowest bit
-first, padded to whole 64-bit words), compressed with zstandard. Shards are rows of a Parquet table in the cluster's
+first, padded to whole 64-bit words) followed by its rank directory (u32: the ones before every eighth word), together
+compressed with zstandard. The directory takes a sixteenth of the bits; a rank adds up to eight words to its sample.
+Shards are rows of a Parquet table in the cluster's
 shared folder, one file each, so any store that Spark writes can hold them.
 """
 
@@ -18,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,20 +34,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regolith.llm.common import read, shared_dir
-from regolith.llm.pieces import Pieces, portions
+from regolith.llm.pieces import Coded, Pieces, Words, gathered, portions
 
-#: The id 0 ends every document.
-END = bytes(4)
+#: This id ends every document.
+END = 0
 #: Aimed size of a shard. A document is never parted, so a shard may exceed it by one document.
 SHARD_TOKENS = 4_000_000
 #: Words and pieces between spaces that a worker remembers; bytes of text that it looks at together.
-HELD_WORDS, HELD_PIECES, BATCH_BYTES = 600_000, 600_000, 8_000_000
+HELD_WORDS, HELD_PIECES, BATCH_BYTES = 600_000, 800_000, 8_000_000
+#: 64-bit words between two samples of the rank directory.
+STRIDE = 8
 
-_MAGIC = b"WVM1"
+_MAGIC = b"WVM2"
+
+
+def _sampled(words: np.ndarray) -> np.ndarray:
+    """The ones before each run of STRIDE words, and before the end."""
+    counts = np.bitwise_count(np.append(words, np.zeros(-len(words) % STRIDE, words.dtype))).reshape(-1, STRIDE)
+    return np.concatenate([[0], np.cumsum(counts.sum(axis=1, dtype=np.int64))])
 
 
 def pack(doc_ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> bytes:
     """The bytes of one shard."""
+    if len(tokens) >= 2**32:
+        raise ValueError("a shard holds fewer than 2**32 tokens")
     planes = max(1, int(tokens.max(initial=0)).bit_length())
     out = [_MAGIC, struct.pack("<QIQ", len(tokens), planes, len(doc_ids)), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes()]
     now = tokens.astype(np.uint16 if planes <= 16 else np.uint32)
@@ -52,7 +65,8 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> bytes:
     for shift in range(planes - 1, -1, -1):
         ones = (now & now.dtype.type(1 << shift)) != 0
         bits = np.packbits(ones, bitorder="little").tobytes()
-        data = squeeze.compress(bits + bytes(-len(bits) % 8))
+        words = np.frombuffer(bits + bytes(-len(bits) % 8), "<u8")
+        data = squeeze.compress(words.tobytes() + _sampled(words).astype("<u4").tobytes())
         out += [struct.pack("<QQ", len(now) - int(np.count_nonzero(ones)), len(data)), data]
         now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
     return b"".join(out)
@@ -69,27 +83,29 @@ class Shard:
         self.doc_ids = np.frombuffer(data, "<i8", documents, at)
         self.counts = np.frombuffer(data, "<u4", documents, at + 8 * documents)
         at += 12 * documents
-        self.zeros, self.words = [], []
+        self.zeros, self.words, self.before = [], [], []
+        n = (self.size + 63) // 64
         for _ in range(self.planes):
             zeros, length = struct.unpack_from("<QQ", data, at)
+            plain = zstandard.decompress(data[at + 16 : at + 16 + length])
             self.zeros.append(zeros)
-            self.words.append(np.frombuffer(zstandard.decompress(data[at + 16 : at + 16 + length]), "<u8"))
+            self.words.append(np.frombuffer(plain, "<u8", n))
+            self.before.append(np.frombuffer(plain, "<u4", offset=8 * n))
             at += 16 + length
-        self._before: list[np.ndarray] | None = None
-
-    def _ranks(self) -> list[np.ndarray]:
-        """Per plane the ones before each 64-bit word; made when first asked for."""
-        if self._before is None:
-            self._before = [np.concatenate([[0], np.cumsum(np.bitwise_count(w), dtype=np.int64)]) for w in self.words]
-        return self._before
 
     def _bits(self, plane: int) -> np.ndarray:
         return np.unpackbits(self.words[plane].view(np.uint8), count=self.size, bitorder="little").astype(bool)
 
     def _ones_before(self, plane: int, place: np.ndarray) -> np.ndarray:
-        word, bit = place >> 6, (place & 63).astype(np.uint64)
-        part = np.append(self.words[plane], np.uint64(0))[word] & ((np.uint64(1) << bit) - np.uint64(1))
-        return self._ranks()[plane][word] + np.bitwise_count(part)
+        words, word, bit = self.words[plane], place >> 6, (place & 63).astype(np.uint64)
+        out = self.before[plane][word // STRIDE].astype(np.int64)
+        for k in range(STRIDE):  # whole words since the sample, then the part of the last
+            at = word // STRIDE * STRIDE + k
+            inside = at < np.minimum(word, len(words))
+            out[inside] += np.bitwise_count(words[at[inside]])
+        part = (bit > 0) & (word < len(words))
+        out[part] += np.bitwise_count(words[word[part]] & ((np.uint64(1) << bit[part]) - np.uint64(1)))
+        return out
 
     def tokens(self) -> np.ndarray:
         """The whole sequence: the planes' splits undone from the last to the first."""
@@ -144,13 +160,17 @@ class Shard:
         return place
 
     def _select(self, plane: int, nth: np.ndarray, one: bool) -> np.ndarray:
-        """The places of the nth ones or zeros: the word by its rank, then the bit in it."""
-        before = self._ranks()[plane]
+        """The places of the nth ones or zeros: the run of words by its sample, the word in it, then the bit."""
+        before, words = self.before[plane].astype(np.int64), self.words[plane] if one else ~self.words[plane]
         if not one:
-            before = np.arange(len(before)) * 64 - before
-        word = np.searchsorted(before, nth, side="right") - 1
-        bits = self.words[plane][word] if one else ~self.words[plane][word]
-        left, place = nth - before[word], np.zeros(len(nth), np.int64)
+            before = np.arange(len(before)) * (64 * STRIDE) - before
+        run = np.clip(np.searchsorted(before, nth, side="right") - 1, 0, max(0, len(before) - 2))
+        word, left = run * STRIDE, nth - before[run]
+        for _ in range(STRIDE - 1):
+            here = np.bitwise_count(words[word]).astype(np.int64)
+            on = (left >= here) & (word + 1 < len(words))
+            left, word = np.where(on, left - here, left), np.where(on, word + 1, word)
+        bits, place = words[word], np.zeros(len(nth), np.int64)
         for step in (32, 16, 8, 4, 2, 1):
             low = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
             up = left >= low
@@ -163,7 +183,8 @@ class Encoder:
     """A tokenizers file applied to whole texts. Equal words have equal ids, so each is encoded once while remembered.
 
     With ``added`` the result is the library's own: the strings of added tokens are these tokens. The pattern would part
-    them, so a text that contains one goes through the library as a whole. Without it they are ordinary text."""
+    them, so a text that contains one goes through the library as a whole, as texts do that Pieces cannot cut. Without
+    it they are ordinary text."""
 
     def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -173,35 +194,44 @@ class Encoder:
         self.own.encode_special_tokens = not added
         tokens = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.added = "|".join(map(re.escape, tokens)) if added else ""
-        self.pieces = Pieces(regex.compile(public_tokenizers.PATTERN).findall, self._learn, b"".join, HELD_WORDS, HELD_PIECES)
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        """Words that begin with a space and hold no other white space may stand side by side in one call."""
-        found: dict[str, bytes] = {}
-        plain = [w for w in words if w[0] == " " and w[1:].strip() == w[1:] != ""]
-        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        for some, got in zip(groups, self.own.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
-            of = np.array(got.word_ids, np.int64)
-            if len(of) and of[-1] == len(some) - 1:  # else parted in another way: one by one below
-                cuts = (np.searchsorted(of, np.arange(len(some) + 1)) * 4).tolist()
-                raw = np.array(got.ids, "<u4").tobytes()
-                found.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:], strict=False))
-        rest = [w for w in words if w not in found]
-        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, self.own.encode_batch(rest, add_special_tokens=False), strict=True))
-        return [found[w] for w in words]
-
-    def encode(self, texts: pa.StringArray) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; a null text is empty."""
-        return [ids for part in portions(texts, BATCH_BYTES) for ids in self._encode(part)]
-
-    def _encode(self, texts: pa.StringArray) -> list[bytes]:
-        if not self.added:
+        self.words = Words(regex.compile(public_tokenizers.PATTERN).findall, self._learn, HELD_WORDS)
+        self.pieces = Pieces(self.words.of_pieces, self._each, HELD_PIECES)
+        self.tokenize = self.own.model.tokenize
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = iter(range(256, 512))
+        self.letters = {b: b if b in visible else next(hidden) for b in range(256)}  # the letter that stands for each byte
+
+    def _each(self, texts: list[str]) -> Coded:
+        """Texts by the whole library."""
+        got = [np.array(e.ids, np.uint32) for e in self.own.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate(got) if got else np.zeros(0, np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _learn(self, words: list[str]) -> Coded:
+        """Words by the library's model, which takes one word of the pattern with its bytes as letters."""
+        letters, tokenize = self.letters, self.tokenize
+        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def encode(self, texts: pa.StringArray) -> Coded:
+        """Ids of all texts and how many each has; a null text is empty."""
+        parts = [self._encode(part) for part in portions(texts, BATCH_BYTES)]
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    def _encode(self, texts: pa.StringArray) -> Coded:
+        whole = pc.match_substring_regex(texts, self.added) if self.added else None
+        if whole is None or not pc.any(whole).as_py():
             return self.pieces.code(texts)
-        whole = pc.match_substring_regex(texts, self.added)
-        if not pc.any(whole).as_py():
-            return self.pieces.code(texts)
-        rest = iter(self.pieces.code(texts.filter(pc.invert(whole))))
-        return [np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else next(rest) for t, w in zip(texts.to_pylist(), whole.to_pylist(), strict=True)]
+        ids, sizes = self.pieces.code(texts.filter(pc.invert(whole)))
+        others, more = self._each(texts.filter(whole).to_pylist())
+        mask = whole.to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(texts), np.int64)
+        counts[~mask], counts[mask] = sizes, more
+        out, mine = np.empty(int(counts.sum()), np.uint32), np.repeat(~mask, counts)
+        out[mine], out[~mine] = ids, others
+        return out, counts
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -218,27 +248,32 @@ def write_shards(docs: DataFrame, path: str, folder: str, shard_tokens: int = SH
     Encoder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, before = TaskContext.get().partitionId(), 0
         if (path, added) not in _ENCODERS:
             _ENCODERS[path, added] = Encoder(path, added)  # one for each Python worker, kept over its tasks
-
-        def shard() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(parts), "<u4")
-            data = pack(np.array(ids, np.int64), np.array([len(p) // 4 for p in parts], np.int64), tokens)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([data], pa.binary())], SHARDS.names
-            )
-
-        for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), _ENCODERS[path, added].encode(batch.column(1)), strict=True):
-                ids.append(NO_ID if doc_id is None else doc_id)
-                parts.append(raw + END)
-                held += len(raw) // 4 + 1
-                if held >= shard_tokens:
-                    yield shard()
-                    before, ids, parts, held = before + held, [], [], 0
-        if ids:
-            yield shard()
+        ids, counts, tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+        def shard(documents: int, n: int) -> pa.RecordBatch:
+            data = pack(ids[:documents], counts[:documents], tokens[:n])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], SHARDS.names)
+
+        for batch in gathered(batches, 1, BATCH_BYTES):
+            found, sizes = _ENCODERS[path, added].encode(batch.column(1))
+            ends = np.cumsum(sizes + 1) - 1
+            ended = np.full(len(found) + len(sizes), END, np.uint32)
+            inner = np.ones(len(ended), bool)
+            inner[ends] = False
+            ended[inner] = found
+            ids = np.concatenate([ids, pc.fill_null(batch.column(0), NO_ID).to_numpy()])
+            counts, tokens = np.concatenate([counts, sizes + 1]), np.concatenate([tokens, ended])
+            while len(tokens) >= shard_tokens:
+                upto = np.cumsum(counts)
+                documents = int(np.searchsorted(upto, shard_tokens)) + 1
+                n = int(upto[documents - 1])
+                yield shard(documents, n)
+                before, ids, counts, tokens = before + n, ids[documents:], counts[documents:], tokens[n:]
+        if len(ids):
+            yield shard(len(ids), len(tokens))
 
     pieces = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(pieces, "doc_id").sortWithinPartitions("doc_id")
@@ -250,8 +285,9 @@ NO_ID = -(2**63)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the shards of ``folder``; start counts the ids of all
-    documents before it. Only one total for each range partition is gathered."""
+    """doc_id, start, n_tokens, ids_crc32, n_end_ids of every document in the shards of ``folder``; start counts the ids of
+    all documents before it. How often the end id occurs in a document (text can hold it too) is told by rank over the
+    planes, and that the last of its ids is the end id by access. Only one total for each range partition is gathered."""
     shards = spark.read.schema(SHARDS).parquet(folder)
     begins, total = {}, 0
     for r in sorted(shards.groupBy("part").agg(F.sum("tokens").alias("tokens")).collect()):
@@ -262,16 +298,19 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for part, before, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(data)
-                raw = memoryview(shard.tokens().astype("<u4")).cast("B")
                 counts = shard.counts.astype(np.int64)
                 ends = np.cumsum(counts)
+                if (shard.access(ends - 1) != END).any():
+                    raise ValueError("a document of the shard does not end with the end id")
+                seen = np.diff(shard.rank(END, ends), prepend=0)
+                raw = memoryview(shard.tokens().astype("<u4")).cast("B")
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NO_ID), pa.array(begins[part] + before + ends - counts), pa.array(counts), pa.array(crcs, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NO_ID), pa.array(begins[part] + before + ends - counts), pa.array(counts), pa.array(crcs, pa.int64()), pa.array(seen, pa.int64())],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids"],
                 )
 
-    return shards.select("part", "before", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_end_ids long")
 
 
 def op10_wavelet(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:

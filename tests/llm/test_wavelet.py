@@ -39,17 +39,30 @@ def corpus():
     return odd + ["".join(rng.choice(marks) + rng.choice([" ", "", " "]) for _ in range(rng.randrange(120))) for _ in range(200)]
 
 
-def test_encoder_as_the_library(monkeypatch):
+@pytest.mark.parametrize("added", [False, True])
+def test_encoder_as_the_library(monkeypatch, added):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    monkeypatch.setattr(wavelet, "HELD_WORDS", 60)
+    own.encode_special_tokens = not added
     monkeypatch.setattr(wavelet, "HELD_PIECES", 60)
-    encoder, texts = wavelet.Encoder(PATH), [t or "" for t in corpus()]
+    monkeypatch.setattr(wavelet, "HELD_WORDS", 60)
+    encoder, texts = wavelet.Encoder(PATH, added), [t or "" for t in corpus()]
     for k in range(0, len(texts), 20):
-        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts[k : k + 20]))]
+        ids, counts = encoder.encode(pa.array(texts[k : k + 20]))
+        got = [ids[e - n : e].tolist() for e, n in zip(np.cumsum(counts), counts)]
         assert got == [own.encode(t, add_special_tokens=False).ids for t in texts[k : k + 20]]
 
 
+def test_rank_and_access_over_many_samples():
+    rng = np.random.default_rng(5)
+    seq = np.where(rng.random(70_000) < 0.4, 3, rng.integers(0, 900, 70_000))
+    shard = wavelet.Shard(wavelet.pack(np.array([1]), np.array([len(seq)]), seq))
+    places = np.sort(rng.integers(0, len(seq) + 1, 500))
+    assert (shard.access(np.minimum(places, len(seq) - 1)) == seq[np.minimum(places, len(seq) - 1)]).all()
+    for token in (3, 17, 899):
+        assert (shard.rank(token, places) == np.searchsorted(np.flatnonzero(seq == token), places)).all()
+        assert (shard.occurrences(token) == np.flatnonzero(seq == token)).all()
+
+
 def test_files_round_trip(spark, tmp_path):
     own = Tokenizer.from_file(PATH)
     own.encode_special_tokens = True
@@ -88,4 +101,5 @@ def test_query_as_the_unmodified_library(spark, tmp_path):
     for i, t in enumerate(texts):
         raw = np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(raw) // 4, zlib.crc32(raw)), t
+        assert got[i].n_end_ids == int((np.frombuffer(raw, "<u4") == 0).sum())
         start += len(raw) // 4
