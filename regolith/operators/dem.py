@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.settings import DEM_COLUMNS, DEM_ROWS, NO_DATA
+from regolith.settings import DEM_COLUMNS, DEM_METERS_PER_PIXEL, DEM_ROWS, NO_DATA
 
 BLOCK = 64
 
@@ -24,6 +24,22 @@ def offset(pixel: str, size: str, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(n) - F.col(size), F.col(pixel) - F.floor(F.col(size) / 2).cast("int")))
 
 
+def write_blocks(dem: DataFrame, folder: str, block: int = BLOCK) -> None:
+    """The raster as a table by band of ``block`` rows, sorted by column of blocks: a window reads its bands only, and of
+    these the row groups whose columns it meets."""
+    placed = dem.withColumns({"by_band": F.expr(f"cast(py as bigint) div {block}"), "bx": F.expr(f"cast(px as bigint) div {block}")})
+    placed.repartition("by_band", "bx").sortWithinPartitions("by_band", "bx", "py", "px").write.mode("overwrite").partitionBy("by_band").parquet(folder)
+
+
+def read_blocks(spark: SparkSession, folder: str, requests: DataFrame, rows: int, columns: int, block: int = BLOCK) -> DataFrame:
+    """The stored raster (py, px, elevation_m), only those bands and columns of blocks that a window of ``requests`` meets:
+    the numbers of bands and of block columns are gathered, at most raster size / block each."""
+    asked = requests.select("size", offset("px", "size", columns).alias("x0"), offset("py", "size", rows).alias("y0"))
+    bands = [r[0] for r in asked.select(F.explode(F.expr(f"sequence(y0 div {block}, (y0 + size - 1) div {block})"))).distinct().collect()]
+    across = [r[0] for r in asked.select(F.explode(F.expr(f"sequence(x0 div {block}, (x0 + size - 1) div {block})"))).distinct().collect()]
+    return spark.read.parquet(folder).where(F.col("by_band").isin(bands) & F.col("bx").isin(across)).select("py", "px", "elevation_m")
+
+
 def crop(requests: DataFrame, dem: DataFrame, rows: int, columns: int, block: int = BLOCK) -> DataFrame:
     """(request_id, y, x, elevation_m) of each request's window, no-data as null. The blocks that a window covers are
     listed, so that cells and requests meet by an equi-join on the block, then exactly."""
@@ -46,3 +62,17 @@ def rescale(crops: DataFrame, ranges: DataFrame) -> DataFrame:
     met = crops.join(ranges.where("reject_reason is null"), "request_id")
     share = (F.coalesce("elevation_m", F.col("low")) - F.col("low")) / F.col("relief")
     return met.select("request_id", "y", "x", F.floor(share * 255.0).cast("int").alias("intensity"))
+
+
+def sidecar(ranges: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row of metadata for each accepted window: place, size, coverage and the true range of its elevations."""
+    two = lambda c: F.round(F.col(c).cast("double"), 2)
+    return ranges.join(requests, "request_id").where("reject_reason is null").select(
+        "request_id", "px", "py", F.col("size").alias("tile_size_px"), F.round(F.col("size") * DEM_METERS_PER_PIXEL / 1000, 2).alias("ground_coverage_km"),
+        two("low").alias("min_elevation_m"), two("high").alias("max_elevation_m"), two("relief").alias("elevation_range_m"), F.lit(DEM_METERS_PER_PIXEL).alias("meters_per_pixel"),
+    )
+
+
+def write_sidecars(sidecars: DataFrame, folder: str) -> None:
+    """The metadata as JSON lines, one folder for each request."""
+    sidecars.repartition("request_id").write.mode("overwrite").partitionBy("request_id").json(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.settings import DEFAULT, Settings
@@ -42,12 +42,29 @@ def edge_thresholds(edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     return counted.groupBy("tile_id").agg(F.greatest(F.lit(1.0), top).alias("high")).withColumn("low", F.col("high") * settings.edge_low_ratio)
 
 
+def exact_percentile(df: DataFrame, value: str, share: float, width: float, name: str) -> DataFrame:
+    """(tile_id, name): the percentile, linear between ranks, of ``value`` in each tile. Values are counted by bins of ``width``
+    first; only those of the bins that hold the two ranks are then gathered, so a mosaic's percentile needs no whole tile
+    in one buffer. Reads ``df`` twice."""
+    binned = df.select("tile_id", F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
+    counts = binned.groupBy("tile_id", "_b").agg(F.count("*").alias("_c"))
+    line = Window.partitionBy("tile_id")
+    ranked = counts.withColumns({"_to": F.sum("_c").over(line.orderBy("_b")), "_rank": (F.sum("_c").over(line) - 1) * F.lit(share)})
+    ranked = ranked.withColumns({"_from": F.col("_to") - F.col("_c"), "_low": F.floor("_rank"), "_high": F.ceil("_rank")})
+    held = ranked.where("_low between _from and _to - 1 or _high between _from and _to - 1").drop("_c", "_to")
+    found = binned.join(held, ["tile_id", "_b"]).groupBy("tile_id").agg(
+        F.array_sort(F.collect_list("_v")).alias("_vs"), F.min("_from").alias("_from"), F.first("_rank").alias("_rank"), F.first("_low").alias("_low"), F.first("_high").alias("_high")
+    )
+    at = lambda rank: F.element_at("_vs", (F.col(rank) - F.col("_from") + 1).cast("int"))
+    return found.select("tile_id", (at("_low") + (at("_high") - at("_low")) * (F.col("_rank") - F.col("_low"))).alias(name))
+
+
 def classify(area_fraction: Column, mean_slope: Column, mean_roughness: Column, settings: Settings = DEFAULT) -> tuple[Column, Column]:
     """Terrain class by ordered rules, and the rule that decided."""
     crater = area_fraction >= settings.crater_min_area_fraction
     sandy = (mean_slope <= settings.sandy_max_slope_deg) & (mean_roughness <= settings.sandy_max_roughness) & (area_fraction < settings.sandy_max_area_fraction)
     name = F.when(crater, "crater_field").when(sandy, "sandy_plain").otherwise("rocky_highland")
     rule = F.when(
-        crater, F.format_string("obstacle_area_fraction %.3f >= %.2f (few large closed features)", area_fraction, F.lit(settings.crater_min_area_fraction))
+        crater, F.format_string("obstacle_area_fraction %.3f >= %.2f (few large closed features)", F.round(area_fraction, 3), F.lit(settings.crater_min_area_fraction))
     ).when(sandy, "low slope AND low roughness AND sparse obstacles")
     return name, rule.otherwise("default (elevated slope, roughness, or obstacle count)")

@@ -80,3 +80,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 def seed(seeds: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """``existing`` and the seeds whose key it lacks."""
     return existing.unionByName(seeds.join(existing.select(key), key, "left_anti"))
+
+
+WAYPOINT = ("segment_id", "x", "y", "hazard_score", "slope_deg")
+
+
+def pack(steps: DataFrame, fields: tuple[str, ...] = WAYPOINT) -> DataFrame:
+    """(path_id, waypoints): each path's waypoints as an array in the order of travel; the first field orders."""
+    return steps.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("waypoints"))
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    """The rows that pack() took."""
+    return packed.select("path_id", F.inline("waypoints"))

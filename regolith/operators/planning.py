@@ -1,17 +1,20 @@
 """Least-cost routes for many requests at once.
 
 requests(plan_id, tile_id, rover_id, start_x, start_y, goal_x, goal_y, scale, meters_per_cell, max_hazard), pixels; grids
-(tile_id, row, col, hazard, elevation_m). A grid of at most relax.BLOCK cells a side is one task for each plan; larger
-ones are relaxed by joins over their edges.
+(tile_id, row, col, hazard, elevation_m). Over a grid of at most relax.BLOCK cells a side a task takes a portion of the plans
+of its tile; larger ones are relaxed by joins over their edges.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.lineage import cut
 from regolith.operators.relax import BLOCK, EIGHT, edges_of, relax_costs, relax_grid
 from regolith.settings import DEFAULT, Settings
 
@@ -21,10 +24,15 @@ def snap(point: str, scale: str, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, F.rint(F.col(point) / F.col(scale)).cast("int")))
 
 
+def grid_sizes(grids: DataFrame) -> DataFrame:
+    """(tile_id, rows, cols, whole): ``whole`` if both layers have a value in every cell of the rectangle."""
+    size = grids.groupBy("tile_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"), F.least(F.count("hazard"), F.count("elevation_m")).alias("_n"))
+    return size.withColumn("whole", F.col("_n") == F.col("rows").cast("long") * F.col("cols")).drop("_n")
+
+
 def snapped(requests: DataFrame, grids: DataFrame) -> DataFrame:
-    """``requests`` with rows, cols, start_row, start_col, goal_row, goal_col; nulls where the tile has no grid."""
-    size = grids.groupBy("tile_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
-    placed = requests.join(F.broadcast(size), "tile_id", "left")  # one row for each planning grid
+    """``requests`` with rows, cols, whole, start_row, start_col, goal_row, goal_col; nulls where the tile has no grid."""
+    placed = requests.join(grid_sizes(grids), "tile_id", "left")
     return placed.withColumns(
         {f"{end}_{axis}": F.when(F.col(n).isNotNull(), snap(f"{end}_{p}", "scale", F.col(n))) for end in ("start", "goal") for axis, p, n in (("row", "y", "rows"), ("col", "x", "cols"))}
     )
@@ -39,35 +47,80 @@ def edge_cost(step_m: Column, hazard: Column, rise_over_run: Column, settings: S
 
 
 _SURFACE = "plan_id long, row int, col int, cost double, back int"
+_PLAN = ["plan_id", "start_row", "start_col", "goal_row", "goal_col", "meters_per_cell", "max_slope_deg", "max_hazard"]
+#: Plans of one tile that one task takes together: a tile that many ask for is dealt into portions of about so many.
+PORTION = 64
 
 
-def _each(pdf: pd.DataFrame, k: float) -> pd.DataFrame:
-    first = pdf.iloc[0]
-    shape = int(first["rows"]), int(first["cols"])
+def _layers(grid: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    row, col = grid["row"].to_numpy(), grid["col"].to_numpy()
+    shape = int(row.max()) + 1, int(col.max()) + 1
     hazard, elevation = np.full(shape, np.inf), np.zeros(shape)
-    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-    hazard[row, col], elevation[row, col] = pdf["hazard"], pdf["elevation_m"]
-    start = int(first["start_row"]), int(first["start_col"])
-    cost, back = relax_grid(hazard, elevation, start, float(first["meters_per_cell"]), float(np.tan(np.radians(first["max_slope_deg"]))), float(first["max_hazard"]), k)
-    got = np.isfinite(cost)
-    y, x = np.nonzero(got)
-    return pd.DataFrame({"plan_id": first["plan_id"], "row": y, "col": x, "cost": cost[got], "back": back[got]})
+    hazard[row, col], elevation[row, col] = grid["hazard"], grid["elevation_m"]
+    return hazard, elevation
+
+
+def _relaxed(plans: pd.DataFrame, grid: pd.DataFrame, k: float, route: bool) -> pd.DataFrame:
+    """Surfaces, or routes, of some plans over one grid. Plans that differ in their goal only share a surface."""
+    out = []
+    if len(grid):
+        hazard, elevation = _layers(grid)
+        for (row, col, metres, slope, most), some in plans.groupby(["start_row", "start_col", "meters_per_cell", "max_slope_deg", "max_hazard"], sort=False):
+            cost, back = relax_grid(hazard, elevation, (int(row), int(col)), float(metres), float(np.tan(np.radians(slope))), float(most), k)
+            y, x = np.nonzero(np.isfinite(cost))
+            for plan in some.itertuples(index=False):
+                if route:
+                    cells = _walk(back, np.isfinite(cost), (int(plan.goal_row), int(plan.goal_col)))
+                    out.append(pd.DataFrame({"plan_id": plan.plan_id, "segment_id": np.arange(len(cells)), "row": [c[0] for c in cells], "col": [c[1] for c in cells]}))
+                else:
+                    out.append(pd.DataFrame({"plan_id": plan.plan_id, "row": y, "col": x, "cost": cost[y, x], "back": back[y, x]}))
+    names = ["plan_id", "segment_id", "row", "col"] if route else ["plan_id", "row", "col", "cost", "back"]
+    return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
+
+
+def _walk(back: np.ndarray, reached: np.ndarray, goal: tuple[int, int]) -> list[tuple[int, int]]:
+    """Cells from the start to ``goal``; none if it is not reached."""
+    at, cells = goal, []
+    while reached[at]:
+        cells.append(at)
+        if back[at] < 0:
+            break
+        at = at[0] + EIGHT[back[at]][0], at[1] + EIGHT[back[at]][1]
+    return cells[::-1]
+
+
+def _by_tile(plans: DataFrame, grids: DataFrame, settings: Settings, route: bool, schema: str) -> DataFrame:
+    """Each tile's grid meets the plans over it once for each portion of them, whatever their number."""
+    k = settings.energy_slope_coefficient
+    portions = plans.groupBy("tile_id").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
+    dealt = plans.join(portions, "tile_id").withColumn("portion", F.pmod(F.xxhash64("plan_id"), F.col("portions")).cast("int"))
+    spread = grids.join(portions, "tile_id").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+    own, ground = dealt.select("tile_id", "portion", *_PLAN), spread.select("tile_id", "portion", "row", "col", "hazard", "elevation_m")
+    return own.groupBy("tile_id", "portion").cogroup(ground.groupBy("tile_id", "portion")).applyInPandas(lambda p, g: _relaxed(p, g, k, route), schema)
 
 
 def _small() -> Column:
     return (F.col("rows") <= BLOCK) & (F.col("cols") <= BLOCK)
 
 
+def _asked(requests: DataFrame, grids: DataFrame, rovers: DataFrame) -> DataFrame:
+    """Requests that have a whole grid and a vehicle."""
+    return snapped(requests, grids).where("whole").join(rovers, "rover_id")
+
+
 def cost_surface(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(plan_id, row, col, cost, back): cells that a plan's start leads to; ``back`` is the step (in EIGHT) to the cell
-    before, -1 at the start. Requests without a grid or a vehicle have no rows."""
-    plans = snapped(requests, grids).where("rows is not null").join(F.broadcast(rovers), "rover_id")
-    k = settings.energy_slope_coefficient
-    wanted = ["plan_id", "tile_id", "rows", "cols", "start_row", "start_col", "meters_per_cell", "max_slope_deg", "max_hazard"]
-    near = plans.where(_small()).select(wanted).join(grids, "tile_id").groupBy("plan_id").applyInPandas(lambda pdf: _each(pdf, k), _SURFACE)
+    before, -1 at the start. Requests without a whole grid or a vehicle have no rows."""
+    plans = _asked(requests, grids, rovers)
+    near = _by_tile(plans.where(_small()), grids, settings, False, _SURFACE)
     large = plans.where(~_small())
     if large.limit(1).count() == 0:
         return near
+    return near.unionByName(_large_surface(large, grids, settings))
+
+
+def _large_surface(large: DataFrame, grids: DataFrame, settings: Settings) -> DataFrame:
+    """The surface of plans over large grids, relaxed by joins over their edges."""
     edges = (
         edges_of(grids, 1.0).join(large.select("plan_id", "tile_id", "meters_per_cell", "max_slope_deg", "max_hazard"), "tile_id")
         .withColumns({"run": F.col("step_m") * F.col("meters_per_cell"), "rise": F.col("rise_over_run") / F.col("meters_per_cell")})
@@ -81,42 +134,59 @@ def cost_surface(requests: DataFrame, grids: DataFrame, rovers: DataFrame, setti
     step = F.lit(-1)
     for i, (dy, dx) in enumerate(EIGHT):
         step = F.when((F.col("before.r") - F.col("row") == dy) & (F.col("before.c") - F.col("col") == dx) & (F.col("cost") > 0), i).otherwise(step)
-    return near.unionByName(far.join(through, ["plan_id", "row", "col"], "left").select("plan_id", "row", "col", "cost", step.cast("int").alias("back")))
+    return far.join(through, ["plan_id", "row", "col"], "left").select("plan_id", "row", "col", "cost", step.cast("int").alias("back"))
+
+
+_ROUTE = "plan_id long, segment_id int, row int, col int"
+
+
+def routes(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(plan_id, segment_id, row, col) from start to goal, for requests whose status is OK. On a small grid the route is
+    walked where its surface was found, so no surface leaves the task; on a larger one the steps back are followed by joins."""
+    plans = _asked(requests, grids, rovers).where("start_row <> goal_row or start_col <> goal_col")
+    near = _by_tile(plans.where(_small()), grids, settings, True, _ROUTE)
+    large = plans.where(~_small())
+    if large.limit(1).count() == 0:
+        return near
+    return near.unionByName(back_trace(large, _large_surface(large, grids, settings)))
 
 
 def plan_status(requests: DataFrame, grids: DataFrame, rovers: DataFrame, surface: DataFrame) -> DataFrame:
-    """(plan_id, status, total_cost) of every request: NO_ROVER, NO_GRID, SAME_CELL, NO_ROUTE or OK."""
-    ends = snapped(requests, grids).join(F.broadcast(rovers.select("rover_id", F.lit(True).alias("known"))), "rover_id", "left")
+    """(plan_id, status, total_cost) of every request: NO_ROVER, NO_GRID, GRID_MISMATCH (the layers are not of one shape),
+    SAME_CELL, NO_ROUTE or OK."""
+    ends = snapped(requests, grids).join(rovers.select("rover_id", F.lit(True).alias("known")), "rover_id", "left")
     reached = surface.select("plan_id", F.col("row").alias("goal_row"), F.col("col").alias("goal_col"), "cost")
     same = (F.col("start_row") == F.col("goal_row")) & (F.col("start_col") == F.col("goal_col"))
-    status = F.when(F.col("known").isNull(), "NO_ROVER").when(F.col("rows").isNull(), "NO_GRID").when(same, "SAME_CELL").when(F.col("cost").isNull(), "NO_ROUTE").otherwise("OK")
+    status = F.when(F.col("known").isNull(), "NO_ROVER").when(F.col("rows").isNull(), "NO_GRID").when(~F.col("whole"), "GRID_MISMATCH").when(same, "SAME_CELL").when(F.col("cost").isNull(), "NO_ROUTE").otherwise("OK")
     return ends.join(reached, ["plan_id", "goal_row", "goal_col"], "left").select("plan_id", status.alias("status"), F.when(status == "OK", F.col("cost")).alias("total_cost"))
 
 
-def back_trace(requests: DataFrame, grids: DataFrame, surface: DataFrame) -> DataFrame:
-    """(plan_id, segment_id, row, col) from start to goal, for requests whose goal is reached: the steps back are followed
-    within the plan's own rows."""
-    ends = snapped(requests, grids).where("rows is not null").select("plan_id", "goal_row", "goal_col")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        back = dict(zip(zip(pdf["row"], pdf["col"]), pdf["back"]))
-        at, cells = (int(pdf["goal_row"].iloc[0]), int(pdf["goal_col"].iloc[0])), []
-        while at in back:
-            cells.append(at)
-            if back[at] < 0:
-                break
-            at = at[0] + EIGHT[back[at]][0], at[1] + EIGHT[back[at]][1]
-        cells.reverse()
-        return pd.DataFrame({"plan_id": pdf["plan_id"].iloc[0], "segment_id": range(len(cells)), "row": [c[0] for c in cells], "col": [c[1] for c in cells]})
-
-    return surface.join(ends, "plan_id").groupBy("plan_id").applyInPandas(walk, "plan_id long, segment_id int, row int, col int")
+def back_trace(ends: DataFrame, surface: DataFrame, rounds: int = 1_000_000) -> DataFrame:
+    """(plan_id, segment_id, row, col) of ``ends`` (plan_id, goal_row, goal_col) by joins: each round takes one step back for
+    every plan. The rows of a round are as many as plans still under way."""
+    steps = F.create_map(*(x for i, (dy, dx) in enumerate(EIGHT) for x in (F.lit(i), F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")))))
+    kept = cut(surface.select("plan_id", "row", "col", "back"))
+    now = cut(ends.select("plan_id", F.col("goal_row").alias("row"), F.col("goal_col").alias("col")).join(kept, ["plan_id", "row", "col"]).withColumn("nth", F.lit(0)))
+    seen = [now]
+    for n in range(1, rounds):
+        step = F.element_at(steps, F.col("back"))
+        before = now.where("back >= 0").select("plan_id", (F.col("row") + step.dy).alias("row"), (F.col("col") + step.dx).alias("col"))
+        now = cut(before.join(kept, ["plan_id", "row", "col"]).withColumn("nth", F.lit(n)))
+        if now.limit(1).count() == 0:
+            break
+        seen.append(now)
+        if len(seen) == 50:  # short plans of many unions
+            seen = [cut(functools.reduce(DataFrame.unionByName, seen))]
+    every = functools.reduce(DataFrame.unionByName, seen)
+    last = F.max("nth").over(Window.partitionBy("plan_id"))
+    return every.select("plan_id", (last - F.col("nth")).cast("int").alias("segment_id"), "row", "col")
 
 
 def waypoints(route: DataFrame, requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Routes with pixel, hazard, slope, step length, energy and cumulative energy of each waypoint; rounded for reports,
     the running sum before rounding. The first step is all zero."""
     line = Window.partitionBy("plan_id").orderBy("segment_id")
-    about = requests.select("plan_id", "tile_id", "rover_id", "scale", "meters_per_cell").join(F.broadcast(rovers.select("rover_id", "kwh_per_m")), "rover_id")
+    about = requests.select("plan_id", "tile_id", "rover_id", "scale", "meters_per_cell").join(rovers.select("rover_id", "kwh_per_m"), "rover_id")
     at = route.join(about, "plan_id").join(grids, ["tile_id", "row", "col"])
     before = {c: F.lag(c).over(line) for c in ("row", "col", "elevation_m")}
     dy, dx = F.col("row") - before["row"], F.col("col") - before["col"]

@@ -21,11 +21,11 @@ FAR_M = 1e6
 def edge_hysteresis(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(tile_id, y, x, label) of ridge cells above the low threshold whose 8-connected component reaches the high one."""
     ridges = edge_nms(cells)
-    marked = ridges.join(F.broadcast(edge_thresholds(ridges, settings)), "tile_id").withColumn("_m", F.sqrt(F.col("m2").cast("double")))
+    marked = ridges.join(edge_thresholds(ridges, settings), "tile_id").withColumn("_m", F.sqrt(F.col("m2").cast("double")))
     weak = marked.where("ridge and _m > low").select(*KEYS, (F.col("_m") > F.col("high")).alias("strong"))
-    named = labels(weak, "true").join(weak, KEYS)
-    alive = named.groupBy("tile_id", "label").agg(F.max("strong").alias("strong")).where("strong")
-    return named.drop("strong").join(alive.drop("strong"), ["tile_id", "label"]).select(*KEYS, "label")
+    named = labels(weak, "true", carry=("strong",))
+    alive = named.groupBy("tile_id", "label").agg(F.max("strong").alias("alive")).where("alive")
+    return named.join(alive.drop("alive"), ["tile_id", "label"], "left_semi").select(*KEYS, "label")
 
 
 def closed_edges(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -39,7 +39,7 @@ def filled_mask(closed: DataFrame) -> DataFrame:
     size = Window.partitionBy("tile_id", "y"), Window.partitionBy("tile_id", "x")
     framed = closed.withColumns({"_lx": F.max("x").over(size[0]), "_ly": F.max("y").over(size[1])})
     rim = framed.withColumn("rim", (F.col("y") == 0) | (F.col("x") == 0) | (F.col("x") == F.col("_lx")) | (F.col("y") == F.col("_ly"))).drop("_lx", "_ly")
-    back = labels(rim, "edge = 0", diagonal=False).join(rim.select(*KEYS, "rim"), KEYS)
+    back = labels(rim, "edge = 0", diagonal=False, carry=("rim",))
     outer = back.groupBy("tile_id", "label").agg(F.max("rim").alias("outer")).where("outer").drop("outer")
     outside = back.join(outer, ["tile_id", "label"], "left_semi").select(*KEYS)
     return closed.select(*KEYS).join(outside, KEYS, "left_anti")
@@ -99,14 +99,14 @@ def enclosing_circle(points: np.ndarray) -> tuple[float, float, float]:
 
 
 def obstacle_circles(cells: DataFrame, kept: DataFrame) -> DataFrame:
-    """``kept`` obstacles with the centre x, y (rounded half to even) and radius_px of the smallest circle around their
+    """``kept`` obstacles with the centre x, y (to six decimals, then half to even) and radius_px of the smallest circle around their
     boundary. A region's boundary is gathered row by row to its two ends first: inner points cannot fix the circle."""
     ends = cells.where("boundary").join(kept.select("tile_id", "label"), ["tile_id", "label"]).groupBy("tile_id", "label", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         points = np.concatenate([pdf[["x0", "y"]].to_numpy(), pdf[["x1", "y"]].to_numpy()])
         x, y, r = enclosing_circle(points)
-        return pd.DataFrame({"tile_id": pdf["tile_id"][:1], "label": pdf["label"][:1], "x": [int(np.rint(x))], "y": [int(np.rint(y))], "radius_px": [r]})
+        return pd.DataFrame({"tile_id": pdf["tile_id"][:1], "label": pdf["label"][:1], "x": [int(np.rint(np.round(x, 6)))], "y": [int(np.rint(np.round(y, 6)))], "radius_px": [r]})
 
     circles = ends.groupBy("tile_id", "label").applyInPandas(each, "tile_id string, label long, x int, y int, radius_px double")
     return kept.join(circles, ["tile_id", "label"])
@@ -133,15 +133,48 @@ def obstacle_distance(cells: DataFrame, mask: DataFrame, settings: Settings = DE
             out = []
             for tile, y, row in zip(pdf["tile_id"], pdf["y"], pdf["row"], strict=True):
                 x = np.array([r["x"] for r in row])
-                gap = np.array([np.inf if r["gap"] is None else r["gap"] for r in row], float) ** 2
-                best, step = gap.copy(), 1
-                while step < len(best) and step * step < best.max():  # columns farther than the worst so far cannot help
-                    best[step:] = np.minimum(best[step:], gap[:-step] + step * step)
-                    best[:-step] = np.minimum(best[:-step], gap[step:] + step * step)
-                    step += 1
+                gap = np.array([np.inf if r["gap"] is None else r["gap"] for r in row], float)
+                best = nearest(gap * gap)
                 metres = np.where(np.isinf(best), FAR_M, np.sqrt(best) * settings.meters_per_pixel)
                 out.append(pd.DataFrame({"tile_id": tile, "y": y, "x": x, "distance_m": metres}))
             if out:
                 yield pd.concat(out)
 
     return rows.mapInPandas(each, "tile_id string, y int, x int, distance_m double")
+
+
+#: Columns that ``nearest`` looks away at most while it shifts whole rows.
+SHIFTS = 256
+
+
+def nearest(squares: np.ndarray, shifts: int = SHIFTS) -> np.ndarray:
+    """For each place i the least of squares[j] + (i - j)^2. Whole rows are shifted as far as any place can still gain; a row
+    whose nearest columns are farther than ``shifts`` takes the lower envelope of the parabolas, in linear time."""
+    n, there = len(squares), np.flatnonzero(np.isfinite(squares))
+    if not len(there):
+        return squares.copy()
+    at = np.arange(n)
+    right = np.clip(np.searchsorted(there, at), 0, len(there) - 1)
+    best = squares.copy()
+    for j in (there[right], there[np.maximum(right - 1, 0)]):  # a bound that is finite everywhere
+        best = np.minimum(best, squares[j] + (at - j) ** 2)
+    if best.max() <= shifts * shifts:
+        step = 1
+        while step < n and step * step < best.max():
+            best[step:] = np.minimum(best[step:], squares[:-step] + step * step)
+            best[:-step] = np.minimum(best[:-step], squares[step:] + step * step)
+            step += 1
+        return best
+    seats, borders = [int(there[0])], [-np.inf]  # parabolas of the envelope, and where each begins
+    for j in there[1:].tolist():
+        while True:
+            i = seats[-1]
+            meet = (squares[j] + j * j - squares[i] - i * i) / (2 * (j - i))
+            if meet > borders[-1]:
+                break
+            seats.pop()
+            borders.pop()
+        seats.append(j)
+        borders.append(meet)
+    own = np.array(seats)[np.searchsorted(np.array(borders), at, side="left") - 1]
+    return squares[own] + (at - own) ** 2

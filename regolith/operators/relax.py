@@ -51,8 +51,9 @@ def label_block(on: np.ndarray, number: np.ndarray, steps: list[tuple[int, int]]
     return np.append(number.ravel(), top)[low]
 
 
-def labels(cells: DataFrame, on: str, diagonal: bool = True, block: int = BLOCK) -> DataFrame:
-    """(tile_id, y, x, label) of the cells where the boolean ``on`` holds: the first cell of the connected component."""
+def labels(cells: DataFrame, on: str, diagonal: bool = True, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(tile_id, y, x, *carry, label) of the cells where the boolean ``on`` holds: the first cell of the connected component.
+    ``carry`` names columns that go along, so that nothing need be joined to the labels again."""
     steps = EIGHT if diagonal else FOUR
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -60,10 +61,12 @@ def labels(cells: DataFrame, on: str, diagonal: bool = True, block: int = BLOCK)
         mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
         mask[y - y.min(), x - x.min()] = True
         number = np.arange(y.min(), y.max() + 1, dtype=np.int64)[:, None] * ROW + np.arange(x.min(), x.max() + 1)[None, :]
-        return pd.DataFrame({"tile_id": pdf["tile_id"], "y": y, "x": x, "part": label_block(mask, number, steps)[y - y.min(), x - x.min()]})
+        return pdf[["tile_id", "y", "x", *carry]].assign(part=label_block(mask, number, steps)[y - y.min(), x - x.min()])
 
-    marked = cells.where(on).select("tile_id", "y", "x").withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
-    parts = marked.groupBy("tile_id", "by", "bx").applyInPandas(lambda pdf: each(pdf), "tile_id string, y int, x int, part long")
+    marked = cells.where(on).select("tile_id", "y", "x", *carry).withColumns({"by": F.floor(F.col("y") / block), "bx": F.floor(F.col("x") / block)})
+    kinds = dict(cells.dtypes)
+    schema = ", ".join(["tile_id string, y int, x int", *(f"{c} {kinds[c]}" for c in carry), "part long"])
+    parts = marked.groupBy("tile_id", "by", "bx").applyInPandas(each, schema)
     parts = cut(parts)
     last = parts.agg(F.max(F.greatest("y", "x"))).first()[0]
     if last is None or last < block:  # every tile is one block
@@ -74,7 +77,7 @@ def labels(cells: DataFrame, on: str, diagonal: bool = True, block: int = BLOCK)
     edges = near.join(rim, ["tile_id", "y", "x"]).where("part <> other")
     joined = components(edges.select(F.struct("tile_id", "part").alias("a"), F.struct("tile_id", F.col("other").alias("part")).alias("b")))
     moved = joined.select("node.tile_id", "node.part", F.col("component.part").alias("label"))
-    return parts.join(moved, ["tile_id", "part"], "left").select("tile_id", "y", "x", F.coalesce("label", "part").alias("label"))
+    return parts.join(moved, ["tile_id", "part"], "left").select("tile_id", "y", "x", *carry, F.coalesce("label", "part").alias("label"))
 
 
 def edges_of(grid: DataFrame, meters_per_cell: float) -> DataFrame:

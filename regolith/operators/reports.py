@@ -44,6 +44,10 @@ def recommendation(verdict: Column, margin: Column) -> Column:
     )
 
 
+def _reason(s: Column) -> Column:
+    return F.format_string("Hazard score %.4f at (%d, %d), local slope %.3f deg.", s.hazard_score, s.x, s.y, s.slope_deg)
+
+
 def fallback_report(contexts: DataFrame) -> DataFrame:
     """(path_id, summary, reasons, recommendation): the report from figures alone; reasons of the two worst segments."""
     c = lambda *path: F.col(".".join(("context", *path)))
@@ -55,7 +59,7 @@ def fallback_report(contexts: DataFrame) -> DataFrame:
         c("risk_score"), c("risk_score_numeric"), c("feasibility"), c("path_summary", "total_distance_m"), c("path_summary", "num_waypoints"),
         c("path_summary", "total_energy_cost_kwh"), c("rover_constraints", "capacity_kwh"), c("rover_constraints", "energy_margin_kwh"), worst,
     )
-    reasons = F.transform(two, lambda s: F.format_string("%d: Hazard score %.4f at (%d, %d), local slope %.3f deg.", s.segment_id, s.hazard_score, s.x, s.y, s.slope_deg))
+    reasons = F.transform(two, lambda s: F.concat(s.segment_id.cast("string"), F.lit(": "), _reason(s)))
     return contexts.select("path_id", summary.alias("summary"), F.array_join(reasons, " ").alias("reasons"), recommendation(c("feasibility"), c("rover_constraints", "energy_margin_kwh")).alias("recommendation"))
 
 
@@ -82,17 +86,43 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     }).drop("_v", "_kind")
 
 
-def check_citations(parsed: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(path_id, kept, dropped): the cited segments of each usable reply that ``allowed`` (path_id, segment_id) has, in the
-    reply's order, and how many others there were."""
+def verified_risks(parsed: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(path_id, kept, dropped): of each usable reply the cited risks (segment_id, reason) whose segment ``allowed`` (path_id,
+    segment_id) has, in the reply's order, and how many others there were."""
     usable = parsed.where("fallback_reason is null")
-    cited = usable.select("path_id", F.posexplode("risks").alias("pos", "risk")).select("path_id", "pos", F.col("risk.segment_id").alias("segment_id"))
+    cited = usable.select("path_id", F.posexplode("risks").alias("pos", "risk")).select("path_id", "pos", "risk.segment_id", "risk.reason")
     known = allowed.select("path_id", "segment_id").distinct().withColumn("known", F.lit(True))
     met = cited.join(known, ["path_id", "segment_id"], "left").groupBy("path_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("pos", "segment_id")))).alias("kept"), F.count_if(F.col("known").isNull()).alias("dropped")
+        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("pos", "segment_id", "reason")))).alias("kept"), F.count_if(F.col("known").isNull()).alias("dropped")
     )
-    ids = F.array_join(F.transform("kept", lambda k: k.segment_id.cast("string")), ",")
-    return usable.select("path_id").join(met, "path_id", "left").select("path_id", F.coalesce(ids, F.lit("")).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+    kept = F.transform("kept", lambda k: F.struct(k.segment_id.alias("segment_id"), k.reason.alias("reason")))
+    none = F.expr("cast(array() as array<struct<segment_id: bigint, reason: string>>)")
+    return usable.select("path_id").join(met, "path_id", "left").select("path_id", F.coalesce(kept, none).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+
+
+def check_citations(parsed: DataFrame, allowed: DataFrame) -> DataFrame:
+    """verified_risks with ``kept`` as text: the segments that stay."""
+    return verified_risks(parsed, allowed).withColumn("kept", F.array_join(F.transform("kept", lambda k: k.segment_id.cast("string")), ","))
+
+
+def final_report(contexts: DataFrame, replies: DataFrame) -> DataFrame:
+    """(path_id, generated_by, summary, top_risks, recommendation, dropped_citations, fallback_reason) of every context: the
+    model's reply if it is usable, with the citations that the context backs, else the template and why. ``replies``
+    (path_id, raw) has one row for each path at most; a path without one falls back too."""
+    segments = contexts.select("path_id", F.explode("context.path_summary.high_hazard_segments.segment_id").alias("segment_id"))
+    parsed = parse_replies(replies)
+    usable = parsed.where("fallback_reason is null").select("path_id", F.col("summary").alias("_s"), F.col("recommendation").alias("_r")).join(verified_risks(parsed, segments), "path_id")
+    refused = parsed.where("fallback_reason is not null").select("path_id", F.col("fallback_reason").alias("_why"))
+    two = F.slice("context.path_summary.high_hazard_segments", 1, 2)
+    own = F.transform(two, lambda s: F.struct(s.segment_id.cast("long").alias("segment_id"), _reason(s).alias("reason")))
+    template = fallback_report(contexts).select("path_id", "summary", "recommendation")
+    every = contexts.select("path_id", own.alias("_own")).join(template, "path_id").join(usable, "path_id", "left").join(refused, "path_id", "left")
+    model = F.col("kept").isNotNull()
+    pick = lambda of_model, of_template: F.when(model, of_model).otherwise(of_template)
+    return every.select(
+        "path_id", pick(F.lit("llm"), F.lit("template_fallback")).alias("generated_by"), pick(F.col("_s"), F.col("summary")).alias("summary"), pick(F.col("kept"), F.col("_own")).alias("top_risks"),
+        pick(F.col("_r"), F.col("recommendation")).alias("recommendation"), F.col("dropped").alias("dropped_citations"), F.when(~model, F.coalesce("_why", F.lit("no reply"))).alias("fallback_reason"),
+    )
 
 
 def audit_basis(risks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -104,3 +134,36 @@ def audit_basis(risks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         F.struct("total_energy_kwh", "capacity_kwh", "num_waypoints").alias("inputs"),
     )
     return risks.select("path_id", basis.alias("basis"))
+
+
+def hazard_basis(stats: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``stats`` of hazard_stats with ``basis``: how each tile's hazard came about and what it came to."""
+    four = lambda *names: F.struct(*(F.round(c, 4).alias(c) for c in names))
+    basis = F.struct(
+        F.lit("hazard = w_slope * min(slope_deg / slope_reference_deg, 1) + w_obstacle * 1/(1 + distance_to_obstacle_m) + w_roughness * normalised_local_std").alias("formula"),
+        F.struct(F.lit(settings.weight_slope).alias("slope"), F.lit(settings.weight_obstacle).alias("obstacle_proximity"), F.lit(settings.weight_roughness).alias("roughness")).alias("weights"),
+        F.lit(settings.slope_reference_deg).alias("slope_reference_deg"),
+        F.lit(settings.roughness_window).alias("roughness_window"),
+        four("mean_hazard", "max_hazard", "p95_hazard", "fraction_above_0_6").alias("aggregate"),
+        four("slope_term", "obstacle_term", "roughness_term").alias("component_means"),
+    )
+    return stats.select("tile_id", basis.alias("basis"))
+
+
+def path_basis(plans: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(plan_id, basis) of ``plans`` (plan_id, rows, cols, scale, meters_per_cell, max_hazard, by_hazard, by_slope): the terms
+    under which a route was sought, with the edges that either limit removed from the whole grid."""
+    basis = F.struct(
+        F.lit(8).alias("connectivity"),
+        F.lit("distance_m * (1 + hazard) * (1 + k * |rise/run|)").alias("cost_function"),
+        F.lit("energy_kwh = energy_per_meter_kwh * distance_m * (1 + k * |rise/run|)").alias("energy_model"),
+        F.lit("edge removed if |slope| > max_traversable_slope_deg or hazard >= lethal_hazard_threshold").alias("hard_constraints"),
+        F.lit(settings.energy_slope_coefficient).alias("energy_slope_coefficient"),
+        F.struct("rows", "cols").alias("planning_grid_shape"),
+        F.round("meters_per_cell", 4).alias("meters_per_cell"),
+        F.round("scale", 4).alias("downsample_scale"),
+        F.col("max_hazard").alias("lethal_hazard_threshold"),
+        F.col("by_hazard").alias("moves_blocked_by_lethal_hazard"),
+        F.col("by_slope").alias("moves_blocked_by_slope_limit"),
+    )
+    return plans.select("plan_id", basis.alias("basis"))

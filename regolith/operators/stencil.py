@@ -38,9 +38,12 @@ def sobel(cells: DataFrame, value: str = "intensity") -> DataFrame:
 
 def slope(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``cells`` with gradient (rise over run) and slope_deg of the elevation that intensity stands for."""
+    return sobel(cells).withColumn("gradient", _steepness(settings)).withColumn("slope_deg", F.degrees(F.atan("gradient"))).drop("gx", "gy")
+
+
+def _steepness(settings: Settings) -> Column:
     unit = settings.elevation_range_m / 255.0 / (8.0 * settings.meters_per_pixel)
-    steep = F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")) * F.lit(unit)
-    return sobel(cells).withColumn("gradient", steep).withColumn("slope_deg", F.degrees(F.atan("gradient"))).drop("gx", "gy")
+    return F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")) * F.lit(unit)
 
 
 def _five(value: str, along: WindowSpec) -> list[Column]:
@@ -58,10 +61,11 @@ def _five(value: str, along: WindowSpec) -> list[Column]:
 
 
 def gaussian_blur(cells: DataFrame, value: str = "intensity") -> DataFrame:
-    """``cells`` with blurred: the 1-4-6-4-1 kernel along x and y, rounded to 8 bits once at the end."""
+    """``cells`` with blurred: the 1-4-6-4-1 kernel along y and x, rounded to 8 bits once at the end. The pass along x comes
+    last, so that one along x may follow without another exchange."""
     weigh = lambda c: c[0] + 4 * c[1] + 6 * c[2] + 4 * c[3] + c[4]
-    across = cells.withColumn("_b", weigh(_five(value, along_x())))
-    return across.withColumn("blurred", F.floor((weigh(_five("_b", along_y())) + 128) / 256).cast("int")).drop("_b")
+    down = cells.withColumn("_b", weigh(_five(value, along_y())))
+    return down.withColumn("blurred", F.floor((weigh(_five("_b", along_x())) + 128) / 256).cast("int")).drop("_b")
 
 
 def edge_gradient(cells: DataFrame) -> DataFrame:
@@ -80,21 +84,38 @@ def _with_halo(df: DataFrame, axis: str, across: str, radius: int) -> DataFrame:
     return df.withColumn("_last", last).withColumn(axis, F.explode(places))
 
 
-def roughness(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """``cells`` with roughness: standard deviation of intensity / 255 in a square window, over 0.5, at most 1. An even
-    window is widened by one. Sums of intensity and its square along x, then y: exact integers."""
+def layers(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``cells`` with gradient, slope_deg and roughness by one pass along x and one along y: the reflected copies that
+    roughness needs serve the Sobel sums too. Lines must have more cells than half the roughness window."""
     n = settings.roughness_window + (settings.roughness_window + 1) % 2
     r = n // 2
 
-    def summed(df: DataFrame, axis: str, across: str) -> DataFrame:
-        line = Window.partitionBy("tile_id", across).orderBy(axis).rowsBetween(-r, r)
-        sums = {c: F.sum(c).over(line) for c in ("_s", "_q")}
-        return _with_halo(df, axis, across, r).withColumns(sums).where(F.col(axis).between(0, F.col("_last"))).drop("_last")
+    def passed(df: DataFrame, axis: str, across: str, own) -> DataFrame:
+        line = Window.partitionBy("tile_id", across).orderBy(axis)
+        sums = {c: F.sum(c).over(line.rowsBetween(-r, r)) for c in ("_s", "_q")}
+        return _with_halo(df, axis, across, r).withColumns(sums | own(line)).where(F.col(axis).between(0, F.col("_last"))).drop("_last")
+
+    near = lambda c, line: (F.lag(c).over(line), F.col(c), F.lead(c).over(line))
+
+    def first(line: WindowSpec) -> dict[str, Column]:
+        left, own, right = near("intensity", line)
+        return {"_d": right - left, "_t": left + 2 * own + right}
+
+    def second(line: WindowSpec) -> dict[str, Column]:
+        (d0, d, d1), (t0, _, t1) = near("_d", line), near("_t", line)
+        return {"gx": d0 + 2 * d + d1, "gy": t1 - t0}
 
     start = cells.withColumns({"_s": F.col("intensity").cast("long"), "_q": (F.col("intensity") * F.col("intensity")).cast("long")})
-    both = summed(summed(start, "x", "y"), "y", "x")
+    both = passed(passed(start, "x", "y", first), "y", "x", second)
     spread = F.sqrt((n * n * F.col("_q") - F.col("_s") * F.col("_s")).cast("double")) / F.lit(float(n * n) * 255.0)
-    return both.withColumn("roughness", F.least(F.lit(1.0), spread / 0.5)).drop("_s", "_q")
+    both = both.withColumns({"gradient": _steepness(settings), "roughness": F.least(F.lit(1.0), spread / 0.5)})
+    return both.withColumn("slope_deg", F.degrees(F.atan("gradient"))).drop("_s", "_q", "_d", "_t", "gx", "gy")
+
+
+def roughness(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``cells`` with roughness: standard deviation of intensity / 255 in a square window, over 0.5, at most 1. An even
+    window is widened by one. Sums of intensity and its square along x, then y: exact integers."""
+    return layers(cells, settings).drop("gradient", "slope_deg")
 
 
 # Tangents of the sectors' borders, 22.5 and 67.5 degrees.
@@ -104,11 +125,11 @@ _TAN_LOW, _TAN_HIGH = math.sqrt(2) - 1, math.sqrt(2) + 1
 def edge_nms(cells: DataFrame) -> DataFrame:
     """edge_gradient with ``ridge``: the magnitude exceeds the neighbour before and reaches the one after, along the
     gradient's direction in four sectors. Outside the image magnitudes are 0."""
-    g = edge_gradient(cells)
+    g = edge_gradient(cells)  # ends with a pass along y, so that direction goes on
     near = lambda f, v, along: F.coalesce(f(v).over(along), F.lit(0))
-    g = g.withColumns({"_w": near(F.lag, "m2", along_x()), "_e": near(F.lead, "m2", along_x())})
-    for name, f in (("n", F.lag), ("s", F.lead)):
-        g = g.withColumns({f"_{name}": near(f, "m2", along_y()), f"_{name}w": near(f, "_w", along_y()), f"_{name}e": near(f, "_e", along_y())})
+    g = g.withColumns({"_n": near(F.lag, "m2", along_y()), "_s": near(F.lead, "m2", along_y())})
+    for side, f in (("w", F.lag), ("e", F.lead)):
+        g = g.withColumns({f"_{side}": near(f, "m2", along_x()), f"_n{side}": near(f, "_n", along_x()), f"_s{side}": near(f, "_s", along_x())})
     ax, ay = F.abs("gx").cast("double"), F.abs("gy").cast("double")
     falling = F.col("gx") * F.col("gy") >= 0  # towards south-east
     before = F.when(ay <= ax * _TAN_LOW, F.col("_w")).when(ay >= ax * _TAN_HIGH, F.col("_n")).when(falling, F.col("_nw")).otherwise(F.col("_ne"))
@@ -147,6 +168,6 @@ def downsample(cells: DataFrame, value: str, max_dim: int = DEFAULT.grid_max_dim
         overlap = F.least(F.col(at) + 1, (F.col(out) + 1) * step) - F.greatest(F.col(at), F.col(out) * step)
         return df.withColumn(f"_{out}", overlap)
 
-    both = spread(spread(cells.select("tile_id", "y", "x", value).join(F.broadcast(dims), "tile_id"), "y", "h", "nh", "row"), "x", "w", "nw", "col")
+    both = spread(spread(cells.select("tile_id", "y", "x", value).join(dims, "tile_id"), "y", "h", "nh", "row"), "x", "w", "nw", "col")
     weight = F.col("_row") * F.col("_col")
     return both.groupBy("tile_id", "row", "col").agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias(value), F.first("scale").alias("scale"))

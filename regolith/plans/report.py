@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regolith.operators import paths as pt
 from regolith.operators import reports as rp
+from regolith.operators import rules
 from regolith.plans.traverse import PATH_CTES, risks
 from regolith.settings import DEFAULT as D
 from regolith.sources.tables import MISSIONS, missions, path_steps, table, with_ctes
@@ -35,17 +36,16 @@ def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = risks(spark, sf_dir).select("path_id", F.to_json(F.struct(
         F.struct(F.struct("mean_hazard", "max_hazard").alias("aggregate")).alias("hazard_calculation_basis"), F.struct(F.col("max_slope_deg").alias("max_deg")).alias("slope"), F.lit("/srv/x.npz").alias("arrays_path"),
     )).alias("metadata"))
-    got = lambda path, kind: F.get_json_object("metadata", path).cast(kind)
+    aggregate = "$.hazard_calculation_basis.aggregate"
     return stored.select(
-        "path_id", got("$.hazard_calculation_basis.aggregate.mean_hazard", "double").alias("mean_hazard"), got("$.hazard_calculation_basis.aggregate.max_hazard", "double").alias("max_hazard"),
-        got("$.slope.max_deg", "double").alias("max_deg"), got("$.arrays_path", "string").alias("arrays_path"),
-    )
+        "path_id", *rules.extract("metadata", mean_hazard=(f"{aggregate}.mean_hazard", "double"), max_hazard=(f"{aggregate}.max_hazard", "double"), max_deg=("$.slope.max_deg", "double"), arrays_path=("$.arrays_path", "string"))
+    )
 
 
 def strip_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata maps without their internal path."""
     meta = F.create_map(F.lit("source"), F.coalesce("terrain_source", F.lit("unspecified")), F.lit("arrays_path"), F.col("terrain_image_path"), F.lit("tile"), F.col("tile_id"))
-    kept = F.map_filter(meta, lambda k, v: k != "arrays_path")
+    kept = rules.strip_key(meta, "arrays_path")
     return missions(spark, sf_dir).select("mission_id", F.array_join(F.map_keys(kept), ",").alias("keys"), F.array_join(F.map_values(kept), ",").alias("values"))
 
 
@@ -89,7 +89,14 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.check_citations(rp.parse_replies(replies(spark, sf_dir)), allowed(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (structured_context, fallback_report, metadata_extract, strip_key, audit_basis, narrative_parse, citation_check)}
+def final_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path's report: the model's where it can be used, else the template."""
+    found = rp.final_report(_contexts(spark, sf_dir), replies(spark, sf_dir))
+    told = F.array_join(F.transform("top_risks", lambda k: F.concat(k.segment_id.cast("string"), F.lit(": "), k.reason)), " ")
+    return found.withColumn("top_risks", told)
+
+
+QUERIES = {f.__name__: f for f in (structured_context, fallback_report, metadata_extract, strip_key, audit_basis, narrative_parse, citation_check, final_report)}
 
 TOP = "top5 as (select *, row_number() over (partition by path_id order by hazard_score desc, segment_id) as rank from path_steps qualify rank <= 5)"
 CONTEXT = "ctx as (select r.*, m.name as mission_name, coalesce(m.terrain_source, 'unspecified') as terrain_source from risk r join missions m using (mission_id))"
@@ -109,13 +116,8 @@ judged as (
 cited as (
   select path_id, i, try_cast(try_cast(json_extract_string(body, '$.top_risks[' || i || '].segment_id') as double) as bigint) as segment_id
   from (select path_id, body, unnest(range(json_array_length(body, '$.top_risks')::bigint)) as i from judged where fallback_reason is null))"""
-ORACLE = {
-    "structured_context": with_ctes(*PATH_CTES, MISSIONS, TOP, CONTEXT)
-    + """select path_id, mission_id, mission_name, terrain_source, total_distance_m, printf('%.4f', round(total_energy_kwh + 1e-9::double, 4)) as energy, segments, worst_segment, rover_name as rover, energy_margin_kwh,
-         risk_tier as risk_score, risk_score as risk_score_numeric, feasibility
-       from ctx join (select path_id, count(*) as segments, min(segment_id) filter (rank = 1) as worst_segment from top5 group by 1) using (path_id)""",
-    "fallback_report": with_ctes(*PATH_CTES, MISSIONS, TOP, CONTEXT)
-    + """select path_id, printf('Path risk: %s (score %.4f). Feasibility: %s. Traverse covers %.3f m across %d waypoints, drawing %.4f kWh of a %.1f kWh battery (%.4f kWh margin). ', risk_tier, risk_score, feasibility,
+TEMPLATE = """template as (
+  select path_id, printf('Path risk: %s (score %.4f). Feasibility: %s. Traverse covers %.3f m across %d waypoints, drawing %.4f kWh of a %.1f kWh battery (%.4f kWh margin). ', risk_tier, risk_score, feasibility,
            total_distance_m, num_waypoints, round(total_energy_kwh + 1e-9::double, 4), capacity_kwh, energy_margin_kwh) || worst as summary, reasons,
          case feasibility when 'INFEASIBLE' then 'Do not execute: projected energy draw exceeds battery capacity. Shorten the traverse or select a lower-hazard corridor.'
            when 'FEASIBLE_WITH_MARGIN' then 'Execute with contingency planning: only ' || printf('%.4f', energy_margin_kwh) || ' kWh of reserve remains.'
@@ -123,7 +125,23 @@ ORACLE = {
        from ctx join (
          select path_id, max(printf('Highest-hazard segment: %d at hazard %.4f.', segment_id, hazard_score)) filter (rank = 1) as worst,
                 string_agg(printf('%d: Hazard score %.4f at (%d, %d), local slope %.3f deg.', segment_id, hazard_score, x, y, slope_deg), ' ' order by rank) filter (rank <= 2) as reasons
-         from top5 group by 1) using (path_id)""",
+         from top5 group by 1) using (path_id))"""
+FINAL = """checked as (
+  select c.path_id, string_agg(c.segment_id || ': steep', ' ' order by i) filter (t.segment_id is not null) as kept, count(*) filter (t.segment_id is null) as dropped
+  from cited c left join top5 t on t.path_id = c.path_id and t.segment_id = c.segment_id group by 1),
+final as (
+  select t.path_id, case when j.path_id is not null and j.fallback_reason is null then 'llm' else 'template_fallback' end as generated_by,
+         case when generated_by = 'llm' then json_extract_string(j.body, '$.summary') else t.summary end as summary, case when generated_by = 'llm' then coalesce(c.kept, '') else t.reasons end as top_risks,
+         case when generated_by = 'llm' then json_extract_string(j.body, '$.recommendation') else t.recommendation end as recommendation, case when generated_by = 'llm' then coalesce(c.dropped, 0) end as dropped_citations,
+         case when generated_by <> 'llm' then coalesce(j.fallback_reason, 'no reply') end as fallback_reason
+  from template t left join judged j using (path_id) left join checked c using (path_id))"""
+ORACLE = {
+    "final_report": with_ctes(*PATH_CTES, MISSIONS, TOP, CONTEXT, TEMPLATE, REPLIES, FINAL) + "select * from final",
+    "structured_context": with_ctes(*PATH_CTES, MISSIONS, TOP, CONTEXT)
+    + """select path_id, mission_id, mission_name, terrain_source, total_distance_m, printf('%.4f', round(total_energy_kwh + 1e-9::double, 4)) as energy, segments, worst_segment, rover_name as rover, energy_margin_kwh,
+         risk_tier as risk_score, risk_score as risk_score_numeric, feasibility
+       from ctx join (select path_id, count(*) as segments, min(segment_id) filter (rank = 1) as worst_segment from top5 group by 1) using (path_id)""",
+    "fallback_report": with_ctes(*PATH_CTES, MISSIONS, TOP, CONTEXT, TEMPLATE) + "select * from template",
     "metadata_extract": with_ctes(*PATH_CTES) + "select path_id, mean_hazard, max_hazard, max_slope_deg as max_deg, '/srv/x.npz' as arrays_path from risk",
     "strip_key": with_ctes(MISSIONS) + "select mission_id, 'source,tile' as keys, coalesce(terrain_source, 'unspecified') || ',' || tile_id as values from missions",
     "audit_basis": with_ctes(*PATH_CTES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regolith.functions.lineage import cut
 from regolith.operators import hazard as hz
-from regolith.operators import planning, regions, stencil
+from regolith.operators import planning, regions, reports, stencil
 from regolith.operators.relax import edges_of, labels
 from regolith.plans.raster import CELLS, NMS, ROUGH, SLOPE, THRESHOLDS, close_sql
 from regolith.settings import NOISE_TILES as S
@@ -77,6 +77,31 @@ terms as (
 scored as (select *, greatest(0, least(1, {S.weight_slope}::double * slope_term + {S.weight_obstacle}::double * obstacle_term + {S.weight_roughness}::double * roughness)) as hazard from terms)"""
 
 
+#: The smallest circle around points is the largest of those around any three of them.
+CIRCLES = """ends_ as (
+  select tile_id, label, y, min(x) as x0, max(x) as x1 from region_cells where boundary and (tile_id, label) in (select tile_id, label from obst) group by all),
+pts as (select *, row_number() over (partition by tile_id, label order by px, py) as i from (
+  select tile_id, label, x0::double as px, y::double as py from ends_ union select tile_id, label, x1, y from ends_)),
+tri as (
+  select a.tile_id, a.label, a.px as ax, a.py as ay, b.px as bx, b.py as by_, c.px as cx, c.py as cy, (b.px - a.px) ** 2 + (b.py - a.py) ** 2 as ab, (c.px - b.px) ** 2 + (c.py - b.py) ** 2 as bc,
+         (c.px - a.px) ** 2 + (c.py - a.py) ** 2 as ac, 2 * ((b.px - a.px) * (c.py - a.py) - (b.py - a.py) * (c.px - a.px)) as d
+  from pts a join pts b on a.tile_id = b.tile_id and a.label = b.label and a.i < b.i join pts c on c.tile_id = a.tile_id and c.label = a.label and (b.i < c.i or (c.i = b.i and b.i = a.i + 1))),
+rings as (
+  select *, greatest(ab, bc, ac) * 2 >= ab + bc + ac or d = 0 as flat,
+         case when not flat then ax + ((cy - ay) * ab - (by_ - ay) * ac) / d when ab >= bc and ab >= ac then (ax + bx) / 2 when bc >= ac then (bx + cx) / 2 else (ax + cx) / 2 end as ox,
+         case when not flat then ay + ((bx - ax) * ac - (cx - ax) * ab) / d when ab >= bc and ab >= ac then (ay + by_) / 2 when bc >= ac then (by_ + cy) / 2 else (ay + cy) / 2 end as oy,
+         case when flat then sqrt(greatest(ab, bc, ac)) / 2 else sqrt(ab) * sqrt(bc) * sqrt(ac) / abs(d) end as radius from tri),
+circles as (
+  select tile_id, label, round_even(round(arg_max(ox, radius), 6), 0)::int as x, round_even(round(arg_max(oy, radius), 6), 0)::int as y, max(radius) as radius from rings group by all)"""
+OBSTACLE_STATS = """ostats as (
+  select tile_id, coalesce(raw_regions, 0) as raw_regions, coalesce(found, 0) as obstacles, round(coalesce(found, 0) / (cells / 1e6), 2) as density_per_mpx,
+         round(coalesce(covered, 0)::double / cells, 6) as area_fraction, round(coalesce(radius, 0), 4) as mean_radius_px, coalesce(told, '') as obstacle_list
+       from (select tile_id, count(*) as cells from cells group by 1) left join (select tile_id, count(*) as raw_regions from region_sums group by 1) using (tile_id)
+       left join (select tile_id, count(*) as found, sum(n_cells) as covered, avg(radius) as radius,
+           string_agg(printf('%d:%d,%d,%.2f,%.2f,%.2f', obstacle_id, x, y, round(area_px, 2), round(radius, 2), round(area_m2, 2)), ' ' order by obstacle_id) as told
+         from obst join circles using (tile_id, label) group by 1) using (tile_id))"""
+
+
 def _filled(c: DataFrame) -> DataFrame:
     return cut(regions.filled_mask(cut(regions.closed_edges(c, S))))
 
@@ -106,7 +131,7 @@ def obstacle_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def obstacle_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, _, kept = _obstacles(cells(spark, sf_dir))
-    return regions.obstacle_circles(parts, kept)
+    return regions.obstacle_circles(parts, kept).withColumn("radius_px", F.round("radius_px", 6))
 
 
 def obstacle_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +140,37 @@ def obstacle_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.obstacle_distance(c, regions.obstacle_mask(parts, kept), S).withColumn("distance_m", F.round("distance_m", 6))
 
 
-def obstacle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per tile: regions seen and kept, their density, and the share of cells that they cover."""
-    c = cells(spark, sf_dir)
-    _, sums, kept = _obstacles(c)
+def _obstacle_stats(c: DataFrame, sums: DataFrame, circles: DataFrame) -> DataFrame:
     size = c.groupBy("tile_id").agg(F.count("*").alias("cells"))
     raw = sums.groupBy("tile_id").agg(F.count("*").alias("raw_regions"))
-    got = kept.groupBy("tile_id").agg(F.count("*").alias("obstacles"), F.sum("n_cells").alias("covered"))
-    n = F.coalesce("obstacles", F.lit(0))
+    packed = F.array_sort(F.collect_list(F.struct("obstacle_id", "x", "y", F.round("area_px", 2).alias("area_px"), F.round("radius_px", 2).alias("radius_px"), F.round("area_m2", 2).alias("area_m2"))))
+    got = circles.groupBy("tile_id").agg(F.count("*").alias("found"), F.sum("n_cells").alias("covered"), F.avg("radius_px").alias("radius"), packed.alias("packed"))
+    n = F.coalesce("found", F.lit(0))
     return size.join(raw, "tile_id", "left").join(got, "tile_id", "left").select(
-        "tile_id", F.coalesce("raw_regions", F.lit(0)).alias("raw_regions"), n.alias("obstacles"),
-        F.round(n / (F.col("cells") / 1e6), 2).alias("density_per_mpx"), F.round(F.coalesce("covered", F.lit(0)) / F.col("cells"), 6).alias("area_fraction"),
+        "tile_id", F.coalesce("raw_regions", F.lit(0)).alias("raw_regions"), n.alias("obstacles"), F.round(n / (F.col("cells") / 1e6), 2).alias("density_per_mpx"),
+        F.round(F.coalesce("covered", F.lit(0)) / F.col("cells"), 6).alias("area_fraction"), F.round(F.coalesce("radius", F.lit(0.0)), 4).alias("mean_radius_px"), "packed",
+    )
+
+
+def obstacle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tile: regions seen and kept, their density, mean radius, and the share of cells that they cover."""
+    c = cells(spark, sf_dir)
+    parts, sums, kept = _obstacles(c)
+    return _obstacle_stats(c, sums, regions.obstacle_circles(parts, kept)).drop("packed")
+
+
+def terrain_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each tile: its statistics, class and the rule that decided, from its own cells, and its obstacles packed
+    in the order of their ids."""
+    c = cells(spark, sf_dir)
+    parts, sums, kept = _obstacles(c)
+    found = _obstacle_stats(c, sums, regions.obstacle_circles(parts, kept))
+    flat = stencil.layers(c, S).groupBy("tile_id").agg(F.avg("slope_deg").alias("_slope"), F.avg("roughness").alias("_rough"))
+    name, rule = hz.classify(F.col("area_fraction"), F.col("_slope"), F.col("_rough"), S)
+    told = F.transform(F.col("packed"), lambda o: F.format_string("%d:%d,%d,%.2f,%.2f,%.2f", o.obstacle_id, o.x, o.y, o.area_px, o.radius_px, o.area_m2))
+    return found.join(flat, "tile_id").select(
+        "tile_id", F.round("_slope", 3).alias("mean_slope_deg"), F.round("_rough", 4).alias("mean_roughness"), "obstacles", "area_fraction", "mean_radius_px",
+        name.alias("terrain_class"), rule.alias("rule_fired"), F.coalesce(F.array_join(told, " "), F.lit("")).alias("obstacle_list"),
     )
 
 
@@ -133,7 +178,7 @@ def scored(c: DataFrame) -> DataFrame:
     """(tile_id, y, x, slope_deg, roughness, slope_term, obstacle_term, hazard) of every cell."""
     parts, _, kept = _obstacles(c)
     distance = regions.obstacle_distance(c, regions.obstacle_mask(parts, kept), S)
-    flat = stencil.roughness(stencil.slope(c, S), S)
+    flat = stencil.layers(c, S)
     both = flat.join(distance, regions.KEYS)
     terms = both.withColumns({"slope_term": hz.slope_term(F.col("slope_deg"), S), "obstacle_term": hz.proximity_term(F.col("distance_m"))})
     terms = terms.withColumn("hazard", hz.hazard(F.col("slope_term"), F.col("obstacle_term"), F.col("roughness"), S))
@@ -149,26 +194,39 @@ def hazard_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(cells(spark, sf_dir)).select(*regions.KEYS, F.round("hazard", 6).alias("hazard"))
 
 
-def hazard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(cells(spark, sf_dir))
-    mean = lambda c, n=6: F.round(F.avg(c), n)
-    return s.groupBy("tile_id").agg(
-        mean("hazard").alias("mean_hazard"), F.round(F.max("hazard"), 6).alias("max_hazard"), F.round(F.percentile("hazard", F.lit(0.95)), 6).alias("p95_hazard"),
-        mean((F.col("hazard") > 0.6).cast("double")).alias("fraction_above_0_6"), mean("slope_term").alias("slope_term"), mean("obstacle_term").alias("obstacle_term"), mean("roughness").alias("roughness_term"),
+def _hazard_stats(s: DataFrame) -> DataFrame:
+    s = cut(s)
+    mean = lambda c: F.round(F.avg(c), 6)
+    sums = s.groupBy("tile_id").agg(
+        mean("hazard").alias("mean_hazard"), F.round(F.max("hazard"), 6).alias("max_hazard"), mean((F.col("hazard") > 0.6).cast("double")).alias("fraction_above_0_6"),
+        mean("slope_term").alias("slope_term"), mean("obstacle_term").alias("obstacle_term"), mean("roughness").alias("roughness_term"),
     )
+    return sums.join(hz.exact_percentile(s, "hazard", 0.95, 1e-4, "p95_hazard").withColumn("p95_hazard", F.round("p95_hazard", 6)), "tile_id")
+
+
+def hazard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hazard_stats(scored(cells(spark, sf_dir)))
+
+
+def hazard_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit record of each tile's hazard, by fields of every level."""
+    b = "basis."
+    found = reports.hazard_basis(_hazard_stats(scored(cells(spark, sf_dir))), S)
+    return found.select("tile_id", b + "formula", F.col(b + "weights.slope").alias("w_slope"), F.col(b + "weights.obstacle_proximity").alias("w_obstacle"), b + "roughness_window", b + "aggregate.mean_hazard", b + "aggregate.p95_hazard", b + "component_means.obstacle_term")
 
 
 # --- statistics and classes --------------------------------------------------------------------------------------
 
 
 def terrain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = stencil.roughness(stencil.slope(cells(spark, sf_dir), S), S)
+    flat = cut(stencil.layers(cells(spark, sf_dir), S))
     size = lambda c: F.round((F.max(c) + 1) * S.meters_per_pixel, 1)
-    return flat.groupBy("tile_id").agg(
+    sums = flat.groupBy("tile_id").agg(
         size("x").alias("width_m"), size("y").alias("height_m"), (F.count("*") / 1e6).alias("megapixels"),
-        F.round(F.avg("slope_deg"), 3).alias("mean_slope_deg"), F.round(F.max("slope_deg"), 3).alias("max_slope_deg"), F.round(F.percentile("slope_deg", F.lit(0.95)), 3).alias("p95_slope_deg"),
+        F.round(F.avg("slope_deg"), 3).alias("mean_slope_deg"), F.round(F.max("slope_deg"), 3).alias("max_slope_deg"),
         F.round(F.avg("roughness"), 4).alias("mean_roughness"), F.round(F.max("roughness"), 4).alias("max_roughness"),
     )
+    return sums.join(hz.exact_percentile(flat, "slope_deg", 0.95, 0.01, "p95_slope_deg").withColumn("p95_slope_deg", F.round("p95_slope_deg", 3)), "tile_id")
 
 
 def class_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,12 +240,13 @@ def class_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLASS_INPUTS = """class_inputs as (
   select l_suppkey as tile_id, round(avg(l_discount) * (l_suppkey % 5), 6) as area_fraction, round(avg(l_tax) * 100 + l_suppkey % 4, 6) as mean_slope_deg,
          round(avg(l_discount) * (l_suppkey % 3) * 2, 6) as mean_roughness, count(*) as obstacles from lineitem group by l_suppkey)"""
-CLASSES = f"""classes as (
-  select *, case when area_fraction >= {S.crater_min_area_fraction} then 'crater_field'
-    when mean_slope_deg <= {S.sandy_max_slope_deg} and mean_roughness <= {S.sandy_max_roughness} and area_fraction < {S.sandy_max_area_fraction} then 'sandy_plain' else 'rocky_highland' end as terrain_class,
-    case when area_fraction >= {S.crater_min_area_fraction} then printf('obstacle_area_fraction %.3f >= %.2f (few large closed features)', area_fraction, {S.crater_min_area_fraction}::double)
-    when mean_slope_deg <= {S.sandy_max_slope_deg} and mean_roughness <= {S.sandy_max_roughness} and area_fraction < {S.sandy_max_area_fraction} then 'low slope AND low roughness AND sparse obstacles'
-    else 'default (elevated slope, roughness, or obstacle count)' end as rule_fired from class_inputs)"""
+CLASS_NAME = f"""case when {{area}} >= {S.crater_min_area_fraction} then 'crater_field'
+    when {{slope}} <= {S.sandy_max_slope_deg} and {{rough}} <= {S.sandy_max_roughness} and {{area}} < {S.sandy_max_area_fraction} then 'sandy_plain' else 'rocky_highland' end"""
+CLASS_RULE = f"""case when {{area}} >= {S.crater_min_area_fraction} then printf('obstacle_area_fraction %.3f >= %.2f (few large closed features)', round({{area}}, 3), {S.crater_min_area_fraction}::double)
+    when {{slope}} <= {S.sandy_max_slope_deg} and {{rough}} <= {S.sandy_max_roughness} and {{area}} < {S.sandy_max_area_fraction} then 'low slope AND low roughness AND sparse obstacles'
+    else 'default (elevated slope, roughness, or obstacle count)' end"""
+_OF = {"area": "area_fraction", "slope": "mean_slope_deg", "rough": "mean_roughness"}
+CLASSES = f"classes as (select *, {CLASS_NAME.format(**_OF)} as terrain_class, {CLASS_RULE.format(**_OF)} as rule_fired from class_inputs)"
 
 
 def terrain_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +264,8 @@ def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- routes ------------------------------------------------------------------------------------------------------
 
 MPC = 2.0
+#: plan_waypoints: the same grids as of rasters 8/3 times as large, whose cells are 5.3334 m wide.
+SCALE, WIDE = 2.6667, 5.3334
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +313,30 @@ surface(plan_id, "row", col, cost) using key (plan_id, "row", col) as (
   left join recurring.surface k on k.plan_id = e.plan_id and k."row" = e.to_row and k.col = e.to_col
   where k.cost is null or s.cost + e.cost < k.cost group by e.plan_id, e.to_row, e.to_col)"""
 STATUS = """plan_status as (
-  select r.plan_id, case when v.rover_id is null then 'NO_ROVER' when g.tile_id is null then 'NO_GRID' when start_x = goal_x and start_y = goal_y then 'SAME_CELL'
+  select r.plan_id, case when v.rover_id is null then 'NO_ROVER' when g.tile_id is null then 'NO_GRID' when not whole then 'GRID_MISMATCH' when start_x = goal_x and start_y = goal_y then 'SAME_CELL'
          when s.cost is null then 'NO_ROUTE' else 'OK' end as status, s.cost
-  from plan_requests r left join rovers v using (rover_id) left join (select distinct tile_id from grids) g using (tile_id)
+  from plan_requests r left join rovers v using (rover_id) left join (select tile_id, (max("row") + 1) * (max(col) + 1) = least(count(hazard), count(elevation_m)) as whole from grids group by 1) g using (tile_id)
   left join surface s on s.plan_id = r.plan_id and s."row" = r.goal_y and s.col = r.goal_x)"""
 
 
+#: plan_requests as wide_requests, edges as wide as their cells, and the way back: of the neighbours by which a cell is reached most
+#: cheaply the first row by row.
+WIDE_EDGES = EDGE_TABLE.replace(f"{MPC}::double", f"{WIDE}::double")
+TRACE = f"""steps_back as (
+  select e.plan_id, e.to_row as "row", e.to_col as col, arg_min({{'r': e."row", 'c': e.col}}, (s.cost + e.cost, e."row", e.col)) as b
+  from plan_edges e join surface s on s.plan_id = e.plan_id and s."row" = e."row" and s.col = e.col group by all),
+trace(plan_id, nth, "row", col) as (
+  select plan_id, 0, 47, 61 from plan_status where status = 'OK'
+  union all
+  select t.plan_id, nth + 1, b.r, b.c from trace t join steps_back k on k.plan_id = t.plan_id and k."row" = t."row" and k.col = t.col where t."row" <> 2 or t.col <> 2),
+routes as (select plan_id, (max(nth) over (partition by plan_id) - nth)::int as segment_id, "row", col from trace),
+walked as (
+  select r.*, v.kwh_per_m, g.hazard, coalesce(sqrt((r."row" - lag(r."row") over w) ** 2 + (r.col - lag(r.col) over w) ** 2) * {WIDE}::double, 0) as m, g.elevation_m - lag(g.elevation_m) over w as rise
+  from routes r join plan_requests q using (plan_id) join rovers v using (rover_id) join grids g on g.tile_id = q.tile_id and g."row" = r."row" and g.col = r.col
+  window w as (partition by r.plan_id order by r.segment_id)),
+ways as (select *, case when m > 0 then rise / m else 0 end as slope, kwh_per_m * m * (1 + {S.energy_slope_coefficient}::double * abs(case when m > 0 then rise / m else 0 end)) as e from walked)"""
+
+
 def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.cost_surface(plan_requests(spark, sf_dir), grids(spark, sf_dir), rovers(spark), S)
 
@@ -288,10 +367,25 @@ def plan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("total_cost", F.round("total_cost", 6))
 
 
+def wide_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plan_requests in pixels of the larger rasters."""
+    ends = {"start_x": F.lit(5), "start_y": F.lit(5), "goal_x": F.when(F.col("plan_id") % 5 == 4, 5).otherwise(163), "goal_y": F.when(F.col("plan_id") % 5 == 4, 5).otherwise(125)}
+    return plan_requests(spark, sf_dir).withColumns(ends | {"scale": F.lit(SCALE), "meters_per_cell": F.lit(WIDE)})
+
+
 def plan_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests, g = plan_requests(spark, sf_dir), grids(spark, sf_dir)
-    route = planning.back_trace(requests, g, cut(_surface(spark, sf_dir)))
-    return planning.waypoints(route, requests, g, rovers(spark), S)
+    requests, g = wide_requests(spark, sf_dir), grids(spark, sf_dir)
+    return planning.waypoints(planning.routes(requests, g, rovers(spark), S), requests, g, rovers(spark), S)
+
+
+def path_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit record of each plan that has a grid and a vehicle, by fields."""
+    b, g = "basis.", grids(spark, sf_dir)
+    asked = planning.snapped(plan_requests(spark, sf_dir), g).where("whole").join(blocked_edges(spark, sf_dir), ["tile_id", "rover_id"])
+    return reports.path_basis(asked, S).select(
+        "plan_id", b + "connectivity", b + "cost_function", b + "energy_slope_coefficient", b + "planning_grid_shape.rows", b + "planning_grid_shape.cols", b + "meters_per_cell", b + "downsample_scale",
+        b + "lethal_hazard_threshold", b + "moves_blocked_by_lethal_hazard", b + "moves_blocked_by_slope_limit",
+    )
 
 
 def step_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +398,7 @@ def slope_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grids(spark, sf_dir)
     n = g.groupBy("tile_id").agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols"))
     other = g.select("tile_id", F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.col("elevation_m").alias("elevation_b"))
-    pairs = g.join(F.broadcast(n), "tile_id").withColumns({"row_b": (F.col("row") + 3) % F.col("rows"), "col_b": F.when(F.col("row") % 10 == 0, F.col("col")).otherwise((F.col("col") + 2) % F.col("cols"))})
+    pairs = g.join(n, "tile_id").withColumns({"row_b": (F.col("row") + 3) % F.col("rows"), "col_b": F.when(F.col("row") % 10 == 0, F.col("col")).otherwise((F.col("col") + 2) % F.col("cols"))})
     pairs = pairs.withColumn("row_b", F.when(F.col("row") % 20 == 0, F.col("row")).otherwise(F.col("row_b"))).join(other, ["tile_id", "row_b", "col_b"])
     dy, dx = F.col("row_b") - F.col("row"), F.col("col_b") - F.col("col")
     run = F.sqrt((dy * dy + dx * dx).cast("double")) * MPC
@@ -320,7 +414,7 @@ def snap_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        edge_hysteresis, region_labels, filled_mask, obstacle_regions, obstacle_circles, obstacle_distance, obstacle_stats, hazard_terms, hazard_score, hazard_stats,
+        edge_hysteresis, region_labels, filled_mask, obstacle_regions, obstacle_circles, obstacle_distance, obstacle_stats, terrain_analysis, hazard_terms, hazard_score, hazard_stats, hazard_basis, path_basis,
         terrain_stats, terrain_class, class_summary, grid_edges, blocked_edges, cost_surface, plan_cost, plan_status, plan_waypoints, step_energy, slope_between, snap_to_grid,
     )
 }
@@ -332,11 +426,16 @@ ORACLE = {
     "filled_mask": with_ctes(CELLS, FILLED) + "select * from filled",
     "obstacle_regions": with_ctes(CELLS, REGIONS) + "select tile_id, label, n_cells, boundary_cells, area_px, obstacle_id, area_m2 from obst",
     "obstacle_distance": with_ctes(CELLS, DISTANCE) + "select tile_id, y, x, round(distance_m, 6) as distance_m from dist",
-    "obstacle_stats": with_ctes(CELLS, REGIONS)
-    + """select tile_id, coalesce(raw_regions, 0) as raw_regions, coalesce(obstacles, 0) as obstacles, round(coalesce(obstacles, 0) / (cells / 1e6), 2) as density_per_mpx,
-         round(coalesce(covered, 0)::double / cells, 6) as area_fraction
-       from (select tile_id, count(*) as cells from cells group by 1) left join (select tile_id, count(*) as raw_regions from region_sums group by 1) using (tile_id)
-       left join (select tile_id, count(*) as obstacles, sum(n_cells) as covered from obst group by 1) using (tile_id)""",
+    "obstacle_circles": with_ctes(CELLS, REGIONS, CIRCLES) + "select o.*, c.x, c.y, round(c.radius, 6) as radius_px from obst o join circles c using (tile_id, label)",
+    "obstacle_stats": with_ctes(CELLS, REGIONS, CIRCLES, OBSTACLE_STATS) + "select * exclude (obstacle_list) from ostats",
+    "terrain_analysis": with_ctes(CELLS, REGIONS, CIRCLES, OBSTACLE_STATS, SLOPE, ROUGH)
+    + f"""select tile_id, round(ms, 3) as mean_slope_deg, round(mr, 4) as mean_roughness, obstacles, area_fraction, mean_radius_px, {CLASS_NAME.format(area="area_fraction", slope="ms", rough="mr")} as terrain_class,
+         {CLASS_RULE.format(area="area_fraction", slope="ms", rough="mr")} as rule_fired, obstacle_list
+       from ostats join (select tile_id, avg(slope_deg) as ms, avg(roughness) as mr from sloped join rough using (tile_id, y, x) group by 1) using (tile_id)""",
+    "hazard_basis": with_ctes(CELLS, HAZARD)
+    + f"""select tile_id, 'hazard = w_slope * min(slope_deg / slope_reference_deg, 1) + w_obstacle * 1/(1 + distance_to_obstacle_m) + w_roughness * normalised_local_std' as formula, {S.weight_slope}::double as w_slope,
+         {S.weight_obstacle}::double as w_obstacle, {S.roughness_window} as roughness_window, round(round(avg(hazard), 6), 4) as mean_hazard, round(round(quantile_cont(hazard, 0.95), 6), 4) as p95_hazard,
+         round(round(avg(obstacle_term), 6), 4) as obstacle_term from scored group by tile_id""",
     "hazard_terms": with_ctes(CELLS, HAZARD) + "select tile_id, y, x, round(slope_term, 6) as slope_term, round(obstacle_term, 6) as obstacle_term, round(roughness, 6) as roughness from terms",
     "hazard_score": with_ctes(CELLS, HAZARD) + "select tile_id, y, x, round(hazard, 6) as hazard from scored",
     "hazard_stats": with_ctes(CELLS, HAZARD)
@@ -357,6 +456,15 @@ ORACLE = {
     "cost_surface": with_ctes(*PLAN) + 'select plan_id, "row", col, round(cost, 6) as cost from surface',
     "plan_cost": with_ctes(*PLAN) + "select plan_id, round(cost, 6) as total_cost from plan_status where status = 'OK'",
     "plan_status": with_ctes(*PLAN) + "select plan_id, status, case when status = 'OK' then round(cost, 6) end as total_cost from plan_status",
+    "plan_waypoints": with_ctes(CELLS, GRIDS, ROVERS_SQL, REQUESTS, WIDE_EDGES, SURFACE, STATUS, TRACE)
+    + f"""select plan_id as path_id, segment_id, round_even(col * {SCALE}::double, 0)::int as x, round_even("row" * {SCALE}::double, 0)::int as y, round(hazard, 4) as hazard_score, round(degrees(atan(slope)), 3) as slope_deg,
+         round(m, 3) as step_distance_m, round(e, 6) as energy_cost_kwh, round(sum(e) over (partition by plan_id order by segment_id rows unbounded preceding), 6) as cumulative_energy_kwh from ways""",
+    "path_basis": with_ctes(CELLS, GRIDS, ROVERS_SQL, REQUESTS, EDGE_TABLE)
+    + f"""select plan_id, 8 as connectivity, 'distance_m * (1 + hazard) * (1 + k * |rise/run|)' as cost_function, {S.energy_slope_coefficient}::double as energy_slope_coefficient, nr as "rows", nc as cols, {MPC}::double as meters_per_cell,
+         1::double as downsample_scale, {S.lethal_hazard}::double as lethal_hazard_threshold, by_hazard as moves_blocked_by_lethal_hazard, by_slope as moves_blocked_by_slope_limit
+       from plan_requests join (select tile_id, max("row") + 1 as nr, max(col) + 1 as nc from grids group by 1) using (tile_id) join (
+         select tile_id, rover_id, count(*) filter (to_hazard >= {S.lethal_hazard}::double) as by_hazard,
+           count(*) filter (to_hazard < {S.lethal_hazard}::double and abs(rise_over_run) > tan(radians(max_slope_deg))) as by_slope from grid_edges cross join rovers group by all) using (tile_id, rover_id)""",
     "step_energy": with_ctes(CELLS, GRIDS, EDGE_TABLE)
     + f"""select tile_id, "row", col, to_row, to_col, round(rise_over_run, 6) as rise_over_run, round(1 + {S.energy_slope_coefficient}::double * abs(round(rise_over_run, 6)), 8) as energy_factor from grid_edges""",
     "slope_between": with_ctes(CELLS, GRIDS)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.lineage import shared_dir
 from regolith.operators import dem as dm
 from regolith.operators import paths as pt
+from regolith.operators import rules
 from regolith.settings import DEFAULT as D
 from regolith.settings import DEM_COLUMNS, DEM_METERS_PER_PIXEL, DEM_ROWS, IMAGE_SUFFIXES, MAX_UPLOAD_BYTES, NO_DATA, ROVERS
+from regolith.sources.images import screen
+from regolith.sources.store import read_grids, write_grids
 from regolith.sources.tables import (
     CELLS, CROP_REQUESTS, DEM, MISSIONS, PATH_STEPS, PATHS, ROVERS_SQL, STATUS_EVENTS,
     cells, crop_requests, dem, missions, path_steps, paths, rovers, status_events, table, with_ctes,
@@ -101,24 +107,17 @@ def list_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths(spark, sf_dir).withColumn("place", place).orderBy("mission_id", "place")
 
 
-_WAYPOINT = ("segment_id", "x", "y", "hazard_score", "slope_deg")
-
-
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path_steps(spark, sf_dir).groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct(*_WAYPOINT))).alias("waypoints"))
-
-
 def pack_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered arrays of waypoints, shown by size, segment order and ends."""
     w = F.col("waypoints")
-    return _packed(spark, sf_dir).select(
+    return pt.pack(path_steps(spark, sf_dir)).select(
         "path_id", F.size(w).alias("n"), F.array_join(F.transform(w, lambda s: s.segment_id.cast("string")), ",").alias("segments"),
         F.element_at(w, 1).x.alias("first_x"), F.element_at(w, -1).y.alias("last_y"), F.aggregate(w, F.lit(0.0), lambda a, s: F.greatest(a, s.hazard_score)).alias("max_hazard"),
     )
 
 
 def unpack_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed(spark, sf_dir).select("path_id", F.inline("waypoints"))
+    return pt.unpack(pt.pack(path_steps(spark, sf_dir)))
 
 
 # --- missions ----------------------------------------------------------------------------------------------------
@@ -140,22 +139,17 @@ def report_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a report request for each mission would meet first; gates test that rows exist."""
-    m = missions(spark, sf_dir).select("mission_id")
-    has = lambda df, name: df.select("mission_id").distinct().withColumn(name, F.lit(True))
-    met = m.join(has(analyses(spark, sf_dir), "analysed"), "mission_id", "left").join(has(paths(spark, sf_dir), "planned"), "mission_id", "left")
-    return met.select("mission_id", F.when(F.col("analysed").isNull(), "terrain not analysed").when(F.col("planned").isNull(), "no path planned").otherwise("ok").alias("outcome"))
+    return rules.stage_gate(missions(spark, sf_dir), analyses(spark, sf_dir), paths(spark, sf_dir))
 
 
 def path_owner_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests name a path and a mission, every fourth the wrong one: those whose path is not the mission's."""
+    """Requests name a path and a mission, every fourth the wrong one."""
     asked = paths(spark, sf_dir).select("path_id", (F.col("mission_id") + (F.col("path_id") % 4 == 0).cast("int")).alias("mission_id"))
-    return asked.join(paths(spark, sf_dir).select("path_id", "mission_id"), ["path_id", "mission_id"], "left_anti").withColumn("reason", F.lit("path belongs to another mission"))
+    return rules.foreign_paths(asked, paths(spark, sf_dir))
 
 
 def unknown_rover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = paths(spark, sf_dir).select("path_id", (F.col("path_id") % 5).cast("int").alias("rover_id"))
-    return asked.join(F.broadcast(rovers(spark).select("rover_id")), "rover_id", "left_anti")
+    return rules.unknown_rovers(paths(spark, sf_dir).select("path_id", (F.col("path_id") % 5).cast("int").alias("rover_id")), rovers(spark))
 
 
 def mission_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +204,9 @@ def mission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missions that ask for a plan though their tile has no stored grid (odd tiles have none)."""
-    stored = cells(spark, sf_dir).select("tile_id").distinct().where("cast(tile_id as int) % 2 = 0")
-    return missions(spark, sf_dir).select("mission_id", "tile_id").join(F.broadcast(stored), "tile_id", "left_anti").withColumn("reason", F.lit("no planning grid"))
+    folder = f"{shared_dir(spark)}/grids-{uuid.uuid4().hex}"
+    write_grids(cells(spark, sf_dir).where("cast(tile_id as int) % 2 = 0").select("tile_id", F.col("y").alias("row"), F.col("x").alias("col"), "intensity"), folder)
+    return read_grids(spark, folder, missions(spark, sf_dir).select("mission_id", "tile_id"))[1]
 
 
 def upload_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,27 +215,20 @@ def upload_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("/in/f"), F.col("doc_id").cast("string"), F.element_at(suffixes, (F.col("doc_id") % 6 + 1).cast("int"))).alias("path"), (F.col("n_chars") * 4000).alias("length")
     )
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return up.withColumn("reject_reason", F.when(~suffix.isin(*IMAGE_SUFFIXES), "unsupported type").when(F.col("length") > MAX_UPLOAD_BYTES, "too large"))
+    return screen(up)
 
 
 def static_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Served address of an image below the storage root; anything else has none."""
-    root = "/srv/storage/"
-    url = F.when(F.col("terrain_image_path").startswith(root), F.concat(F.lit("/static/"), F.expr(f"substring(terrain_image_path, {len(root) + 1})")))
-    return missions(spark, sf_dir).select("mission_id", url.alias("url"))
+    return missions(spark, sf_dir).select("mission_id", rules.static_url("terrain_image_path").alias("url"))
 
 
 def validate_rovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.length("rover_name").between(1, 100) == F.lit(False), "name length").when(~(F.col("capacity_kwh") > 0), "capacity").when(~((F.col("max_slope_deg") > 0) & (F.col("max_slope_deg") <= 89)), "slope limit")
-    return _own_rovers(spark, sf_dir).withColumn("reject_reason", reason)
+    return rules.validate_rovers(_own_rovers(spark, sf_dir))
 
 
 def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start and goal must not be negative; a mission's name has 1 to 200 characters."""
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") - 5).alias("start_x"), (F.col("p_partkey") % 7 - 1).cast("int").alias("goal_y"), F.repeat("p_name", F.col("p_size")).alias("name"))
-    reason = F.when(F.col("start_x") < 0, "start").when(F.col("goal_y") < 0, "goal").when(~F.length("name").between(1, 200), "name length")
-    return p.select("p_partkey", "start_x", "goal_y", F.length("name").alias("name_length"), reason.alias("reject_reason"))
+    return rules.validate_requests(p).select("p_partkey", "start_x", "goal_y", F.length("name").alias("name_length"), "reject_reason")
 
 
 # --- DEM ---------------------------------------------------------------------------------------------------------
@@ -251,9 +239,12 @@ def lonlat_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dem(spark, sf_dir)
-    size = d.agg(F.max("py") + 1, F.max("px") + 1).first()
-    return dm.crop(crop_requests(spark, sf_dir), d, size[0], size[1])
+    """Windows read back from the raster as a table of bands."""
+    d, asked = dem(spark, sf_dir), crop_requests(spark, sf_dir)
+    rows, columns = d.agg(F.max("py") + 1, F.max("px") + 1).first()
+    folder = f"{shared_dir(spark)}/dem-{uuid.uuid4().hex}"
+    dm.write_blocks(d, folder)
+    return dm.crop(asked, dm.read_blocks(spark, folder, asked, rows, columns), rows, columns)
 
 
 def dem_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,10 +261,7 @@ def dem_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dm.relief(_crops(spark, sf_dir)).join(crop_requests(spark, sf_dir), "request_id").where("reject_reason is null").select(
-        "request_id", "px", "py", F.col("size").alias("tile_size_px"), F.round(F.col("size") * DEM_METERS_PER_PIXEL / 1000, 2).alias("ground_coverage_km"),
-        F.round(F.col("low").cast("double"), 2).alias("min_elevation_m"), F.round(F.col("high").cast("double"), 2).alias("max_elevation_m"), F.round(F.col("relief").cast("double"), 2).alias("elevation_range_m"), F.lit(DEM_METERS_PER_PIXEL).alias("meters_per_pixel"),
-    )
+    return dm.sidecar(dm.relief(_crops(spark, sf_dir)), crop_requests(spark, sf_dir))
 
 
 QUERIES = {

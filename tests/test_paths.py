@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from regolith.operators import paths as pt
 from regolith.operators import reports as rp
+from regolith.operators import rules
 
 
 def assessed(spark, hazards, energy, capacity):
@@ -70,3 +71,41 @@ def test_recommendations(spark):
     df = spark.createDataFrame([("INFEASIBLE", -1.0), ("FEASIBLE_WITH_MARGIN", 0.25), ("FEASIBLE", 3.0)], "f string, m double")
     got = [r[0] for r in df.select(rp.recommendation(F.col("f"), F.col("m"))).collect()]
     assert got[0].startswith("Do not execute") and "contingency" in got[1] and "0.2500 kWh" in got[1] and got[2].startswith("Execute as planned")
+
+
+def context_of(spark, paths):
+    risk = [(p, 7, "r", 100.0, 1.5, 3, 0.4, 0.9, 12.0, 6.0, 4.5, 0.25, 25.0, 0.003, "LOW", 0.2, "FEASIBLE") for p in paths]
+    names = "path_id long, mission_id long, rover_name string, total_distance_m double, total_energy_kwh double, num_waypoints long, mean_hazard double, max_hazard double, max_slope_deg double, capacity_kwh double, energy_margin_kwh double, energy_utilisation double, rover_max_slope_deg double, kwh_per_m double, risk_tier string, risk_score double, feasibility string"
+    missions = spark.createDataFrame([(7, "m", None)], "mission_id long, name string, terrain_source string")
+    steps = spark.createDataFrame([(p, r, s, 4, 5, h, 3.0) for p in paths for r, (s, h) in enumerate([(3, 0.9), (1, 0.5), (4, 0.4)], 1)], "path_id long, rank int, segment_id int, x int, y int, hazard_score double, slope_deg double")
+    return rp.structured_context(spark.createDataFrame(risk, names), missions, steps)
+
+
+def test_final_reports(spark):
+    """A usable reply keeps the citations that the context backs; any other, and none at all, falls back to the template."""
+    got = {r.path_id: r for r in rp.final_report(context_of(spark, range(1, 10)), spark.createDataFrame(REPLIES, "path_id long, raw string")).collect()}
+    assert len(got) == 9 and {p for p, r in got.items() if r.generated_by == "llm"} == {1, 2, 3}
+    assert [(k.segment_id, k.reason) for k in got[1].top_risks] == [(3, "x")] and got[1].summary == "s" and got[1].dropped_citations == 0 and got[1].fallback_reason is None
+    assert [k.segment_id for k in got[2].top_risks] == [3, 1, 4] and got[2].dropped_citations == 3 and got[3].top_risks == []
+    assert {p: got[p].fallback_reason for p in (4, 5, 6, 7, 9)} == {4: "missing required key: recommendation", 5: "not an object", 6: "unparseable model output", 7: "no reply", 9: "no reply"}
+    for p in (4, 9):
+        assert got[p].generated_by == "template_fallback" and [k.segment_id for k in got[p].top_risks] == [3, 1] and "0.9000" in got[p].summary and got[p].recommendation.startswith("Execute as planned")
+
+
+def test_rules(spark):
+    fleet = spark.createDataFrame([("a", 1.0, 20.0), ("", 1.0, 20.0), (None, 1.0, 2.0), ("b", 0.0, 20.0), ("c", None, 20.0), ("d", 1.0, 0.0), ("e", 1.0, 89.5), ("f", 1.0, 89.0)], "rover_name string, capacity_kwh double, max_slope_deg double")
+    assert [r.reject_reason for r in rules.validate_rovers(fleet).collect()] == [None, "name length", "name length", "capacity", "capacity", "slope limit", "slope limit", None]
+    asked = spark.createDataFrame([(0, 0, 3, 3, "n"), (-1, 0, 3, 3, "n"), (0, None, 3, 3, "n"), (0, 0, 3, -3, "n"), (0, 0, 0, 0, "n" * 201)], "start_x int, start_y int, goal_x int, goal_y int, name string")
+    assert [r.reject_reason for r in rules.validate_requests(asked).collect()] == [None, "start", "start", "goal", "name length"]
+    files = spark.createDataFrame([("/srv/storage/a/b.png",), ("/srv/storage2/x",), (None,)], "p string")
+    assert [r[0] for r in files.select(rules.static_url("p")).collect()] == ["/static/a/b.png", None, None]
+    meta = spark.createDataFrame([('{"a": {"b": 1.5}, "c": "x"}',), ("no json",), (None,)], "m string")
+    assert [tuple(r) for r in meta.select(*rules.extract("m", b=("$.a.b", "double"), c=("$.c", "double"))).collect()] == [(1.5, None), (None, None), (None, None)]
+
+
+def test_packing_keeps_every_waypoint(spark):
+    rows = [(p, i, p + i, i, 0.1 * i, -1.0 * i) for p in (1, 2) for i in (2, 0, 1)]
+    steps = spark.createDataFrame(rows, "path_id long, segment_id int, x int, y int, hazard_score double, slope_deg double")
+    packed = pt.pack(steps)
+    assert [[w.segment_id for w in r.waypoints] for r in packed.collect()] == [[0, 1, 2]] * 2
+    assert sorted(map(tuple, pt.unpack(packed).collect())) == sorted(rows)

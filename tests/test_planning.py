@@ -45,7 +45,7 @@ def route(spark, *args, **kw):
     requests, grid, rovers = world(spark, *args, **kw)
     surface = planning.cost_surface(requests, grid, rovers).cache()
     status = {r.plan_id: (r.status, r.total_cost) for r in planning.plan_status(requests, grid, rovers, surface).collect()}
-    way = planning.waypoints(planning.back_trace(requests, grid, surface), requests, grid, rovers).orderBy("path_id", "segment_id").collect()
+    way = planning.waypoints(planning.routes(requests, grid, rovers), requests, grid, rovers).orderBy("path_id", "segment_id").collect()
     return status, way
 
 
@@ -107,3 +107,32 @@ def test_a_lethal_start_is_allowed(spark):
 def test_snap_rounds_half_to_even(spark):
     df = spark.createDataFrame([(5.0, 2.0), (7.0, 2.0), (-3.0, 1.0), (99.0, 1.0)], "p double, s double")
     assert [r[0] for r in df.select(planning.snap("p", "s", F.lit(10))).collect()] == [2, 4, 0, 9]
+
+
+def test_routes_in_one_task_and_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    hazard, elevation = 0.8 * rng.random((11, 12)), 0.5 * rng.random((11, 12))
+    asks = [(i, (0, 0), (11, 10)) for i in range(3)] + [(3, (4, 4), (0, 9)), (4, (2, 2), (2, 2))]
+    requests, grid, rovers = world(spark, hazard, elevation, asks, meters=2.0)
+    took = []
+    for block, portion in ((256, 64), (256, 1), (8, 64)):
+        monkeypatch.setattr(planning, "BLOCK", block)
+        monkeypatch.setattr(planning, "PORTION", portion)
+        took.append(sorted(map(tuple, planning.routes(requests, grid, rovers).collect())))
+    assert took[0] == took[1] == took[2]
+    assert [r[2:] for r in took[0] if r[0] == 0][0] == (0, 0) and {r[0] for r in took[0]} == {0, 1, 2, 3}
+
+
+def test_layers_of_two_shapes_are_a_status(spark):
+    requests, grid, rovers = world(spark, Z, Z, [(1, (0, 0), (3, 3))])
+    for broken in (grid.where("row <> 4 or col <> 4"), grid.withColumn("elevation_m", F.when(F.col("row") < 19, F.col("elevation_m")))):
+        surface = planning.cost_surface(requests, broken, rovers)
+        assert surface.count() == 0 and [r.status for r in planning.plan_status(requests, broken, rovers, surface).collect()] == ["GRID_MISMATCH"]
+
+
+def test_waypoints_at_a_scale(spark):
+    """Pixels are rounded half to even from cells of a grid that was scaled down."""
+    requests, grid, rovers = world(spark, Z, Z, [(1, (3, 3), (27, 27))], meters=5.0)
+    requests = requests.withColumn("scale", F.lit(2.5))
+    way = planning.waypoints(planning.routes(requests, grid, rovers), requests, grid, rovers).orderBy("segment_id").collect()
+    assert [(w.x, w.y) for w in way] == [(v, v) for v in (2, 5, 8, 10, 12, 15, 18, 20, 22, 25, 28)] and way[1].step_distance_m == round(5 * math.sqrt(2), 3)

@@ -91,3 +91,14 @@ def test_distance_as_numpy(spark):
     assert np.allclose(got, want)
     none = regions.obstacle_distance(cells, mask.limit(0))
     assert none.select(F.min("distance_m"), F.max("distance_m")).first()[:] == (1e6, 1e6)
+
+
+@pytest.mark.parametrize("shifts", [0, 3, 256])
+def test_nearest_by_shifts_and_by_envelope(shifts):
+    rng = np.random.default_rng(9)
+    for share in (0.01, 0.1, 0.9):
+        gap = np.where(rng.random(300) < share, rng.integers(0, 40, 300).astype(float), np.inf)
+        gap[17] = 3
+        at = np.arange(300)
+        assert (regions.nearest(gap**2, shifts) == (gap**2 + (at[:, None] - at) ** 2).min(axis=1)).all()
+    assert np.isinf(regions.nearest(np.full(4, np.inf))).all()

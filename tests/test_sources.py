@@ -82,6 +82,21 @@ def test_dem_windows(spark):
     assert levels.where("request_id = 1 and y = 5 and x = 7").first().intensity == 0 and levels.agg(F.max("intensity")).first()[0] == 255
 
 
+def test_dem_bands_are_pruned(spark, tmp_path):
+    dem = spark.createDataFrame([(y, x, 1000 * y + x) for y in range(40) for x in range(50)], "py int, px int, elevation_m int")
+    asked = spark.createDataFrame([(1, 8, 12, 4), (2, 30, 14, 4)], "request_id int, px int, py int, size int")
+    dm.write_blocks(dem, str(tmp_path / "d"), 10)
+    stored = dm.read_blocks(spark, str(tmp_path / "d"), asked, 40, 50, 10)
+    assert stored.select(F.min("py"), F.max("py")).first()[:] == (10, 19)
+    plan = stored._jdf.queryExecution().toString()
+    assert "by_band" in plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    one, other = (sorted(map(tuple, dm.crop(asked, d, 40, 50, 10).collect())) for d in (dem, stored))
+    assert one == other and len(one) == 32
+    sides = dm.sidecar(dm.relief(dm.crop(asked, stored, 40, 50, 10)), asked)
+    dm.write_sidecars(sides, str(tmp_path / "s"))
+    assert {(r.request_id, r.tile_size_px, r.elevation_range_m) for r in spark.read.json(str(tmp_path / "s")).collect()} == {(1, 4, 3003.0), (2, 4, 3003.0)}
+
+
 def test_lonlat(spark):
     df = spark.createDataFrame([(-180.0, 90.0), (180.0, -90.0), (0.0, 0.0), (181.0, 0.0), (0.0, -91.0)], "lon double, lat double")
     got = [(r.column, r.row, r.reject_reason) for r in dm.lonlat_pixel(df).collect()]

@@ -114,3 +114,19 @@ def test_terms_and_classes(spark):
     rows = spark.createDataFrame([(0.2, 1.0, 0.0), (0.05, 6.0, 0.12), (0.1, 1.0, 0.0), (0.0, 6.1, 0.0)], "a double, s double, r double")
     name, _ = hazard.classify(F.col("a"), F.col("s"), F.col("r"))
     assert [r[0] for r in rows.select(name).collect()] == ["crater_field", "sandy_plain", "rocky_highland", "rocky_highland"]
+
+
+def test_exchanges_of_the_stencils(spark):
+    """Slope and roughness together need one exchange for each direction, edges four."""
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    cells = frame(spark, np.zeros((12, 12), int))
+    assert exchanges(stencil.layers(cells)) == 2 and exchanges(stencil.edge_nms(cells)) == 4
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.random(997)] + [("b", 0.5)] + [("c", float(v)) for v in (0.1, 0.1, 0.1, 0.9)] + [("d", float(v)) for v in rng.integers(0, 3, 40)]
+    df = spark.createDataFrame(rows, "tile_id string, v double")
+    for width in (0.01, 10.0, 1e-5):
+        got = {r.tile_id: r.p for r in hazard.exact_percentile(df, "v", 0.95, width, "p").collect()}
+        assert got == {t: pytest.approx(np.percentile([v for k, v in rows if k == t], 95)) for t in "abcd"}
