@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def read_grids(spark: SparkSession, folder: str, requests: DataFrame) -> tuple[D
 
 def merge_latest(new: DataFrame, folder: str, key: str, order: str, buckets: int = 16) -> None:
     """Upserts ``new`` into the table in ``folder``: only buckets that new rows fall into are read and written again, and
-    writing the same rows twice changes nothing. The merged rows are written beside the table before they replace it."""
+    writing the same rows twice changes nothing. The merged rows are written beside the table before they replace it; a run
+    that failed between buckets is mended by running it again."""
     spark = new.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -35,6 +38,7 @@ def merge_latest(new: DataFrame, folder: str, key: str, order: str, buckets: int
     else:
         rows = rows.withColumn("_new", F.lit(1))
     merged = latest(rows, key, F.desc(order), F.desc("_new")).drop("_new")
-    aside = f"{folder}__next"
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(aside)
+    aside = f"{folder}__next-{uuid.uuid4().hex}"  # of this run alone
+    merged.write.partitionBy("bucket").parquet(aside)
     spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
