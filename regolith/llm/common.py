@@ -1,8 +1,7 @@
-"""What several corpus operators share: tables, lineage cuts, sorted groups, blocks of hot groups, components."""
+"""What several corpus operators share: tables, sorted groups, blocks of hot groups, the rows that models learn from."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,24 +26,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = sc._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="regolith-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once into the shared folder; later reads survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def sorted_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Groups of equal ``key`` from batches that are sorted by it; a group may run over several batches."""
     held: list[pd.DataFrame] = []
@@ -113,36 +94,6 @@ def roots(links: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges(a, b)``: the smallest node that it reaches.
-
-    Alternating large-star and small-star steps: edges are re-hung on smaller neighbours until nothing changes, about
-    log(n) rounds. Each step aggregates before it joins, so a node with very many edges is an aggregate of partial
-    minima, and its join is one that adaptive execution can split. Raises if ``rounds`` do not suffice."""
-
-    def star(arcs: DataFrame) -> DataFrame:
-        """arcs(u, v): v hangs on the smallest of u and its v."""
-        least = arcs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        return arcs.join(least, "u")
-
-    now = cut(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
-    seen = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = star(large)
-        now = cut(
-            down.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(down.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = state
-    raise RuntimeError(f"components still change after {rounds} rounds")
+def held_out(id_col: str) -> F.Column:
+    """Rows that models never learn from: crc32 of the id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -10,6 +10,7 @@ each pair only in the first table where it meets. Equal vectors are one class an
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -18,7 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.llm.common import components, cut, in_blocks, in_groups, read, roots
+from regolith.functions.graph import components
+from regolith.functions.lineage import cut
+from regolith.llm.common import in_blocks, in_groups, read, roots
 
 THRESHOLD = 0.93
 RECALL = 0.995
@@ -42,14 +45,19 @@ class Plan:
     tables: int
     size: int
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """(rows, tables) 64-bit bucket numbers of unit vectors."""
+    @functools.cached_property
+    def _planes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.default_rng(SEED)
         normals = rng.standard_normal((self.size, self.hashes * self.tables))
         offsets = rng.uniform(0, WIDTH, self.hashes * self.tables)
-        mixer = rng.integers(1, 2**63 - 1, self.hashes, dtype=np.int64) | 1
-        cells = np.floor((unit @ normals + offsets) / WIDTH).astype(np.int64)
-        return (cells.reshape(len(unit), self.tables, self.hashes) * mixer).sum(axis=2)  # wraps around
+        return normals, offsets, rng.integers(1, 2**63 - 1, self.hashes, dtype=np.int64) | 1
+
+    def keys(self, unit: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """(rows, tables) 64-bit bucket numbers of unit vectors, in all tables or in the first so many."""
+        normals, offsets, mixer = self._planes
+        n = self.tables if tables is None else tables
+        cells = np.floor((unit @ normals[:, : n * self.hashes] + offsets[: n * self.hashes]) / WIDTH).astype(np.int64)
+        return (cells.reshape(len(unit), n, self.hashes) * mixer).sum(axis=2)  # wraps around
 
 
 def plan(largest: int, size: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
@@ -62,35 +70,43 @@ def plan(largest: int, size: int, threshold: float = THRESHOLD, recall: float =
 
 def _units(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+_FOUND = "class_no long, first_id long, links long, root_no long, root_id long"
+
+
 def _checked(group: pd.DataFrame, how: Plan, threshold: float) -> pd.DataFrame:
-    """Per class of one pair of blocks: links found here first, and the smallest class that they reach."""
-    group = group.sort_values("class_id", ignore_index=True)
+    """Per class of one pair of blocks: links found here first, and the first class that they reach. Only classes that
+    link are hashed again, and only for the tables before this one."""
+    group = group.sort_values(["first_id", "class_no"], ignore_index=True)
     unit = _units(group["embedding"])
-    cosine = unit @ unit.T
-    near = np.triu(cosine >= threshold, 1)
+    near = np.triu(unit @ unit.T >= threshold, 1)
     if group["mixed"].iloc[0]:
         block = group["block"].to_numpy()
         near &= block[:, None] != block[None, :]
     i, j = np.nonzero(near)
     if not len(i):
-        return pd.DataFrame({"class_id": [], "links": [], "root": []}).astype("int64")
+        return pd.DataFrame({n.split()[0]: [] for n in _FOUND.split(", ")}).astype("int64")
     table, label = group["table"].to_numpy(), group["label"].to_numpy()
-    keys = how.keys(unit)
-    first = table[i] == table[j]
-    first &= (keys[i, table[i]] == keys[j, table[i]]) & (label[i] == label[j])
-    for t in range(int(table.max())):
-        first &= (t >= table[i]) | (keys[i, t] != keys[j, t])
+    seen = np.unique(np.concatenate([i, j]))
+    at = np.zeros(len(group), np.int64)
+    at[seen] = np.arange(len(seen))
+    upto = int(table.max()) + 1
+    keys = how.keys(unit[seen], upto)
+    a, b = at[i], at[j]
+    first = (table[i] == table[j]) & (keys[a, table[i]] == keys[b, table[i]]) & (label[i] == label[j])
+    for t in range(upto - 1):
+        first &= (t >= table[i]) | (keys[a, t] != keys[b, t])
     i, j = i[first], j[first]
     copies, links = group["copies"].to_numpy(), np.zeros(len(group), np.int64)
     np.add.at(links, i, copies[j])
     np.add.at(links, j, copies[i])
-    matrix = np.zeros(cosine.shape, bool)
+    matrix = np.zeros(near.shape, bool)
     matrix[i, j] = matrix[j, i] = True
-    ids = group["class_id"].to_numpy()
-    out = pd.DataFrame({"class_id": ids, "links": links, "root": ids[roots(matrix)]})
+    ids, root = group[["class_no", "first_id"]].to_numpy(), roots(matrix)
+    out = pd.DataFrame({"class_no": ids[:, 0], "first_id": ids[:, 1], "links": links, "root_no": ids[root, 0], "root_id": ids[root, 1]})
     return out[out.links > 0]
 
 
@@ -99,17 +115,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
     Only vectors of equal, non-null label link. A vector that is null, zero, or holds null or non-finite components, has a
     null id or a null label, or another dimension than most, links with nothing: no links, itself its component. Repeated
-    rows are vectors of their own and link with each other. An empty table gives no rows."""
-    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.select("vec_id", "embedding", "label").withColumn(
-        "fit", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound & (norm > 0), F.lit(False))
-    )
+    rows are vectors of their own and link with each other; rows that repeat an id with other vectors count as these. An
+    empty table gives no rows."""
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    two = [F.xxhash64(F.lit(salt), "label", "embedding").alias(f"hash_{salt}") for salt in (1, 2)]  # 128 bits name a class: vectors are no join keys
+    rows = vectors.select("vec_id", "embedding", "label", *two).withColumn("fit", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound, F.lit(False)))
     usual = rows.where("fit").groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if usual is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     rows = rows.withColumn("fit", F.col("fit") & (F.coalesce(F.size("embedding"), F.lit(0)) == usual["size"]))
-    classes = cut(rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")))
+    kinds = rows.where("fit").groupBy("hash_1", "hash_2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    classes = cut(kinds.withColumn("class_no", F.monotonically_increasing_id()))  # fixed from here on
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
     how = plan(largest, usual["size"], threshold, recall)
 
@@ -119,32 +135,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             n, tables = keys.shape
             yield pd.DataFrame({
                 "label": np.repeat(frame["label"].to_numpy(), tables), "table": np.tile(np.arange(tables), n), "key": keys.ravel(),
-                "class_id": np.repeat(frame["class_id"].to_numpy(), tables),
+                "class_no": np.repeat(frame["class_no"].to_numpy(), tables),
             })
 
     label_type = dict(classes.dtypes)["label"]
     spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        classes.repartition(spread, "class_id")
-        .select("label", "embedding", "class_id")
-        .mapInPandas(hashed, f"label {label_type}, table int, key long, class_id long")
+        classes.repartition(spread, "class_no")
+        .select("label", "embedding", "class_no")
+        .mapInPandas(hashed, f"label {label_type}, table int, key long, class_no long")
         .withColumn("bucket", F.xxhash64("label", "table", "key"))
-        .select("bucket", "table", "class_id")
+        .select("bucket", "table", "class_no")
     )
     met = cut(met)
     sizes = met.groupBy("bucket").agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
-    dealt = in_blocks(met.join(sizes, "bucket"), "bucket", "bucket_rows", "class_id", BLOCK_ROWS)
-    dealt = dealt.select("pair", "table", "block", "mixed", "class_id").join(classes, "class_id")
-    found = cut(in_groups(dealt, "pair", lambda g: _checked(g, how, threshold), "class_id long, links long, root long"))
-    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
+    dealt = in_blocks(met.join(sizes, "bucket"), "bucket", "bucket_rows", "class_no", BLOCK_ROWS)
+    dealt = dealt.select("pair", "table", "block", "mixed", "class_no").join(classes.drop("hash_1", "hash_2"), "class_no")
+    found = cut(in_groups(dealt, "pair", lambda g: _checked(g, how, threshold), _FOUND))
+    links = found.groupBy("class_no").agg(F.sum("links").alias("links"))
+    node = lambda i, n: F.struct(F.col(i).alias("id"), F.col(n).alias("no"))
+    joined = components(found.select(node("first_id", "class_no").alias("a"), node("root_id", "root_no").alias("b")))
     reach = (
-        classes.select("label", "embedding", "class_id", "copies")
-        .join(links, "class_id", "left")
-        .join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+        classes.select("hash_1", "hash_2", "class_no", "first_id", "copies")
+        .join(links, "class_no", "left")
+        .join(joined.select(F.col("node.no").alias("class_no"), F.col("component.id").alias("component_id")), "class_no", "left")
+        .select("hash_1", "hash_2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
     )
-    linked = rows.where("fit").join(reach, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    linked = rows.where("fit").join(reach, ["hash_1", "hash_2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from regolith.llm.common import read
+from regolith.llm.common import held_out, read
 
 #: Texts of one language that the model is fitted on at most, and of all together: documented bounds.
 SAMPLE_ROWS, SAMPLE_TOTAL = 800, 6000
@@ -144,11 +144,6 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
     return [UNDETERMINED if n else model.langs[k] for n, k in zip(none, top)], score, rejected
 
 
-def held_out(id_col: str) -> F.Column:
-    """Rows that models never learn from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def train(docs: DataFrame) -> Model | None:
     """Fits on a bounded sample of ``docs`` (doc_id, text, lang) that are not held out and have a language and a text:
     for each language those with the smallest hashes of id and text. The counts of rows by language are over all rows."""

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.llm.common import read, shared_dir
+from regolith.functions.lineage import shared_dir
+from regolith.llm.common import read
 
 WIDTH = 64
 LEVEL = 6
@@ -26,6 +27,8 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples of a pixel by PNG colour type (8-bit grey, RGB, grey with alpha, RGB with alpha).
 _SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
 HASH_GRID, HASH_SIDE = 32, 8
+#: Bytes of pixels that one image may have: a Parquet value cannot hold more.
+MOST_BYTES = 2**31 - 1
 
 
 class MediaError(ValueError):
@@ -59,15 +62,29 @@ def png(pixels: np.ndarray, level: int = LEVEL) -> bytes:
     return _SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(body.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def _paeth(a: int, b: int, c: int) -> int:
-    p = a + b - c
-    pa_, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-    return a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
+def _across(kind: int, lines: np.ndarray, above: np.ndarray, samples: int) -> np.ndarray:
+    """Undoes average (3) or Paeth (4) over a run of rows: a pixel needs those to its left, above and between, so all pixels
+    of one slanting line (column plus row) are done at once."""
+    n, wide = len(lines), lines.shape[1] // samples
+    raw = lines.reshape(n, wide, samples).astype(np.int16)
+    out = np.zeros((n + 1, wide + 1, samples), np.int16)  # a row above, a column of zeros to the left
+    out[0, 1:] = above.reshape(wide, samples)
+    for d in range(n + wide - 1):
+        r = np.arange(max(0, d - wide + 1), min(n - 1, d) + 1)
+        c = d - r
+        left, up, corner = out[r + 1, c], out[r, c + 1], out[r, c]
+        if kind == 3:
+            guess = (left + up) >> 1
+        else:
+            to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            guess = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[r + 1, c + 1] = (raw[r, c] + guess) & 255
+    return out[1:, 1:].reshape(n, -1).astype(np.uint8)
 
 
 def unfilter(body: np.ndarray, samples: int) -> np.ndarray:
     """Undoes the filters of (rows, 1 + bytes) filtered lines. Runs of rows with one filter are done together: left is
-    a running sum along the row, up one down the column; average and Paeth go pixel by pixel."""
+    a running sum along the row, up one down the column, average and Paeth go by slanting lines."""
     kinds, lines = body[:, 0], body[:, 1:]
     if kinds.size and kinds.max() > 4:
         raise MediaError("unknown filter")
@@ -84,19 +101,27 @@ def unfilter(body: np.ndarray, samples: int) -> np.ndarray:
         elif kind == 2:
             out[a + 1 : b + 1] = np.cumsum(np.vstack([out[a], part]), axis=0, dtype=np.uint8)[1:]
         else:
-            for r in range(a, b):
-                above, line, now = out[r].tolist(), lines[r].tolist(), [0] * lines.shape[1]
-                for i, x in enumerate(line):
-                    left = now[i - samples] if i >= samples else 0
-                    corner = above[i - samples] if i >= samples else 0
-                    now[i] = (x + ((left + above[i]) >> 1 if kind == 3 else _paeth(left, above[i], corner))) & 255
-                out[r + 1] = now
+            out[a + 1 : b + 1] = _across(int(kind), part, out[a], samples)
     return out[1:]
 
 
+def _inflate(parts: list[bytes], size: int) -> bytes:
+    """The ``size`` bytes that the chunks hold; no more than that is ever unpacked."""
+    unpack = zlib.decompressobj()
+    try:
+        raw = unpack.decompress(b"".join(parts), size + 1)
+        if len(raw) != size or not unpack.eof and unpack.decompress(unpack.unconsumed_tail, 1):
+            raise MediaError("wrong number of bytes")
+    except zlib.error as e:
+        raise MediaError(str(e)) from e
+    if not unpack.eof:
+        raise MediaError("the data ends early")
+    return raw
+
+
 def pixels(data: bytes) -> np.ndarray:
     """(rows, columns, samples) of a PNG with 8 bits a sample, not interlaced. Every chunk's CRC and zlib's own checksum
-    are tested; anything else, a missing chunk or a wrong length raises MediaError."""
+    are tested; anything else (a missing chunk, a wrong length, no pixels, other methods) raises MediaError."""
     if data[:8] != _SIGNATURE:
         raise MediaError("no PNG signature")
     at, header, body, ended = 8, None, [], False
@@ -106,6 +131,8 @@ def pixels(data: bytes) -> np.ndarray:
         if len(part) < length or data[at + 8 + length : at + 12 + length] != struct.pack(">I", zlib.crc32(kind + part)):
             raise MediaError(f"wrong checksum or length in {kind!r}")
         if kind == b"IHDR":
+            if header is not None or at != 8 or length != 13:
+                raise MediaError("wrong header")
             header = struct.unpack(">IIBBBBB", part)
         elif kind == b"IDAT":
             body.append(part)
@@ -113,16 +140,16 @@ def pixels(data: bytes) -> np.ndarray:
         at += 12 + length
     if header is None or not ended:
         raise MediaError("a chunk is missing")
-    width, height, depth, colour, _, _, interlaced = header
-    if depth != 8 or colour not in _SAMPLES or interlaced:
+    width, height, depth, colour, packing, filtering, interlaced = header
+    if depth != 8 or colour not in _SAMPLES or packing or filtering or interlaced:
         raise MediaError("only 8-bit samples, not interlaced, are read")
-    try:
-        raw = zlib.decompress(b"".join(body))
-    except zlib.error as e:
-        raise MediaError(str(e)) from e
+    if not 0 < width < 2**31 or not 0 < height < 2**31:
+        raise MediaError("no pixels")
     samples = _SAMPLES[colour]
-    if len(raw) != height * (1 + width * samples):
-        raise MediaError("wrong number of bytes")
+    size = height * (1 + width * samples)
+    if size > MOST_BYTES:
+        raise MediaError("too large")
+    raw = _inflate(body, size)
     lines = np.frombuffer(raw, np.uint8).reshape(height, 1 + width * samples)
     return unfilter(lines, samples).reshape(height, width, samples)
 
@@ -157,7 +184,9 @@ def feature(image: np.ndarray) -> str:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): every row's whole text as a PNG; null and empty texts are one row of zeros."""
+    """(doc_id, n_bytes, media): every row's whole text as a PNG; null and empty texts are one row of zeros, a long text has
+    as many rows as it needs. Repeated rows keep their rows, equal texts have equal media. An empty table gives no rows.
+    Columns other than id and text are not read, so their names cannot clash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

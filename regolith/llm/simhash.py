@@ -20,7 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.llm.common import components, cut, in_blocks, in_groups, read, roots
+from regolith.functions.graph import components
+from regolith.functions.lineage import cut
+from regolith.llm.common import in_blocks, in_groups, read, roots
 
 SHINGLE = 3
 DISTANCE = 3
@@ -52,14 +54,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row, whole texts."""
+    """(doc_id, mark, fp) for every row, whole texts; ``mark`` is a hash of the text, which tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), mark(text_col), text).mapInArrow(run, "doc_id long, mark long, fp long")
+
+
+def mark(text_col: str) -> F.Column:
+    return F.xxhash64(F.col(text_col).cast("string")).alias("mark")
 
 
 def chain_keys(fps: DataFrame) -> DataFrame:
@@ -108,30 +115,35 @@ def _linked(group: pd.DataFrame) -> pd.DataFrame:
     return out[out.a != out.b].drop_duplicates()
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """(node, component) for distinct fingerprints that link with another one; component is the smallest as a signed number."""
-    keys = chain_keys(fps)
+def link_fingerprints(classes: DataFrame) -> DataFrame:
+    """(node, component) of classes(node, fp), one for each fingerprint, that link with another one. A node begins with what
+    a component is to be known by (without a column ``node`` it is the fingerprint); the smallest node is the component."""
+    if "node" not in classes.columns:
+        classes = classes.select("fp", F.col("fp").alias("node"))
+    keys = chain_keys(classes.select("fp"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.max("plain").alias("any_plain")).where("size > 1 and any_plain").select("key", "size")
     met = in_blocks(keys.join(sizes, "key"), "key", "size", "fp", BLOCK_ROWS)
-    edges = in_groups(met.select("pair", "key", "fp", "plain", "block", "mixed"), "pair", _linked, "a long, b long")
-    return components(edges)
+    edges = in_groups(met.select("pair", "key", "fp", "plain", "block", "mixed"), "pair", _linked, "a long, b long").distinct()
+    of = lambda end: classes.select(F.col("node").alias(f"{end}_node"), F.col("fp").alias(end))
+    named = edges.join(of("a"), "a").join(of("b"), "b")
+    return components(named.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the smallest id reachable over linked fingerprints).
+    """One row per row of ``docs``: doc_id, mark, fp, component_id (the smallest id reachable over linked fingerprints) and
+    root_fp (the fingerprint of the component's first text, that of the smallest id).
 
     Null and empty texts share fingerprint zero and link with each other. Rows with a null id get the component of
-    their fingerprint, which is null if no row of it has an id. Repeated rows each keep their row. An empty table gives
-    no rows. Other columns of ``docs`` are not read."""
+    their fingerprint, which is null if no row of it has an id. Repeated rows each keep their row, and rows that repeat an
+    id with another text stand for that text. An empty table gives no rows. Other columns of ``docs`` are not read."""
     found = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = link_fingerprints(classes.select("fp"))
-    reach = cut(
-        classes.join(linked, classes.fp == linked.node, "left")
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    )
-    best = reach.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return found.join(reach.select("fp", "component"), "fp").join(best, "component").select("doc_id", "fp", "component_id")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.min("doc_id")
+    node = F.struct(first.isNull().alias("unnamed"), first.alias("id"), F.col("fp"))  # an id may have several fingerprints
+    classes = cut(found.groupBy("fp").agg(node.alias("node")).repartition(spread, "fp"))  # each makes 68 keys: not merged by their bytes
+    linked = link_fingerprints(classes)
+    reach = classes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("root"))
+    return found.join(reach, "fp").select("doc_id", "mark", "fp", F.col("root.id").alias("component_id"), F.col("root.fp").alias("root_fp"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.llm.common import read
+from regolith.llm.common import held_out, read
 
 #: Labelled rows of each class that the model is fitted on at most, the smallest hashes of their ids: a documented bound.
 SAMPLE_ROWS = 2000
@@ -153,11 +153,6 @@ def fit(texts: list[str | None], toxic: list[int], share: float | None = None) -
     return Model(model.ordinary, model.toxic, tuple(float(w) for w in weights))
 
 
-def held_out(id_col: str) -> F.Column:
-    """Rows that models never learn from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``rows`` labelled texts of each class that are not held out, those with the smallest hashes of
     their ids; rows with a null label, null id or null text do not count."""

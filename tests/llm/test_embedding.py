@@ -56,6 +56,26 @@ def test_as_brute_force(spark, monkeypatch, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def test_recall_as_shipped(spark):
+    data = rows()
+    got = {r.vec_id: r.n_links for r in embedding.near_duplicates(spark.createDataFrame([(*r,) for r in data], "vec_id long, embedding array<float>, label int")).collect()}
+    want = {data[a][0]: w[0] for a, w in brute(data).items()}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= embedding.RECALL * sum(want.values())
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    near, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    data = [(1, [1.0, 0.0, 0.0], 1), (1, near, 1), (2, [1.0, 0.05, 0.0], 1), (3, [1.0, 0.0, 0.05], 1), (7, far, 1), (7, [0.0, 0.0, 1.0], 1), (4, near, 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (7, 0, 7), (7, 0, 7)]
+
+
+def test_very_large_and_very_small_components(spark):
+    data = [(1, [1e200, 1e200], 0), (2, [1e-200, 1e-200], 0), (3, [3.0, 3.0], 0), (4, [-1e300, 1e300], 0), (5, [0.0, -0.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 0, 5)]
+
+
 def test_repeated_rows_and_empty_table(spark):
     schema = "vec_id long, embedding array<float>, label int"
     df = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (2, [2.0, 0.0], 1)], schema)

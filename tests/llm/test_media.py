@@ -1,3 +1,4 @@
+import math
 import hashlib
 import struct
 import zlib
@@ -77,3 +78,54 @@ def test_null_and_broken_media_have_rows(spark):
     df = spark.createDataFrame([(1, 2, None), (2, 3, b"junk")], "doc_id long, n_bytes long, media binary")
     got = {r.doc_id: (r.payload_bytes, r.media_bytes, r.error is not None) for r in media.read_media(df).collect()}
     assert got == {1: (None, None, True), 2: (None, 4, True)}
+
+
+def chunk(kind, data):
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def image(header, raw=b"\0ab", kinds=(b"IHDR", b"IDAT", b"IEND")):
+    parts = {b"IHDR": header, b"IDAT": zlib.compress(raw), b"IEND": b""}
+    return b"\x89PNG\r\n\x1a\n" + b"".join(chunk(k, parts[k]) for k in kinds)
+
+
+def test_broken_headers_are_errors_of_their_row(spark):
+    head = lambda *x: struct.pack(">IIBBBBB", *x)
+    sound = image(head(2, 1, 8, 0, 0, 0, 0))
+    assert media.pixels(sound).tolist() == [[[97], [98]]]
+    broken = [
+        image(head(2, 1, 8, 0, 0, 0, 0)[:12]), image(head(0, 1, 8, 0, 0, 0, 0)), image(head(2, 0, 8, 0, 0, 0, 0)), image(head(2, 1, 8, 0, 1, 0, 0)), image(head(2, 1, 8, 0, 0, 3, 0)), image(head(2**31, 2**31 - 1, 8, 0, 0, 0, 0)),
+        image(head(2, 1, 8, 0, 0, 0, 0), b"\0ab" * 1000), image(head(2, 2, 8, 0, 0, 0, 0)), image(head(2, 1, 8, 0, 0, 0, 0), kinds=(b"IHDR", b"IHDR", b"IDAT", b"IEND")), image(head(2, 1, 8, 0, 0, 0, 0), kinds=(b"IDAT", b"IHDR", b"IEND")),
+        image(head(2, 1, 8, 0, 0, 0, 0), b"\5ab"), image(head(2, 1, 8, 0, 0, 0, 0), kinds=(b"IHDR", b"IEND")), sound[:-1], b"", None,
+    ]
+    for data in broken[:-1]:
+        with pytest.raises(media.MediaError):
+            media.pixels(data)
+    df = spark.createDataFrame([(i, 1, d) for i, d in enumerate([*broken, sound])], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.read_media(df).collect()}
+    assert all(got[i].error and got[i].payload_sha256 is None for i in range(len(broken))) and got[len(broken)].error is None
+
+
+def test_rows_that_repeat_and_columns_that_clash(spark):
+    rows = [(1, "same", "x"), (1, "same", "y"), (2, "same", "z"), (3, None, None), (4, "", None), (5, "long " * 60_000, None)]
+    got = media.store_texts(spark.createDataFrame(rows, "doc_id long, text string, media string")).collect()
+    assert len(got) == 6 and len({bytes(r.media) for r in got if r.doc_id < 3}) == 1 and {r.n_bytes for r in got if r.doc_id in (3, 4)} == {0}
+    assert media.pixels(bytes(max(got, key=lambda r: r.n_bytes).media)).tobytes().rstrip(b"\0") == b"long " * 60_000
+    assert media.read_media(media.store_texts(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def plain_feature(image):
+    """The hash by its definition: area averages, cosine sums, signs against the median."""
+    h, w = image.shape
+    weight = lambda n, k: [max(0.0, min((k + 1) * n / 32, i + 1) - max(k * n / 32, i)) / (n / 32) for i in range(n)]
+    small = [[sum(a * b * float(image[y, x]) for y, a in enumerate(weight(h, r)) if a for x, b in enumerate(weight(w, c)) if b) for c in range(32)] for r in range(32)]
+    low = [round(sum(small[y][x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)), 4) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return "".join("1" if x > middle else "0" for x in low)
+
+
+def test_feature_as_its_definition():
+    rng = np.random.default_rng(1)
+    for h in (3, 32, 50):
+        picture = rng.integers(0, 256, (h, 64), dtype=np.uint8)
+        assert f"{int(media.feature(picture), 16):064b}" == plain_feature(picture)

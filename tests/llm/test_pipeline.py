@@ -58,8 +58,16 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got)[:1] == [(False, 1)] and sum(r.doc_id == 1 for r in got) == 1
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """Each text is a document of its own: copies go by their text, and no unique text is lost."""
+    rows = [(1, "aa bb cc dd"), (5, "aa bb cc dd"), (5, "something else entirely here"), (5, "and now for a third one"), (9, "and now for a third one"), (None, "no id at all here"), (None, "no id at all here"), (None, "another one without any")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, "aa bb cc dd"), (5, "something else entirely here"), (5, "and now for a third one"), (None, "no id at all here"), (None, "another one without any")], key=str)
+
+
 def test_clashing_columns_and_empty_table(spark):
-    docs = spark.createDataFrame(documents(), SCHEMA).withColumns({c: F.lit(1) for c in ("rejected", "score", "lines", "prob", "topic", "fp")})
+    docs = spark.createDataFrame(documents(), SCHEMA).withColumns({c: F.lit(1) for c in ("rejected", "score", "lines", "prob", "topic", "fp", "mark", "_mark", "root_fp")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() > 0
