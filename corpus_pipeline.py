@@ -12,14 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith.functions.lineage import cut, shared_dir
 from regolith.llm import bpe, language, lines, mixing, simhash
-from regolith.llm.common import BATCH_ROWS, cut, shared_dir
+from regolith.llm.common import small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go (no letter, or far from every language of the labelled rows); a missing
     lang is filled with the prediction."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     found = language.identify(docs, language.train(docs.select("doc_id", "text", "lang")))
     kept = found.where("not rejected").withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(docs.columns)
@@ -33,17 +34,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest id. Of rows that repeat an id one
-    stays; rows without an id stay unless their group has one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """One document of each group of near-duplicates stays: that with the smallest id; of a group without any id one of its
+    rows. Documents are told apart by id and text, so rows that repeat an id with another text are documents of their own,
+    and of rows that repeat both one stays."""
+    small_batches(spark)
     found = cut(simhash.near_duplicates(docs))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
-    repeated = kept.where("count > 1").limit(1).count() > 0
-    unnamed = docs.where("doc_id is null") if found.where("doc_id is null and component_id is null").limit(1).count() else None
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if repeated:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(unnamed) if unnamed is not None else out
+    firsts = found.where("doc_id <=> component_id and fp = root_fp")
+    texts = firsts.groupBy("component_id", "root_fp", "mark").agg(F.count("*").alias("rows"))
+    first = texts.groupBy("component_id", "root_fp").agg(F.min(F.struct("mark", "rows")).alias("first"))
+    kept = cut(first.select(F.col("component_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"), F.col("first.rows").alias("kept_rows")))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (simhash.mark("text") == kept["kept_mark"])
+    out = docs.join(kept, same, "left_semi")
+    if kept.where("kept_rows > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +56,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of what they decode to."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Token ids of each document, with digests of the ids and of what they decode to. A null text has no ids; a null or
+    repeated id keeps all its rows."""
+    small_batches(spark)
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
