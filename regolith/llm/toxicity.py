@@ -11,6 +11,7 @@ text give its score through a logistic curve fitted on the training rows.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +29,9 @@ SAMPLE_ROWS = 2000
 #: Distinct words of the sample, by class, that are looked at: those in most contexts. Contexts of one word that count.
 SAMPLE_WORDS, WORD_CONTEXTS = 200_000, 5_000
 SHARED_BYTES, TYPICAL_BYTES = 20_000, 16_000
-#: A toxic window's log frequency ratio times the root of its contexts must exceed this.
-TYPICAL = 13.0
+#: A toxic window's log frequency ratio times the root of its contexts must exceed a bound: that of these which, fitted on one
+#: half of the training texts, tells the other half apart best.
+BOUNDS = (5.0, 8.0, 13.0, 20.0)
 TERMINATOR = bytes(range(1, 25))
 HELD_WINDOWS = 400_000
 THRESHOLD = 0.3
@@ -42,8 +44,12 @@ class Model:
     weights: tuple[float, ...]
 
 
+_WORD = re.compile(r"[^\W_]+(?:['\u2019][^\W_]+)*")
+
+
 def _words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """Runs of letters and digits: marks around a word do not change it."""
+    return _WORD.findall((text or "").lower())
 
 
 def _window(word: str) -> bytes:
@@ -131,13 +137,39 @@ def fit(texts: list[str | None], toxic: list[int], share: float | None = None) -
     flat = Model(TERMINATOR, TERMINATOR, (0.0, 0.0, float(np.log(share / (1 - share)))))
     if marked.all() or not marked.any():
         return flat
-    bad, good = _contexts([t for t, m in zip(texts, marked) if m]), _contexts([t for t, m in zip(texts, marked) if not m])
+    fold = np.arange(len(marked)) // 2 % 2 == 1  # neighbours in order of id may be copies: pairs go together
+
+    losses = np.zeros(len(BOUNDS))
+    for side in (fold, ~fold):
+        own_texts, other = [t for t, f in zip(texts, side) if f], [t for t, f in zip(texts, side) if not f]
+        seen = _by_class(own_texts, marked[side])
+        for k, bound in enumerate(BOUNDS):
+            model = _fitted(own_texts, marked[side], seen, bound)
+            p = np.clip(Scorer(model).scores(other), 1e-6, 1 - 1e-6) if model else np.full(len(other), 1e-9)
+            losses[k] -= np.log(np.where(marked[~side], p, 1 - p)).sum()
+    model = _fitted(texts, marked, _by_class(texts, marked), BOUNDS[int(np.argmin(losses))])
+    if model is None:
+        return flat
+    shift = np.log(share / (1 - share)) - np.log(own / (1 - own))
+    return Model(model.ordinary, model.toxic, (*model.weights[:2], model.weights[2] + float(shift)))
+
+
+def _by_class(texts: list[str | None], marked: np.ndarray) -> tuple[Counter[str], Counter[str]]:
+    return _contexts([t for t, m in zip(texts, marked) if m]), _contexts([t for t, m in zip(texts, marked) if not m])
+
+
+def _fitted(texts: list[str | None], marked: np.ndarray, seen: tuple[Counter[str], Counter[str]], bound: float) -> Model | None:
+    """Both dictionaries and the curve over the texts' own share; None if no window is typical of toxic text."""
+    if marked.all() or not marked.any():
+        return None
+    bad, good = seen
     n_bad, n_good = max(1, sum(bad.values())), max(1, sum(good.values()))
     excess = {w: (np.log((n + 0.5) / n_bad) - np.log((good[w] + 0.5) / n_good)) * np.sqrt(n) for w, n in bad.items() if n >= 5}
-    typical = sorted((w for w, x in excess.items() if x > TYPICAL), key=lambda w: (-excess[w], w))
+    typical = sorted((w for w, x in excess.items() if x > bound), key=lambda w: (-excess[w], w))
     if not typical:
-        return flat
-    frequent = sorted((w for w in good if w not in typical), key=lambda w: (-good[w], w))
+        return None
+    chosen = set(typical)
+    frequent = sorted((w for w in good if w not in chosen), key=lambda w: (-good[w], w))
     shared, extra = _content(frequent, SHARED_BYTES), _content(typical, TYPICAL_BYTES)
     begun = len(shared) // (len(TERMINATOR) + 4)
     other = _content(frequent[begun:] or frequent, len(extra))
@@ -149,7 +181,6 @@ def fit(texts: list[str | None], toxic: list[int], share: float | None = None) -
         grad = x.T @ (p - y) + 0.05 * weights * [1, 1, 0]
         hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 0.05, 1e-6])
         weights -= np.linalg.solve(hess, grad)
-    weights[2] += np.log(share / (1 - share)) - np.log(own / (1 - own))
     return Model(model.ordinary, model.toxic, tuple(float(w) for w in weights))
 
 

@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import pytest
+import zstandard
 
 from regolith.llm import toxicity
 
@@ -68,3 +70,39 @@ def test_rows_and_training_split(spark):
     assert sum(r.predicted == marks[r.doc_id] for r in unseen) >= 0.97 * len(unseen)
     empty = docs.limit(0)
     assert toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
+
+
+def plain_score(model, text):
+    """Words by hand, every window compressed by itself with either dictionary, the curve over the savings."""
+    words, now = [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalnum():
+            now += c
+        elif now:
+            words.append(now)
+            now = ""
+    saved = []
+    for word in words:
+        window = b" " + word.encode() + b" " + bytes(range(1, 25))
+        sizes = []
+        for content in (model.ordinary, model.toxic):
+            params = zstandard.ZstdCompressionParameters(compression_level=3, strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=16, hash_log=15, chain_log=15, search_log=5, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0)
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(compression_params=params)
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress(window)))
+        saved.append(sizes[0] - sizes[1])
+    saved.sort(reverse=True)
+    x = (saved[0], sum(max(0, s) for s in saved[:3]) / 3) if saved else (0, 0)
+    return 1 / (1 + math.exp(-max(-40, min(40, x[0] * model.weights[0] + x[1] * model.weights[1] + model.weights[2]))))
+
+
+def test_scores_as_their_definition(model):
+    texts, _ = corpus(6, 9)
+    odd = ["", None, "Zounds!", "the KNAVE, and a blackguard.", "word " * 3, "12 -- 5"]
+    assert toxicity.Scorer(model).scores(texts + odd).tolist() == pytest.approx([plain_score(model, t) for t in texts + odd])
+
+
+def test_marks_around_words_do_not_change_a_score(model):
+    texts, _ = corpus(40, 6)
+    marked = [t.replace(" ", ", ") + "!" for t in texts]
+    assert toxicity.Scorer(model).scores(marked).tolist() == toxicity.Scorer(model).scores(texts).tolist()
