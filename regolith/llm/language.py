@@ -22,6 +22,8 @@ from regolith.llm.common import held_out, read
 #: Texts of one language that the model is fitted on at most, and of all together: documented bounds.
 SAMPLE_ROWS, SAMPLE_TOTAL = 800, 6000
 CENTROIDS, SIZE, SMALLEST_SHARE = 3, 4096, 0.1
+#: Characters whose n-grams are counted together.
+CHUNK = 200_000
 #: A text is rejected if its cosine is below this share of the lowest hundredth of training texts of its length.
 REJECT_SHARE = 0.5
 SHARPNESS = 40.0
@@ -54,12 +56,17 @@ def counts(text: str | None) -> tuple[np.ndarray, int]:
     if not letters:
         return np.zeros(SIZE, np.float32), 0
     keep = letter | np.concatenate([[False], letter[:-1]])  # of each run between words only its first character
-    points = np.concatenate([[32], np.where(letter, points, 32)[keep], [32]]).astype(np.uint64)
-    one, two = points, points[:-1] << np.uint64(21) | points[1:]
-    three = two[:-1] << np.uint64(21) | points[2:]
-    grams = np.concatenate([one[1:-1], two, three])
-    slots = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIZE.bit_length() + 1)
-    return np.bincount(slots.astype(np.int64), minlength=SIZE).astype(np.float32), letters
+    points = np.concatenate([[32], np.where(letter, points, 32)[keep], [32]])
+    found = np.zeros(SIZE, np.float32)
+    for a in range(0, len(points), CHUNK):  # long texts in chunks, each with the two points behind it that its n-grams reach
+        part = points[a : a + CHUNK + 2].astype(np.uint64)
+        one, two = part[:CHUNK], part[:-1] << np.uint64(21) | part[1:]
+        three = two[:-1] << np.uint64(21) | part[2:]
+        inner = one[int(a == 0) : len(one) - int(a + CHUNK >= len(points))]  # not the spaces that were set around the text
+        for grams in (inner, two[:CHUNK], three[:CHUNK]):
+            slots = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIZE.bit_length() + 1)
+            found += np.bincount(slots.astype(np.int64), minlength=SIZE).astype(np.float32)
+    return found, letters
 
 
 def _length_class(letters: np.ndarray) -> np.ndarray:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -65,3 +66,46 @@ def test_rows_and_training_split(spark):
     none = docs.limit(0)
     assert language.train(none.select("doc_id", "text", "lang")) is None
     assert language.identify(none, None).count() == 0
+
+
+def test_chunks_change_nothing(monkeypatch):
+    texts = ["a", "ab", "the words of a text, and 12 more " * 9, "x" * 50, "é ü ñ"]
+    want = [language.counts(t) for t in texts]
+    for chunk in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        assert all((language.counts(t)[0] == w[0]).all() and language.counts(t)[1] == w[1] for t, w in zip(texts, want))
+
+
+def plain_prediction(model, text):
+    """Counts to dampened, weighted, normalised vectors; the nearest centroid of each language; shares; the floor."""
+    counts, letters = language.counts(text)
+    if not letters:
+        return "und", 0.0, True
+    v = [math.log(1 + float(c)) * float(w) for c, w in zip(counts, model.idf)]
+    norm = math.sqrt(sum(x * x for x in v))
+    best = {}
+    for centroid, owner in zip(model.centroids, model.owner):
+        cosine = sum(x * float(y) for x, y in zip(v, centroid) if x) / norm
+        best[model.langs[owner]] = max(cosine, best.get(model.langs[owner], -1))
+    top = max(best, key=best.get)
+    score = 1 / sum(math.exp(language.SHARPNESS * (c - best[top])) for c in best.values())
+    return top, score, best[top] < model.floor[min(int(math.log2(letters)), 12)]
+
+
+def test_predictions_as_their_definition():
+    rng = random.Random(3)
+    parts = {"a": ["the", "ing", "and"], "b": ["que", "eau", "les"], "c": ["ung", "ich", "sch"]}
+    make = lambda k, n: " ".join("".join(rng.choice(parts[k]) for _ in range(2)) for _ in range(n))
+    model = language.fit([make(k, 60) for k in "abc" for _ in range(40)], [k for k in "abc" for _ in range(40)])
+    texts = [make(k, n) for k in "abc" for n in (1, 4, 80)] + ["", None, "12 --", "жщю", "the", make("a", 5) + make("b", 5)]
+    langs, score, rejected = language.predict(model, texts)
+    want = [plain_prediction(model, t) for t in texts]
+    assert langs == [w[0] for w in want] and list(score) == pytest.approx([w[1] for w in want], abs=1e-3) and list(rejected) == [w[2] for w in want]
+
+
+def test_idf_and_centroids_are_of_the_texts():
+    texts = ["the the", "que", "the que"]
+    model = language.fit(texts, ["a", "b", "a"])
+    seen = [sum(language.counts(t)[0][k] > 0 for t in texts) for k in range(language.SIZE)]
+    assert model.idf == pytest.approx([math.log(4 / (1 + n)) + 1 for n in seen], rel=1e-5)
+    assert np.linalg.norm(model.centroids, axis=1) == pytest.approx(np.ones(len(model.centroids)), rel=1e-5)
