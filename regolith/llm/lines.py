@@ -18,6 +18,9 @@ RATIO, LEAST_PAGES = 0.05, 5
 BROADCAST_LINES = 200_000
 
 
+_BLOCK_TAGS = "p|div|br|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|tr|td|th|table|title|head|body|html|blockquote|pre"
+
+
 def host_of(url: str) -> F.Column:
     """Lower-cased host of a url column: after the scheme and any user, before port, path, query or fragment."""
     return F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -26,7 +29,7 @@ def host_of(url: str) -> F.Column:
 def page_text(html: str) -> F.Column:
     """The lines of an html column: scripts, styles and comments removed, a break at every block tag, other tags dropped."""
     text = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?i)</?(p|div|br|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|tr|td|th|table|title|head|body|html|blockquote|pre)\b[^>]*>", "\n")
+    text = F.regexp_replace(text, rf"(?i)</?({_BLOCK_TAGS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     return F.trim(F.regexp_replace(text, r"[ \t\r]*\n\s*", "\n"), F.lit("\n "))
 
@@ -126,3 +129,27 @@ select doc_id, len(parts)::bigint as n_lines, (len(parts) - len(rest))::bigint a
        case when text is not null then length(array_to_string(rest, chr(10)))::bigint end as n_chars
 from kept
 """
+
+OP9_PAGES_SQL = f"""
+with plain as (
+  select page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host,
+         regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g'),
+           '(?i)</?({_BLOCK_TAGS})\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') as marked
+  from pages),
+cut as (
+  select page_id, host, text, string_split(coalesce(text, ''), chr(10)) as parts
+  from (select page_id, host, trim(regexp_replace(marked, '[ \\t\\r]*\\n\\s*', chr(10), 'g'), chr(10) || ' ') as text from plain)),
+totals as (select host, count(*) as pages from (select distinct host, text from cut) group by host),
+counted as (
+  select host, line, count(*) as having_it from (select distinct host, text, unnest(parts) as line from cut) where trim(line) <> '' group by host, line),
+gone as (
+  select c.host, list(c.line) as lines from counted c join totals t on t.host is not distinct from c.host
+  where c.having_it >= 2 and c.having_it > {RATIO}::double * t.pages and c.having_it >= least({LEAST_PAGES}, t.pages) group by c.host),
+kept as (
+  select page_id, cut.host, text, parts, case when lines is null then parts else list_filter(parts, lambda x: not list_contains(lines, x)) end as rest
+  from cut left join gone on gone.host is not distinct from cut.host)
+select page_id, host, len(parts)::bigint as n_lines, (len(parts) - len(rest))::bigint as n_dropped,
+       case when text is not null then md5(array_to_string(rest, chr(10))) end as text_md5,
+       case when text is not null then length(array_to_string(rest, chr(10)))::bigint end as n_chars
+from kept
+"""
