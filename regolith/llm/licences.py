@@ -39,6 +39,8 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -48,21 +50,28 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU GPL v2 or later.",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU LGPL version 3."],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU LGPL version 3.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation",
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
     "proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 UNKNOWN = "unknown"
 
 NGRAM = 2
 SHINGLE, CONTAINED = 5, 0.8
-#: Words of a window, and between the starts of two. Any template (29 words at most) is whole in some wide window, those
+#: Words of a window, and between the starts of two. Any template (31 words at most) is whole in some wide window, those
 #: of up to 11 and of up to 6 words in some narrower one too, where they weigh more.
 WINDOWS = ((40, 10), (16, 6), (8, 3))
 #: Paragraphs of the corpus in training at most, those with the smallest hashes: a documented bound.

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -69,3 +70,55 @@ def test_two_notices_in_one_line(model):
     for line in (f"{mit} {apache}", " ".join([*prose[:9], mit, apache, *prose[9:18]]), " ".join([*prose[:9], mit, *prose[9:18], apache])):
         assert [f for f, sure in hits(model, line) if sure] == ["apache", "mit"], line
     assert not [h for h in hits(model, " ".join(prose[40:])) if h[1]]
+
+
+# Headers as they stand in source files, wrapped and commented.
+HEADERS = {
+    "mit": """# Copyright (c) 2020 A. Person
+#
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is""",
+    "apache": """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "gpl": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    "mpl": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+}
+
+
+def test_headers_of_source_files(model):
+    prose = plain(60, 5)
+    for family, header in HEADERS.items():
+        for text in (header, "\n".join([*prose[:4], header, *prose[4:8]])):
+            assert {f for f, sure in hits(model, text) if sure} == {family}, text
+
+
+def test_scores_as_their_definition(model):
+    """Softmax of the n-grams' weights over the root of their number, at the calibrated temperature."""
+    for text in ("Released under the MIT License.", "the work is in the public domain", "x y z", "license license license"):
+        found = licences.words(text)
+        grams = {*found, *(" ".join(p) for p in zip(found, found[1:]))}
+        z = [model.weights[-1][k] for k in range(len(model.families))]
+        for g in grams & model.vocabulary.keys():
+            z = [a + model.weights[model.vocabulary[g]][k] * 3 / max(1, 2 * len(found) - 1) ** 0.5 for k, a in enumerate(z)]
+        e = [math.exp(a / model.temperature) for a in z]
+        assert list(model.probabilities(found)) == pytest.approx([a / sum(e) for a in e])
