@@ -31,12 +31,12 @@ from regolith.llm.common import read
 from regolith.llm.pieces import Coded, Pieces, Words, binaries, gathered, portions
 
 #: Bytes of text, and tokens, that one round of queries takes together.
-BATCH_BYTES, BATCH_TOKENS = 8_000_000, 1_000_000
+BATCH_BYTES, BATCH_TOKENS = 2_000_000, 300_000
 #: Words in one recursive query; words, and pieces between single spaces, that a task remembers.
-QUERY_WORDS, HELD_WORDS, HELD_PIECES = 40_000, 300_000, 200_000
+QUERY_WORDS, HELD_WORDS, HELD_PIECES = 10_000, 200_000, 200_000
 LONG_WORD = 256
 #: Bytes of long words that go into one query, and position rows that its rounds hold, about.
-LONG_BYTES, LONG_ROWS = 50_000, 2_000_000
+LONG_BYTES, LONG_ROWS = 50_000, 1_000_000
 
 #: A token's place is word * 256 + position, so that a place, a pair and a pair's rank with its position are one integer each.
 _CONTRACT = """
@@ -123,7 +123,7 @@ class Codec:
         if max(self.ranks.values()) >= 65536:
             raise ValueError(f"{path} has ranks that do not fit a pair of 16-bit tokens")
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         rows = [
             (left * 65536 + right, merged)
             for token, merged in self.ranks.items()

@@ -121,8 +121,9 @@ class Pieces:
         self.pieces, self.whole = Store(learn, most), whole
 
     def forget(self) -> None:
-        """Gives the store's memory back, to the system too where its allocator can."""
+        """Gives the store's memory back, to the system too where the allocators can."""
         self.pieces.forget()
+        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
             trim(0)
