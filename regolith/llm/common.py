@@ -65,6 +65,29 @@ def in_groups(df: DataFrame, key: str, each: Callable[[pd.DataFrame], pd.DataFra
     return df.repartition(spread, F.col(key)).sortWithinPartitions(key).mapInPandas(run, schema)
 
 
+def in_runs(df: DataFrame, key: str, each: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rows: int = 20_000) -> DataFrame:
+    """``each`` applied to frames of about ``rows`` rows that hold whole groups of ``key``, sorted by it: for groups so small that a
+    call for each costs more than its work. Groups are bounded by the caller."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size >= rows:
+                whole = pd.concat(held, ignore_index=True)
+                last = int(np.searchsorted(whole[key].to_numpy(), whole[key].iloc[-1]))  # the last group may go on
+                if last:
+                    yield each(whole.iloc[:last].reset_index(drop=True))
+                held = [whole.iloc[last:]]
+                size = len(held[0])
+        if size:
+            yield each(pd.concat(held, ignore_index=True))
+
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(spread, F.col(key)).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
 def in_blocks(df: DataFrame, key: str, size: str, member: str, block_rows: int) -> DataFrame:
     """Deal each group of ``key`` (with its row count in ``size``) into blocks of about ``block_rows`` rows and list all
     pairs of blocks, so that any two rows of the group meet in exactly one pair and no task holds the whole group.

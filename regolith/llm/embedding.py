@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from regolith.functions.graph import components
 from regolith.functions.lineage import cut
-from regolith.llm.common import in_blocks, in_groups, read, roots
+from regolith.llm.common import in_blocks, in_runs, read
 
 THRESHOLD = 0.93
 RECALL = 0.995
 WIDTH = 1.5
 SEED = 20240229
 BLOCK_ROWS = 1000
+#: Groups of up to so many rows are compared together, so many pairs at a time.
+SMALL_GROUP, PAIRS = 64, 50_000
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -77,37 +79,60 @@ def _units(vectors: pd.Series) -> np.ndarray:
 _FOUND = "class_no long, first_id long, links long, root_no long, root_id long"
 
 
-def _checked(group: pd.DataFrame, how: Plan, threshold: float) -> pd.DataFrame:
-    """Per class of one pair of blocks: links found here first, and the first class that they reach. Only classes that
-    link are hashed again, and only for the tables before this one."""
-    group = group.sort_values(["first_id", "class_no"], ignore_index=True)
-    unit = _units(group["embedding"])
-    near = np.triu(unit @ unit.T >= threshold, 1)
-    if group["mixed"].iloc[0]:
-        block = group["block"].to_numpy()
-        near &= block[:, None] != block[None, :]
-    i, j = np.nonzero(near)
-    if not len(i):
-        return pd.DataFrame({n.split()[0]: [] for n in _FOUND.split(", ")}).astype("int64")
-    table, label = group["table"].to_numpy(), group["label"].to_numpy()
-    seen = np.unique(np.concatenate([i, j]))
-    at = np.zeros(len(group), np.int64)
-    at[seen] = np.arange(len(seen))
-    upto = int(table.max()) + 1
-    keys = how.keys(unit[seen], upto)
-    a, b = at[i], at[j]
-    first = (table[i] == table[j]) & (keys[a, table[i]] == keys[b, table[i]]) & (label[i] == label[j])
-    for t in range(upto - 1):
-        first &= (t >= table[i]) | (keys[a, t] != keys[b, t])
-    i, j = i[first], j[first]
-    copies, links = group["copies"].to_numpy(), np.zeros(len(group), np.int64)
+def _near(group: np.ndarray, unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of rows of one group at the threshold; ``group`` is sorted. Many small groups are compared in one step,
+    a large one as a matrix."""
+    cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    found = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a > SMALL_GROUP:
+            i, j = np.nonzero(np.triu(unit[a:b] @ unit[a:b].T >= threshold, 1))
+            found.append((i + a, j + a))
+    ends = np.repeat(cuts[1:], np.diff(cuts))
+    behind = np.where(np.repeat(np.diff(cuts), np.diff(cuts)) > SMALL_GROUP, 0, ends - np.arange(len(group)) - 1)
+    upto = np.cumsum(behind)
+    for a in range(0, int(upto[-1]), PAIRS):  # pair p is that of row i with the (p - pairs of earlier rows)-th row behind it
+        p = np.arange(a, min(a + PAIRS, int(upto[-1])))
+        i = np.searchsorted(upto, p, side="right")
+        j = i + 1 + p - (upto[i] - behind[i])
+        near = np.einsum("pd,pd->p", unit[i], unit[j]) >= threshold
+        found.append((i[near], j[near]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _checked(frame: pd.DataFrame, how: Plan, threshold: float) -> pd.DataFrame:
+    """Per class and pair of blocks: links found here first, and the first class that they reach. Only classes that link
+    are hashed again, and only for the tables before theirs."""
+    frame = frame.sort_values(["pair", "first_id", "class_no"], ignore_index=True)
+    unit = _units(frame["embedding"])
+    table, label, block, mixed = (frame[c].to_numpy() for c in ("table", "label", "block", "mixed"))
+    i, j = _near(frame["pair"].to_numpy(), unit, threshold)
+    fit = (table[i] == table[j]) & (label[i] == label[j]) & (~mixed[i] | (block[i] != block[j]))
+    i, j = i[fit], j[fit]
+    if len(i):
+        seen, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = np.concatenate([how.keys(unit[seen[k : k + 2000]], int(table.max()) + 1) for k in range(0, len(seen), 2000)])
+        met = np.full(len(i), -1)  # the first table where both meet
+        for k in range(0, len(i), 4 * PAIRS):
+            a, b, some = at[:len(i)][k : k + 4 * PAIRS], at[len(i) :][k : k + 4 * PAIRS], met[k : k + 4 * PAIRS]
+            for t in range(keys.shape[1]):
+                some[(some < 0) & (keys[a, t] == keys[b, t])] = t
+        first = met == table[i]
+        i, j = i[first], j[first]
+    copies, links, root = frame["copies"].to_numpy(), np.zeros(len(frame), np.int64), np.arange(len(frame))
     np.add.at(links, i, copies[j])
     np.add.at(links, j, copies[i])
-    matrix = np.zeros(near.shape, bool)
-    matrix[i, j] = matrix[j, i] = True
-    ids, root = group[["class_no", "first_id"]].to_numpy(), roots(matrix)
-    out = pd.DataFrame({"class_no": ids[:, 0], "first_id": ids[:, 1], "links": links, "root_no": ids[root, 0], "root_id": ids[root, 1]})
-    return out[out.links > 0]
+    while True:  # rows are sorted, so the first class that is reached is the smallest row
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    ids, on = frame[["class_no", "first_id"]].to_numpy(), links > 0
+    return pd.DataFrame({"class_no": ids[on, 0], "first_id": ids[on, 1], "links": links[on], "root_no": ids[root[on], 0], "root_id": ids[root[on], 1]})
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -151,7 +176,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     sizes = met.groupBy("bucket").agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
     dealt = in_blocks(met.join(sizes, "bucket"), "bucket", "bucket_rows", "class_no", BLOCK_ROWS)
     dealt = dealt.select("pair", "table", "block", "mixed", "class_no").join(classes.drop("hash_1", "hash_2"), "class_no")
-    found = cut(in_groups(dealt, "pair", lambda g: _checked(g, how, threshold), _FOUND))
+    found = cut(in_runs(dealt, "pair", lambda g: _checked(g, how, threshold), _FOUND, 4 * BLOCK_ROWS))
     links = found.groupBy("class_no").agg(F.sum("links").alias("links"))
     node = lambda i, n: F.struct(F.col(i).alias("id"), F.col(n).alias("no"))
     joined = components(found.select(node("first_id", "class_no").alias("a"), node("root_id", "root_no").alias("b")))
