@@ -86,7 +86,10 @@ def rake(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """Cells (_source, _lang, _topic) with tokens, weight (sums to 1) and prob, of ``docs`` from with_cells."""
     keys = [f"_{d}" for d in DIMENSIONS]
     cells = cut(docs.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")))
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, n = cells.agg(F.sum("tokens"), F.count("*")).first()
+    total = total or 0
+    if n <= BROADCAST_CELLS:
+        cells = cells.coalesce(1)  # windows over so few rows need no exchange then
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
     for dim in DIMENSIONS:
         now = now.join(_targets(cells, dim, mix), f"_{dim}")
