@@ -42,7 +42,7 @@ END = 0
 #: Aimed size of a shard. A document is never parted, so a shard may exceed it by one document.
 SHARD_TOKENS = 4_000_000
 #: Words and pieces between spaces that a worker remembers; bytes of text that it looks at together.
-HELD_WORDS, HELD_PIECES, BATCH_BYTES = 600_000, 800_000, 8_000_000
+HELD_WORDS, HELD_PIECES, BATCH_BYTES = 700_000, 1_000_000, 8_000_000
 #: 64-bit words between two samples of the rank directory.
 STRIDE = 8
 
@@ -209,8 +209,9 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> Coded:
         """Words by the library's model, which takes one word of the pattern with its bytes as letters."""
-        letters, tokenize = self.letters, self.tokenize
-        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words]
+        letters, tokenize, space = self.letters, self.tokenize, chr(self.letters[32])
+        plain = lambda w: w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)
+        found = [[t.id for t in tokenize(plain(w))] for w in words]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
