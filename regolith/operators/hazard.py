@@ -44,19 +44,19 @@ def edge_thresholds(edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame
 
 def exact_percentile(df: DataFrame, value: str, share: float, width: float, name: str) -> DataFrame:
     """(tile_id, name): the percentile, linear between ranks, of ``value`` in each tile. Values are counted by bins of ``width``
-    first; only those of the bins that hold the two ranks are then gathered, so a mosaic's percentile needs no whole tile
-    in one buffer. Reads ``df`` twice."""
+    first; of the bins that hold the two ranks they are then counted one by one, so that neither a mosaic nor a value that most
+    of its cells share gathers in one buffer. Reads ``df`` twice."""
     binned = df.select("tile_id", F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
     counts = binned.groupBy("tile_id", "_b").agg(F.count("*").alias("_c"))
     line = Window.partitionBy("tile_id")
     ranked = counts.withColumns({"_to": F.sum("_c").over(line.orderBy("_b")), "_rank": (F.sum("_c").over(line) - 1) * F.lit(share)})
     ranked = ranked.withColumns({"_from": F.col("_to") - F.col("_c"), "_low": F.floor("_rank"), "_high": F.ceil("_rank")})
-    held = ranked.where("_low between _from and _to - 1 or _high between _from and _to - 1").drop("_c", "_to")
-    found = binned.join(held, ["tile_id", "_b"]).groupBy("tile_id").agg(
-        F.array_sort(F.collect_list("_v")).alias("_vs"), F.min("_from").alias("_from"), F.first("_rank").alias("_rank"), F.first("_low").alias("_low"), F.first("_high").alias("_high")
-    )
-    at = lambda rank: F.element_at("_vs", (F.col(rank) - F.col("_from") + 1).cast("int"))
-    return found.select("tile_id", (at("_low") + (at("_high") - at("_low")) * (F.col("_rank") - F.col("_low"))).alias(name))
+    held = ranked.where("_low between _from and _to - 1 or _high between _from and _to - 1").select("tile_id", "_b", "_from", "_rank", "_low", "_high")
+    each = binned.join(held, ["tile_id", "_b"]).groupBy("tile_id", "_v").agg(F.count("*").alias("_c"), F.min("_from").alias("_from"), *(F.first(c).alias(c) for c in ("_rank", "_low", "_high")))
+    upto = each.withColumn("_upto", F.min("_from").over(line) + F.sum("_c").over(line.orderBy("_v")))  # values of this size or less
+    at = lambda rank: F.min(F.when(F.col("_upto") > F.col(rank), F.col("_v")))
+    found = upto.groupBy("tile_id").agg(at("_low").alias("_a"), at("_high").alias("_z"), F.first("_rank").alias("_rank"), F.first("_low").alias("_low"))
+    return found.select("tile_id", (F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_rank") - F.col("_low"))).alias(name))
 
 
 def classify(area_fraction: Column, mean_slope: Column, mean_roughness: Column, settings: Settings = DEFAULT) -> tuple[Column, Column]:

@@ -2,20 +2,18 @@
 
 requests(plan_id, tile_id, rover_id, start_x, start_y, goal_x, goal_y, scale, meters_per_cell, max_hazard), pixels; grids
 (tile_id, row, col, hazard, elevation_m). Over a grid of at most relax.BLOCK cells a side a task takes a portion of the plans
-of its tile; larger ones are relaxed by joins over their edges.
+of its tile; larger ones are relaxed block by block (surfaces.py).
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.functions.lineage import cut
-from regolith.operators.relax import BLOCK, EIGHT, edges_of, relax_costs, relax_grid
+from regolith.operators.relax import BLOCK, EIGHT, relax_grid
+from regolith.operators.surfaces import Surfaces
 from regolith.settings import DEFAULT, Settings
 
 
@@ -116,25 +114,7 @@ def cost_surface(requests: DataFrame, grids: DataFrame, rovers: DataFrame, setti
     large = plans.where(~_small())
     if large.limit(1).count() == 0:
         return near
-    return near.unionByName(_large_surface(large, grids, settings))
-
-
-def _large_surface(large: DataFrame, grids: DataFrame, settings: Settings) -> DataFrame:
-    """The surface of plans over large grids, relaxed by joins over their edges."""
-    edges = (
-        edges_of(grids, 1.0).join(large.select("plan_id", "tile_id", "meters_per_cell", "max_slope_deg", "max_hazard"), "tile_id")
-        .withColumns({"run": F.col("step_m") * F.col("meters_per_cell"), "rise": F.col("rise_over_run") / F.col("meters_per_cell")})
-        .where("to_hazard < max_hazard").where(F.abs("rise") <= F.tan(F.radians("max_slope_deg")))
-        .withColumn("cost", edge_cost(F.col("run"), F.col("to_hazard"), F.col("rise"), settings))
-    )
-    far = relax_costs(large.select("plan_id", F.col("start_row").alias("row"), F.col("start_col").alias("col")), edges)
-    through = edges.join(far.withColumnRenamed("cost", "from_cost"), ["plan_id", "row", "col"]).groupBy("plan_id", F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(
-        F.min_by(F.struct(F.col("row").alias("r"), F.col("col").alias("c")), F.struct(F.col("from_cost") + F.col("cost"), "row", "col")).alias("before")
-    )
-    step = F.lit(-1)
-    for i, (dy, dx) in enumerate(EIGHT):
-        step = F.when((F.col("before.r") - F.col("row") == dy) & (F.col("before.c") - F.col("col") == dx) & (F.col("cost") > 0), i).otherwise(step)
-    return far.join(through, ["plan_id", "row", "col"], "left").select("plan_id", "row", "col", "cost", step.cast("int").alias("back"))
+    return near.unionByName(Surfaces(large, grids, settings.energy_slope_coefficient, BLOCK).costs())
 
 
 _ROUTE = "plan_id long, segment_id int, row int, col int"
@@ -142,13 +122,19 @@ _ROUTE = "plan_id long, segment_id int, row int, col int"
 
 def routes(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(plan_id, segment_id, row, col) from start to goal, for requests whose status is OK. On a small grid the route is
-    walked where its surface was found, so no surface leaves the task; on a larger one the steps back are followed by joins."""
+    walked where its surface was found, so no surface leaves the task; on a larger one block by block."""
     plans = _asked(requests, grids, rovers).where("start_row <> goal_row or start_col <> goal_col")
     near = _by_tile(plans.where(_small()), grids, settings, True, _ROUTE)
     large = plans.where(~_small())
     if large.limit(1).count() == 0:
         return near
-    return near.unionByName(back_trace(large, _large_surface(large, grids, settings)))
+    return near.unionByName(Surfaces(large, grids, settings.energy_slope_coefficient, BLOCK).routes())
+
+
+def large_surfaces(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT, block: int = BLOCK) -> Surfaces:
+    """The requests that have a whole grid and a vehicle, relaxed block by block whatever the size of their grid: costs and
+    routes of one computation."""
+    return Surfaces(_asked(requests, grids, rovers), grids, settings.energy_slope_coefficient, block)
 
 
 def plan_status(requests: DataFrame, grids: DataFrame, rovers: DataFrame, surface: DataFrame) -> DataFrame:
@@ -161,27 +147,6 @@ def plan_status(requests: DataFrame, grids: DataFrame, rovers: DataFrame, surfac
     return ends.join(reached, ["plan_id", "goal_row", "goal_col"], "left").select("plan_id", status.alias("status"), F.when(status == "OK", F.col("cost")).alias("total_cost"))
 
 
-def back_trace(ends: DataFrame, surface: DataFrame, rounds: int = 1_000_000) -> DataFrame:
-    """(plan_id, segment_id, row, col) of ``ends`` (plan_id, goal_row, goal_col) by joins: each round takes one step back for
-    every plan. The rows of a round are as many as plans still under way."""
-    steps = F.create_map(*(x for i, (dy, dx) in enumerate(EIGHT) for x in (F.lit(i), F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")))))
-    kept = cut(surface.select("plan_id", "row", "col", "back"))
-    now = cut(ends.select("plan_id", F.col("goal_row").alias("row"), F.col("goal_col").alias("col")).join(kept, ["plan_id", "row", "col"]).withColumn("nth", F.lit(0)))
-    seen = [now]
-    for n in range(1, rounds):
-        step = F.element_at(steps, F.col("back"))
-        before = now.where("back >= 0").select("plan_id", (F.col("row") + step.dy).alias("row"), (F.col("col") + step.dx).alias("col"))
-        now = cut(before.join(kept, ["plan_id", "row", "col"]).withColumn("nth", F.lit(n)))
-        if now.limit(1).count() == 0:
-            break
-        seen.append(now)
-        if len(seen) == 50:  # short plans of many unions
-            seen = [cut(functools.reduce(DataFrame.unionByName, seen))]
-    every = functools.reduce(DataFrame.unionByName, seen)
-    last = F.max("nth").over(Window.partitionBy("plan_id"))
-    return every.select("plan_id", (last - F.col("nth")).cast("int").alias("segment_id"), "row", "col")
-
-
 def waypoints(route: DataFrame, requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Routes with pixel, hazard, slope, step length, energy and cumulative energy of each waypoint; rounded for reports,
     the running sum before rounding. The first step is all zero."""

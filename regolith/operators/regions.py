@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,20 +129,21 @@ def obstacle_distance(cells: DataFrame, mask: DataFrame, settings: Settings = DE
     below = F.first(at, ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.col("y") - above, below - F.col("y"))  # least passes over nulls
     rows = marked.withColumn("gap", gap).groupBy("tile_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "gap"))).alias("row"))
-
-    def each(frames):
-        for pdf in frames:
-            out = []
-            for tile, y, row in zip(pdf["tile_id"], pdf["y"], pdf["row"], strict=True):
-                x = np.array([r["x"] for r in row])
-                gap = np.array([np.inf if r["gap"] is None else r["gap"] for r in row], float)
-                best = nearest(gap * gap)
-                metres = np.where(np.isinf(best), FAR_M, np.sqrt(best) * settings.meters_per_pixel)
-                out.append(pd.DataFrame({"tile_id": tile, "y": y, "x": x, "distance_m": metres}))
-            if out:
-                yield pd.concat(out)
-
-    return rows.mapInPandas(each, "tile_id string, y int, x int, distance_m double")
+    metres = settings.meters_per_pixel
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("row")
+            cuts, cells_ = lists.offsets.to_numpy(), lists.values
+            x, gaps = cells_.field("x").to_numpy(), cells_.field("gap").fill_null(-1).to_numpy()
+            for i in range(len(batch)):
+                gap = gaps[cuts[i] : cuts[i + 1]].astype(float)
+                best = nearest(np.where(gap < 0, np.inf, gap * gap))
+                far = np.where(np.isinf(best), FAR_M, np.sqrt(best) * metres)
+                own = [pa.repeat(batch.column(c)[i], len(far)) for c in ("tile_id", "y")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(x[cuts[i] : cuts[i + 1]]), pa.array(far)], ["tile_id", "y", "x", "distance_m"])
+
+    return rows.mapInArrow(each, "tile_id string, y int, x int, distance_m double")
 
 
 #: Columns that ``nearest`` looks away at most while it shifts whole rows.

@@ -111,24 +111,25 @@ def relax_costs(starts: DataFrame, edges: DataFrame, rounds: int = 100_000, chec
 def relax_grid(hazard: np.ndarray, elevation: np.ndarray, start: tuple[int, int], meters: float, max_slope_tan: float, max_hazard: float, k: float) -> tuple[np.ndarray, np.ndarray]:
     """Costs from ``start`` (inf where it does not lead), and for each cell the index in EIGHT of the step back towards the
     start. Entering a cell is barred by its hazard or by the step's slope. Ties step back to the smallest cell."""
-    cost = np.full(hazard.shape, np.inf)
+    wide = np.full((hazard.shape[0] + 2, hazard.shape[1] + 2), np.inf)  # with a rim that nothing comes from
+    cost = wide[1:-1, 1:-1]
     cost[start] = 0.0
+    beside = [wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx] for dy, dx in EIGHT]
     into = []  # per step back: cost of entering the cell from there
     for dy, dx in EIGHT:
         run = np.hypot(dy, dx) * meters
         rise = np.abs(elevation - shifted(elevation, dy, dx, np.nan)) / run
         into.append(np.where((rise > max_slope_tan) | (hazard >= max_hazard) | np.isnan(rise), np.inf, run * (1 + hazard) * (1 + k * rise)))
     while True:
-        new = cost
-        for (dy, dx), step in zip(EIGHT, into, strict=True):
-            new = np.minimum(new, shifted(cost, dy, dx, np.inf) + step)
-        if (new == cost).all():
+        before = cost.copy()
+        for from_there, step in zip(beside, into, strict=True):
+            np.minimum(cost, from_there + step, out=cost)
+        if (cost == before).all():
             break
-        cost = new
     back, low = np.full(hazard.shape, -1), np.full(hazard.shape, np.inf)
-    for i, ((dy, dx), step) in enumerate(zip(EIGHT, into, strict=True)):
-        through = shifted(cost, dy, dx, np.inf) + step
+    for i, (from_there, step) in enumerate(zip(beside, into, strict=True)):
+        through = from_there + step
         better = through < low
         back, low = np.where(better, i, back), np.where(better, through, low)
     back[start] = -1
-    return cost, np.where(np.isinf(cost), -1, back)
+    return cost.copy(), np.where(np.isinf(cost), -1, back)

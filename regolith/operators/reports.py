@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +51,8 @@ def _reason(s: Column) -> Column:
     return F.format_string("Hazard score %.4f at (%d, %d), local slope %.3f deg.", s.hazard_score, s.x, s.y, s.slope_deg)
 
 
-def fallback_report(contexts: DataFrame) -> DataFrame:
-    """(path_id, summary, reasons, recommendation): the report from figures alone; reasons of the two worst segments."""
+def _template() -> dict[str, Column]:
+    """Columns of the report from a context's figures alone."""
     c = lambda *path: F.col(".".join(("context", *path)))
     two = F.slice(c("path_summary", "high_hazard_segments"), 1, 2)
     first = F.element_at(two, 1)
@@ -60,44 +63,76 @@ def fallback_report(contexts: DataFrame) -> DataFrame:
         c("path_summary", "total_energy_cost_kwh"), c("rover_constraints", "capacity_kwh"), c("rover_constraints", "energy_margin_kwh"), worst,
     )
     reasons = F.transform(two, lambda s: F.concat(s.segment_id.cast("string"), F.lit(": "), _reason(s)))
-    return contexts.select("path_id", summary.alias("summary"), F.array_join(reasons, " ").alias("reasons"), recommendation(c("feasibility"), c("rover_constraints", "energy_margin_kwh")).alias("recommendation"))
+    return {"summary": summary, "reasons": F.array_join(reasons, " "), "recommendation": recommendation(c("feasibility"), c("rover_constraints", "energy_margin_kwh"))}
+
+
+def fallback_report(contexts: DataFrame) -> DataFrame:
+    """(path_id, summary, reasons, recommendation): the report from figures alone; reasons of the two worst segments."""
+    return contexts.select("path_id", *(column.alias(name) for name, column in _template().items()))
+
+
+def read_reply(raw: str | None) -> dict:
+    """summary, recommendation, risks (segment_id, reason) and fallback_reason of one model reply: why it cannot be used.
+
+    White space around it, a code fence and its json tag are cut; the reply must be a JSON object with the required keys, looked
+    for in order. Values are told as Python writes them. A segment_id may be a number, truncated, a boolean, or the text of
+    a whole number; else it is null, as are the items of a top_risks that is a text or an object."""
+    none = dict.fromkeys(("summary", "recommendation", "risks"))
+    if raw is None:
+        return none | {"fallback_reason": "no reply"}
+    text = raw.strip()
+    if text.startswith("```"):
+        text = text.split("```")[1].removeprefix("json").strip()
+    try:
+        reply = json.loads(text)
+    except (ValueError, RecursionError):
+        return none | {"fallback_reason": "unparseable model output"}
+    if not isinstance(reply, dict):
+        return none | {"fallback_reason": "not an object"}
+    missing = [key for key in REQUIRED if key not in reply]
+    if missing:
+        return none | {"fallback_reason": f"missing required key: {missing[0]}"}
+    risks = []
+    try:
+        for risk in reply["top_risks"] or []:
+            whole = isinstance(risk, dict) and isinstance(risk.get("segment_id"), (int, float, str))
+            try:
+                segment = int(risk["segment_id"]) if whole else None
+            except ValueError:
+                segment = None
+            fits = segment is not None and abs(segment) < 2**63
+            risks.append({"segment_id": segment if fits else None, "reason": str(risk.get("reason", "")) if isinstance(risk, dict) else ""})
+    except (TypeError, OverflowError):  # a number, or an infinite one in it
+        return none | {"fallback_reason": "top_risks cannot be listed"}
+    return {"summary": str(reply["summary"]), "recommendation": str(reply["recommendation"]), "risks": risks, "fallback_reason": None}
+
+
+_REPLY = "summary string, recommendation string, risks array<struct<segment_id: bigint, reason: string>>, fallback_reason string"
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
     """``replies`` (path_id, raw) with summary, recommendation, risks (array of segment_id, reason in order) and
-    fallback_reason: why a reply cannot be used. A code fence and its json tag are cut; the reply must be an object with
-    the required keys, looked for in order. A segment_id may be a number or its text, truncated; else it is null."""
-    text = F.trim("raw")
-    inner = F.element_at(F.split(text, "```", -1), 2)
-    inner = F.when(inner.startswith("json"), F.expr("substring(element_at(split(trim(raw), '```', -1), 2), 5)")).otherwise(inner)
-    body = F.trim(F.when(text.startswith("```"), inner).otherwise(text), F.lit(" \n\r\t"))
-    v = replies.withColumn("_v", F.try_parse_json(body)).withColumn("_kind", F.schema_of_variant("_v"))
-    reason = F.when(F.col("raw").isNull(), "no reply").when(F.col("_v").isNull(), "unparseable model output").when(~F.col("_kind").startswith("OBJECT"), "not an object")
-    for key in REQUIRED:
-        reason = reason.when(F.try_variant_get("_v", f"$.{key}", "variant").isNull(), f"missing required key: {key}")
-    v = v.withColumn("fallback_reason", reason)
-    good = lambda c: F.when(F.col("fallback_reason").isNull(), c)
-    risks = F.expr(
-        "transform(coalesce(try_variant_get(_v, '$.top_risks', 'array<variant>'), array()), r -> named_struct("
-        "'segment_id', cast(try_cast(try_variant_get(r, '$.segment_id', 'string') as double) as bigint), 'reason', coalesce(try_variant_get(r, '$.reason', 'string'), '')))"
-    )
-    return v.withColumns({
-        "summary": good(F.try_variant_get("_v", "$.summary", "string")), "recommendation": good(F.try_variant_get("_v", "$.recommendation", "string")), "risks": good(risks),
-    }).drop("_v", "_kind")
+    fallback_reason, each reply read once (read_reply)."""
+
+
+    def read(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_reply(r) for r in raw], columns=["summary", "recommendation", "risks", "fallback_reason"])
+
+    return replies.withColumn("_reply", F.pandas_udf(read, _REPLY)("raw")).select("*", "_reply.*").drop("_reply")
+
+
+def _backed(ids: Column) -> tuple[Column, Column]:
+    """Of a reply's risks those whose segment is among ``ids``, in order, and how many others there are."""
+    kept = F.filter("risks", lambda r: F.coalesce(F.array_contains(ids, r.segment_id), F.lit(False)))
+    return kept, (F.size("risks") - F.size(kept)).cast("long")
 
 
 def verified_risks(parsed: DataFrame, allowed: DataFrame) -> DataFrame:
     """(path_id, kept, dropped): of each usable reply the cited risks (segment_id, reason) whose segment ``allowed`` (path_id,
-    segment_id) has, in the reply's order, and how many others there were."""
-    usable = parsed.where("fallback_reason is null")
-    cited = usable.select("path_id", F.posexplode("risks").alias("pos", "risk")).select("path_id", "pos", "risk.segment_id", "risk.reason")
-    known = allowed.select("path_id", "segment_id").distinct().withColumn("known", F.lit(True))
-    met = cited.join(known, ["path_id", "segment_id"], "left").groupBy("path_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("pos", "segment_id", "reason")))).alias("kept"), F.count_if(F.col("known").isNull()).alias("dropped")
-    )
-    kept = F.transform("kept", lambda k: F.struct(k.segment_id.alias("segment_id"), k.reason.alias("reason")))
-    none = F.expr("cast(array() as array<struct<segment_id: bigint, reason: string>>)")
-    return usable.select("path_id").join(met, "path_id", "left").select("path_id", F.coalesce(kept, none).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"))
+    segment_id) has, in the reply's order, and how many others there were. A path has a few allowed segments."""
+    known = allowed.groupBy("path_id").agg(F.collect_set(F.col("segment_id").cast("long")).alias("_ids"))
+    kept, dropped = _backed(F.coalesce("_ids", F.expr("cast(array() as array<bigint>)")))
+    return parsed.where("fallback_reason is null").join(known, "path_id", "left").select("path_id", kept.alias("kept"), dropped.alias("dropped"))
 
 
 def check_citations(parsed: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -108,20 +143,19 @@ def check_citations(parsed: DataFrame, allowed: DataFrame) -> DataFrame:
 def final_report(contexts: DataFrame, replies: DataFrame) -> DataFrame:
     """(path_id, generated_by, summary, top_risks, recommendation, dropped_citations, fallback_reason) of every context: the
     model's reply if it is usable, with the citations that the context backs, else the template and why. ``replies``
-    (path_id, raw) has one row for each path at most; a path without one falls back too."""
-    segments = contexts.select("path_id", F.explode("context.path_summary.high_hazard_segments.segment_id").alias("segment_id"))
-    parsed = parse_replies(replies)
-    usable = parsed.where("fallback_reason is null").select("path_id", F.col("summary").alias("_s"), F.col("recommendation").alias("_r")).join(verified_risks(parsed, segments), "path_id")
-    refused = parsed.where("fallback_reason is not null").select("path_id", F.col("fallback_reason").alias("_why"))
-    two = F.slice("context.path_summary.high_hazard_segments", 1, 2)
-    own = F.transform(two, lambda s: F.struct(s.segment_id.cast("long").alias("segment_id"), _reason(s).alias("reason")))
-    template = fallback_report(contexts).select("path_id", "summary", "recommendation")
-    every = contexts.select("path_id", own.alias("_own")).join(template, "path_id").join(usable, "path_id", "left").join(refused, "path_id", "left")
-    model = F.col("kept").isNotNull()
+    (path_id, raw) has one row for each path at most; a path without one falls back too. One join: the template and the
+    allowed segments are columns of the path's own row."""
+    worst = "context.path_summary.high_hazard_segments"
+    template = _template()
+    parsed = parse_replies(replies).select("path_id", F.col("summary").alias("_s"), F.col("recommendation").alias("_r"), "risks", F.col("fallback_reason").alias("_why"))
+    met = contexts.join(parsed, "path_id", "left")
+    kept, dropped = _backed(F.transform(worst, lambda s: s.segment_id.cast("long")))
+    own = F.transform(F.slice(worst, 1, 2), lambda s: F.struct(s.segment_id.cast("long").alias("segment_id"), _reason(s).alias("reason")))
+    model = F.col("risks").isNotNull()
     pick = lambda of_model, of_template: F.when(model, of_model).otherwise(of_template)
-    return every.select(
-        "path_id", pick(F.lit("llm"), F.lit("template_fallback")).alias("generated_by"), pick(F.col("_s"), F.col("summary")).alias("summary"), pick(F.col("kept"), F.col("_own")).alias("top_risks"),
-        pick(F.col("_r"), F.col("recommendation")).alias("recommendation"), F.col("dropped").alias("dropped_citations"), F.when(~model, F.coalesce("_why", F.lit("no reply"))).alias("fallback_reason"),
+    return met.select(
+        "path_id", pick(F.lit("llm"), F.lit("template_fallback")).alias("generated_by"), pick(F.col("_s"), template["summary"]).alias("summary"), pick(kept, own).alias("top_risks"),
+        pick(F.col("_r"), template["recommendation"]).alias("recommendation"), F.when(model, dropped).alias("dropped_citations"), F.when(~model, F.coalesce("_why", F.lit("no reply"))).alias("fallback_reason"),
     )
 
 

@@ -41,22 +41,22 @@ def slope(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return sobel(cells).withColumn("gradient", _steepness(settings)).withColumn("slope_deg", F.degrees(F.atan("gradient"))).drop("gx", "gy")
 
 
-def _steepness(settings: Settings) -> Column:
+def _steepness(settings: Settings, gx: str = "gx", gy: str = "gy") -> Column:
     unit = settings.elevation_range_m / 255.0 / (8.0 * settings.meters_per_pixel)
-    return F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")) * F.lit(unit)
+    return F.sqrt((F.col(gx) * F.col(gx) + F.col(gy) * F.col(gy)).cast("double")) * F.lit(unit)
 
 
 def _five(value: str, along: WindowSpec) -> list[Column]:
-    """Five neighbours along a line, reflected; lines must have at least three cells."""
+    """Five neighbours along a line, reflected; in a line of one or two cells more than once."""
     one, two = F.lag(value).over(along), F.lag(value, 2).over(along)
     next_, after = F.lead(value).over(along), F.lead(value, 2).over(along)
     own = F.col(value)
     return [
-        F.coalesce(two, F.when(one.isNull(), after).otherwise(own)),
-        F.coalesce(one, next_),
+        F.coalesce(two, F.when(one.isNull(), after), own),
+        F.coalesce(one, next_, own),
         own,
-        F.coalesce(next_, one),
-        F.coalesce(after, F.when(next_.isNull(), two).otherwise(own)),
+        F.coalesce(next_, one, own),
+        F.coalesce(after, F.when(next_.isNull(), two), own),
     ]
 
 
@@ -74,19 +74,22 @@ def edge_gradient(cells: DataFrame) -> DataFrame:
 
 
 def _with_halo(df: DataFrame, axis: str, across: str, radius: int) -> DataFrame:
-    """Adds the reflected copies that lie up to ``radius`` outside each line: only cells near an end are copied. A line
-    must have more than ``radius`` cells."""
+    """Adds the reflected copies that lie up to ``radius`` outside each line: only cells near an end are copied. A line of
+    fewer cells is reflected as often as it takes."""
     last = F.max(axis).over(Window.partitionBy("tile_id", across))
     at = F.col(axis)
     places = F.array_compact(
         F.array(at, F.when((at >= 1) & (at <= radius), -at), F.when((at < F.col("_last")) & (at >= F.col("_last") - radius), 2 * F.col("_last") - at))
     )
+    fold = "case when _last = 0 then 0 else least(pmod(p, 2 * _last), 2 * _last - pmod(p, 2 * _last)) end"
+    narrow = F.expr(f"filter(sequence(-{radius}, _last + {radius}), p -> {fold} = {axis})")
+    places = F.when(F.col("_last") >= radius, places).otherwise(narrow)
     return df.withColumn("_last", last).withColumn(axis, F.explode(places))
 
 
 def layers(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``cells`` with gradient, slope_deg and roughness by one pass along x and one along y: the reflected copies that
-    roughness needs serve the Sobel sums too. Lines must have more cells than half the roughness window."""
+    roughness needs serve the Sobel sums too."""
     n = settings.roughness_window + (settings.roughness_window + 1) % 2
     r = n // 2
 
@@ -103,13 +106,20 @@ def layers(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
     def second(line: WindowSpec) -> dict[str, Column]:
         (d0, d, d1), (t0, _, t1) = near("_d", line), near("_t", line)
-        return {"gx": d0 + 2 * d + d1, "gy": t1 - t0}
+        return {"_gx": d0 + 2 * d + d1, "_gy": t1 - t0}
 
     start = cells.withColumns({"_s": F.col("intensity").cast("long"), "_q": (F.col("intensity") * F.col("intensity")).cast("long")})
     both = passed(passed(start, "x", "y", first), "y", "x", second)
+    return from_sums(both.drop("_d", "_t"), settings)
+
+
+def from_sums(sums: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``sums`` with gradient, slope_deg and roughness instead of the integers that they follow from: Sobel sums _gx, _gy, and sums
+    _s of intensity and _q of its square over the roughness window."""
+    n = settings.roughness_window + (settings.roughness_window + 1) % 2
     spread = F.sqrt((n * n * F.col("_q") - F.col("_s") * F.col("_s")).cast("double")) / F.lit(float(n * n) * 255.0)
-    both = both.withColumns({"gradient": _steepness(settings), "roughness": F.least(F.lit(1.0), spread / 0.5)})
-    return both.withColumn("slope_deg", F.degrees(F.atan("gradient"))).drop("_s", "_q", "_d", "_t", "gx", "gy")
+    found = sums.withColumns({"gradient": _steepness(settings, "_gx", "_gy"), "roughness": F.least(F.lit(1.0), spread / 0.5)})
+    return found.withColumn("slope_deg", F.degrees(F.atan("gradient"))).drop("_s", "_q", "_gx", "_gy")
 
 
 def roughness(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -119,7 +129,7 @@ def roughness(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 # Tangents of the sectors' borders, 22.5 and 67.5 degrees.
-_TAN_LOW, _TAN_HIGH = math.sqrt(2) - 1, math.sqrt(2) + 1
+TAN_LOW, TAN_HIGH = math.sqrt(2) - 1, math.sqrt(2) + 1
 
 
 def edge_nms(cells: DataFrame) -> DataFrame:
@@ -132,8 +142,8 @@ def edge_nms(cells: DataFrame) -> DataFrame:
         g = g.withColumns({f"_{side}": near(f, "m2", along_x()), f"_n{side}": near(f, "_n", along_x()), f"_s{side}": near(f, "_s", along_x())})
     ax, ay = F.abs("gx").cast("double"), F.abs("gy").cast("double")
     falling = F.col("gx") * F.col("gy") >= 0  # towards south-east
-    before = F.when(ay <= ax * _TAN_LOW, F.col("_w")).when(ay >= ax * _TAN_HIGH, F.col("_n")).when(falling, F.col("_nw")).otherwise(F.col("_ne"))
-    after = F.when(ay <= ax * _TAN_LOW, F.col("_e")).when(ay >= ax * _TAN_HIGH, F.col("_s")).when(falling, F.col("_se")).otherwise(F.col("_sw"))
+    before = F.when(ay <= ax * TAN_LOW, F.col("_w")).when(ay >= ax * TAN_HIGH, F.col("_n")).when(falling, F.col("_nw")).otherwise(F.col("_ne"))
+    after = F.when(ay <= ax * TAN_LOW, F.col("_e")).when(ay >= ax * TAN_HIGH, F.col("_s")).when(falling, F.col("_se")).otherwise(F.col("_sw"))
     return g.withColumn("ridge", (F.col("m2") > before) & (F.col("m2") >= after)).drop("_w", "_e", "_n", "_s", "_nw", "_ne", "_sw", "_se")
 
 
@@ -151,23 +161,31 @@ def morph_close(cells: DataFrame, value: str = "edge") -> DataFrame:
     return _ellipse(_ellipse(cells, value, F.max), value, F.min)
 
 
+def _averaged(df: DataFrame, line: list[str], at: str, n: str, m: str, value: str, out: str) -> DataFrame:
+    """Averages along ``at`` of lines of ``n`` cells into ``m``: a target is the difference of the running sums at its two ends,
+    within a cell in proportion. Only the cells that hold an end go on; both windows share one exchange."""
+    along = Window.partitionBy(*line).orderBy(at)
+    step = F.col(n) / F.col(m)
+    first = F.ceil((F.col(at) - 1e-9) / step).cast("int")  # the first target that begins at this cell or behind it
+    df = df.withColumns({
+        "_before": F.coalesce(F.sum(value).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "_all": F.sum(value).over(Window.partitionBy(*line)), out: first,
+    })
+    begins = df.where((F.col(out) < F.col(m)) & (F.floor(F.col(out) * step + 1e-9) == F.col(at)))
+    begins = begins.withColumn("_upto", F.col("_before") + F.greatest(F.lit(0.0), F.col(out) * step - F.col(at)) * F.col(value))
+    mean = (F.coalesce(F.lead("_upto").over(along), F.col("_all").cast("double")) - F.col("_upto")) / step
+    return begins.withColumn("_mean", mean).withColumn(value, F.when(F.col(n) == F.col(m), F.col(value).cast("double")).otherwise(F.col("_mean"))).drop("_before", "_all", "_upto", "_mean", at)
+
+
 def downsample(cells: DataFrame, value: str, max_dim: int = DEFAULT.grid_max_dim) -> DataFrame:
     """(tile_id, row, col, value, scale): each axis averaged by area so that the longest side is ``max_dim``; a tile that
-    fits is unchanged. A source cell meets at most two targets on each axis, weighted by overlap."""
+    fits is unchanged. Rows first, then the columns of what is left: no cell is copied."""
     dims = cells.groupBy("tile_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     longest = F.greatest("h", "w")
     scale = F.when(longest <= max_dim, F.lit(1.0)).otherwise(longest / F.lit(float(max_dim)))
     new = lambda n: F.greatest(F.lit(1), F.rint(F.col(n) / F.col("scale")).cast("int"))
     dims = dims.withColumn("scale", scale).withColumns({"nh": new("h"), "nw": new("w")})
-
-    def spread(df: DataFrame, at: str, n: str, m: str, out: str) -> DataFrame:
-        step = F.col(n) / F.col(m)  # source cells of one target
-        first = F.floor(F.col(at) / step).cast("int")
-        last = F.least(F.col(m) - 1, F.floor((F.col(at) + 1 - 1e-9) / step).cast("int"))
-        df = df.withColumn(out, F.explode(F.sequence(first, last)))
-        overlap = F.least(F.col(at) + 1, (F.col(out) + 1) * step) - F.greatest(F.col(at), F.col(out) * step)
-        return df.withColumn(f"_{out}", overlap)
-
-    both = spread(spread(cells.select("tile_id", "y", "x", value).join(dims, "tile_id"), "y", "h", "nh", "row"), "x", "w", "nw", "col")
-    weight = F.col("_row") * F.col("_col")
-    return both.groupBy("tile_id", "row", "col").agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias(value), F.first("scale").alias("scale"))
+    met = cells.select("tile_id", "y", "x", value).join(dims, "tile_id")
+    across = _averaged(met, ["tile_id", "y"], "x", "w", "nw", value, "col")
+    down = _averaged(across, ["tile_id", "col"], "y", "h", "nh", value, "row")
+    return down.select("tile_id", "row", "col", value, "scale")

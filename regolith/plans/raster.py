@@ -71,8 +71,8 @@ ring as (
          coalesce(lead(m2) {Y}, 0) as s_, coalesce(lead(w_) {Y}, 0) as sw, coalesce(lead(e_) {Y}, 0) as se from side),
 nms as (
   select tile_id, y, x, m2,
-    m2 > case when abs(gy) <= abs(gx) * {stencil._TAN_LOW!r}::double then w_ when abs(gy) >= abs(gx) * {stencil._TAN_HIGH!r}::double then n_ when gx * gy >= 0 then nw else ne end
-    and m2 >= case when abs(gy) <= abs(gx) * {stencil._TAN_LOW!r}::double then e_ when abs(gy) >= abs(gx) * {stencil._TAN_HIGH!r}::double then s_ when gx * gy >= 0 then se else sw end as ridge
+    m2 > case when abs(gy) <= abs(gx) * {stencil.TAN_LOW!r}::double then w_ when abs(gy) >= abs(gx) * {stencil.TAN_HIGH!r}::double then n_ when gx * gy >= 0 then nw else ne end
+    and m2 >= case when abs(gy) <= abs(gx) * {stencil.TAN_LOW!r}::double then e_ when abs(gy) >= abs(gx) * {stencil.TAN_HIGH!r}::double then s_ when gx * gy >= 0 then se else sw end as ridge
   from ring)"""
 
 THRESHOLDS = f"""thresholds as (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,27 +56,49 @@ def audit_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.audit_basis(risks(spark, sf_dir), D).select("path_id", b + "risk_formula", F.col(b + "weights.hazard").alias("w_hazard"), b + "thresholds.margin", b + "inputs.total_energy_kwh", b + "inputs.num_waypoints")
 
 
+#: Shapes of model replies by the path's number modulo their count; {p} is the path, {s} one of its segments, {t} another.
+_OF = '"summary": "path {p}", "recommendation": "go"'
+_ONE = '{{"segment_id": {s}, "reason": "steep"}}'
+SHAPES = (
+    "{{" + _OF + ', "top_risks": [' + _ONE + "]}}",
+    "{{" + _OF + ', "top_risks": [{{"segment_id": 99999, "reason": "steep"}}, {{"segment_id": "{s}", "reason": "steep"}}, {{"segment_id": true, "reason": "steep"}}]}}',
+    "```json\n{{" + _OF + ', "top_risks": [{{"segment_id": {t}, "reason": "steep"}}, ' + _ONE + "]}}\n```",
+    '{{"summary": "path {p}", "top_risks": [' + _ONE + "]}}",
+    "{{not json at all",
+    "[1, 2, 3]",
+    None,
+    "\n \t```json\n{{" + _OF + ', "top_risks": [' + _ONE + "]}}\n```\n",
+    "{{" + _OF + ', "top_risks": [{{"segment_id": "{s}.7", "reason": "steep"}}, {{"segment_id": {s}.7, "reason": "steep"}}, {s}, null, {{"reason": "steep"}}]}}',
+    "{{" + _OF + ', "top_risks": "oops"}}',
+    '{{"summary": null, "recommendation": null, "top_risks": null}}',
+    "{{" + _OF + ', "top_risks": {s}7}}',
+    "\r\n{{" + _OF + ', "top_risks": {{"segment_id": {s}, "reason": "steep"}}}}\t',
+    "{{" + _OF + ', "top_risks": []}}',
+    '{{"summary": "path {p}", "top_risks": [], "recommendation": true}}',
+)
+
+
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies made of documents, in seven shapes."""
+    """Model replies made of documents, in the shapes above."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path_id"))
-    risk = lambda i: f"""'{{"segment_id": ', {i}, ', "reason": "steep"}}'"""
-    own = "path_id % 7"
-    body = lambda risks, end: F.expr(f"""concat('{{"summary": "path ', path_id, '", "top_risks": [', {risks}, ']{end}}}')""")
-    end = ', "recommendation": "go"'
-    shape = F.col("path_id") % 10
-    raw = (
-        F.when(shape == 0, body(risk(own), end))
-        .when(shape == 1, body(f"""{risk("99999")}, ', ', {risk(f"concat('\"', {own}, '\"')")}, ', ', {risk("'true'")}""", end))
-        .when(shape == 2, F.concat(F.lit("```json\n"), body(f"""{risk(own + " + 2")}, ', ', {risk(own)}""", end), F.lit("\n```")))
-        .when(shape == 3, body(risk(own), ""))
-        .when(shape == 4, F.lit("{not json at all"))
-        .when(shape == 5, F.lit("[1, 2, 3]"))
-        .when(shape == 6, F.lit(None))
-        .otherwise(body("''", end))
-    )
+    at = lambda shape: F.lit(None) if shape is None else F.concat(*(_part(p) for p in _parts(shape)))
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(SHAPES):
+        raw = F.when(F.col("path_id") % len(SHAPES) == i, at(shape)).otherwise(raw)
     return d.withColumn("raw", raw)
 
 
+def _parts(shape: str) -> list[str]:
+    """Literal texts and the names p, s, t in braces of a shape."""
+    return [x for x in re.split(r"(\{[pst]\})", shape.replace("{{", "\0").replace("}}", "\1")) if x]
+
+
+def _part(part: str) -> F.Column:
+    if part in ("{p}", "{s}", "{t}"):
+        return F.expr({"{p}": "path_id", "{s}": "path_id % 7", "{t}": "path_id % 7 + 2"}[part]).cast("string")
+    return F.lit(part.replace("\0", "{").replace("\1", "}"))
+
+
 def allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path_id"))
     return d.select("path_id", F.explode(F.array(F.col("path_id") % 7, F.col("path_id") % 7 + 2)).alias("segment_id"))
@@ -100,22 +124,37 @@ QUERIES = {f.__name__: f for f in (structured_context, fallback_report, metadata
 
 TOP = "top5 as (select *, row_number() over (partition by path_id order by hazard_score desc, segment_id) as rank from path_steps qualify rank <= 5)"
 CONTEXT = "ctx as (select r.*, m.name as mission_name, coalesce(m.terrain_source, 'unspecified') as terrain_source from risk r join missions m using (mission_id))"
-REPLIES = """replies as (
-  select doc_id as path_id, case doc_id % 10
-    when 0 then '{"summary": "path ' || doc_id || '", "top_risks": [{"segment_id": ' || doc_id % 7 || ', "reason": "steep"}], "recommendation": "go"}'
-    when 1 then '{"summary": "path ' || doc_id || '", "top_risks": [{"segment_id": 99999, "reason": "steep"}, {"segment_id": "' || doc_id % 7 || '", "reason": "steep"}, {"segment_id": true, "reason": "steep"}], "recommendation": "go"}'
-    when 2 then '```json' || chr(10) || '{"summary": "path ' || doc_id || '", "top_risks": [{"segment_id": ' || (doc_id % 7 + 2) || ', "reason": "steep"}, {"segment_id": ' || doc_id % 7 || ', "reason": "steep"}], "recommendation": "go"}' || chr(10) || '```'
-    when 3 then '{"summary": "path ' || doc_id || '", "top_risks": [{"segment_id": ' || doc_id % 7 || ', "reason": "steep"}]}'
-    when 4 then '{not json at all' when 5 then '[1, 2, 3]' when 6 then null
-    else '{"summary": "path ' || doc_id || '", "top_risks": [], "recommendation": "go"}' end as raw from documents),
-bodies as (select *, case when starts_with(trim(raw), '```') then trim(regexp_replace(split_part(trim(raw), '```', 2), '^json', ''), ' ' || chr(10)) else trim(raw) end as body from replies),
+def _shape_sql(shape: str | None) -> str:
+    if shape is None:
+        return "null"
+    literal = lambda x: "'" + x.replace("\0", "{").replace("\1", "}").replace("'", "''") + "'"
+    names = {"{p}": "doc_id", "{s}": "(doc_id % 7)", "{t}": "(doc_id % 7 + 2)"}
+    return " || ".join(names.get(x) or literal(x) for x in _parts(shape))
+
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+REPLIES = f"""replies as (
+  select doc_id as path_id, case doc_id % {len(SHAPES)} {" ".join(f"when {i} then {_shape_sql(x)}" for i, x in enumerate(SHAPES))} end as raw from documents),
+bodies as (
+  select *, case when starts_with(told, '```') then {_STRIP.format("regexp_replace(split_part(told, '```', 2), '^json', '')")} else told end as body
+  from (select *, {_STRIP.format("raw")} as told from replies)),
+typed as (select *, case when json_valid(body) and json_type(body) = 'OBJECT' then json_type(body, '$.top_risks') end as kind from bodies),
 judged as (
   select *, case when raw is null then 'no reply' when not json_valid(body) then 'unparseable model output' when json_type(body) <> 'OBJECT' then 'not an object'
     when not json_exists(body, '$.summary') then 'missing required key: summary' when not json_exists(body, '$.top_risks') then 'missing required key: top_risks'
-    when not json_exists(body, '$.recommendation') then 'missing required key: recommendation' end as fallback_reason from bodies),
+    when not json_exists(body, '$.recommendation') then 'missing required key: recommendation'
+    when kind in ('UBIGINT', 'BIGINT', 'DOUBLE') and json_extract(body, '$.top_risks')::double <> 0 or kind = 'BOOLEAN' and json_extract(body, '$.top_risks')::boolean then 'top_risks cannot be listed' end as fallback_reason from typed),
+told as (
+  select path_id, fallback_reason, {", ".join(f"case when fallback_reason is not null then null when json_type(body, '$.{c}') = 'NULL' then 'None' when json_type(body, '$.{c}') = 'BOOLEAN' then case when json_extract_string(body, '$.{c}') = 'true' then 'True' else 'False' end else json_extract_string(body, '$.{c}') end as {c}" for c in ("summary", "recommendation"))},
+         case when fallback_reason is not null then null when kind = 'ARRAY' then json_array_length(body, '$.top_risks') when kind = 'VARCHAR' then length(json_extract_string(body, '$.top_risks'))
+           when kind = 'OBJECT' then len(json_keys(body, '$.top_risks')) else 0 end::bigint as risks from judged),
+listed as (
+  select path_id, i, case when kind = 'ARRAY' then json_extract(body, '$.top_risks[' || i || ']') end as item
+  from (select path_id, kind, body, unnest(range(risks)) as i from judged join told using (path_id) where risks > 0)),
 cited as (
-  select path_id, i, try_cast(try_cast(json_extract_string(body, '$.top_risks[' || i || '].segment_id') as double) as bigint) as segment_id
-  from (select path_id, body, unnest(range(json_array_length(body, '$.top_risks')::bigint)) as i from judged where fallback_reason is null))"""
+  select path_id, i, case json_type(item, '$.segment_id') when 'VARCHAR' then case when regexp_full_match(json_extract_string(item, '$.segment_id'), '\\s*[+-]?[0-9]+\\s*') then trim(json_extract_string(item, '$.segment_id'))::bigint end
+    when 'BOOLEAN' then json_extract(item, '$.segment_id')::boolean::bigint when 'DOUBLE' then trunc(json_extract(item, '$.segment_id')::double)::bigint when 'UBIGINT' then json_extract(item, '$.segment_id')::bigint
+    when 'BIGINT' then json_extract(item, '$.segment_id')::bigint end as segment_id from listed)"""
 TEMPLATE = """template as (
   select path_id, printf('Path risk: %s (score %.4f). Feasibility: %s. Traverse covers %.3f m across %d waypoints, drawing %.4f kWh of a %.1f kWh battery (%.4f kWh margin). ', risk_tier, risk_score, feasibility,
            total_distance_m, num_waypoints, round(total_energy_kwh + 1e-9::double, 4), capacity_kwh, energy_margin_kwh) || worst as summary, reasons,
@@ -131,10 +170,10 @@ FINAL = """checked as (
   from cited c left join top5 t on t.path_id = c.path_id and t.segment_id = c.segment_id group by 1),
 final as (
   select t.path_id, case when j.path_id is not null and j.fallback_reason is null then 'llm' else 'template_fallback' end as generated_by,
-         case when generated_by = 'llm' then json_extract_string(j.body, '$.summary') else t.summary end as summary, case when generated_by = 'llm' then coalesce(c.kept, '') else t.reasons end as top_risks,
-         case when generated_by = 'llm' then json_extract_string(j.body, '$.recommendation') else t.recommendation end as recommendation, case when generated_by = 'llm' then coalesce(c.dropped, 0) end as dropped_citations,
+         case when generated_by = 'llm' then j.summary else t.summary end as summary, case when generated_by = 'llm' then coalesce(c.kept, '') else t.reasons end as top_risks,
+         case when generated_by = 'llm' then j.recommendation else t.recommendation end as recommendation, case when generated_by = 'llm' then coalesce(c.dropped, 0) end as dropped_citations,
          case when generated_by <> 'llm' then coalesce(j.fallback_reason, 'no reply') end as fallback_reason
-  from template t left join judged j using (path_id) left join checked c using (path_id))"""
+  from template t left join told j using (path_id) left join checked c using (path_id))"""
 ORACLE = {
     "final_report": with_ctes(*PATH_CTES, MISSIONS, TOP, CONTEXT, TEMPLATE, REPLIES, FINAL) + "select * from final",
     "structured_context": with_ctes(*PATH_CTES, MISSIONS, TOP, CONTEXT)
@@ -147,9 +186,7 @@ ORACLE = {
     "audit_basis": with_ctes(*PATH_CTES)
     + f"""select path_id, 'risk = w_hazard * mean(hazard along path) + w_energy * min(total_energy / battery_capacity, 1)' as risk_formula, {D.risk_weight_hazard}::double as w_hazard,
          {D.margin_fraction}::double as margin, total_energy_kwh, num_waypoints from risk""",
-    "narrative_parse": with_ctes(REPLIES)
-    + """select path_id, case when fallback_reason is null then json_extract_string(body, '$.summary') end as summary, case when fallback_reason is null then json_extract_string(body, '$.recommendation') end as recommendation,
-         case when fallback_reason is null then json_array_length(body, '$.top_risks')::bigint end as risks, fallback_reason from judged""",
+    "narrative_parse": with_ctes(REPLIES) + "select path_id, summary, recommendation, risks, fallback_reason from told",
     "citation_check": with_ctes(REPLIES)
     + """select path_id, coalesce(kept, '') as kept, coalesce(dropped, 0) as dropped from judged left join (
          select path_id, string_agg(segment_id::varchar, ',' order by i) filter (segment_id in (path_id % 7, path_id % 7 + 2)) as kept,

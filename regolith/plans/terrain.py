@@ -9,6 +9,7 @@ from regolith.functions.lineage import cut
 from regolith.operators import hazard as hz
 from regolith.operators import planning, regions, reports, stencil
 from regolith.operators.relax import edges_of, labels
+from regolith.operators.surfaces import Surfaces
 from regolith.plans.raster import CELLS, NMS, ROUGH, SLOPE, THRESHOLDS, close_sql
 from regolith.settings import NOISE_TILES as S
 from regolith.sources.tables import ROVERS_SQL, cells, rovers, table, with_ctes
@@ -378,6 +379,48 @@ def plan_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.waypoints(planning.routes(requests, g, rovers(spark), S), requests, g, rovers(spark), S)
 
 
+# --- one raster of many blocks ---
+
+#: Cells a side of the mosaic's blocks, and the one vehicle that is asked for.
+MOSAIC_BLOCK, MOSAIC_ROVER = 64, 1
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tiles' grids side by side as one grid."""
+    place = (F.col("tile_id").cast("int") * 64 + F.col("col")).cast("int")
+    return grids(spark, sf_dir).select(F.lit("mosaic").alias("tile_id"), "row", place.alias("col"), "hazard", "elevation_m")
+
+
+def mosaic_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the west end of the mosaic to its east end and to its middle, and back from there."""
+    wide = cells(spark, sf_dir).agg((F.max(F.col("tile_id").cast("int")) + 1) * 64).first()[0]
+    ends = [(1, 2, 2, wide - 3, 47), (2, 2, 2, wide // 2, 5), (3, wide // 2, 5, 2, 2)]
+    asked = spark.createDataFrame(ends, "plan_id long, start_x int, start_y int, goal_x int, goal_y int")
+    return asked.select("plan_id", F.lit("mosaic").alias("tile_id"), F.lit(MOSAIC_ROVER).alias("rover_id"), "start_x", "start_y", "goal_x", "goal_y", F.lit(1.0).alias("scale"), F.lit(MPC).alias("meters_per_cell"), F.lit(S.lethal_hazard).alias("max_hazard"))
+
+
+def _mosaic(spark: SparkSession, sf_dir: str) -> Surfaces:
+    return planning.large_surfaces(mosaic_requests(spark, sf_dir), mosaic(spark, sf_dir), rovers(spark), S, MOSAIC_BLOCK)
+
+
+def mosaic_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least costs over the whole mosaic, block by block, from its west end."""
+    return _mosaic(spark, sf_dir).costs().where("plan_id = 1").select("row", "col", F.round("cost", 6).alias("cost"))
+
+
+def mosaic_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes over the mosaic, through its blocks."""
+    return _mosaic(spark, sf_dir).routes()
+
+
+MOSAIC = f"""tiles as (select tile_id, "row", col, hazard, elevation_m from grids_),
+grids as (select 'mosaic' as tile_id, "row", (tile_id::int * 64 + col)::int as col, hazard, elevation_m from tiles),
+wide as (select max(col) + 1 as n from grids),
+plan_requests as (
+  select plan_id, 'mosaic' as tile_id, {MOSAIC_ROVER} as rover_id, start_x::int as start_x, start_y, goal_x::int as goal_x, goal_y
+  from (select 1 as plan_id, 2 as start_x, 2 as start_y, n - 3 as goal_x, 47 as goal_y from wide union all select 2, 2, 2, n // 2, 5 from wide union all select 3, n // 2, 5, 2, 2 from wide))"""
+
+
 def path_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit record of each plan that has a grid and a vehicle, by fields."""
     b, g = "basis.", grids(spark, sf_dir)
@@ -415,11 +458,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_hysteresis, region_labels, filled_mask, obstacle_regions, obstacle_circles, obstacle_distance, obstacle_stats, terrain_analysis, hazard_terms, hazard_score, hazard_stats, hazard_basis, path_basis,
-        terrain_stats, terrain_class, class_summary, grid_edges, blocked_edges, cost_surface, plan_cost, plan_status, plan_waypoints, step_energy, slope_between, snap_to_grid,
+        terrain_stats, terrain_class, class_summary, grid_edges, blocked_edges, cost_surface, plan_cost, plan_status, plan_waypoints, mosaic_surface, mosaic_routes, step_energy, slope_between, snap_to_grid,
     )
 }
 
 PLAN = (CELLS, GRIDS, ROVERS_SQL, REQUESTS, EDGE_TABLE, SURFACE, STATUS)
+MOSAIC_PLAN = (CELLS, GRIDS.replace("grids as", "grids_ as"), ROVERS_SQL, MOSAIC, EDGE_TABLE, SURFACE.replace("plan_edges as (", "plan_edges as materialized (").replace("select plan_id, 2, 2, 0::double from plan_requests", "select plan_id, start_y, start_x, 0::double from plan_requests"), STATUS)
+MOSAIC_TRACE = TRACE[: TRACE.index(",\nwalked as")].replace("steps_back as (", "steps_back as materialized (").replace("select plan_id, 0, 47, 61 from plan_status where status = 'OK'", "select plan_id, 0, goal_y, goal_x from plan_status join plan_requests using (plan_id) where status = 'OK'").replace(
+    'where t."row" <> 2 or t.col <> 2)', 'join plan_requests q on q.plan_id = t.plan_id where t."row" <> start_y or t.col <> start_x)'
+)
 ORACLE = {
     "edge_hysteresis": with_ctes(CELLS, HYSTERESIS) + "select tile_id, y, x, label from kept",
     "region_labels": with_ctes(CELLS, CLOSED, "edge1 as (select tile_id, y, x from closed where edge = 1)", label_sql("labe", "edge1")) + "select * from labe",
@@ -459,6 +506,8 @@ ORACLE = {
     "plan_waypoints": with_ctes(CELLS, GRIDS, ROVERS_SQL, REQUESTS, WIDE_EDGES, SURFACE, STATUS, TRACE)
     + f"""select plan_id as path_id, segment_id, round_even(col * {SCALE}::double, 0)::int as x, round_even("row" * {SCALE}::double, 0)::int as y, round(hazard, 4) as hazard_score, round(degrees(atan(slope)), 3) as slope_deg,
          round(m, 3) as step_distance_m, round(e, 6) as energy_cost_kwh, round(sum(e) over (partition by plan_id order by segment_id rows unbounded preceding), 6) as cumulative_energy_kwh from ways""",
+    "mosaic_surface": with_ctes(*MOSAIC_PLAN) + 'select "row", col, round(cost, 6) as cost from surface where plan_id = 1',
+    "mosaic_routes": with_ctes(*MOSAIC_PLAN, MOSAIC_TRACE) + 'select plan_id, segment_id, "row", col from routes',
     "path_basis": with_ctes(CELLS, GRIDS, ROVERS_SQL, REQUESTS, EDGE_TABLE)
     + f"""select plan_id, 8 as connectivity, 'distance_m * (1 + hazard) * (1 + k * |rise/run|)' as cost_function, {S.energy_slope_coefficient}::double as energy_slope_coefficient, nr as "rows", nc as cols, {MPC}::double as meters_per_cell,
          1::double as downsample_scale, {S.lethal_hazard}::double as lethal_hazard_threshold, by_hazard as moves_blocked_by_lethal_hazard, by_slope as moves_blocked_by_slope_limit

@@ -53,6 +53,12 @@ REPLIES = [
     (6, "{not json at all"),
     (7, None),
     (8, "```\n{}\n```"),
+    (10, '\n \t```json {"summary": null, "top_risks": "oops", "recommendation": 1.5}\n```\n more'),
+    (11, '\u00a0{"summary": true, "top_risks": [{"segment_id": "3.7"}, {"segment_id": " 3 ", "reason": null}, {"segment_id": "1_0"}, 3, null, "3", {"segment_id": [3]}, {"segment_id": 1e30}, {"segment_id": -0.5}], "recommendation": ""}\r\n'),
+    (12, '{"summary": "s", "top_risks": 7, "recommendation": "r"}'),
+    (13, '{"summary": "s", "top_risks": {"segment_id": 3, "b": 1}, "recommendation": "r"}'),
+    (14, '{"summary": "s", "top_risks": false, "recommendation": "r"}'),
+    (15, ""),
 ]
 
 
@@ -61,10 +67,14 @@ def test_replies(spark):
     reasons = {r.path_id: r.fallback_reason for r in parsed.collect()}
     assert reasons == {
         1: None, 2: None, 3: None, 4: "missing required key: recommendation", 5: "not an object", 6: "unparseable model output", 7: "no reply", 8: "missing required key: summary",
+        10: None, 11: None, 12: "top_risks cannot be listed", 13: None, 14: None, 15: "unparseable model output",
     }
-    allowed = spark.createDataFrame([(p, s) for p in (1, 2, 3) for s in (1, 3, 4)], "path_id long, segment_id long")
+    allowed = spark.createDataFrame([(p, s) for p in (1, 2, 3, 10, 11, 13) for s in (1, 3, 4, 10)], "path_id long, segment_id long")
     got = {r.path_id: (r.kept, r.dropped) for r in rp.check_citations(parsed, allowed).collect()}
-    assert got == {1: ("3", 0), 2: ("3,1,4", 3), 3: ("", 0)}
+    assert got == {1: ("3", 0), 2: ("3,1,1,4", 2), 3: ("", 0), 10: ("", 4), 11: ("3,10", 7), 13: ("", 2), 14: ("", 0)}
+    told = {r.path_id: (r.summary, r.recommendation) for r in parsed.collect()}
+    assert told[10] == ("None", "1.5") and told[11] == ("True", "") and told[6] == (None, None)
+    assert [r.reason for r in next(r.risks for r in parsed.collect() if r.path_id == 11)][:3] == ["", "None", ""]
 
 
 def test_recommendations(spark):
@@ -86,7 +96,7 @@ def test_final_reports(spark):
     got = {r.path_id: r for r in rp.final_report(context_of(spark, range(1, 10)), spark.createDataFrame(REPLIES, "path_id long, raw string")).collect()}
     assert len(got) == 9 and {p for p, r in got.items() if r.generated_by == "llm"} == {1, 2, 3}
     assert [(k.segment_id, k.reason) for k in got[1].top_risks] == [(3, "x")] and got[1].summary == "s" and got[1].dropped_citations == 0 and got[1].fallback_reason is None
-    assert [k.segment_id for k in got[2].top_risks] == [3, 1, 4] and got[2].dropped_citations == 3 and got[3].top_risks == []
+    assert [k.segment_id for k in got[2].top_risks] == [3, 1, 1, 4] and got[2].dropped_citations == 2 and got[3].top_risks == []
     assert {p: got[p].fallback_reason for p in (4, 5, 6, 7, 9)} == {4: "missing required key: recommendation", 5: "not an object", 6: "unparseable model output", 7: "no reply", 9: "no reply"}
     for p in (4, 9):
         assert got[p].generated_by == "template_fallback" and [k.segment_id for k in got[p].top_risks] == [3, 1] and "0.9000" in got[p].summary and got[p].recommendation.startswith("Execute as planned")

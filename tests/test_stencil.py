@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from regolith.operators import hazard, stencil
-from regolith.settings import Settings
+from regolith.operators import halo, hazard, stencil
+from regolith.settings import DEFAULT, Settings
 from pyspark.sql import functions as F
 
 
@@ -130,3 +130,74 @@ def test_exact_percentiles(spark):
     for width in (0.01, 10.0, 1e-5):
         got = {r.tile_id: r.p for r in hazard.exact_percentile(df, "v", 0.95, width, "p").collect()}
         assert got == {t: pytest.approx(np.percentile([v for k, v in rows if k == t], 95)) for t in "abcd"}
+
+
+def _cells(spark, **tiles):
+    rows = [(name, y, x, int(v)) for name, a in tiles.items() for (y, x), v in np.ndenumerate(a)]
+    return spark.createDataFrame(rows, "tile_id string, y int, x int, intensity int").repartition(3)
+
+
+def _tiles():
+    rng = np.random.default_rng(8)
+    shapes = {"one": (1, 1), "row": (1, 9), "column": (7, 1), "two": (2, 2), "thin": (20, 3), "flat": (3, 30), "five": (5, 5), "wide": (33, 41), "even": (16, 32)}
+    return {name: rng.integers(0, 256, shape) for name, shape in shapes.items()}
+
+
+def _padded(a, r):
+    """Reflected as often as it takes, one index at a time."""
+    def place(i, n):
+        while not 0 <= i < n:
+            i = -i if i < 0 else 2 * (n - 1) - i
+        return i if n > 1 else 0
+
+    ys, xs = ([0 if n == 1 else place(i, n) for i in range(-r, n + r)] for n in a.shape)
+    return a[np.ix_(ys, xs)]
+
+
+def test_roughness_and_blur_of_narrow_tiles(spark):
+    tiles = _tiles()
+    got = {(r.tile_id, r.y, r.x): r for r in stencil.gaussian_blur(stencil.roughness(_cells(spark, **tiles))).collect()}
+    k = np.array([1, 4, 6, 4, 1])
+    for name, a in tiles.items():
+        wide, blur = _padded(a, 4), _padded(a, 2)
+        for (y, x), _ in np.ndenumerate(a):
+            r = got[name, y, x]
+            assert r.roughness == pytest.approx(min(1.0, np.std(wide[y : y + 9, x : x + 9] / 255) / 0.5), abs=1e-12)
+            assert r.blurred == (int(k @ blur[y : y + 5, x : x + 5] @ k) + 128) // 256
+
+
+@pytest.mark.parametrize("block", [2, 7, 16, 256])
+def test_blocks_equal_windows_bit_for_bit(spark, block):
+    cells = _cells(spark, **_tiles())
+    for settings in (DEFAULT, Settings(roughness_window=4), Settings(roughness_window=13)):
+        got = {(r.tile_id, r.y, r.x): r for r in halo.stencils(cells, settings, block).collect()}
+        want = {(r.tile_id, r.y, r.x): r for r in stencil.layers(cells, settings).collect()}
+        assert got.keys() == want.keys()
+        for at, w in want.items():
+            assert (got[at].gradient, got[at].slope_deg, got[at].roughness, got[at].intensity) == (w.gradient, w.slope_deg, w.roughness, w.intensity)
+    for r in stencil.edge_nms(cells).collect():
+        g = got[r.tile_id, r.y, r.x]
+        assert (g.blurred, g.gx, g.gy, g.m2, g.ridge) == (r.blurred, r.gx, r.gy, r.m2, r.ridge)
+
+
+def test_blocks_take_one_exchange(spark):
+    plan = halo.stencils(_cells(spark, a=np.zeros((9, 9))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("REPARTITION_BY_NUM") - plan.count("RoundRobin") <= 1 and "Window" not in plan
+
+
+@pytest.mark.parametrize("most", [3, 7, 12, 100])
+def test_downsample_averages_by_area(spark, most):
+    tiles = _tiles()
+    got = {(r.tile_id, r.row, r.col): r for r in stencil.downsample(_cells(spark, **tiles), "intensity", most).collect()}
+    for name, a in tiles.items():
+        longest = max(a.shape)
+        scale = 1.0 if longest <= most else longest / most
+        new = [max(1, round(n / scale)) for n in a.shape]
+        weights = []
+        for n, m in zip(a.shape, new):
+            step = n / m
+            weights.append(np.array([[max(0.0, min(i + 1, (j + 1) * step) - max(i, j * step)) / step for i in range(n)] for j in range(m)]))
+        want = weights[0] @ a @ weights[1].T
+        assert sum(1 for t, *_ in got if t == name) == want.size
+        for (y, x), v in np.ndenumerate(want):
+            assert got[name, y, x].intensity == pytest.approx(v, abs=1e-9) and got[name, y, x].scale == scale
