@@ -21,6 +21,8 @@ from regolith.llm.common import held_out, read
 
 #: Texts of one language that the model is fitted on at most, and of all together: documented bounds.
 SAMPLE_ROWS, SAMPLE_TOTAL = 800, 6000
+#: Languages that are learned at most, those of most rows, and characters of a text of the sample.
+MOST_LANGS, SAMPLE_CHARS = 300, 50_000
 CENTROIDS, SIZE, SMALLEST_SHARE = 3, 4096, 0.1
 #: Characters whose n-grams are counted together.
 CHUNK = 200_000
@@ -153,15 +155,17 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
 
 def train(docs: DataFrame) -> Model | None:
     """Fits on a bounded sample of ``docs`` (doc_id, text, lang) that are not held out and have a language and a text:
-    for each language those with the smallest hashes of id and text. The counts of rows by language are over all rows."""
+    for each language those with the smallest hashes of id and text, of at most SAMPLE_CHARS characters; a row that repeats
+    another counts once. The counts of rows by language are over all rows."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.where(F.length("text") <= SAMPLE_CHARS)
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return None
     rows = max(20, min(SAMPLE_ROWS, SAMPLE_TOTAL // len(sizes)))
     share = F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, (1.2 * rows + 30) / n))))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40)) / float(2**40)
-    some = known.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).select("doc_id", "text", "lang", "place").toPandas()
+    some = known.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).select("doc_id", "text", "lang", "place").distinct().toPandas()
     some = some.sort_values(["lang", "place", "doc_id"]).groupby("lang", sort=True).head(rows)
     return fit(some["text"].tolist(), some["lang"].tolist())
 

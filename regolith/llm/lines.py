@@ -94,8 +94,9 @@ def dedup(docs: DataFrame, host_col: str, text_col: str = "text", ratio: float =
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, whose host is their source."""
-    found = dedup(read(spark, sf_dir, "documents", "doc_id", "source", "text"), "source")
+    """Documents, whose host is their source. Copies of a text are one page, and sources of few pages lose the lines that all
+    of them have, as in op9_pages."""
+    found = dedup(read(spark, sf_dir, "documents", "doc_id", "source", "text"), "source", distinct=True, small=True)
     return found.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
@@ -110,16 +111,12 @@ def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = f"""
 with cut as (select doc_id, source, text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+totals as (select source, count(*) as pages from (select distinct source, text from cut) group by source),
 counted as (
-  select source, line, count(*) as having_it
-  from (select distinct rowid_, source, line from (select row_number() over () as rowid_, source, unnest(parts) as line from cut))
-  where trim(line) <> '' group by source, line
-),
+  select source, line, count(*) as having_it from (select distinct source, text, unnest(parts) as line from cut) where trim(line) <> '' group by source, line),
 gone as (
-  select c.source, list(c.line) as lines
-  from counted c join (select source, count(*) as pages from documents group by source) t on t.source is not distinct from c.source
-  where c.having_it >= {LEAST_PAGES} and c.having_it > {RATIO}::double * t.pages group by c.source
-),
+  select c.source, list(c.line) as lines from counted c join totals t on t.source is not distinct from c.source
+  where c.having_it >= 2 and c.having_it > {RATIO}::double * t.pages and c.having_it >= least({LEAST_PAGES}, t.pages) group by c.source),
 kept as (
   select doc_id, text, parts, case when lines is null then parts else list_filter(parts, lambda x: not list_contains(lines, x)) end as rest
   from cut left join gone on gone.source is not distinct from cut.source
