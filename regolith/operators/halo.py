@@ -107,3 +107,34 @@ def stencils(cells: DataFrame, settings: Settings = DEFAULT, block: int = BLOCK)
     met = met.where("by >= 0 and bx >= 0").repartition(spread, "tile_id", "by", "bx")
     sums = met.groupBy("tile_id", "by", "bx").applyInArrow(each, _FIELDS)
     return from_sums(sums, settings)
+
+
+def _ellipse(a: np.ndarray, pick) -> np.ndarray:
+    """Max or min over a 5x5 ellipse, rows of widths 1, 5, 5, 5, 1; the result has a rim of two cells less."""
+    h, w = a.shape
+    wide = [a[:, 2 + d : w - 2 + d] for d in range(-2, 3)]
+    row = pick.reduce(wide)
+    return pick.reduce([row[2 + d : h - 2 + d] for d in (-1, 0, 1)] + [a[2 + d : h - 2 + d, 2 : w - 2] for d in (-2, 2)])
+
+
+def close(edges: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(tile_id, y, x) of the closed edge map: ``edges`` (tile_id, y, x) dilated, then eroded, by the ellipse. ``sizes``
+    (tile_id, last_y, last_x): cells outside a raster do not count. Only blocks that have or border on an edge are looked at."""
+
+    def each(table: pa.Table) -> pa.Table:
+        tile, by, bx, last_y, last_x = (table[c][0].as_py() for c in ("tile_id", "by", "bx", "last_y", "last_x"))
+        y0, x0 = by * block, bx * block
+        h, w = min(block, last_y + 1 - y0), min(block, last_x + 1 - x0)
+        wide = np.zeros((h + 8, w + 8), np.uint8)
+        wide[table["y"].to_numpy() - y0 + 4, table["x"].to_numpy() - x0 + 4] = 1
+        grown = _ellipse(wide, np.maximum)
+        rows, cols = np.arange(y0 - 2, y0 + h + 2), np.arange(x0 - 2, x0 + w + 2)
+        grown[(rows < 0) | (rows > last_y)], grown[:, (cols < 0) | (cols > last_x)] = 1, 1
+        y, x = np.nonzero(_ellipse(grown, np.minimum))
+        return pa.table([pa.repeat(pa.scalar(tile, pa.string()), len(y)), pa.array((y + y0).astype(np.int32)), pa.array((x + x0).astype(np.int32))], ["tile_id", "y", "x"])
+
+    met = edges.select("tile_id", "y", "x").withColumn("by", F.explode(reach("y", block, 4))).withColumn("bx", F.explode(reach("x", block, 4)))
+    met = met.join(sizes, "tile_id").where(f"by >= 0 and bx >= 0 and by * {block} <= last_y and bx * {block} <= last_x")
+    met = met.where(f"y < by * {block} + least({block}, last_y + 1 - by * {block}) + 4 and x < bx * {block} + least({block}, last_x + 1 - bx * {block}) + 4")
+    spread = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(spread, "tile_id", "by", "bx").groupBy("tile_id", "by", "bx").applyInArrow(each, "tile_id string, y int, x int")

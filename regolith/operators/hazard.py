@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith import wording as words
 from regolith.settings import DEFAULT, Settings
 
 
@@ -65,6 +66,6 @@ def classify(area_fraction: Column, mean_slope: Column, mean_roughness: Column,
     sandy = (mean_slope <= settings.sandy_max_slope_deg) & (mean_roughness <= settings.sandy_max_roughness) & (area_fraction < settings.sandy_max_area_fraction)
     name = F.when(crater, "crater_field").when(sandy, "sandy_plain").otherwise("rocky_highland")
     rule = F.when(
-        crater, F.format_string("obstacle_area_fraction %.3f >= %.2f (few large closed features)", F.round(area_fraction, 3), F.lit(settings.crater_min_area_fraction))
-    ).when(sandy, "low slope AND low roughness AND sparse obstacles")
-    return name, rule.otherwise("default (elevated slope, roughness, or obstacle count)")
+        crater, F.format_string(words.CRATER_RULE, F.round(area_fraction, 3), F.lit(settings.crater_min_area_fraction))
+    ).when(sandy, words.SANDY_RULE)
+    return name, rule.otherwise(words.ROCKY_RULE)

@@ -40,6 +40,14 @@ def energy_factor(rise_over_run: Column, settings: Settings = DEFAULT) -> Column
     return 1 + settings.energy_slope_coefficient * F.abs(rise_over_run)
 
 
+def slope_between(a: tuple[str, str, str], b: tuple[str, str, str], meters_per_cell: float) -> Column:
+    """Signed slope in degrees from one cell to another, each told by the columns of its row, column and elevation; 0 between a cell
+    and itself."""
+    dy, dx = F.col(b[0]) - F.col(a[0]), F.col(b[1]) - F.col(a[1])
+    run = F.sqrt((dy * dy + dx * dx).cast("double")) * meters_per_cell
+    return F.when(run == 0, 0.0).otherwise(F.degrees(F.atan((F.col(b[2]) - F.col(a[2])) / run)))
+
+
 def edge_cost(step_m: Column, hazard: Column, rise_over_run: Column, settings: Settings = DEFAULT) -> Column:
     return step_m * (1 + hazard) * energy_factor(rise_over_run, settings)
 
@@ -152,7 +160,7 @@ def waypoints(route: DataFrame, requests: DataFrame, grids: DataFrame, rovers: D
     the running sum before rounding. The first step is all zero."""
     line = Window.partitionBy("plan_id").orderBy("segment_id")
     about = requests.select("plan_id", "tile_id", "rover_id", "scale", "meters_per_cell").join(rovers.select("rover_id", "kwh_per_m"), "rover_id")
-    at = route.join(about, "plan_id").join(grids, ["tile_id", "row", "col"])
+    at = route.join(about, "plan_id").join(grids.select("tile_id", "row", "col", "hazard", "elevation_m"), ["tile_id", "row", "col"])
     before = {c: F.lag(c).over(line) for c in ("row", "col", "elevation_m")}
     dy, dx = F.col("row") - before["row"], F.col("col") - before["col"]
     at = at.withColumn("_m", F.coalesce(F.sqrt((dy * dy + dx * dx).cast("double")) * F.col("meters_per_cell"), F.lit(0.0)))

@@ -11,19 +11,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.graph import components
+from regolith.functions.lineage import cut
+from regolith.operators.halo import close
 from regolith.operators.hazard import edge_thresholds
-from regolith.operators.relax import labels
-from regolith.operators.stencil import edge_nms, morph_close
+from regolith.operators.relax import BLOCK, FOUR, ROW, label_block, labels
+from regolith.operators.stencil import edge_nms
 from regolith.settings import DEFAULT, Settings
 
 KEYS = ["tile_id", "y", "x"]
 FAR_M = 1e6
 
 
+def sizes_of(cells: DataFrame) -> DataFrame:
+    """(tile_id, last_y, last_x) of whole rectangles."""
+    return cells.groupBy("tile_id").agg(F.max("y").alias("last_y"), F.max("x").alias("last_x"))
+
+
 def edge_hysteresis(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(tile_id, y, x, label) of ridge cells above the low threshold whose 8-connected component reaches the high one."""
-    ridges = edge_nms(cells)
-    marked = ridges.join(edge_thresholds(ridges, settings), "tile_id").withColumn("_m", F.sqrt(F.col("m2").cast("double")))
+    """(tile_id, y, x, label) of ridge cells above the low threshold whose 8-connected component reaches the high one.
+    ``cells`` may have m2 and ridge already (halo.stencils)."""
+    ridges = cells if "ridge" in cells.columns else edge_nms(cells)
+    marked = ridges.select(*KEYS, "m2", "ridge").join(edge_thresholds(ridges, settings), "tile_id").withColumn("_m", F.sqrt(F.col("m2").cast("double")))
     weak = marked.where("ridge and _m > low").select(*KEYS, (F.col("_m") > F.col("high")).alias("strong"))
     named = labels(weak, "true", carry=("strong",))
     alive = named.groupBy("tile_id", "label").agg(F.max("strong").alias("alive")).where("alive")
@@ -32,28 +41,92 @@ def edge_hysteresis(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame
 
 def closed_edges(cells: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(tile_id, y, x, edge): the closed edge map over all cells."""
-    found = edge_hysteresis(cells, settings).select(*KEYS, F.lit(1).alias("edge"))
-    return morph_close(cells.select(*KEYS).join(found, KEYS, "left").withColumn("edge", F.coalesce("edge", F.lit(0))))
+    found = close(edge_hysteresis(cells, settings), sizes_of(cells)).withColumn("edge", F.lit(1))
+    return cells.select(*KEYS).join(found, KEYS, "left").withColumn("edge", F.coalesce("edge", F.lit(0)))
+
+
+def filled_cells(edges: DataFrame, sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(tile_id, y, x) that are ``edges`` (tile_id, y, x) or enclosed by them: all but the background that is 4-connected to the
+    raster's border. ``sizes`` as of sizes_of.
+
+    Background is never listed cell by cell: each block labels its own, tells what it has along its border, and after
+    these labels are joined over block borders keeps what no outer label holds. Rasters of one block need no second look."""
+    at = lambda c: F.floor(F.col(c) / block).cast("int")
+    own = edges.withColumns({"by": at("y"), "bx": at("x")}).groupBy("tile_id", "by", "bx").agg(F.collect_list("y").alias("ys"), F.collect_list("x").alias("xs"))  # of one block
+    each = lambda last: F.explode(F.sequence(F.lit(0), at(last)))
+    every = sizes.withColumn("by", each("last_y")).withColumn("bx", each("last_x")).join(own, ["tile_id", "by", "bx"], "left")
+    spread = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = cut(every.select("tile_id", "by", "bx", "last_y", "last_x", "ys", "xs").repartition(spread, "tile_id", "by", "bx"))
+
+    def parts(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edge cells, background labels, and which background touches the raster's border."""
+        y0, x0 = row["by"] * block, row["bx"] * block
+        h, w = min(block, row["last_y"] + 1 - y0), min(block, row["last_x"] + 1 - x0)
+        edge = np.zeros((h, w), bool)
+        if row["ys"] is not None:
+            edge[np.array(row["ys"]) - y0, np.array(row["xs"]) - x0] = True
+        number = np.arange(y0, y0 + h, dtype=np.int64)[:, None] * ROW + np.arange(x0, x0 + w)[None, :]
+        label = label_block(~edge, number, FOUR) if edge.any() else np.full_like(number, number[0, 0])
+        rim = np.zeros((h, w), bool)
+        rim[0] |= y0 == 0
+        rim[-1] |= y0 + h > row["last_y"]
+        rim[:, 0] |= x0 == 0
+        rim[:, -1] |= x0 + w > row["last_x"]
+        return edge, label, np.isin(label, label[rim & ~edge])
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            edge, label, outer = parts(row)
+            on = np.zeros_like(edge)
+            on[0], on[-1], on[:, 0], on[:, -1] = True, True, True, True
+            y, x = np.nonzero(on & ~edge)
+            columns = (y + row["by"] * block).astype(np.int32), (x + row["bx"] * block).astype(np.int32), label[y, x], outer[y, x]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["tile_id"], pa.string()), len(y)), *map(pa.array, columns)], ["tile_id", "y", "x", "part", "outer"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            edge, label, outer = parts(row)
+            out = outer if row.get("outside") is None else outer | np.isin(label, np.array(row["outside"], np.int64))
+            y, x = np.nonzero(edge | ~out)
+            columns = (y + row["by"] * block).astype(np.int32), (x + row["bx"] * block).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["tile_id"], pa.string()), len(y)), *map(pa.array, columns)], ["tile_id", "y", "x"])
+
+    schema = "tile_id string, y int, x int"
+    if not packed.where("by > 0 or bx > 0").limit(1).count():
+        return packed.where("ys is not null").mapInArrow(keep, schema)
+    rim = cut(packed.mapInArrow(borders, schema + ", part long, outer boolean"))
+    beside = rim.withColumn("s", F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in FOUR if (dy, dx) > (0, 0)))))
+    beside = beside.select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("part").alias("other"))
+    links = beside.join(rim.select("tile_id", "y", "x", "part"), KEYS).where("part <> other").select(F.struct("tile_id", "part").alias("a"), F.struct("tile_id", F.col("other").alias("part")).alias("b"))
+    joined = components(links.distinct()).select("node.tile_id", "node.part", F.col("component.part").alias("whole"))
+    known = rim.groupBy("tile_id", "part").agg(F.max("outer").alias("outer"), F.min_by(F.struct(at("y").alias("by"), at("x").alias("bx")), F.struct("y", "x")).alias("of"))
+    known = known.join(joined, ["tile_id", "part"], "left").withColumn("whole", F.coalesce("whole", "part"))
+    outside = known.join(known.where("outer").select("tile_id", "whole").distinct(), ["tile_id", "whole"], "left_semi")
+    outside = outside.groupBy("tile_id", "of.by", "of.bx").agg(F.collect_list("part").alias("outside"))  # at most the border cells of a block
+    return packed.join(outside, ["tile_id", "by", "bx"], "left").mapInArrow(keep, schema)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(len(batch)):
+            cells_ = ((name, batch.column(name)[i]) for name in batch.schema.names)
+            yield {name: (v.values.to_numpy() if v.is_valid else None) if isinstance(v, pa.ListScalar) else v.as_py() for name, v in cells_}
 
 
 def filled_mask(closed: DataFrame) -> DataFrame:
-    """(tile_id, y, x) that are edges or enclosed by them: all but the background that is 4-connected to the border."""
-    size = Window.partitionBy("tile_id", "y"), Window.partitionBy("tile_id", "x")
-    framed = closed.withColumns({"_lx": F.max("x").over(size[0]), "_ly": F.max("y").over(size[1])})
-    rim = framed.withColumn("rim", (F.col("y") == 0) | (F.col("x") == 0) | (F.col("x") == F.col("_lx")) | (F.col("y") == F.col("_ly"))).drop("_lx", "_ly")
-    back = labels(rim, "edge = 0", diagonal=False, carry=("rim",))
-    outer = back.groupBy("tile_id", "label").agg(F.max("rim").alias("outer")).where("outer").drop("outer")
-    outside = back.join(outer, ["tile_id", "label"], "left_semi").select(*KEYS)
-    return closed.select(*KEYS).join(outside, KEYS, "left_anti")
+    """(tile_id, y, x) that are edges of closed(tile_id, y, x, edge) over all cells, or enclosed by them."""
+    return filled_cells(closed.where("edge = 1").select(*KEYS), sizes_of(closed))
 
 
 def region_cells(filled: DataFrame) -> DataFrame:
     """(tile_id, y, x, label, boundary): filled cells by 8-connected region; boundary cells have a side outside."""
     named = labels(filled, "true")
-    sides = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))))
-    near = named.withColumn("s", sides).select("tile_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
-    sided = near.groupBy(*KEYS).agg(F.count("*").alias("sides"))
-    return named.join(sided, KEYS, "left").withColumn("boundary", F.coalesce("sides", F.lit(0)) < 4).drop("sides")
+    beside = lambda at, across: Window.partitionBy("tile_id", across).orderBy(at)
+    inner = F.lit(True)
+    for at, across in (("x", "y"), ("y", "x")):
+        line = beside(at, across)
+        inner = inner & (F.coalesce(F.lag(at).over(line), F.lit(-9)) == F.col(at) - 1) & (F.coalesce(F.lead(at).over(line), F.lit(-9)) == F.col(at) + 1)
+    return named.withColumn("boundary", ~inner)
 
 
 def region_sums(cells: DataFrame) -> DataFrame:

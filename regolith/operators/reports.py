@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regolith import wording as words
 from regolith.operators.paths import TIE
 from regolith.settings import DEFAULT, Settings
 
@@ -19,10 +20,22 @@ def fixed(value: str | Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", value)
 
 
-def structured_context(risks: DataFrame, missions: DataFrame, segments: DataFrame) -> DataFrame:
-    """(path_id, context): one nested row of all figures that a report may tell. ``segments`` has each path's worst."""
+def structured_context(risks: DataFrame, missions: DataFrame, segments: DataFrame, terrain: DataFrame | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """(path_id, context): one nested row of all figures that a report may tell. ``segments`` has each path's worst. With
+    ``terrain``, rows of analysis.analyse for the tiles of missions, it tells of the terrain too, and on what basis hazard
+    and risk were computed."""
     worst = segments.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("rank", "segment_id", "x", "y", "hazard_score", "slope_deg"))).alias("worst"))
-    met = risks.join(missions.select("mission_id", F.col("name").alias("mission_name"), "terrain_source"), "mission_id").join(worst, "path_id")
+    about = missions.select("mission_id", F.col("name").alias("mission_name"), "terrain_source", *(["tile_id"] if terrain is not None else []))
+    met = risks.join(about, "mission_id").join(worst, "path_id")
+    more = []
+    if terrain is not None:
+        summary = F.struct(
+            F.round("mean_hazard", 4).alias("avg_hazard_score"), F.round("max_hazard", 4).alias("max_hazard_score"), F.col("obstacles").alias("obstacle_count"),
+            F.col("terrain_class").alias("terrain_classification"), "mean_slope_deg", "max_slope_deg", F.struct("width_m", "height_m").alias("area_covered_m"),
+        )
+        ground = terrain.select("tile_id", summary.alias("_terrain")).join(hazard_basis(terrain, settings).withColumnRenamed("basis", "_hazard"), "tile_id")
+        met = met.join(ground, "tile_id").join(audit_basis(risks, settings).withColumnRenamed("basis", "_risk"), "path_id")
+        more = [F.col("_terrain").alias("terrain_summary"), F.struct(F.col("_hazard").alias("hazard"), F.col("_risk").alias("risk")).alias("calculation_basis")]
     context = F.struct(
         "mission_id",
         "mission_name",
@@ -35,20 +48,21 @@ def structured_context(risks: DataFrame, missions: DataFrame, segments: DataFram
         F.col("risk_tier").alias("risk_score"),
         F.col("risk_score").alias("risk_score_numeric"),
         "feasibility",
+        *more,
     )
     return met.select("path_id", context.alias("context"))
 
 
 def recommendation(verdict: Column, margin: Column) -> Column:
     return (
-        F.when(verdict == "INFEASIBLE", "Do not execute: projected energy draw exceeds battery capacity. Shorten the traverse or select a lower-hazard corridor.")
-        .when(verdict == "FEASIBLE_WITH_MARGIN", F.concat(F.lit("Execute with contingency planning: only "), fixed(margin, 4), F.lit(" kWh of reserve remains.")))
-        .otherwise("Execute as planned; energy reserve and hazard exposure are both within limits.")
+        F.when(verdict == "INFEASIBLE", words.INFEASIBLE)
+        .when(verdict == "FEASIBLE_WITH_MARGIN", F.concat(F.lit(words.MARGIN_BEFORE), fixed(margin, 4), F.lit(words.MARGIN_AFTER)))
+        .otherwise(words.FEASIBLE)
     )
 
 
 def _reason(s: Column) -> Column:
-    return F.format_string("Hazard score %.4f at (%d, %d), local slope %.3f deg.", s.hazard_score, s.x, s.y, s.slope_deg)
+    return F.format_string(words.REASON, s.hazard_score, s.x, s.y, s.slope_deg)
 
 
 def _template() -> dict[str, Column]:
@@ -56,9 +70,9 @@ def _template() -> dict[str, Column]:
     c = lambda *path: F.col(".".join(("context", *path)))
     two = F.slice(c("path_summary", "high_hazard_segments"), 1, 2)
     first = F.element_at(two, 1)
-    worst = F.when(F.size(two) > 0, F.format_string("Highest-hazard segment: %d at hazard %.4f.", first.segment_id, first.hazard_score)).otherwise("No high-hazard segments recorded.")
+    worst = F.when(F.size(two) > 0, F.format_string(words.WORST_SEGMENT, first.segment_id, first.hazard_score)).otherwise(words.NO_SEGMENT)
     summary = F.format_string(
-        "Path risk: %s (score %.4f). Feasibility: %s. Traverse covers %.3f m across %d waypoints, drawing %.4f kWh of a %.1f kWh battery (%.4f kWh margin). %s",
+        words.SUMMARY + "%s",
         c("risk_score"), c("risk_score_numeric"), c("feasibility"), c("path_summary", "total_distance_m"), c("path_summary", "num_waypoints"),
         c("path_summary", "total_energy_cost_kwh"), c("rover_constraints", "capacity_kwh"), c("rover_constraints", "energy_margin_kwh"), worst,
     )
@@ -162,7 +176,7 @@ def final_report(contexts: DataFrame, replies: DataFrame) -> DataFrame:
 def audit_basis(risks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(path_id, basis): formula, weights, thresholds and inputs with every result."""
     basis = F.struct(
-        F.lit("risk = w_hazard * mean(hazard along path) + w_energy * min(total_energy / battery_capacity, 1)").alias("risk_formula"),
+        F.lit(words.RISK_FORMULA).alias("risk_formula"),
         F.struct(F.lit(settings.risk_weight_hazard).alias("hazard"), F.lit(settings.risk_weight_energy).alias("energy")).alias("weights"),
         F.struct(F.lit(settings.tier_low).alias("low"), F.lit(settings.tier_medium).alias("medium"), F.lit(settings.margin_fraction).alias("margin")).alias("thresholds"),
         F.struct("total_energy_kwh", "capacity_kwh", "num_waypoints").alias("inputs"),
@@ -174,7 +188,7 @@ def hazard_basis(stats: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``stats`` of hazard_stats with ``basis``: how each tile's hazard came about and what it came to."""
     four = lambda *names: F.struct(*(F.round(c, 4).alias(c) for c in names))
     basis = F.struct(
-        F.lit("hazard = w_slope * min(slope_deg / slope_reference_deg, 1) + w_obstacle * 1/(1 + distance_to_obstacle_m) + w_roughness * normalised_local_std").alias("formula"),
+        F.lit(words.HAZARD_FORMULA).alias("formula"),
         F.struct(F.lit(settings.weight_slope).alias("slope"), F.lit(settings.weight_obstacle).alias("obstacle_proximity"), F.lit(settings.weight_roughness).alias("roughness")).alias("weights"),
         F.lit(settings.slope_reference_deg).alias("slope_reference_deg"),
         F.lit(settings.roughness_window).alias("roughness_window"),
@@ -189,9 +203,9 @@ def path_basis(plans: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     under which a route was sought, with the edges that either limit removed from the whole grid."""
     basis = F.struct(
         F.lit(8).alias("connectivity"),
-        F.lit("distance_m * (1 + hazard) * (1 + k * |rise/run|)").alias("cost_function"),
-        F.lit("energy_kwh = energy_per_meter_kwh * distance_m * (1 + k * |rise/run|)").alias("energy_model"),
-        F.lit("edge removed if |slope| > max_traversable_slope_deg or hazard >= lethal_hazard_threshold").alias("hard_constraints"),
+        F.lit(words.COST_FUNCTION).alias("cost_function"),
+        F.lit(words.ENERGY_MODEL).alias("energy_model"),
+        F.lit(words.HARD_CONSTRAINTS).alias("hard_constraints"),
         F.lit(settings.energy_slope_coefficient).alias("energy_slope_coefficient"),
         F.struct("rows", "cols").alias("planning_grid_shape"),
         F.round("meters_per_cell", 4).alias("meters_per_cell"),

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith import wording as words
+from regolith.functions.lineage import shared_dir
 from regolith.operators import paths as pt
 from regolith.operators import reports as rp
 from regolith.operators import rules
@@ -34,12 +37,14 @@ def fallback_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures read back from the stored metadata text."""
-    stored = risks(spark, sf_dir).select("path_id", F.to_json(F.struct(
+    """Figures of each path out of the metadata text of a stored table."""
+    document = F.struct(
         F.struct(F.struct("mean_hazard", "max_hazard").alias("aggregate")).alias("hazard_calculation_basis"), F.struct(F.col("max_slope_deg").alias("max_deg")).alias("slope"), F.lit("/srv/x.npz").alias("arrays_path"),
-    )).alias("metadata"))
+    )
+    folder = f"{shared_dir(spark)}/metadata-{uuid.uuid4().hex}"
+    risks(spark, sf_dir).select("path_id", F.to_json(document).alias("metadata")).write.parquet(folder)
     aggregate = "$.hazard_calculation_basis.aggregate"
-    return stored.select(
+    return spark.read.parquet(folder).select(
         "path_id", *rules.extract("metadata", mean_hazard=(f"{aggregate}.mean_hazard", "double"), max_hazard=(f"{aggregate}.max_hazard", "double"), max_deg=("$.slope.max_deg", "double"), arrays_path=("$.arrays_path", "string"))
     )
 
@@ -155,15 +160,15 @@ cited as (
   select path_id, i, case json_type(item, '$.segment_id') when 'VARCHAR' then case when regexp_full_match(json_extract_string(item, '$.segment_id'), '\\s*[+-]?[0-9]+\\s*') then trim(json_extract_string(item, '$.segment_id'))::bigint end
     when 'BOOLEAN' then json_extract(item, '$.segment_id')::boolean::bigint when 'DOUBLE' then trunc(json_extract(item, '$.segment_id')::double)::bigint when 'UBIGINT' then json_extract(item, '$.segment_id')::bigint
     when 'BIGINT' then json_extract(item, '$.segment_id')::bigint end as segment_id from listed)"""
-TEMPLATE = """template as (
-  select path_id, printf('Path risk: %s (score %.4f). Feasibility: %s. Traverse covers %.3f m across %d waypoints, drawing %.4f kWh of a %.1f kWh battery (%.4f kWh margin). ', risk_tier, risk_score, feasibility,
+TEMPLATE = f"""template as (
+  select path_id, printf('{words.SUMMARY}', risk_tier, risk_score, feasibility,
            total_distance_m, num_waypoints, round(total_energy_kwh + 1e-9::double, 4), capacity_kwh, energy_margin_kwh) || worst as summary, reasons,
-         case feasibility when 'INFEASIBLE' then 'Do not execute: projected energy draw exceeds battery capacity. Shorten the traverse or select a lower-hazard corridor.'
-           when 'FEASIBLE_WITH_MARGIN' then 'Execute with contingency planning: only ' || printf('%.4f', energy_margin_kwh) || ' kWh of reserve remains.'
-           else 'Execute as planned; energy reserve and hazard exposure are both within limits.' end as recommendation
+         case feasibility when 'INFEASIBLE' then '{words.INFEASIBLE}'
+           when 'FEASIBLE_WITH_MARGIN' then '{words.MARGIN_BEFORE}' || printf('%.4f', energy_margin_kwh) || '{words.MARGIN_AFTER}'
+           else '{words.FEASIBLE}' end as recommendation
        from ctx join (
-         select path_id, max(printf('Highest-hazard segment: %d at hazard %.4f.', segment_id, hazard_score)) filter (rank = 1) as worst,
-                string_agg(printf('%d: Hazard score %.4f at (%d, %d), local slope %.3f deg.', segment_id, hazard_score, x, y, slope_deg), ' ' order by rank) filter (rank <= 2) as reasons
+         select path_id, max(printf('{words.WORST_SEGMENT}', segment_id, hazard_score)) filter (rank = 1) as worst,
+                string_agg(printf('%d: {words.REASON}', segment_id, hazard_score, x, y, slope_deg), ' ' order by rank) filter (rank <= 2) as reasons
          from top5 group by 1) using (path_id))"""
 FINAL = """checked as (
   select c.path_id, string_agg(c.segment_id || ': steep', ' ' order by i) filter (t.segment_id is not null) as kept, count(*) filter (t.segment_id is null) as dropped
@@ -184,7 +189,7 @@ ORACLE = {
     "metadata_extract": with_ctes(*PATH_CTES) + "select path_id, mean_hazard, max_hazard, max_slope_deg as max_deg, '/srv/x.npz' as arrays_path from risk",
     "strip_key": with_ctes(MISSIONS) + "select mission_id, 'source,tile' as keys, coalesce(terrain_source, 'unspecified') || ',' || tile_id as values from missions",
     "audit_basis": with_ctes(*PATH_CTES)
-    + f"""select path_id, 'risk = w_hazard * mean(hazard along path) + w_energy * min(total_energy / battery_capacity, 1)' as risk_formula, {D.risk_weight_hazard}::double as w_hazard,
+    + f"""select path_id, '{words.RISK_FORMULA}' as risk_formula, {D.risk_weight_hazard}::double as w_hazard,
          {D.margin_fraction}::double as margin, total_energy_kwh, num_waypoints from risk""",
     "narrative_parse": with_ctes(REPLIES) + "select path_id, summary, recommendation, risks, fallback_reason from told",
     "citation_check": with_ctes(REPLIES)

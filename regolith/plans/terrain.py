@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regolith import wording as words
 from regolith.functions.lineage import cut
 from regolith.operators import hazard as hz
-from regolith.operators import planning, regions, reports, stencil
-from regolith.operators.relax import edges_of, labels
+from regolith.operators import analysis, halo, planning, regions, reports, runs
+from regolith.operators.relax import edges_of
 from regolith.operators.surfaces import Surfaces
-from regolith.plans.raster import CELLS, NMS, ROUGH, SLOPE, THRESHOLDS, close_sql
+from regolith.plans.raster import CELLS, NMS, ROUGH, SLOPE, THRESHOLDS, close_sql, downsample_sql
 from regolith.settings import NOISE_TILES as S
 from regolith.sources.tables import ROVERS_SQL, cells, rovers, table, with_ctes
 
@@ -103,116 +104,101 @@ OBSTACLE_STATS = """ostats as (
          from obst join circles using (tile_id, label) group by 1) using (tile_id))"""
 
 
-def _filled(c: DataFrame) -> DataFrame:
-    return cut(regions.filled_mask(cut(regions.closed_edges(c, S))))
-
-
-def _obstacles(c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Region cells, all regions, kept obstacles."""
-    parts = cut(regions.region_cells(_filled(c)))
-    sums = regions.region_sums(parts)
-    return parts, sums, regions.obstacles(sums, S)
+def _obstacles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, analysis.Obstacles]:
+    """Fields of the tiles' cells, and their regions."""
+    found = analysis.fields(cells(spark, sf_dir), S)
+    return found, analysis.find_obstacles(found, S)
 
 
 def edge_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.edge_hysteresis(cells(spark, sf_dir), S)
+    return regions.edge_hysteresis(analysis.fields(cells(spark, sf_dir), S), S)
 
 
 def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels(regions.closed_edges(cells(spark, sf_dir), S), "edge = 1")
+    """Regions of the closed edges, by runs."""
+    found = analysis.fields(cells(spark, sf_dir), S)
+    closed = cut(halo.close(regions.edge_hysteresis(found, S), regions.sizes_of(found)))
+    return runs.labels(closed, "true")
 
 
 def filled_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filled(cells(spark, sf_dir))
+    """Edges and what they enclose, by runs of the background."""
+    return runs.filled_mask(cut(regions.closed_edges(analysis.fields(cells(spark, sf_dir), S), S)))
 
 
 def obstacle_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _obstacles(cells(spark, sf_dir))[2]
+    return _obstacles(spark, sf_dir)[1].kept
 
 
 def obstacle_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, _, kept = _obstacles(cells(spark, sf_dir))
-    return regions.obstacle_circles(parts, kept).withColumn("radius_px", F.round("radius_px", 6))
+    found = _obstacles(spark, sf_dir)[1]
+    return regions.obstacle_circles(found.cells, found.kept).withColumn("radius_px", F.round("radius_px", 6))
 
 
 def obstacle_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
-    parts, _, kept = _obstacles(c)
-    return regions.obstacle_distance(c, regions.obstacle_mask(parts, kept), S).withColumn("distance_m", F.round("distance_m", 6))
-
-
-def _obstacle_stats(c: DataFrame, sums: DataFrame, circles: DataFrame) -> DataFrame:
-    size = c.groupBy("tile_id").agg(F.count("*").alias("cells"))
-    raw = sums.groupBy("tile_id").agg(F.count("*").alias("raw_regions"))
-    packed = F.array_sort(F.collect_list(F.struct("obstacle_id", "x", "y", F.round("area_px", 2).alias("area_px"), F.round("radius_px", 2).alias("radius_px"), F.round("area_m2", 2).alias("area_m2"))))
-    got = circles.groupBy("tile_id").agg(F.count("*").alias("found"), F.sum("n_cells").alias("covered"), F.avg("radius_px").alias("radius"), packed.alias("packed"))
-    n = F.coalesce("found", F.lit(0))
-    return size.join(raw, "tile_id", "left").join(got, "tile_id", "left").select(
-        "tile_id", F.coalesce("raw_regions", F.lit(0)).alias("raw_regions"), n.alias("obstacles"), F.round(n / (F.col("cells") / 1e6), 2).alias("density_per_mpx"),
-        F.round(F.coalesce("covered", F.lit(0)) / F.col("cells"), 6).alias("area_fraction"), F.round(F.coalesce("radius", F.lit(0.0)), 4).alias("mean_radius_px"), "packed",
-    )
+    c, found = _obstacles(spark, sf_dir)
+    return regions.obstacle_distance(c, regions.obstacle_mask(found.cells, found.kept), S).withColumn("distance_m", F.round("distance_m", 6))
 
 
 def obstacle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per tile: regions seen and kept, their density, mean radius, and the share of cells that they cover."""
-    c = cells(spark, sf_dir)
-    parts, sums, kept = _obstacles(c)
-    return _obstacle_stats(c, sums, regions.obstacle_circles(parts, kept)).drop("packed")
+    return analysis.obstacle_stats(*_obstacles(spark, sf_dir)).drop("packed")
 
 
 def terrain_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each tile: its statistics, class and the rule that decided, from its own cells, and its obstacles packed
     in the order of their ids."""
-    c = cells(spark, sf_dir)
-    parts, sums, kept = _obstacles(c)
-    found = _obstacle_stats(c, sums, regions.obstacle_circles(parts, kept))
-    flat = stencil.layers(c, S).groupBy("tile_id").agg(F.avg("slope_deg").alias("_slope"), F.avg("roughness").alias("_rough"))
-    name, rule = hz.classify(F.col("area_fraction"), F.col("_slope"), F.col("_rough"), S)
+    c, found = _obstacles(spark, sf_dir)
     told = F.transform(F.col("packed"), lambda o: F.format_string("%d:%d,%d,%.2f,%.2f,%.2f", o.obstacle_id, o.x, o.y, o.area_px, o.radius_px, o.area_m2))
-    return found.join(flat, "tile_id").select(
-        "tile_id", F.round("_slope", 3).alias("mean_slope_deg"), F.round("_rough", 4).alias("mean_roughness"), "obstacles", "area_fraction", "mean_radius_px",
-        name.alias("terrain_class"), rule.alias("rule_fired"), F.coalesce(F.array_join(told, " "), F.lit("")).alias("obstacle_list"),
+    return analysis.classes(c, analysis.obstacle_stats(c, found), S).select(
+        "tile_id", "mean_slope_deg", "mean_roughness", "obstacles", "area_fraction", "mean_radius_px", "terrain_class", "rule_fired", F.coalesce(F.array_join(told, " "), F.lit("")).alias("obstacle_list")
+    )
+
+
+def class_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each tile's class rests on: the rules' thresholds and the figures beside them."""
+    c, found = _obstacles(spark, sf_dir)
+    e, t = "evidence.", "evidence.thresholds."
+    return analysis.classes(c, analysis.obstacle_stats(c, found), S).select(
+        "tile_id", "terrain_class", t + "crater_min_area_fraction", t + "sandy_max_slope_deg", t + "sandy_max_roughness", t + "sandy_max_area_fraction",
+        e + "obstacle_area_fraction", e + "density_per_mpx", e + "mean_radius_px", e + "mean_slope_deg", e + "mean_roughness",
     )
 
 
-def scored(c: DataFrame) -> DataFrame:
-    """(tile_id, y, x, slope_deg, roughness, slope_term, obstacle_term, hazard) of every cell."""
-    parts, _, kept = _obstacles(c)
-    distance = regions.obstacle_distance(c, regions.obstacle_mask(parts, kept), S)
-    flat = stencil.layers(c, S)
-    both = flat.join(distance, regions.KEYS)
-    terms = both.withColumns({"slope_term": hz.slope_term(F.col("slope_deg"), S), "obstacle_term": hz.proximity_term(F.col("distance_m"))})
-    terms = terms.withColumn("hazard", hz.hazard(F.col("slope_term"), F.col("obstacle_term"), F.col("roughness"), S))
-    return terms.select(*regions.KEYS, "slope_deg", "roughness", "slope_term", "obstacle_term", "hazard")
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.score(*_obstacles(spark, sf_dir), S)
 
 
 def hazard_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(cells(spark, sf_dir))
-    return s.select(*regions.KEYS, *(F.round(c, 6).alias(c) for c in ("slope_term", "obstacle_term", "roughness")))
+    return _scored(spark, sf_dir).select(*regions.KEYS, *(F.round(c, 6).alias(c) for c in ("slope_term", "obstacle_term", "roughness")))
 
 
 def hazard_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(cells(spark, sf_dir)).select(*regions.KEYS, F.round("hazard", 6).alias("hazard"))
+    return _scored(spark, sf_dir).select(*regions.KEYS, F.round("hazard", 6).alias("hazard"))
 
 
-def _hazard_stats(s: DataFrame) -> DataFrame:
-    s = cut(s)
-    mean = lambda c: F.round(F.avg(c), 6)
-    sums = s.groupBy("tile_id").agg(
-        mean("hazard").alias("mean_hazard"), F.round(F.max("hazard"), 6).alias("max_hazard"), mean((F.col("hazard") > 0.6).cast("double")).alias("fraction_above_0_6"),
-        mean("slope_term").alias("slope_term"), mean("obstacle_term").alias("obstacle_term"), mean("roughness").alias("roughness_term"),
-    )
-    return sums.join(hz.exact_percentile(s, "hazard", 0.95, 1e-4, "p95_hazard").withColumn("p95_hazard", F.round("p95_hazard", 6)), "tile_id")
+def hazard_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8-bit display levels of the hazard map."""
+    return _scored(spark, sf_dir).select(*regions.KEYS, hz.display_level(F.round("hazard", 6)).alias("hazard_level"))
+
+
+def hazard_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planning grids from the hazard map and the elevation, down to 24 cells a side."""
+    return analysis.planning_grids(cut(_scored(spark, sf_dir)), S, GRID_DIM)
+
+
+#: Cells a side of the planning grids that are made of the tiles: they are scaled down by 64 / 24.
+GRID_DIM = 24
 
 
 def hazard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hazard_stats(scored(cells(spark, sf_dir)))
+    return analysis.hazard_stats(cut(_scored(spark, sf_dir)))
 
 
 def hazard_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit record of each tile's hazard, by fields of every level."""
     b = "basis."
-    found = reports.hazard_basis(_hazard_stats(scored(cells(spark, sf_dir))), S)
+    found = reports.hazard_basis(hazard_stats(spark, sf_dir), S)
     return found.select("tile_id", b + "formula", F.col(b + "weights.slope").alias("w_slope"), F.col(b + "weights.obstacle_proximity").alias("w_obstacle"), b + "roughness_window", b + "aggregate.mean_hazard", b + "aggregate.p95_hazard", b + "component_means.obstacle_term")
 
 
@@ -220,7 +206,7 @@ def hazard_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terrain_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = cut(stencil.layers(cells(spark, sf_dir), S))
+    flat = analysis.fields(cells(spark, sf_dir), S)
     size = lambda c: F.round((F.max(c) + 1) * S.meters_per_pixel, 1)
     sums = flat.groupBy("tile_id").agg(
         size("x").alias("width_m"), size("y").alias("height_m"), (F.count("*") / 1e6).alias("megapixels"),
@@ -243,9 +229,9 @@ CLASS_INPUTS = """class_inputs as (
          round(avg(l_discount) * (l_suppkey % 3) * 2, 6) as mean_roughness, count(*) as obstacles from lineitem group by l_suppkey)"""
 CLASS_NAME = f"""case when {{area}} >= {S.crater_min_area_fraction} then 'crater_field'
     when {{slope}} <= {S.sandy_max_slope_deg} and {{rough}} <= {S.sandy_max_roughness} and {{area}} < {S.sandy_max_area_fraction} then 'sandy_plain' else 'rocky_highland' end"""
-CLASS_RULE = f"""case when {{area}} >= {S.crater_min_area_fraction} then printf('obstacle_area_fraction %.3f >= %.2f (few large closed features)', round({{area}}, 3), {S.crater_min_area_fraction}::double)
-    when {{slope}} <= {S.sandy_max_slope_deg} and {{rough}} <= {S.sandy_max_roughness} and {{area}} < {S.sandy_max_area_fraction} then 'low slope AND low roughness AND sparse obstacles'
-    else 'default (elevated slope, roughness, or obstacle count)' end"""
+CLASS_RULE = f"""case when {{area}} >= {S.crater_min_area_fraction} then printf('{words.CRATER_RULE}', round({{area}}, 3), {S.crater_min_area_fraction}::double)
+    when {{slope}} <= {S.sandy_max_slope_deg} and {{rough}} <= {S.sandy_max_roughness} and {{area}} < {S.sandy_max_area_fraction} then '{words.SANDY_RULE}'
+    else '{words.ROCKY_RULE}' end"""
 _OF = {"area": "area_fraction", "slope": "mean_slope_deg", "rough": "mean_roughness"}
 CLASSES = f"classes as (select *, {CLASS_NAME.format(**_OF)} as terrain_class, {CLASS_RULE.format(**_OF)} as rule_fired from class_inputs)"
 
@@ -443,9 +429,8 @@ def slope_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = g.select("tile_id", F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.col("elevation_m").alias("elevation_b"))
     pairs = g.join(n, "tile_id").withColumns({"row_b": (F.col("row") + 3) % F.col("rows"), "col_b": F.when(F.col("row") % 10 == 0, F.col("col")).otherwise((F.col("col") + 2) % F.col("cols"))})
     pairs = pairs.withColumn("row_b", F.when(F.col("row") % 20 == 0, F.col("row")).otherwise(F.col("row_b"))).join(other, ["tile_id", "row_b", "col_b"])
-    dy, dx = F.col("row_b") - F.col("row"), F.col("col_b") - F.col("col")
-    run = F.sqrt((dy * dy + dx * dx).cast("double")) * MPC
-    return pairs.select("tile_id", "row", "col", "row_b", "col_b", F.round(F.when(run == 0, 0.0).otherwise(F.degrees(F.atan((F.col("elevation_b") - F.col("elevation_m")) / run))), 6).alias("slope_deg"))
+    slope = planning.slope_between(("row", "col", "elevation_m"), ("row_b", "col_b", "elevation_b"), MPC)
+    return pairs.select("tile_id", "row", "col", "row_b", "col_b", F.round(slope, 6).alias("slope_deg"))
 
 
 def snap_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,11 +442,17 @@ def snap_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        edge_hysteresis, region_labels, filled_mask, obstacle_regions, obstacle_circles, obstacle_distance, obstacle_stats, terrain_analysis, hazard_terms, hazard_score, hazard_stats, hazard_basis, path_basis,
+        edge_hysteresis, region_labels, filled_mask, obstacle_regions, obstacle_circles, obstacle_distance, obstacle_stats, terrain_analysis, class_evidence, hazard_terms, hazard_score, hazard_levels, hazard_grid, hazard_stats, hazard_basis, path_basis,
         terrain_stats, terrain_class, class_summary, grid_edges, blocked_edges, cost_surface, plan_cost, plan_status, plan_waypoints, mosaic_surface, mosaic_routes, step_energy, slope_between, snap_to_grid,
     )
 }
 
+PLANNING_GRIDS = f"""hz as materialized (select tile_id, y, x, hazard from scored),
+el as (select tile_id, y, x, intensity / 255.0::double * {S.elevation_range_m}::double as elevation_m from cells),
+{downsample_sql("gh", "hz", "hazard", GRID_DIM)},
+{downsample_sql("ge", "el", "elevation_m", GRID_DIM)},
+planning_grids as materialized (
+  select tile_id, "row", col, round(hazard, 6) as hazard, round(elevation_m, 6) as elevation_m, round(gh.scale, 4) as scale from gh join ge using (tile_id, "row", col))"""
 PLAN = (CELLS, GRIDS, ROVERS_SQL, REQUESTS, EDGE_TABLE, SURFACE, STATUS)
 MOSAIC_PLAN = (CELLS, GRIDS.replace("grids as", "grids_ as"), ROVERS_SQL, MOSAIC, EDGE_TABLE, SURFACE.replace("plan_edges as (", "plan_edges as materialized (").replace("select plan_id, 2, 2, 0::double from plan_requests", "select plan_id, start_y, start_x, 0::double from plan_requests"), STATUS)
 MOSAIC_TRACE = TRACE[: TRACE.index(",\nwalked as")].replace("steps_back as (", "steps_back as materialized (").replace("select plan_id, 0, 47, 61 from plan_status where status = 'OK'", "select plan_id, 0, goal_y, goal_x from plan_status join plan_requests using (plan_id) where status = 'OK'").replace(
@@ -480,11 +471,18 @@ ORACLE = {
          {CLASS_RULE.format(area="area_fraction", slope="ms", rough="mr")} as rule_fired, obstacle_list
        from ostats join (select tile_id, avg(slope_deg) as ms, avg(roughness) as mr from sloped join rough using (tile_id, y, x) group by 1) using (tile_id)""",
     "hazard_basis": with_ctes(CELLS, HAZARD)
-    + f"""select tile_id, 'hazard = w_slope * min(slope_deg / slope_reference_deg, 1) + w_obstacle * 1/(1 + distance_to_obstacle_m) + w_roughness * normalised_local_std' as formula, {S.weight_slope}::double as w_slope,
+    + f"""select tile_id, '{words.HAZARD_FORMULA}' as formula, {S.weight_slope}::double as w_slope,
          {S.weight_obstacle}::double as w_obstacle, {S.roughness_window} as roughness_window, round(round(avg(hazard), 6), 4) as mean_hazard, round(round(quantile_cont(hazard, 0.95), 6), 4) as p95_hazard,
          round(round(avg(obstacle_term), 6), 4) as obstacle_term from scored group by tile_id""",
     "hazard_terms": with_ctes(CELLS, HAZARD) + "select tile_id, y, x, round(slope_term, 6) as slope_term, round(obstacle_term, 6) as obstacle_term, round(roughness, 6) as roughness from terms",
     "hazard_score": with_ctes(CELLS, HAZARD) + "select tile_id, y, x, round(hazard, 6) as hazard from scored",
+    "hazard_levels": with_ctes(CELLS, HAZARD) + "select tile_id, y, x, floor(greatest(0, least(1, round(hazard, 6))) * 255)::int as hazard_level from scored",
+    "hazard_grid": with_ctes(CELLS, HAZARD, PLANNING_GRIDS) + 'select tile_id, "row", col, hazard, elevation_m, scale from planning_grids',
+    "class_evidence": with_ctes(CELLS, REGIONS, CIRCLES, OBSTACLE_STATS, SLOPE, ROUGH)
+    + f"""select tile_id, {CLASS_NAME.format(area="area_fraction", slope="ms", rough="mr")} as terrain_class, {S.crater_min_area_fraction}::double as crater_min_area_fraction, {S.sandy_max_slope_deg}::double as sandy_max_slope_deg,
+         {S.sandy_max_roughness}::double as sandy_max_roughness, {S.sandy_max_area_fraction}::double as sandy_max_area_fraction, round(area_fraction, 4) as obstacle_area_fraction, density_per_mpx, round(mean_radius_px, 2) as mean_radius_px,
+         round(ms, 3) as mean_slope_deg, round(mr, 4) as mean_roughness
+       from ostats join (select tile_id, avg(slope_deg) as ms, avg(roughness) as mr from sloped join rough using (tile_id, y, x) group by 1) using (tile_id)""",
     "hazard_stats": with_ctes(CELLS, HAZARD)
     + """select tile_id, round(avg(hazard), 6) as mean_hazard, round(max(hazard), 6) as max_hazard, round(quantile_cont(hazard, 0.95), 6) as p95_hazard,
          round(avg((hazard > 0.6)::double), 6) as fraction_above_0_6, round(avg(slope_term), 6) as slope_term, round(avg(obstacle_term), 6) as obstacle_term, round(avg(roughness), 6) as roughness_term
@@ -509,7 +507,7 @@ ORACLE = {
     "mosaic_surface": with_ctes(*MOSAIC_PLAN) + 'select "row", col, round(cost, 6) as cost from surface where plan_id = 1',
     "mosaic_routes": with_ctes(*MOSAIC_PLAN, MOSAIC_TRACE) + 'select plan_id, segment_id, "row", col from routes',
     "path_basis": with_ctes(CELLS, GRIDS, ROVERS_SQL, REQUESTS, EDGE_TABLE)
-    + f"""select plan_id, 8 as connectivity, 'distance_m * (1 + hazard) * (1 + k * |rise/run|)' as cost_function, {S.energy_slope_coefficient}::double as energy_slope_coefficient, nr as "rows", nc as cols, {MPC}::double as meters_per_cell,
+    + f"""select plan_id, 8 as connectivity, '{words.COST_FUNCTION}' as cost_function, {S.energy_slope_coefficient}::double as energy_slope_coefficient, nr as "rows", nc as cols, {MPC}::double as meters_per_cell,
          1::double as downsample_scale, {S.lethal_hazard}::double as lethal_hazard_threshold, by_hazard as moves_blocked_by_lethal_hazard, by_slope as moves_blocked_by_slope_limit
        from plan_requests join (select tile_id, max("row") + 1 as nr, max(col) + 1 as nc from grids group by 1) using (tile_id) join (
          select tile_id, rover_id, count(*) filter (to_hazard >= {S.lethal_hazard}::double) as by_hazard,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# The default weights, limits and sizes.
 @dataclass(frozen=True)
 class Settings:
     # rasters

@@ -29,8 +29,7 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
 def read_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Cells of all readable images in a folder, tile_id being the file's name, and the paths of the unreadable ones.
 
-    Images have 8 bits a channel: wider ones lose their low byte in Spark's image source and are to enter as tables of
-    cells. Colour (stored blue, green, red) becomes grey by 0.299 R + 0.587 G + 0.114 B, rounded."""
+    Images have 8 bits a channel: wider ones lose their low byte in Spark's image source (png.read_png keeps it). Colour (stored blue, green, red) becomes grey by 0.299 R + 0.587 G + 0.114 B, rounded."""
     images = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*")
     rejects = images.where("height < 1").select(F.col("origin").alias("path"), F.lit("unreadable image").alias("reason"))
     name = F.element_at(F.split("origin", "/"), -1)
@@ -46,7 +45,7 @@ def read_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
                     grey = np.rint(pixels[:, :, :3].astype(float) @ np.array([0.114, 0.587, 0.299]))
                 y, x = np.indices((h, w), np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([tile] * (h * w)), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(grey.ravel().astype(np.int32))], ["tile_id", "y", "x", "intensity"]
+                    [pa.repeat(pa.scalar(tile), h * w), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(grey.ravel().astype(np.int32))], ["tile_id", "y", "x", "intensity"]
                 )
 
     return good.mapInArrow(unpack, _CELLS), rejects

@@ -102,3 +102,13 @@ def test_nearest_by_shifts_and_by_envelope(shifts):
         at = np.arange(300)
         assert (regions.nearest(gap**2, shifts) == (gap**2 + (at[:, None] - at) ** 2).min(axis=1)).all()
     assert np.isinf(regions.nearest(np.full(4, np.inf))).all()
+
+
+def test_rows_of_a_hundred_thousand_cells(spark):
+    """One row as long as the global model's: arrays, no object for each cell."""
+    n = 106_694
+    cells = spark.range(n).select(F.lit("m").alias("tile_id"), F.lit(0).alias("y"), F.col("id").cast("int").alias("x"))
+    mask = spark.createDataFrame([("m", 0, 5), ("m", 0, 60_000)], "tile_id string, y int, x int")
+    got = regions.obstacle_distance(cells, mask, Settings()).orderBy("x").select("distance_m").toPandas()["distance_m"].to_numpy()
+    at = np.arange(n)
+    assert np.array_equal(got, 2.0 * np.minimum(np.abs(at - 5), np.abs(at - 60_000)))

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from regolith.operators import dem as dm
-from regolith.sources import images, store
+from regolith.sources import database, images, png as pngs, store
 from regolith.streaming import jobs
 
 
@@ -45,10 +45,11 @@ def test_tiles_are_ingested_once(spark, tmp_path):
     tile = lambda name, level, at: spark.createDataFrame([(name, y, x, level * x, at) for y in range(4) for x in range(5)], "tile_id string, y int, x int, intensity int, at string").select("tile_id", "y", "x", "intensity", F.to_timestamp("at").alias("arrived_at"))
     come, table, check = (str(tmp_path / n) for n in ("in", "table", "check"))
     seen = lambda: {r.tile_id: (r.cells, r.max_slope_deg) for r in spark.read.parquet(table).collect()}
+    wanted = {"terrain_class", "obstacles", "packed", "mean_hazard", "p95_hazard", "mean_roughness", "evidence", "analyzed_at"}
     tile("a", 0, "2024-01-01").unionByName(tile("b", 9, "2024-01-01")).coalesce(1).write.mode("append").parquet(come)
     jobs.ingest_tiles(spark, come, table, check).awaitTermination(120)
     first = seen()
-    assert first["a"] == (20, 0.0) and first["b"][1] > 0
+    assert first["a"] == (20, 0.0) and first["b"][1] > 0 and wanted <= set(spark.read.parquet(table).columns)
     tile("a", 20, "2024-01-02").coalesce(1).write.mode("append").parquet(come)
     for _ in range(2):
         jobs.ingest_tiles(spark, come, table, check).awaitTermination(120)
@@ -101,3 +102,75 @@ def test_lonlat(spark):
     df = spark.createDataFrame([(-180.0, 90.0), (180.0, -90.0), (0.0, 0.0), (181.0, 0.0), (0.0, -91.0)], "lon double, lat double")
     got = [(r.column, r.row, r.reject_reason) for r in dm.lonlat_pixel(df).collect()]
     assert got == [(0, 0, None), (106694, 53347, None), (53347, 26674, None), (None, None, "longitude out of range"), (None, None, "latitude out of range")]
+
+
+def deep_png(samples, bits=16, filters=None, colour=None):
+    """PNG of (h, w, channels) samples, each row with the filter told."""
+    h, w, n = samples.shape
+    raw = samples.astype(">u2" if bits == 16 else np.uint8).tobytes()
+    step, wide = n * bits // 8, w * n * bits // 8
+    lines = [bytes(wide), *(raw[i * wide : (i + 1) * wide] for i in range(h))]
+    out = b""
+    for y in range(1, h + 1):
+        kind = (filters or [0])[(y - 1) % len(filters or [0])]
+        line, up = lines[y], lines[y - 1]
+        coded = []
+        for i, v in enumerate(line):
+            a, b, c = (line[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            coded.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) & 255)
+        out += bytes([kind]) + bytes(coded)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    kind = {1: 0, 2: 4, 3: 2, 4: 6}[n] if colour is None else colour
+    body = zlib.compress(out)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, kind, 0, 0, 0)) + chunk(b"IDAT", body[:7]) + chunk(b"IDAT", body[7:]) + chunk(b"IEND", b"")
+
+
+def test_wide_samples_keep_their_low_byte(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pngs, "BATCH_CELLS", 10)
+    rng = np.random.default_rng(1)
+    deep, colour, alpha = rng.integers(0, 65536, (9, 7, 1)), rng.integers(0, 65536, (5, 4, 3)), rng.integers(0, 256, (6, 3, 2))
+    files = {"deep.png": deep_png(deep, filters=[0, 1, 2, 3, 4]), "colour.png": deep_png(colour, filters=[4, 3]), "alpha.png": deep_png(alpha, 8, [1, 4])}
+    good = files["deep.png"]
+    files |= {"cut.png": good[:-30], "flipped.png": good[:60] + bytes([good[60] ^ 1]) + good[61:], "none.png": b"\0", "endless.png": good[:-12], "indexed.png": deep_png(deep % 256, 8, colour=3), "skip.txt": b"x"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    cells, rejects = pngs.read_png(spark, str(tmp_path))
+    got = {(r.tile_id, r.y, r.x): r.intensity for r in cells.collect()}
+    want = {("deep.png", y, x): int(deep[y, x, 0]) for y in range(9) for x in range(7)}
+    want |= {("colour.png", y, x): round(float(colour[y, x] @ np.array([0.299, 0.587, 0.114]))) for y in range(5) for x in range(4)}
+    want |= {("alpha.png", y, x): int(alpha[y, x, 0]) for y in range(6) for x in range(3)}
+    assert got == want
+    assert {r.path.rsplit("/")[-1]: r.reason for r in rejects.collect()} == {"cut.png": "damaged chunk", "endless.png": "no end", "flipped.png": "damaged chunk", "none.png": "no PNG", "indexed.png": "unsupported image"}
+
+
+def test_images_are_analysed_as_they_arrive(spark, tmp_path):
+    come, table, check = (str(tmp_path / n) for n in ("in", "table", "check"))
+    (tmp_path / "in").mkdir()
+    hill = np.minimum(255, np.indices((12, 15)).sum(0) * 9)[:, :, None]
+    (tmp_path / "in" / "hill.png").write_bytes(deep_png(hill, 8))
+    (tmp_path / "in" / "bad.png").write_bytes(b"no")
+    for _ in range(2):
+        jobs.ingest_images(spark, come, table, check).awaitTermination(120)
+    rows = spark.read.parquet(table).collect()
+    assert [(r.tile_id, r.cells) for r in rows] == [("hill.png", 180)] and rows[0].max_slope_deg > 0
+
+
+def test_database_tables(spark):
+    """Spark's own embedded database."""
+    db = database.Database("jdbc:derby:memory:regolith;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, 3, "name varchar(40)")
+    rows = spark.createDataFrame([(i, f"m{i}", i * 1.5, 1) for i in range(20)], "mission_id long, name string, score double, at_ long")
+    db.write(rows, "missions")
+    back = db.read(spark, "missions", "mission_id", 4)
+    assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    asked = back.where("mission_id = 7").select("name")
+    assert "PushedFilters: [*IsNotNull(mission_id), *EqualTo(mission_id,7)]" in asked._jdf.queryExecution().toString().replace("MISSION_ID", "mission_id")
+    assert [r.name for r in asked.collect()] == ["m7"]
+    new = spark.createDataFrame([(7, "late", 1.0, 0), (8, "new", 2.0, 1), (8, "older", 9.0, 0), (99, "first", 3.0, 5), (None, "lost", 0.0, 9)], rows.schema)
+    for _ in range(2):
+        db.merge_latest(new, "missions", "mission_id", "at_")
+    after = {r.mission_id: (r.name, r.score) for r in db.read(spark, "missions").collect()}
+    assert len(after) == 21 and after[7] == ("m7", 10.5) and after[8] == ("new", 2.0) and after[99] == ("first", 3.0)
+    db.write(rows.limit(0), "nothing")
+    assert db.read(spark, "nothing", "mission_id").count() == 0

@@ -201,3 +201,14 @@ def test_downsample_averages_by_area(spark, most):
         assert sum(1 for t, *_ in got if t == name) == want.size
         for (y, x), v in np.ndenumerate(want):
             assert got[name, y, x].intensity == pytest.approx(v, abs=1e-9) and got[name, y, x].scale == scale
+
+
+def test_percentiles_of_flat_ground(spark):
+    """Most of a raster's cells share one value: one row counts them."""
+    rng = np.random.default_rng(5)
+    values = np.where(rng.random(5000) < 0.9, 0.0, np.round(rng.random(5000), 2))
+    df = spark.createDataFrame([("t", float(v)) for v in values] + [("one", 3.25)], "tile_id string, v double")
+    for share in (0.0, 0.5, 0.9, 0.95, 1.0):
+        got = {r.tile_id: r.p for r in hazard.exact_percentile(df, "v", share, 0.01, "p").collect()}
+        assert got == {"t": pytest.approx(np.quantile(values, share), abs=1e-12), "one": 3.25}
+    assert "collect_list" not in hazard.exact_percentile(df, "v", 0.5, 0.01, "p")._jdf.queryExecution().toString()
