@@ -40,13 +40,21 @@ def read_blocks(spark: SparkSession, folder: str, requests: DataFrame, rows: int
     return spark.read.parquet(folder).where(F.col("by_band").isin(bands) & F.col("bx").isin(across)).select("py", "px", "elevation_m")
 
 
-def crop(requests: DataFrame, dem: DataFrame, rows: int, columns: int, block: int = BLOCK) -> DataFrame:
+#: Windows over one block that meet its cells in one group.
+PORTION = 500
+
+
+def crop(requests: DataFrame, dem: DataFrame, rows: int, columns: int, block: int = BLOCK, portion: int = PORTION) -> DataFrame:
     """(request_id, y, x, elevation_m) of each request's window, no-data as null. The blocks that a window covers are
-    listed, so that cells and requests meet by an equi-join on the block, then exactly."""
+    listed, so that cells and requests meet by an equi-join on the block, then exactly. The windows over a block are dealt into
+    portions, each of which meets a copy of its cells: a popular area is many groups, and an area that none asks for is not read on."""
     asked = requests.select("request_id", "size", offset("px", "size", columns).alias("x0"), offset("py", "size", rows).alias("y0"))
     covered = asked.withColumn("bx", F.explode(F.expr(f"sequence(x0 div {block}, (x0 + size - 1) div {block})"))).withColumn("by", F.explode(F.expr(f"sequence(y0 div {block}, (y0 + size - 1) div {block})")))
     placed = dem.withColumns({"bx": F.expr(f"cast(px as bigint) div {block}"), "by": F.expr(f"cast(py as bigint) div {block}")})
-    met = placed.join(covered, ["bx", "by"]).where("px between x0 and x0 + size - 1 and py between y0 and y0 + size - 1")
+    load = covered.groupBy("bx", "by").agg(F.ceil(F.count("*") / portion).cast("int").alias("portions"))
+    covered = covered.join(load, ["bx", "by"]).withColumn("portion", F.pmod(F.xxhash64("request_id"), F.col("portions")).cast("int")).drop("portions")
+    placed = placed.join(load, ["bx", "by"]).withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).drop("portions")
+    met = placed.join(covered, ["bx", "by", "portion"]).where("px between x0 and x0 + size - 1 and py between y0 and y0 + size - 1")
     value = F.when(F.col("elevation_m") > NO_DATA, F.col("elevation_m"))
     return met.select("request_id", (F.col("py") - F.col("y0")).cast("int").alias("y"), (F.col("px") - F.col("x0")).cast("int").alias("x"), value.alias("elevation_m"))
 

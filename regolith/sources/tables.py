@@ -100,11 +100,11 @@ PATHS = """paths as (
 
 def missions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """missions(mission_id, name, terrain_source, terrain_image_path, tile_id, created_at): customers; some have no source."""
-    tiles = table(spark, sf_dir, "embeddings").agg(F.max(F.expr(f"vec_id div {TILE_ROWS}")) + 1).first()[0]
-    return table(spark, sf_dir, "customer").selectExpr(
+    tiles = table(spark, sf_dir, "embeddings").agg((F.max(F.expr(f"vec_id div {TILE_ROWS}")) + 1).alias("tiles"))
+    return table(spark, sf_dir, "customer").crossJoin(F.broadcast(tiles)).selectExpr(  # one row
         "c_custkey as mission_id", "c_name as name", "case when c_custkey % 7 = 0 then null else c_mktsegment end as terrain_source",
         "case when c_custkey % 5 = 0 then concat('/tmp/', c_custkey, '/terrain.png') else concat('/srv/storage/', c_custkey, '/terrain.png') end as terrain_image_path",
-        f"cast(c_custkey % {tiles} as string) as tile_id", "timestamp_seconds(1700000000 + (c_custkey * 7919) % 86400) as created_at",
+        "cast(c_custkey % tiles as string) as tile_id", "timestamp_seconds(1700000000 + (c_custkey * 7919) % 86400) as created_at",
     )
 
 

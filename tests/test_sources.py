@@ -174,3 +174,14 @@ def test_database_tables(spark):
     assert len(after) == 21 and after[7] == ("m7", 10.5) and after[8] == ("new", 2.0) and after[99] == ("first", 3.0)
     db.write(rows.limit(0), "nothing")
     assert db.read(spark, "nothing", "mission_id").count() == 0
+
+
+def test_a_popular_area_is_many_groups(spark):
+    dem = spark.range(128 * 128).selectExpr("cast(id div 128 as int) as py", "cast(id % 128 as int) as px", "cast(id % 1000 as int) as elevation_m")
+    asked = spark.range(100_000).selectExpr("id as request_id", "cast(34 + id % 5 as int) as px", "cast(40 as int) as py", "3 as size")
+    crops = dm.crop(asked, dem, 128, 128, portion=1000)
+    assert crops.count() == 900_000
+    some = {(r.request_id, r.y, r.x): r.elevation_m for r in crops.where("request_id in (0, 99999)").collect()}
+    assert some == {(i, y, x): ((39 + y) * 128 + 33 + i % 5 + x) % 1000 for i in (0, 99_999) for y in range(3) for x in range(3)}
+    groups = dm.crop(asked, dem, 128, 128, portion=1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "portion" in groups
