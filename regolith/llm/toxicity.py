@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ from regolith.llm.common import held_out, read
 
 #: Labelled rows of each class that the model is fitted on at most, the smallest hashes of their ids: a documented bound.
 SAMPLE_ROWS = 2000
+#: Characters of a text of the sample at most.
+SAMPLE_CHARS = 50_000
 #: Distinct words of the sample, by class, that are looked at: those in most contexts. Contexts of one word that count.
 SAMPLE_WORDS, WORD_CONTEXTS = 200_000, 5_000
 SHARED_BYTES, TYPICAL_BYTES = 20_000, 16_000
@@ -128,25 +131,47 @@ def _content(words: list[str], most: int) -> bytes:
     return b"".join(reversed(windows))[-most:]
 
 
-def fit(texts: list[str | None], toxic: list[int], share: float | None = None) -> Model:
+def _loss(texts: list[str | None], marked: np.ndarray, job: int) -> float:
+    """How badly one half of the texts, fitted with one of the bounds, tells the other half apart. Jobs are numbered by half,
+    then by bound."""
+    fold = np.arange(len(marked)) // 2 % 2 == 1  # neighbours in order of id may be copies: pairs go together
+    side, bound = (fold, ~fold)[job // len(BOUNDS)], BOUNDS[job % len(BOUNDS)]
+    own, other = [t for t, f in zip(texts, side) if f], [t for t, f in zip(texts, side) if not f]
+    model = _fitted(own, marked[side], _by_class(own, marked[side]), bound)
+    p = np.clip(Scorer(model).scores(other), 1e-6, 1 - 1e-6) if model else np.full(len(other), 1e-9)
+    return -float(np.log(np.where(marked[~side], p, 1 - p)).sum())
+
+
+def _in_tasks(spark: SparkSession) -> Callable[[list[str | None], np.ndarray], list[float]]:
+    """All jobs of _loss, each a task: the sample, which is bounded, goes to the executors once."""
+
+    def run(texts: list[str | None], marked: np.ndarray) -> list[float]:
+        n, sample = 2 * len(BOUNDS), spark.sparkContext.broadcast((texts, marked))
+
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame({"job": frame["id"], "loss": [_loss(*sample.value, int(job)) for job in frame["id"]]})
+
+        return [r["loss"] for r in spark.range(0, n, 1, n).mapInPandas(each, "job long, loss double").orderBy("job").collect()]
+
+    return run
+
+
+def _in_turn(texts: list[str | None], marked: np.ndarray) -> list[float]:
+    return [_loss(texts, marked, job) for job in range(2 * len(BOUNDS))]
+
+
+def fit(texts: list[str | None], toxic: list[int], share: float | None = None, judge: Callable[[list[str | None], np.ndarray], list[float]] = _in_turn) -> Model:
     """Dictionaries and curve from labelled texts. ``share`` is the toxic share of all labelled rows, to which the curve
-    is set if the texts are a sample with another share. Without rows of both classes every text scores the share."""
+    is set if the texts are a sample with another share. Without rows of both classes every text scores the share. ``judge``
+    runs the jobs of _loss."""
     marked = np.array(toxic, bool)
     own = float(np.clip(marked.mean() if len(marked) else 0, 0.001, 0.999))
     share = own if share is None else float(np.clip(share, 0.001, 0.999))
     flat = Model(TERMINATOR, TERMINATOR, (0.0, 0.0, float(np.log(share / (1 - share)))))
     if marked.all() or not marked.any():
         return flat
-    fold = np.arange(len(marked)) // 2 % 2 == 1  # neighbours in order of id may be copies: pairs go together
-
-    losses = np.zeros(len(BOUNDS))
-    for side in (fold, ~fold):
-        own_texts, other = [t for t, f in zip(texts, side) if f], [t for t, f in zip(texts, side) if not f]
-        seen = _by_class(own_texts, marked[side])
-        for k, bound in enumerate(BOUNDS):
-            model = _fitted(own_texts, marked[side], seen, bound)
-            p = np.clip(Scorer(model).scores(other), 1e-6, 1 - 1e-6) if model else np.full(len(other), 1e-9)
-            losses[k] -= np.log(np.where(marked[~side], p, 1 - p)).sum()
+    losses = np.array(judge(texts, marked)).reshape(2, len(BOUNDS)).sum(axis=0)
     model = _fitted(texts, marked, _by_class(texts, marked), BOUNDS[int(np.argmin(losses))])
     if model is None:
         return flat
@@ -186,16 +211,17 @@ def _fitted(texts: list[str | None], marked: np.ndarray, seen: tuple[Counter[str
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``rows`` labelled texts of each class that are not held out, those with the smallest hashes of
-    their ids; rows with a null label, null id or null text do not count."""
+    their ids; rows with a null label, null id or null text, or a text of over SAMPLE_CHARS characters, do not count, and a row
+    that repeats another counts once."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").where(~held_out("doc_id"))
     chosen = None
     for kind in (0, 1):
-        some = marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        some = marks.where(F.col("toxic") == kind).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.unionByName(some)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").toPandas()
-    got = got.sort_values(["doc_id", "toxic"])
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= SAMPLE_CHARS).distinct().toPandas()
+    got = got.sort_values(["doc_id", "toxic", "text"])
     share = marks.agg(F.avg("toxic")).first()[0]
-    return fit(got["text"].tolist(), got["toxic"].tolist(), share)
+    return fit(got["text"].tolist(), got["toxic"].tolist(), share, _in_tasks(docs.sparkSession))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
