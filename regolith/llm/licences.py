@@ -67,6 +67,24 @@ TEMPLATES = {
     "zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
     "proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+# Public identifiers of licences by family, and the paths of their deeds.
+IDENTIFIERS = {
+    "agpl": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "apache": ["Apache-2.0"], "boost": ["BSL-1.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"], "cc0": ["CC0-1.0"], "epl": ["EPL-2.0"], "gpl": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"], "isc": ["ISC"],
+    "lgpl": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"], "mit": ["MIT"], "mpl": ["MPL-2.0"], "unlicense": ["Unlicense"], "zlib": ["Zlib"],
+}
+DEEDS = {"cc-by": "creativecommons.org/licenses/by/4.0", "cc-by-nc": "creativecommons.org/licenses/by-nc/4.0", "cc-by-sa": "creativecommons.org/licenses/by-sa/4.0", "cc0": "creativecommons.org/publicdomain/zero/1.0", "apache": "www.apache.org/licenses/LICENSE-2.0"}
+#: Short marks on lines of their own: identifiers in source files and manifests, and deeds.
+TAGS = {family: [f"{mark} {name}" for name in names for mark in ("SPDX-License-Identifier:", "license:")] + ([DEEDS[family]] if family in DEEDS else []) for family, names in IDENTIFIERS.items()}
+#: Sentences that hold licence words and are no notices: the corpus may have few of them to learn unknown from.
+OTHERS = [
+    "The city gave a license to the pub.", "She lost her driver license on the train.", "Contributor license agreements must be signed first.", "A public joke about the general public.",
+    "The software is sold per seat and per year.", "Our licence fee rose by two percent.", "The free software movement began early.", "Copyright law protects the work of authors.",
+    "The MIT campus lies in Cambridge.", "Two Apache helicopters flew over the village.", "BSD is a family of systems.", "Permission was granted by the council, free of charge.",
+    "The foundation published its annual report.", "Version 2.0 of the product ships in May.", "Fishing license holders may apply here.", "The creative commons of the village was green.",
+    "A general public meeting is held in March.", "The warranty is void if the case was opened.", "It is sold as is, without returns.", "The license number is printed on the back.",
+    "This file is part of the archive.", "The Boost of the engine and the Eclipse of the moon.", "The terms of the contract were subject to change.", "No rights were reserved for late guests.",
+]
 UNKNOWN = "unknown"
 
 NGRAM = 2
@@ -76,7 +94,9 @@ SHINGLE, CONTAINED = 5, 0.8
 WINDOWS = ((40, 10), (16, 6), (8, 3))
 #: Paragraphs of the corpus in training at most, those with the smallest hashes: a documented bound.
 SAMPLE_ROWS = 2500
-VARIANTS, FEATURES = 40, 3000
+#: Characters of a paragraph in training at most.
+SAMPLE_CHARS = 2000
+VARIANTS, TAG_VARIANTS, LONE, FEATURES = 40, 40, 5, 3000
 #: Share of unknown calibration paragraphs that may pass the confidence.
 PASSING = 0.002
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -94,7 +114,7 @@ def contained(template: list[str], paragraph: list[str]) -> float:
     return len(sought & there) / len(sought) if sought else 0.0
 
 
-_SOUGHT = {family: [words(t) for t in texts] for family, texts in TEMPLATES.items()}
+_SOUGHT = {family: [words(t) for t in (*texts, *TAGS.get(family, []))] for family, texts in TEMPLATES.items()}
 
 
 def confirm(family: str, paragraph: list[str]) -> float:
@@ -158,7 +178,7 @@ def _variants(template: str, rng: random.Random, others: list[list[str]], n: int
     """The template's words with words left out, doubled, or set among words of the corpus."""
     base, out = words(template), [words(template)]
     while len(out) < n:
-        now = [w for w in base if rng.random() > 0.04 * rng.randrange(3)] or base
+        now = [w for w in base if len(base) < SHINGLE or rng.random() > 0.04 * rng.randrange(3)] or base
         if rng.random() < 0.4 and others:
             around = rng.choice(others)
             cut = rng.randrange(len(around) + 1)
@@ -173,15 +193,20 @@ def fit(paragraphs: list[str], seed: int = 11) -> Model:
     plain = [w for p in paragraphs if (w := words(p)) and max(contained(t, w) for ts in _SOUGHT.values() for t in ts) < 0.5]
     rng.shuffle(plain)
     parts = [words(p) for p in ("the license of this text", "version 2.0 of the work", "under the terms", "public work", "this file is", "rights")]
-    plain += parts * 5
+    plain += (parts + [words(p) for p in OTHERS]) * 5
+    shared = Counter(w for texts in _SOUGHT.values() for w in {w for t in texts for w in t})
+    for word, families_of in sorted(shared.items()):  # a word of notices alone is none, the less the more families have it
+        around = [rng.choice(plain)[:12] for _ in range(LONE * families_of)]
+        plain += [a[: len(a) // 2] + [word] + a[len(a) // 2 :] for a in around]
     families = (*sorted(TEMPLATES), UNKNOWN)
     rows = [(v, k) for k, f in enumerate(families[:-1]) for t in TEMPLATES[f] for v in _variants(t, rng, plain, VARIANTS)]
+    rows += [(v, families.index(f)) for f in TAGS for t in TAGS[f] for v in _variants(t, rng, plain, max(3, TAG_VARIANTS // len(TAGS[f])))]
     rows += [(p, len(families) - 1) for p in plain]
     rng.shuffle(rows)
     cut = len(rows) * 4 // 5
     kept, spare = rows[:cut], rows[cut:]
     counted = Counter(g for found, _ in kept for g in _ngrams(found))
-    known = {g for f in TEMPLATES.values() for t in f for g in _ngrams(words(t))}
+    known = {g for f in _SOUGHT.values() for t in f for g in _ngrams(t)}
     chosen = sorted(known) + [g for g, n in counted.most_common(FEATURES) if g not in known and n >= 5][: FEATURES - len(known)]
     vocabulary = {g: i for i, g in enumerate(chosen)}
     singles = frozenset(w for g in chosen for w in g.split(" "))
@@ -208,12 +233,12 @@ def fit(paragraphs: list[str], seed: int = 11) -> Model:
     model = Model(families, vocabulary, singles, model.weights, temperature, 0.0)
     unknown = sorted(float(model.probabilities(found)[:-1].max()) for found, k in spare if k == len(families) - 1)
     confidence = max(0.5, unknown[int(len(unknown) * (1 - PASSING))]) if unknown else 0.5
-    return Model(families, vocabulary, singles, model.weights, temperature, min(confidence, 0.9))
+    return Model(families, vocabulary, singles, model.weights, temperature, min(confidence, 0.99))
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most ``rows`` distinct paragraphs of ``docs`` (text), those with the smallest hashes of all."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line").between(1, 2000))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line").between(1, SAMPLE_CHARS))
     lines = lines.select(F.xxhash64("line").alias("h"), "line")
     last = lines.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # only hashes are shuffled
     some = lines.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h").limit(rows)

@@ -122,3 +122,22 @@ def test_scores_as_their_definition(model):
             z = [a + model.weights[model.vocabulary[g]][k] * 3 / max(1, 2 * len(found) - 1) ** 0.5 for k, a in enumerate(z)]
         e = [math.exp(a / model.temperature) for a in z]
         assert list(model.probabilities(found)) == pytest.approx([a / sum(e) for a in e])
+
+
+def test_identifiers_and_deeds(model):
+    for family, names in licences.IDENTIFIERS.items():
+        for name in names:
+            for line in (f"SPDX-License-Identifier: {name}", f"// SPDX-License-Identifier: {name}", f'  "license": "{name}",', f"license = '{name}'"):
+                assert {f for f, sure in hits(model, "int x;\n" + line + "\nint y;") if sure} == {family}, line
+    for family, deed in licences.DEEDS.items():
+        assert {f for f, sure in hits(model, f"https://{deed}/") if sure} == {family}
+
+
+def test_sentences_with_licence_words_are_unknown(model):
+    """Not those that the model was trained on."""
+    others = [
+        "The town gave a licence to the inn.", "He renewed his driver license in June.", "All contributor license agreements were signed.", "The general public was invited to the fair.", "Software version 2.0 was sold per seat.",
+        "MIT professors and Apache pilots met.", "The council granted permission, free of charge, to any person who asked.", "A license of any kind is needed for fishing.", "The work is under way in public.", "The Mozilla of the story is a dragon.",
+    ]
+    for text in others:
+        assert not hits(model, text), (text, hits(model, text))
