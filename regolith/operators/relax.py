@@ -4,7 +4,7 @@ Labels: cells are dealt into square blocks; each block is labelled by itself wit
 across block borders are joined as a graph, which holds border cells only. A raster of one block needs no second step.
 
 Costs: a plan's grid of at most BLOCK cells a side is relaxed in one task for each plan, again with shifted arrays.
-``relax_costs`` does the same with joins only, for grids of any size and as the plain definition.
+Larger grids are relaxed block by block (surfaces.py). ``relax_costs`` does the same with joins only, as the plain definition.
 """
 
 from __future__ import annotations

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from regolith.operators import surfaces
-from regolith.operators.planning import _walk
-from regolith.operators.relax import relax_grid
+from regolith.operators.planning import _walk, edge_cost
+from regolith.operators.relax import edges_of, relax_costs, relax_grid
 
 PLAN = "plan_id long, tile_id string, start_row int, start_col int, goal_row int, goal_col int, meters_per_cell double, max_slope_deg double, max_hazard double"
 
@@ -84,3 +85,13 @@ def test_jumps_follow_long_ways(spark):
         want.append((1, i, nth))
         nth += i % 3 + 1
     assert got == want + [(2, 7, 0), (2, 9, 4), (3, 1, 0)]
+
+
+def test_equals_relaxation_by_joins(spark):
+    """The plain definition: edges joined to costs until nothing improves."""
+    grid = table(spark, a=ground((7, 9), 6))
+    plans = [(1, "a", 3, 3, 6, 8, 1.0, 80.0, 0.85)]
+    edges = edges_of(grid, 1.0).select(F.lit(1).cast("long").alias("plan_id"), "row", "col", "to_row", "to_col", edge_cost(F.col("step_m"), F.col("to_hazard"), F.col("rise_over_run")).alias("cost"))
+    want = {(r.row, r.col): r.cost for r in relax_costs(spark.createDataFrame([(1, 3, 3)], "plan_id long, row int, col int"), edges).collect()}
+    got = {(r.row, r.col): r.cost for r in surfaces.Surfaces(spark.createDataFrame(plans, PLAN), grid, 0.5, 4).costs().collect()}
+    assert len(want) == 63 and got == pytest.approx(want, rel=1e-12)
