@@ -17,9 +17,10 @@ from regolith.operators.surfaces import Surfaces
 from regolith.settings import DEFAULT, Settings
 
 
-def snap(point: str, scale: str, n: Column) -> Column:
-    """Grid index of a pixel: rounded half to even, clamped to the grid."""
-    return F.greatest(F.lit(0), F.least(n - 1, F.rint(F.col(point) / F.col(scale)).cast("int")))
+def snap(point: str, scale: str, n: Column, clamp: bool = True) -> Column:
+    """Grid index of a pixel: rounded half to even, clamped to the grid unless it is to stay where it was asked for."""
+    at = F.rint(F.col(point) / F.col(scale)).cast("int")
+    return F.greatest(F.lit(0), F.least(n - 1, at)) if clamp else at
 
 
 def grid_sizes(grids: DataFrame) -> DataFrame:
@@ -28,11 +29,12 @@ def grid_sizes(grids: DataFrame) -> DataFrame:
     return size.withColumn("whole", F.col("_n") == F.col("rows").cast("long") * F.col("cols")).drop("_n")
 
 
-def snapped(requests: DataFrame, grids: DataFrame) -> DataFrame:
-    """``requests`` with rows, cols, whole, start_row, start_col, goal_row, goal_col; nulls where the tile has no grid."""
+def snapped(requests: DataFrame, grids: DataFrame, clamp: bool = True) -> DataFrame:
+    """``requests`` with rows, cols, whole, start_row, start_col, goal_row, goal_col; nulls where the tile has no grid. Without
+    ``clamp`` an end may lie beyond the grid: such a start leads to itself only, such a goal is not reached."""
     placed = requests.join(grid_sizes(grids), "tile_id", "left")
     return placed.withColumns(
-        {f"{end}_{axis}": F.when(F.col(n).isNotNull(), snap(f"{end}_{p}", "scale", F.col(n))) for end in ("start", "goal") for axis, p, n in (("row", "y", "rows"), ("col", "x", "cols"))}
+        {f"{end}_{axis}": F.when(F.col(n).isNotNull(), snap(f"{end}_{p}", "scale", F.col(n), clamp)) for end in ("start", "goal") for axis, p, n in (("row", "y", "rows"), ("col", "x", "cols"))}
     )
 
 
@@ -109,16 +111,25 @@ def _small() -> Column:
     return (F.col("rows") <= BLOCK) & (F.col("cols") <= BLOCK)
 
 
-def _asked(requests: DataFrame, grids: DataFrame, rovers: DataFrame) -> DataFrame:
+def _within(end: str) -> Column:
+    """Whether an end of a plan is a cell of its grid."""
+    return F.col(f"{end}_row").between(0, F.col("rows") - 1) & F.col(f"{end}_col").between(0, F.col("cols") - 1)
+
+
+def _asked(requests: DataFrame, grids: DataFrame, rovers: DataFrame, clamp: bool = True) -> DataFrame:
     """Requests that have a whole grid and a vehicle."""
-    return snapped(requests, grids).where("whole").join(rovers, "rover_id")
+    return snapped(requests, grids, clamp).where("whole").join(rovers, "rover_id")
 
 
-def cost_surface(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def cost_surface(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT, clamp: bool = True) -> DataFrame:
     """(plan_id, row, col, cost, back): cells that a plan's start leads to; ``back`` is the step (in EIGHT) to the cell
     before, -1 at the start. Requests without a whole grid or a vehicle have no rows."""
-    plans = _asked(requests, grids, rovers)
+    asked = _asked(requests, grids, rovers, clamp)
+    plans = asked.where(_within("start"))
     near = _by_tile(plans.where(_small()), grids, settings, False, _SURFACE)
+    if not clamp:
+        alone = asked.where(~_within("start")).select("plan_id", F.col("start_row").alias("row"), F.col("start_col").alias("col"), F.lit(0.0).alias("cost"), F.lit(-1).alias("back"))
+        near = near.unionByName(alone)
     large = plans.where(~_small())
     if large.limit(1).count() == 0:
         return near
@@ -128,10 +139,10 @@ def cost_surface(requests: DataFrame, grids: DataFrame, rovers: DataFrame, setti
 _ROUTE = "plan_id long, segment_id int, row int, col int"
 
 
-def routes(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def routes(requests: DataFrame, grids: DataFrame, rovers: DataFrame, settings: Settings = DEFAULT, clamp: bool = True) -> DataFrame:
     """(plan_id, segment_id, row, col) from start to goal, for requests whose status is OK. On a small grid the route is
     walked where its surface was found, so no surface leaves the task; on a larger one block by block."""
-    plans = _asked(requests, grids, rovers).where("start_row <> goal_row or start_col <> goal_col")
+    plans = _asked(requests, grids, rovers, clamp).where("start_row <> goal_row or start_col <> goal_col").where(_within("start") & _within("goal"))
     near = _by_tile(plans.where(_small()), grids, settings, True, _ROUTE)
     large = plans.where(~_small())
     if large.limit(1).count() == 0:
@@ -145,10 +156,10 @@ def large_surfaces(requests: DataFrame, grids: DataFrame, rovers: DataFrame, set
     return Surfaces(_asked(requests, grids, rovers), grids, settings.energy_slope_coefficient, block)
 
 
-def plan_status(requests: DataFrame, grids: DataFrame, rovers: DataFrame, surface: DataFrame) -> DataFrame:
+def plan_status(requests: DataFrame, grids: DataFrame, rovers: DataFrame, surface: DataFrame, clamp: bool = True) -> DataFrame:
     """(plan_id, status, total_cost) of every request: NO_ROVER, NO_GRID, GRID_MISMATCH (the layers are not of one shape),
     SAME_CELL, NO_ROUTE or OK."""
-    ends = snapped(requests, grids).join(rovers.select("rover_id", F.lit(True).alias("known")), "rover_id", "left")
+    ends = snapped(requests, grids, clamp).join(rovers.select("rover_id", F.lit(True).alias("known")), "rover_id", "left")
     reached = surface.select("plan_id", F.col("row").alias("goal_row"), F.col("col").alias("goal_col"), "cost")
     same = (F.col("start_row") == F.col("goal_row")) & (F.col("start_col") == F.col("goal_col"))
     status = F.when(F.col("known").isNull(), "NO_ROVER").when(F.col("rows").isNull(), "NO_GRID").when(~F.col("whole"), "GRID_MISMATCH").when(same, "SAME_CELL").when(F.col("cost").isNull(), "NO_ROUTE").otherwise("OK")

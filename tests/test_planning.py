@@ -136,3 +136,14 @@ def test_waypoints_at_a_scale(spark):
     requests = requests.withColumn("scale", F.lit(2.5))
     way = planning.waypoints(planning.routes(requests, grid, rovers), requests, grid, rovers).orderBy("segment_id").collect()
     assert [(w.x, w.y) for w in way] == [(v, v) for v in (2, 5, 8, 10, 12, 15, 18, 20, 22, 25, 28)] and way[1].step_distance_m == round(5 * math.sqrt(2), 3)
+
+
+def test_ends_beyond_the_grid_without_clamping(spark):
+    asks = [(1, (0, 0), (9, 9)), (2, (0, 0), (9, 20)), (3, (20, 0), (9, 9)), (4, (0, 0), (-1, 0)), (5, (25, 25), (25, 25))]
+    requests, grid, rovers = world(spark, Z, Z, asks)
+    surface = planning.cost_surface(requests, grid, rovers, clamp=False).cache()
+    status = {r.plan_id: r.status for r in planning.plan_status(requests, grid, rovers, surface, clamp=False).collect()}
+    assert status == {1: "OK", 2: "NO_ROUTE", 3: "NO_ROUTE", 4: "NO_ROUTE", 5: "SAME_CELL"}
+    assert [(r.row, r.col, r.cost) for r in surface.where("plan_id = 3").collect()] == [(0, 20, 0.0)]
+    assert surface.where("plan_id = 2").count() == 400
+    assert {r.plan_id for r in planning.routes(requests, grid, rovers, clamp=False).collect()} == {1}
