@@ -34,3 +34,9 @@ def test_a_last_tile_of_few_rows_lacks_the_goal(spark, tmp_path, rows):
     got = by_spark(spark, tmp_path, "plan_status")
     assert got == by_sql(tmp_path, "plan_status")
     assert {p: s for p, s, _ in got[1]} == {0: "OK", 1: "OK", 2: "OK", 3: "NO_ROVER", 4: "SAME_CELL", 5: "NO_ROUTE", 6: "NO_ROUTE", 7: "NO_ROUTE", 8: "NO_ROVER", 9: "SAME_CELL", 10: "NO_GRID", 11: "NO_GRID", 12: "NO_GRID", 13: "NO_ROVER", 14: "NO_GRID"}
+
+
+def test_a_plan_whose_goal_the_tile_lacks_has_no_cost(spark, tmp_path):
+    embeddings(tmp_path, 56)
+    got = by_spark(spark, tmp_path, "plan_cost")
+    assert got == by_sql(tmp_path, "plan_cost") and [p for p, _ in got[1]] == [0, 1, 2]
