@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.rounding import rounded
 from regolith.settings import DEFAULT, Settings
 
 
@@ -58,11 +59,11 @@ def assess(summary: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     use = F.col("total_energy_kwh") / F.col("capacity_kwh")
     score = settings.risk_weight_hazard * F.col("mean_hazard") + settings.risk_weight_energy * F.least(use, F.lit(1.0))
     return summary.withColumns({
-        "risk_score": F.round(score, 4),
+        "risk_score": rounded(score, 4),
         "risk_tier": risk_tier(score, settings),
         "feasibility": feasibility(F.col("total_energy_kwh"), F.col("capacity_kwh"), settings),
-        "energy_margin_kwh": F.round(F.col("capacity_kwh") - F.col("total_energy_kwh") + TIE, 4),
-        "energy_utilisation": F.round(use + TIE, 4),
+        "energy_margin_kwh": rounded(F.col("capacity_kwh") - F.col("total_energy_kwh") + TIE, 4),
+        "energy_utilisation": rounded(use + TIE, 4),
     })
 
 

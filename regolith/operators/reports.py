@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith import wording as words
+from regolith.functions.rounding import rounded
 from regolith.operators.paths import TIE
 from regolith.settings import DEFAULT, Settings
 
@@ -41,7 +42,7 @@ def structured_context(risks: DataFrame, missions: DataFrame, segments: DataFram
         "mission_name",
         F.coalesce("terrain_source", F.lit("unspecified")).alias("terrain_source"),
         F.struct(
-            "total_distance_m", F.round(F.col("total_energy_kwh") + TIE, 4).alias("total_energy_cost_kwh"), "num_waypoints", "mean_hazard", "max_hazard",
+            "total_distance_m", rounded(F.col("total_energy_kwh") + TIE, 4).alias("total_energy_cost_kwh"), "num_waypoints", "mean_hazard", "max_hazard",
             F.col("max_slope_deg").alias("max_slope_encountered_deg"), F.col("worst").alias("high_hazard_segments"),
         ).alias("path_summary"),
         F.struct(F.col("rover_name").alias("name"), "capacity_kwh", "energy_margin_kwh", "energy_utilisation", F.col("rover_max_slope_deg").alias("max_traversable_slope_deg"), "kwh_per_m").alias("rover_constraints"),

@@ -1,6 +1,10 @@
+import math
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from regolith.functions.rounding import rounded
 from regolith.operators import paths as pt
 from regolith.operators import reports as rp
 from regolith.operators import rules
@@ -119,3 +123,14 @@ def test_packing_keeps_every_waypoint(spark):
     packed = pt.pack(steps)
     assert [[w.segment_id for w in r.waypoints] for r in packed.collect()] == [[0, 1, 2]] * 2
     assert sorted(map(tuple, pt.unpack(packed).collect())) == sorted(rows)
+
+
+def test_rounding_is_that_of_sql(spark):
+    halves = [k + h for k in (0.0, 0.5115, 3.0001, 7776.4999, 123456.7891) for h in (0.00005, 0.00004999999999999999, 0.000050000000000000004)]
+    values = [s * v for s in (1, -1) for v in (*halves, *(n / 20000 for n in range(1, 400)), 0.00003, 0.49999999999999994, 2.0**52 + 1, 1e300, 0.0, math.inf)] + [None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for places in (3, 4, 6):
+        got = [r[0] for r in df.orderBy("i").select(rounded("v", places)).collect()]
+        want = duckdb.execute(f"select list(round(v, {places}) order by i) from (select unnest(?::double[]) as v, unnest(range({len(values)})) as i)", [values]).fetchone()[0]
+        assert list(map(repr, got)) == list(map(repr, want))
+    assert df.where("v = -0.00003D").select(F.format_string("%.4f", rounded("v", 4))).first()[0] == "-0.0000"

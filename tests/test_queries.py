@@ -40,3 +40,34 @@ def test_a_plan_whose_goal_the_tile_lacks_has_no_cost(spark, tmp_path):
     embeddings(tmp_path, 56)
     got = by_spark(spark, tmp_path, "plan_cost")
     assert got == by_sql(tmp_path, "plan_cost") and [p for p, _ in got[1]] == [0, 1, 2]
+
+
+#: Lines (linenumber, quantity, discount, tax) of orders by their vehicle: a battery that is overdrawn by less than a twentieth of a Wh,
+#: and scores whose doubles are just below the half that they are written as.
+ORDERS = {
+    (1, 3): [(3, 42.0, 0.01, 0.06), (4, 48.0, 0.01, 0.03), (5, 30.0, 0.02, 0.06), (7, 24.0, 0.04, 0.08)],
+    (2, 1): [(1, 21.0, 0.02, 0.06), (2, 36.0, 0.1, 0.02), (3, 42.0, 0.04, 0.03), (4, 8.0, 0.04, 0.06), (5, 20.0, 0.09, 0.04), (6, 21.0, 0.07, 0.07), (7, 21.0, 0.09, 0.01), (8, 26.0, 0.08, 0.08)],
+    (3, 3): [(2, 22.0, 0.05, 0.0), (6, 30.0, 0.05, 0.06), (7, 7.0, 0.09, 0.06), (8, 11.0, 0.04, 0.0)],
+    (4, 2): [(1, 20.0, 0.03, 0.05), (2, 31.0, 0.1, 0.04)],
+}
+
+
+def orders(folder):
+    embeddings(folder, 100)
+    con = duckdb.connect()
+    for name, columns, rows in (
+        ("customer", "c_custkey, c_name, c_mktsegment", "(1, 'a', 'x'), (2, 'b', 'y'), (3, 'c', 'z')"),
+        ("orders", "o_orderkey, o_custkey, o_orderdate", ", ".join(f"({o}, {c}, timestamp '2000-01-0{o}')" for o, c in ORDERS)),
+        ("lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax", ", ".join(f"({o}, {n}, {600 + n}, {n}, {q}::double, {d}::double, {t}::double)" for (o, _), lines in ORDERS.items() for n, q, d, t in lines)),
+        ("documents", "doc_id", "(1), (4)"),
+    ):
+        keys = ", ".join(f"{c}::bigint as {c}" if c.endswith(("key", "_id")) else c for c in columns.split(", "))
+        con.execute(f"copy (select {keys} from (values {rows}) v({columns})) to '{folder}/{name}.parquet' (format parquet)")
+
+
+def test_template_reports_of_halves_and_of_negative_zeros(spark, tmp_path):
+    orders(tmp_path)
+    got = by_spark(spark, tmp_path, "fallback_report")
+    assert got == by_sql(tmp_path, "fallback_report")
+    told = {p: s for p, s, *_ in got[1]}
+    assert "(-0.0000 kWh margin)" in told[1] and "(score 0.7776)" in told[2] and "(score 0.5367)" in told[3]
