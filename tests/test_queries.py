@@ -71,3 +71,11 @@ def test_template_reports_of_halves_and_of_negative_zeros(spark, tmp_path):
     assert got == by_sql(tmp_path, "fallback_report")
     told = {p: s for p, s, *_ in got[1]}
     assert "(-0.0000 kWh margin)" in told[1] and "(score 0.7776)" in told[2] and "(score 0.5367)" in told[3]
+
+
+def test_final_reports_of_halves_and_of_negative_zeros(spark, tmp_path):
+    orders(tmp_path)
+    got = by_spark(spark, tmp_path, "final_report")
+    assert got == by_sql(tmp_path, "final_report")
+    assert {p: (by, "(-0.0000 kWh margin)" in told) for p, by, told, *_ in got[1]} == {1: ("llm", False), 2: ("template_fallback", False), 3: ("template_fallback", False), 4: ("template_fallback", False)}
+    assert any("(score 0.7776)" in told for _, _, told, *_ in got[1])
