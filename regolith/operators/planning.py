@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regolith.functions.rounding import rounded
 from regolith.operators.relax import BLOCK, EIGHT, relax_grid
 from regolith.operators.surfaces import Surfaces
 from regolith.settings import DEFAULT, Settings
@@ -179,7 +180,7 @@ def waypoints(route: DataFrame, requests: DataFrame, grids: DataFrame, rovers: D
     at = at.withColumn("_e", F.col("kwh_per_m") * F.col("_m") * energy_factor(F.col("_r"), settings))
     pixel = lambda c: F.rint(F.col(c) * F.col("scale")).cast("int")
     return at.select(
-        F.col("plan_id").alias("path_id"), "segment_id", pixel("col").alias("x"), pixel("row").alias("y"), F.round("hazard", 4).alias("hazard_score"),
-        F.round(F.degrees(F.atan("_r")), 3).alias("slope_deg"), F.round("_m", 3).alias("step_distance_m"), F.round("_e", 6).alias("energy_cost_kwh"),
-        F.round(F.sum("_e").over(line.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("cumulative_energy_kwh"),
+        F.col("plan_id").alias("path_id"), "segment_id", pixel("col").alias("x"), pixel("row").alias("y"), rounded("hazard", 4).alias("hazard_score"),
+        rounded(F.degrees(F.atan("_r")), 3).alias("slope_deg"), rounded("_m", 3).alias("step_distance_m"), rounded("_e", 6).alias("energy_cost_kwh"),
+        rounded(F.sum("_e").over(line.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("cumulative_energy_kwh"),
     )

@@ -31,7 +31,7 @@ def structured_context(risks: DataFrame, missions: DataFrame, segments: DataFram
     more = []
     if terrain is not None:
         summary = F.struct(
-            F.round("mean_hazard", 4).alias("avg_hazard_score"), F.round("max_hazard", 4).alias("max_hazard_score"), F.col("obstacles").alias("obstacle_count"),
+            rounded("mean_hazard", 4).alias("avg_hazard_score"), rounded("max_hazard", 4).alias("max_hazard_score"), F.col("obstacles").alias("obstacle_count"),
             F.col("terrain_class").alias("terrain_classification"), "mean_slope_deg", "max_slope_deg", F.struct("width_m", "height_m").alias("area_covered_m"),
         )
         ground = terrain.select("tile_id", summary.alias("_terrain")).join(hazard_basis(terrain, settings).withColumnRenamed("basis", "_hazard"), "tile_id")
@@ -187,7 +187,7 @@ def audit_basis(risks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def hazard_basis(stats: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``stats`` of hazard_stats with ``basis``: how each tile's hazard came about and what it came to."""
-    four = lambda *names: F.struct(*(F.round(c, 4).alias(c) for c in names))
+    four = lambda *names: F.struct(*(rounded(c, 4).alias(c) for c in names))
     basis = F.struct(
         F.lit(words.HAZARD_FORMULA).alias("formula"),
         F.struct(F.lit(settings.weight_slope).alias("slope"), F.lit(settings.weight_obstacle).alias("obstacle_proximity"), F.lit(settings.weight_roughness).alias("roughness")).alias("weights"),

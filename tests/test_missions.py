@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regolith.operators import analysis, missions, stencil
+from regolith.operators import analysis, missions, reports, stencil
 from regolith.settings import Settings
 from tests.test_stencil import frame
 
@@ -53,3 +53,10 @@ def test_chain_from_grids_to_contexts(spark):
     ways = out.waypoints.where("path_id = 1").orderBy("segment_id").collect()
     assert c.path_summary.num_waypoints == len(ways) and c.path_summary.max_hazard == max(w.hazard_score for w in ways)
     assert out.risks.where(F.col("path_id") == 1).first().feasibility == c.feasibility
+
+
+def test_hazard_of_reports_is_rounded_as_doubles(spark):
+    """0.51155 times 10,000 is below a half: 0.5115, as in SQL, not 0.5116."""
+    figures = dict.fromkeys(("mean_hazard", "max_hazard", "p95_hazard", "fraction_above_0_6", "slope_term", "obstacle_term", "roughness_term"), 0.51155)
+    stats = spark.createDataFrame([figures | {"tile_id": "a"}])
+    assert set(reports.hazard_basis(stats, SETTINGS).first().basis.aggregate) == {0.5115}

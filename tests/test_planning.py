@@ -147,3 +147,10 @@ def test_ends_beyond_the_grid_without_clamping(spark):
     assert [(r.row, r.col, r.cost) for r in surface.where("plan_id = 3").collect()] == [(0, 20, 0.0)]
     assert surface.where("plan_id = 2").count() == 400
     assert {r.plan_id for r in planning.routes(requests, grid, rovers, clamp=False).collect()} == {1}
+
+
+def test_waypoints_are_rounded_as_doubles(spark):
+    """0.51155 times 10,000 is below a half, and a fall of less than half a thousandth of a degree is -0.0, as in SQL."""
+    requests, grid, rovers = world(spark, np.full((3, 3), 0.51155), np.array([[0, -1e-6, 0]] * 3), [(1, (0, 0), (1, 0))])
+    way = planning.waypoints(planning.routes(requests, grid, rovers), requests, grid, rovers).orderBy("segment_id").collect()
+    assert [(w.hazard_score, repr(w.slope_deg)) for w in way] == [(0.5115, "0.0"), (0.5115, "-0.0")]
